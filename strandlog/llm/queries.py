@@ -17,6 +17,24 @@ def op1_warc_bundles(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_archive(bundles).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
+def op2_length_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+def op3_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .langid import identify, train
+
+    docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = train(docs, F.coalesce(~held_out, F.lit(False)))
+    out = identify(docs.select("doc_id", "text"), model)
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
+
+
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -41,6 +59,15 @@ def op6_url_aliases(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge_urls(_read(spark, sf_dir, "pages"), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op8_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .decontaminate import contamination
+
+    out = contamination(_read(spark, sf_dir, "documents").select("doc_id", "text"), _read(spark, sf_dir, "benchmark"))
+    n_hit = F.aggregate("hits", F.lit(0).cast("long"), lambda a, h: a + h.stop - h.start)
+    items = F.array_join(F.array_sort(F.transform("items", lambda i: i.cast("string"))), ",")
+    return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
 def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
@@ -79,6 +106,19 @@ SELECT conv_id, n AS n_turns, sha256(said) AS turns_sha256, CAST(length(loss) AS
 """
 
 
+_OP8_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+b AS (SELECT DISTINCT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark WHERE item_id IS NOT NULL),
+i AS (SELECT DISTINCT item_id, least(10, len(w)) AS m, array_to_string(w[k:k + least(10, len(w)) - 1], ' ') AS g
+  FROM (SELECT item_id, w, unnest(range(1, greatest(1, len(w) - 9) + 1)) AS k FROM b WHERE len(w) > 0)),
+p AS (SELECT doc_id, w, unnest(range(1, len(w) + 1)) AS k FROM d),
+o AS (SELECT p.doc_id, p.k, i.m, i.item_id FROM p JOIN (SELECT DISTINCT m FROM i) s ON p.k + s.m - 1 <= len(p.w) JOIN i ON i.m = s.m AND i.g = array_to_string(p.w[p.k:p.k + s.m - 1], ' ')),
+h AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(k, k + m)) AS k FROM o) GROUP BY doc_id),
+t AS (SELECT doc_id, count(*) AS n_items, string_agg(x, ',' ORDER BY x) AS x FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS x FROM o) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_hit, coalesce(t.n_items, 0) AS n_items, sha256(coalesce(t.x, '')) AS items_sha256, coalesce(h.n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
+
 _OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -99,4 +139,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows. op6's holds where no page names a canonical or refresh address, as in these tables."""
-    return {"op1_warc_bundles": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op10_pivot_top_k": _OP10_SQL}
+    return {"op1_warc_bundles": _OP1_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op10_pivot_top_k": _OP10_SQL}
