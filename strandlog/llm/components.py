@@ -35,7 +35,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         now = _state(small)
         stars = small
         if now == seen:
-            return stars.select(F.col("a").alias("node"), F.col("b").alias("component"))
+            roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
+            return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         seen = now
     raise RuntimeError("the components did not settle")
 

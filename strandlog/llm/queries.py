@@ -75,6 +75,13 @@ def op8_prefix_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"), F.sha2(items, 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
 
 
+def op9_prefix_tree_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .jaccard import jaccard_components
+
+    out = jaccard_components(_read(spark, sf_dir, "documents"), shingle=4, percent=85)
+    return out.select(F.col("id").alias("doc_id"), "n_shingles", F.col("component").alias("component_id"))
+
+
 def op10_pivot_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .topk import exact_top_k
 
@@ -136,6 +143,16 @@ SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, coalesce(h.n_hit, 0) AS n_
 FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
+_OP9_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, hash(array_to_string(w[k:k + 3], ' ')) AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(1, len(w) - 3) + 1)) AS k FROM w WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS i FROM s a JOIN s b ON a.g = b.g AND a.doc_id <> b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n a ON a.doc_id = x JOIN n b ON b.doc_id = y WHERE 100 * i >= 85 * (a.n + b.n - i)),
+r AS (SELECT doc_id AS x, doc_id AS c FROM w UNION SELECT l.y, r.c FROM r JOIN l ON r.x = l.x)
+SELECT w.doc_id, coalesce(n.n, 0) AS n_shingles, (SELECT min(c) FROM r WHERE r.x = w.doc_id) AS component_id FROM w LEFT JOIN n USING (doc_id)
+"""
+
 _OP10_SQL = """
 WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
   WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
@@ -156,4 +173,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows. op6's holds where no page names a canonical or refresh address, as in these tables."""
-    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op10_pivot_top_k": _OP10_SQL}
+    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}
