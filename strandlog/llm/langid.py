@@ -191,7 +191,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "t
     def run(batches):
         own = shared.value
         for whole in batches:
-            for part in slices(whole, text_col, 2 << 20):
+            for part in slices(whole, text_col):
                 none = part.column(part.num_columns - 1).to_numpy(zero_copy_only=False).astype(bool)
                 if own is None:
                     lang, score, gone = np.full(len(none), UNDETERMINED, object), np.zeros(len(none)), np.ones(len(none), bool)

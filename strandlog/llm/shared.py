@@ -77,7 +77,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 4 << 20):
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20):
     """Cuts a batch into runs of rows whose texts hold about most_bytes, one row at least: bounded work memory."""
     if not batch.num_rows:
         return
@@ -94,12 +94,15 @@ _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
-    """A bijective finaliser of 64-bit values (splitmix64)."""
-    h = h ^ (h >> np.uint64(30))
-    h *= _M1
-    h ^= h >> np.uint64(27)
-    h *= _M2
-    h ^= h >> np.uint64(31)
+    """A bijective finaliser of 64-bit values (splitmix64), a part at a time to stay in the cache."""
+    h = h.copy()
+    for at in range(0, len(h), 1 << 16):
+        x = h[at : at + (1 << 16)]
+        x ^= x >> np.uint64(30)
+        x *= _M1
+        x ^= x >> np.uint64(27)
+        x *= _M2
+        x ^= x >> np.uint64(31)
     return h
 
 
@@ -112,7 +115,7 @@ class Rolling:
 
     def _grow(self, n: int) -> None:
         if len(self._powers) <= n:
-            size = max(n + 1, 2 * len(self._powers))
+            size = -(-(n + 1) >> 20) << 20 if n >= 1 << 20 else 2 * n + 1
             for name, base in (("_powers", self.base), ("_inverses", self.inverse)):
                 steps = np.full(size, base, np.uint64)
                 steps[0] = 1
@@ -121,9 +124,13 @@ class Rolling:
     def prefix(self, values: np.ndarray) -> np.ndarray:
         self._grow(len(values))
         out = np.zeros(len(values) + 1, np.uint64)
-        np.cumsum(values.astype(np.uint64) * self._powers[: len(values)], dtype=np.uint64, out=out[1:])
+        np.multiply(values, self._powers[: len(values)], out=out[1:])
+        np.cumsum(out[1:], out=out[1:])
         return out
 
     def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Hashes of values[start:end], the same wherever the run stands."""
-        return mixed((prefix[end] - prefix[start]) * self._inverses[start])
+        h = prefix[end]
+        h -= prefix[start]
+        h *= self._inverses[start]
+        return mixed(h)

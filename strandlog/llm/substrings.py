@@ -27,7 +27,7 @@ def anchors(raw: np.ndarray, offsets: np.ndarray, size: int, gram: int):
         none = np.zeros(0, np.int64)
         return none, none, none, none, np.zeros(0, np.uint64)
     width = size - gram + 1
-    prefix = _GRAM.prefix(raw.astype(np.uint64) + np.uint64(1))
+    prefix = _GRAM.prefix(raw + np.uint64(1))
     begin = np.arange(len(raw) - gram + 1)
     h = _GRAM.of(prefix, begin, begin + gram)
     # the least of each run of `width` grams, as (hash, place from the end): doubling of the run's length
@@ -79,11 +79,11 @@ def _first_round(size: int, gram: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(2))
                 text, window, count, _, key = anchors(raw, offsets, size, gram)
                 if len(text):
-                    prefix = _SPAN.prefix(raw.astype(np.uint64) + np.uint64(1))
+                    prefix = _SPAN.prefix(raw + np.uint64(1))
                     span = _SPAN.of(prefix, window, window + count + size - 1) + count.astype(np.uint64)
                     yield _rows(size, part, text, key, span, window - offsets[text], count, offsets)
 
@@ -95,7 +95,7 @@ def _next_round(size: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text", 8 << 20):
+            for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(2))
                 lists = part.column(3)
                 flat = lists.flatten()
@@ -134,7 +134,7 @@ _KEPT = "doc long, sub int, n_bytes long, spans array<struct<start:long,stop:lon
 
 def _cut_out(batches):
     for batch in batches:
-        for part in slices(batch, "text", 8 << 20):
+        for part in slices(batch, "text"):
             raw, offsets = text_bytes(part.column(2))
             spans, kept = [], []
             for i, packed in enumerate(part.column(3)):

@@ -129,7 +129,7 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         begin = self.starts(raw, offsets)
         end = np.append(begin[1:], len(raw))
-        prefix = self.rolling.prefix(raw.astype(np.uint64) + np.uint64(1))
+        prefix = self.rolling.prefix(raw + np.uint64(1))
         key = self.rolling.of(prefix, begin, end) ^ (end - begin).astype(np.uint64)
         code, unique = pd.factorize(key)
         keys = unique.tolist()

@@ -35,7 +35,7 @@ class Words:
         begins[cut] = inside[1:-1][cut]
         ends[cut - 1] = inside[1:-1][cut - 1]
         self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        prefix = _BYTES.prefix(self.raw.astype(np.uint64) + np.uint64(1))
+        prefix = _BYTES.prefix(self.raw + np.uint64(1))
         self.hash = _BYTES.of(prefix, self.begin, self.end) ^ (self.end - self.begin).astype(np.uint64)
         self.first = np.searchsorted(self.begin, offsets)
         self._prefix = None
