@@ -25,56 +25,61 @@ def unescape(text: Column) -> Column:
 
 
 def reply_paths(nodes: DataFrame, *, tree_col: str, node_col: str, parent_col: str, score_col: str | None = None) -> DataFrame:
-    """All root-to-leaf paths of reply trees: (tree, path, leaf, depth, score), path an array of node ids.
+    """All root-to-leaf paths of reply trees, a row a step: (tree, leaf, node, distance, s), distance counted from the leaf.
 
-    A frontier of partial paths is joined with the replies, one level each round; each round is a table in the
-    shared folder, and paths that reach a leaf leave the frontier. score is the mean of the nodes' scores.
+    Iterative self-joins double their reach: the first rounds make tables of the ancestor 1, 2, 4, ... steps up, the
+    others extend each leaf's known ancestors by them, so a tree of depth d takes log2(d) rounds of each, and rows
+    are never more than the steps of the paths. Each round is a table in the shared folder.
     A root has a null parent or one that isn't in its tree. Node ids are unique in a tree; null trees or ids, and
-    nodes that no root reaches (cycles), are in no path.
+    nodes that hang on a cycle, are in no path. Null scores are 0.
     """
     spark = nodes.sparkSession
     scratch = Scratch(spark, "paths")
     score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
-    all_nodes = nodes.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("id"), F.col(parent_col).alias("parent"), score.alias("s")).where("tree is not null and id is not null")
-    keys = all_nodes.select(F.col("tree").alias("t"), F.col("id").alias("i")).distinct()
-    known = all_nodes.join(keys, (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("i")), "left")
-    base = scratch.table("nodes", known.select("tree", "id", F.when(F.col("i").isNotNull(), F.col("parent")).alias("parent"), "s"))
-    inner = base.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p"), F.col("id").alias("c"), F.col("s").alias("cs"))
-    parents = inner.select("t", "p").distinct()
-    flagged = scratch.table("flagged", base.join(parents, (F.col("tree") == F.col("t")) & (F.col("id") == F.col("p")), "left").select("tree", "id", "parent", "s", F.col("p").isNull().alias("leaf")))
-    replies = flagged.where("parent is not null").select(F.col("tree").alias("t"), F.col("parent").alias("p"), F.col("id").alias("c"), F.col("s").alias("cs"), F.col("leaf").alias("cl"))
-    level = flagged.where("parent is null").select("tree", F.array("id").alias("path"), F.col("id").alias("at"), F.col("s").alias("total"), "leaf")
-    done = []
-    for depth in range(1, 100_000):
-        level = scratch.table(str(depth), level)
-        done.append(level.where("leaf"))
-        if level.where("not leaf").isEmpty():
+    base = scratch.table("nodes", nodes.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).alias("parent"), score.alias("s")).where("tree is not null and node is not null"))
+    keys = base.select(F.col("tree").alias("t"), F.col("node").alias("n"))
+    jump = scratch.table("up0", base.where("parent is not null").join(keys.distinct(), (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left_semi").select("tree", "node", F.col("parent").alias("up")))
+    jumps = [jump]
+    while not jump.isEmpty():
+        if len(jumps) > 1 and 1 << (len(jumps) - 1) > (largest := keys.groupBy("t").count().agg(F.max("count")).first()[0]):
+            # what still has an ancestor farther up than its tree has nodes hangs on a cycle
+            base = scratch.table("acyclic", base.join(jump, ["tree", "node"], "left_anti"))
             break
-        level = level.where("not leaf").join(replies, (F.col("tree") == F.col("t")) & (F.col("at") == F.col("p"))).select("tree", F.array_append("path", F.col("c")).alias("path"), F.col("c").alias("at"), (F.col("total") + F.col("cs")).alias("total"), F.col("cl").alias("leaf"))
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
-    return out.select("tree", "path", F.col("at").alias("leaf"), F.size("path").alias("depth"), (F.col("total") / F.size("path")).alias("score"))
-
-
-def best_paths(paths: DataFrame, per_tree: int = 1) -> DataFrame:
-    """The per_tree best branches of each tree by score, ties to the longer and then to the smaller leaf, with their rank."""
-    if per_tree == 1:  # a maximum combines before the shuffle, however many leaves a tree has
-        low = paths.groupBy("tree").agg(F.max(F.struct("score", "depth")).alias("top"))
-        ties = paths.join(low.select(F.col("tree").alias("t"), "top"), (F.col("tree") == F.col("t")) & (F.struct("score", "depth") == F.col("top")))
-        return ties.groupBy("tree").agg(F.min_by(F.struct("path", "leaf", "depth", "score"), "leaf").alias("x")).select("tree", "x.*", F.lit(1).alias("rank"))
+        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("farther"))
+        jump = scratch.table(f"up{len(jumps)}", jump.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("farther").alias("up")))
+        jumps.append(jump)
+    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
+    steps = base.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
+    for k, jump in enumerate(jumps[:-1]):
+        steps = scratch.table(f"steps{k}", steps)
+        up = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
+        steps = steps.unionByName(steps.join(up, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance")))
+    scores = base.select(F.col("tree").alias("t"), F.col("node").alias("n"), "s")
+    return scratch.table("steps", steps.join(scores, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "node", "distance", "s"))
+
+
+def best_paths(steps: DataFrame, per_tree: int = 1) -> DataFrame:
+    """The per_tree best branches of each tree: (tree, leaf, score, depth, rank).
+
+    By the mean score of a branch's nodes, ties to the longer and then to the smaller leaf.
+    """
+    paths = steps.groupBy("tree", "leaf").agg(F.avg("s").alias("score"), F.count("*").alias("depth"))
+    if per_tree == 1:  # extremes combine before the shuffle, however many leaves a tree has
+        low = paths.groupBy("tree").agg(F.max(F.struct("score", "depth")).alias("top")).select(F.col("tree").alias("t"), "top")
+        ties = paths.join(low, (F.col("tree") == F.col("t")) & (F.struct("score", "depth") == F.col("top")))
+        return ties.groupBy("tree").agg(F.min("leaf").alias("leaf"), F.max("score").alias("score"), F.max("depth").alias("depth")).withColumn("rank", F.lit(1))
     order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf")
     return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
 
 
-def format_paths(paths: DataFrame, nodes: DataFrame, *, tree_col: str, node_col: str, role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """Formats each path as one conversation: (tree, leaf, rank, formatted, loss_spans).
+def format_paths(chosen: DataFrame, steps: DataFrame, nodes: DataFrame, *, tree_col: str, node_col: str, role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
+    """Formats each chosen (tree, leaf, rank) as one conversation: (tree, leaf, rank, formatted, loss_spans).
 
     loss_spans are (start, length) in code points of formatted: the texts of trained_role. Null texts and roles are empty.
     """
     said = nodes.select(F.col(tree_col).alias("t"), F.col(node_col).alias("i"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    steps = paths.select("tree", "leaf", "rank", F.posexplode("path").alias("pos", "node"))
-    turns = steps.join(said, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("i"))).select("tree", "leaf", "rank", "pos", F.concat(F.lit(TURN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("trained"))
+    own = steps.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
+    turns = own.join(said, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("i"))).select("tree", "leaf", "rank", (-F.col("distance")).alias("pos"), F.concat(F.lit(TURN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("trained"))
     held = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", "trained"))).alias("turns"))
     formatted = F.concat(F.lit(OPEN), F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), ""), F.lit(CLOSE))
     start = F.struct(F.lit(len(OPEN)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))

@@ -49,8 +49,8 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)], given.schema)
     nodes = chat.Scratch(spark, "chat").table("nodes", chat.conversation_nodes(given.unionByName(extra)))
-    best = chat.best_paths(chat.reply_paths(nodes, tree_col="tree", node_col="node", parent_col="parent"))
-    out = chat.format_paths(best, nodes, tree_col="tree", node_col="node")
+    steps = chat.reply_paths(nodes, tree_col="tree", node_col="node", parent_col="parent")
+    out = chat.format_paths(chat.best_paths(steps), steps, nodes, tree_col="tree", node_col="node")
     out = out.select(F.col("tree").alias("conv_id"), "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
