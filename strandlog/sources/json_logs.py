@@ -58,7 +58,7 @@ def entries_from_lines(lines: DataFrame, now_nanos: int, column: str = "value")
         .when(F.col("e.message").isNull(), "no message")
         .when(ts.isNull(), "bad timestamp")
         .when(~labels_valid(labels), "bad label")
-        .when((F.col("e.sequence") < 0) | (F.col("e.sequence") >= 1 << 63), "bad sequence")
+        .when((F.col("e.sequence") < 0) | (F.col("e.sequence") > (1 << 63) - 1), "bad sequence")
     )
     return parsed.select(ts.alias("ts_nanos"), labels.alias("labels"), label_key(labels).alias("label_key"), F.coalesce(F.col("e.sequence").cast("long"), F.lit(0)).alias("sequence"), F.col("e.message").alias("message"), error.alias("error"))
 

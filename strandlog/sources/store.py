@@ -10,6 +10,7 @@ from dataclasses import asdict, dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.labels import check_labels, labels_valid, python_label_key
 from ..model import Conflict, CorruptStore, InvalidEntry, KV_SCHEMA, LOG_ORDER, LOG_SCHEMA, Options
@@ -151,9 +152,8 @@ class Store:
     def _read(self, kind: str, paths: list[str]) -> DataFrame:
         schema = KV_SCHEMA
         if kind == "log":
-            schema = LOG_SCHEMA.add("version", "long") if "version" not in LOG_SCHEMA.names else LOG_SCHEMA
-            for name in self.options.promoted_labels:
-                schema = type(schema)([*schema.fields]).add(f"label_{name}", "string")
+            own = [T.StructField("version", T.LongType()), *[T.StructField(f"label_{name}", T.StringType()) for name in self.options.promoted_labels]]
+            schema = T.StructType([*LOG_SCHEMA.fields, *own])
         if not paths:
             return self.spark.createDataFrame([], schema)
         return self.spark.read.schema(schema).parquet(*[self._data(p) for p in paths])
