@@ -13,7 +13,8 @@ from ..model import DuplicateLabel, InvalidLabel
 ESCAPES = (("%", "%25"), ("|", "%7C"), ("=", "%3D"))
 
 
-def _escaped(part: Column) -> Column:
+def escaped(part: Column) -> Column:
+    """A label's name or value as it stands in the canonical text."""
     for plain, code in ESCAPES:
         part = F.replace(part, F.lit(plain), F.lit(code))
     return part
@@ -28,7 +29,7 @@ def _plain(part: Column) -> Column:
 def label_key(labels: Column) -> Column:
     """name=value pairs sorted by name, escaped and joined by |; the same for any order of the labels."""
     pairs = F.array_sort(F.map_entries(labels))
-    return F.array_join(F.transform(pairs, lambda p: F.concat(_escaped(p["key"]), F.lit("="), _escaped(p["value"]))), "|")
+    return F.array_join(F.transform(pairs, lambda p: F.concat(escaped(p["key"]), F.lit("="), escaped(p["value"]))), "|")
 
 
 def label_map(key: Column) -> Column:

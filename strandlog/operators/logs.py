@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import has_labels, label_key
+from ..functions.labels import escaped, has_labels, python_label_key
 from ..functions.matcher import contains_pattern, matches
 from ..model import DEFAULT_LIMIT, InvalidTimeRange, LOG_ORDER, MAX_LIMIT, InvalidQuery
 from ..plans.querylang import LogQuery, parse_query
@@ -15,8 +15,8 @@ def logs_view(df: DataFrame, *, ts_nanos: Column, sequence: Column, message: Col
     """Any table as log entries; each label is also a column of its own (label_<name>), so filters on it reach the scan."""
     pairs = [x for name, c in sorted(labels.items()) for x in (F.lit(name), c)]
     found = F.map_filter(F.create_map(*pairs), lambda _, v: v.isNotNull())
-    rows = df.select(ts_nanos.alias("ts_nanos"), found.alias("labels"), sequence.alias("sequence"), message.alias("message"), *[c.alias(f"label_{n}") for n, c in sorted(labels.items())])
-    return rows.withColumn("label_key", label_key(F.col("labels")))
+    key = F.concat_ws("|", *[F.concat(F.lit(python_label_key({n: ""})), escaped(c)) for n, c in sorted(labels.items())])  # names are known, so no map has to be sorted
+    return df.select(ts_nanos.alias("ts_nanos"), found.alias("labels"), sequence.alias("sequence"), message.alias("message"), key.alias("label_key"), *[c.alias(f"label_{n}") for n, c in sorted(labels.items())])
 
 
 def promoted(logs: DataFrame) -> dict[str, Column]:
