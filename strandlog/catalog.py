@@ -30,7 +30,7 @@ def _query(name: str, sql: str):
 
 def _nanos(ts: str = "ts") -> Column:
     """Nanoseconds of a timestamp without time zone, whatever the session's zone is."""
-    return F.expr(f"timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', CAST({ts} AS TIMESTAMP_NTZ)) * 1000")
+    return F.expr(f"unix_micros(TIMESTAMP'1970-01-01 00:00:00Z' + (CAST({ts} AS TIMESTAMP_NTZ) - TIMESTAMP_NTZ'1970-01-01 00:00:00')) * 1000")
 
 
 def events(spark: SparkSession, d: str, start: int | None = None, end: int | None = None) -> DataFrame:
