@@ -48,7 +48,8 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     found = spread_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
     cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))).alias("k")).where("k is not null")
     held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb"))).select("id", "k").groupBy(F.col("id").alias("__id")).agg(F.collect_set("k").alias("__spread"))
-    joined = docs.join(scratch.table("held", held), docs[id_col].eqNullSafe(F.col("__id")), "left")
+    # a merge join at every size: what it moves follows the input, and what it needs doesn't grow with the spread lines
+    joined = docs.join(scratch.table("held", held).hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
     flagged = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("__spread", line_key(x)), F.lit(False)).alias("spread")))
     size = lambda only: F.aggregate("__lines", F.lit(0), lambda n, x: n + F.when(only(x), F.length(F.trim(x.line))).otherwise(0))
     keep = F.array_join(F.transform(F.filter("__lines", lambda x: ~x.spread), lambda x: x.line), "\n")
