@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 
 import numpy as np
@@ -52,8 +53,10 @@ class Scratch:
 
     def release(self) -> None:
         """Lets Spark's cleaner delete the shuffle files of what is written by now; it acts on what the JVM has collected."""
-        gc.collect()
-        self.spark.sparkContext._jvm.System.gc()
+        for _ in range(2):  # the second time for what the first has only queued
+            gc.collect()
+            self.spark.sparkContext._jvm.System.gc()
+            time.sleep(0.5)
 
     def drop(self, *names: str) -> None:
         for name in names:

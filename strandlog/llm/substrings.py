@@ -12,8 +12,8 @@ from pyspark.sql import functions as F
 from .shared import Rolling, Scratch, mixed, slices, text_bytes
 
 _GRAM, _SPAN = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
-_RANKED = "gram long, span long, doc long, sub int, start long, stop long, done boolean"
-_NAMES = ["gram", "span", "doc", "sub", "start", "stop", "done"]
+_RANKED = "gram long, span long, doc long, sub int, start long, windows int, done boolean"
+_NAMES = ["gram", "span", "doc", "sub", "start", "windows", "done"]
 
 
 def anchors(raw: np.ndarray, offsets: np.ndarray, size: int, gram: int):
@@ -69,7 +69,7 @@ def _rows(size: int, part: pa.RecordBatch, text, gram, span, start, count, offse
     own = mixed(np.stack([doc[lead], sub[lead], start[lead]]).astype(np.int64).view(np.uint64).T @ np.array([3, 5, 7], np.uint64)) if len(lead) else np.zeros(0, np.uint64)
     values = (
         np.concatenate([gram[rest], own]).view(np.int64), np.concatenate([span[rest], own]).view(np.int64), np.concatenate([doc[rest], doc[lead]]), np.concatenate([sub[rest], sub[lead]]).astype(np.int32),
-        np.concatenate([start[rest], start[lead]]), np.concatenate([start[rest] + count[rest] + size - 1, stop]), np.concatenate([np.zeros(len(rest), bool), np.ones(len(lead), bool)]),
+        np.concatenate([start[rest], start[lead]]), np.concatenate([count[rest], stop - start[lead] - size + 1]).astype(np.int32), np.concatenate([np.zeros(len(rest), bool), np.ones(len(lead), bool)]),
     )
     return pa.RecordBatch.from_arrays([pa.array(v) for v in values], names=_NAMES)
 
@@ -99,7 +99,8 @@ def _next_round(size: int):
                 raw, offsets = text_bytes(part.column(2))
                 lists = part.column(3)
                 flat = lists.flatten()
-                start, stop = (flat.field(k).to_numpy() for k in (0, 1))
+                start, many = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
+                stop = start + many + size - 1
                 owner = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
                 fits = stop <= np.diff(offsets)[owner]
                 start, stop, owner = start[fits], stop[fits], owner[fits]
@@ -126,7 +127,7 @@ def _ranked(rows: DataFrame) -> DataFrame:
     same_gram, same_pair = Window.partitionBy("gram"), Window.partitionBy("gram", "span").orderBy("doc", "sub", "start")
     sorted_rows = rows.repartition("gram").sortWithinPartitions(*order)
     ranked = sorted_rows.withColumn("open", F.min("span").over(same_gram) != F.max("span").over(same_gram)).withColumn("nth", F.row_number().over(same_pair))
-    return ranked.where("done or nth > 1 or open").select("doc", "sub", "start", "stop", (~F.col("done") & (F.col("nth") == 1)).alias("open"))
+    return ranked.where("done or nth > 1 or open").select("doc", "sub", "start", "windows", (~F.col("done") & (F.col("nth") == 1)).alias("open"))
 
 
 _KEPT = "doc long, sub int, n_bytes long, spans array<struct<start:long,stop:long>>, kept binary"
@@ -175,13 +176,13 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         rows = scratch.table("rows", rows.withColumn("sub", F.row_number().over(Window.partitionBy("doc").orderBy("text"))))
     first = scratch.table("first", _ranked(rows.mapInArrow(_first_round(size, gram), _RANKED)))
     scratch.release()
-    runs = first.where("open").groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("start", "stop")).alias("runs"))
+    runs = first.where("open").groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     of_row = (F.col("doc") == F.col("d")) & (F.col("sub") == F.col("s"))
     still = rows.join(runs, of_row).select("doc", "sub", "text", "runs")
     second = scratch.table("second", _ranked(still.mapInArrow(_next_round(size), _RANKED)).where("not open"))
     scratch.release()
     gone = first.where("not open").unionByName(second)
-    packed = (F.shiftleft("start", 31) + (F.col("stop") - F.col("start"))).alias("x")
+    packed = (F.shiftleft("start", 31) + F.col("windows") + (size - 1)).alias("x")
     found = gone.select("doc", "sub", packed).groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list("x").alias("x"))
     cut = rows.join(found, of_row, "left").select("doc", "sub", "text", "x").mapInArrow(_cut_out, _KEPT)
     return cut.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("id"), "n_bytes", "spans", "kept")
