@@ -62,9 +62,12 @@ class LanguageModel:
 
     def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Class and probability of each text."""
+        return _softmax(self.logits(raw, offsets) / self.temperature)
+
+    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
         n = len(offsets) - 1
         if not n:
-            return np.zeros(0, np.int64), np.zeros(0)
+            return np.zeros((0, len(self.languages)))
         grams, counts, start = subwords(raw, offsets, self.scores.shape[1])
         total = np.zeros((n, len(self.languages)))
         for o, g in enumerate(grams):
@@ -72,11 +75,11 @@ class LanguageModel:
             own[~counts] = 0
             total += np.add.reduceat(own, start, axis=0)
         mean = total / np.maximum(1, len(ORDERS) * np.add.reduceat(counts.astype(np.int64), start))[:, None]
-        return _softmax((mean + self.bias) / self.temperature)
+        return mean + self.bias
 
 
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    p = np.exp(z - z.max(1, keepdims=True))
+    p = np.exp(z - z.max(1, keepdims=True, initial=-np.inf))
     best = p.argmax(1)
     return best, p[np.arange(len(p)), best] / p.sum(1)
 
@@ -106,7 +109,8 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
     offsets = np.append(0, np.cumsum([len(x) for x in examples]))
     grams, counts, start = subwords(np.frombuffer(b"".join(examples), np.uint8), offsets, buckets)
     stop = np.append(start[1:], len(counts))
-    index = np.stack([g.astype(np.int64) + o * buckets for o, g in enumerate(grams)])
+    index = np.stack([g.view(np.int32) + o * buckets for o, g in enumerate(grams)])
+    del grams, examples
     embed = rng.normal(0, 1 / dim, (len(ORDERS) * buckets, dim)).astype(np.float32)
     weight, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
     weight += rng.normal(0, 0.1, weight.shape).astype(np.float32)
@@ -119,7 +123,7 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
                 rows, which, size = rows[size > 0], [w for w in which if len(w)], size[size > 0]
             if not len(rows):
                 continue
-            flat = index[:, np.concatenate(which)]
+            flat = index[:, np.concatenate(which)].astype(np.int64)
             owner = np.repeat(np.arange(len(rows)), size)
             first = np.cumsum(size) - size
             mean = sum(np.add.reduceat(embed[f], first, axis=0) for f in flat) / (len(ORDERS) * size)[:, None]
@@ -140,12 +144,13 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
             done += 1
     model = LanguageModel(languages, (embed @ weight).reshape(len(ORDERS), buckets, -1), bias, 1.0, 0.0)
     if len(held):
-        data = [texts[i].encode() for i in held]
-        raw, off = np.frombuffer(b"".join(data), np.uint8), np.append(0, np.cumsum([len(x) for x in data]))
+        del index, counts
+        column = pa.array([texts[i] for i in held], pa.string())
+        batch = pa.RecordBatch.from_arrays([column], names=["text"])
+        logits = np.concatenate([model.logits(*text_bytes(part.column(0))) for part in slices(batch, "text", 1 << 20)])
         best = None
         for t in np.geomspace(0.05, 8, 24):
-            model.temperature = t
-            c, s = model.predict(raw, off)
+            c, s = _softmax(logits / t)
             right = c == y_all[held]
             loss = -np.log(np.clip(np.where(right, s, (1 - s) / max(1, len(languages) - 1)), 1e-9, 1)).mean()
             if best is None or loss < best[0]:
