@@ -5,6 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -12,7 +13,9 @@ from .components import connected_components
 from .shared import Scratch, mixed, slices, text_bytes
 from .words import UNSPACED, Words
 
-_META = "id long, n long, h1 long, h2 long"
+_META = "id long, n long, h1 long, h2 long, near0 binary, near1 binary"
+_SIGNED = "sig long, id long, n int, shift byte"
+_SHARED = _SIGNED + ", other long, other_n int, other_shift byte"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 
 
@@ -47,15 +50,15 @@ class Levels:
         return np.searchsorted(self.starts, n, "right") - 1
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray]:
-    """(text, signature) rows such that any two similar sets have one in common.
+def signatures(hashes: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, signature, levels below the text's own) rows such that any two similar sets have one in common.
 
     At a level, the shingles are dealt to more buckets by their hash than two similar sets can have differences, so one
     bucket at least is the same in both; its content is the signature. Empty buckets are the same for all and are left
     out, unless a set has so many of them that what is left wouldn't do.
     """
     n = np.diff(offsets)
-    texts, sums = [], []
+    texts, sums, shifts = [], [], []
     own = mixed(hashes ^ _SALT)
     doc = np.repeat(np.arange(len(n)), n)
     for shift in (0, 1):
@@ -76,7 +79,21 @@ def signatures(hashes: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple
         key = mixed(low[keep] + (high[keep] << np.uint64(32))) + (keep - base[owner[keep]]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + level[owner[keep]].astype(np.uint64)
         texts.append(owner[keep])
         sums.append(mixed(key))
-    return np.concatenate(texts), np.concatenate(sums)
+        shifts.append(np.full(len(keep), shift))
+    return np.concatenate(texts), np.concatenate(sums), np.concatenate(shifts)
+
+
+def histograms(hashes: np.ndarray, offsets: np.ndarray, levels: Levels, shift: int) -> list[bytes]:
+    """Each set's elements counted in cells by hash, about four a cell at its level: two sets differ in at least as many
+    elements as the counts of their cells do together. Counts stop at 255, which only lowers that bound."""
+    n = np.diff(offsets)
+    level = np.maximum(levels.of(n) - shift, 0)
+    cells = np.clip(levels.starts[level] // 4, 16, 1024)
+    base = np.append(0, np.cumsum(cells))
+    doc = np.repeat(np.arange(len(n)), n)
+    slot = base[doc] + (mixed(hashes + _SALT) % cells[doc].astype(np.uint64)).astype(np.int64)
+    counts = np.minimum(np.bincount(slot, minlength=int(base[-1])), 255).astype(np.uint8).tobytes()
+    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -87,166 +104,311 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return both[:, 0], both[:, 1]
 
 
-def _cut(batch: pa.RecordBatch):
-    return slices(batch, "text", 8 << 20)
-
-
-def _meta(size: int):
+def _meta(size: int, percent: int):
     def run(batches):
+        levels = Levels(percent)
         for batch in batches:
-            for part in _cut(batch):
+            for part in slices(batch, "text"):
                 hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
                 padded = np.append(hashes, np.uint64(0))
                 sums = [np.where(np.diff(offsets) > 0, np.add.reduceat(mixed(padded ^ salt), offsets[:-1]), np.uint64(0)).astype(np.uint64).view(np.int64) for salt in (np.uint64(0), _SALT)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), *map(pa.array, sums)], names=["id", "n", "h1", "h2"])
+                near = [pa.array(histograms(hashes, offsets, levels, shift), pa.binary()) for shift in (0, 1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), *map(pa.array, sums), *near], names=["id", "n", "h1", "h2", "near0", "near1"])
 
     return run
 
 
 def _signed(size: int, percent: int):
-    """Rows (sig, id) with one id for each signature of a slice, and rows (-, id, other) for what shares it there."""
+    """Signature rows; of equal sets in a slice only the one of the smallest id has any."""
 
     def run(batches):
         levels = Levels(percent)
         for batch in batches:
-            for part in _cut(batch):
-                ids = part.column(0)
-                known = np.asarray(ids.is_valid())
-                ids = ids.fill_null(0).to_numpy()
-                text, sig = signatures(*shingle_sets(*text_bytes(part.column(1)), size), levels)
-                text, sig = text[known[text]], sig[known[text]]
-                sums, first, inverse = np.unique(sig, return_index=True, return_inverse=True)
-                lead = ids[text[first]]
-                a, b = _pairs(ids[text], lead[inverse])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([sums.view(np.int64), a])), pa.array(np.concatenate([lead, b])), pa.array(np.arange(len(sums) + len(a)) >= len(sums))], names=["sig", "id", "edge"])
+            for part in slices(batch, "text"):
+                hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
+                n, ids = np.diff(offsets), part.column(0).fill_null(0).to_numpy()
+                total = np.where(n > 0, np.add.reduceat(mixed(np.append(hashes, np.uint64(0)) ^ _SALT), offsets[:-1]), np.uint64(0))
+                order = np.lexsort((ids, n, total))
+                chosen = np.asarray(part.column(0).is_valid()).copy()
+                again = order[1:][(total[order][1:] == total[order][:-1]) & (n[order][1:] == n[order][:-1]) & chosen[order][:-1]]
+                chosen[again] = False
+                text, sig, shift = signatures(hashes, offsets, levels)
+                keep = chosen[text]
+                text = text[keep]
+                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(shift[keep].astype(np.int8))], names=["sig", "id", "n", "shift"])
 
     return run
 
 
-def _chained(batches):
-    """Links of rows sorted by signature to the row before; rows that are links already pass."""
-    last_sig = last_id = None
-    for batch in batches:
-        sig, ids, edge = (batch.column(i).to_numpy(zero_copy_only=False) for i in range(3))
-        a, b = sig[edge], ids[edge]
-        sig, ids = sig[~edge], ids[~edge]
-        if len(sig):
-            same = np.flatnonzero(sig[1:] == sig[:-1])
-            a, b = np.concatenate([a, ids[same]]), np.concatenate([b, ids[same + 1]])
-            if last_sig is not None and last_sig == sig[0]:
-                a, b = np.append(a, last_id), np.append(b, ids[0])
-            last_sig, last_id = sig[-1], ids[-1]
-        if len(a):
-            a, b = _pairs(a, b)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+def _shared(few: int):
+    """Of rows sorted by signature, those whose signature others have too: groups of few rows as pairs, larger ones as they are."""
 
+    def pairs(group, size):
+        """Pairs of the rows of groups of one size, given as (groups, size) positions."""
+        i, j = np.triu_indices(size, 1)
+        return group[:, i].ravel(), group[:, j].ravel()
 
-class PrefixTree:
-    """Sets in a global order as a prefix tree: sorted paths with the depth each shares with the one before."""
-
-    def __init__(self, sets: list[np.ndarray]):
-        """sets: ranks in ascending order; low ranks are the commonest, so that similar sets share long paths."""
-        self.order = sorted(range(len(sets)), key=lambda i: sets[i].tolist())
-        self.sets = sets
-        self.shared = [0]
-        for p, q in zip(self.order, self.order[1:]):
-            x, y = sets[p], sets[q]
-            m = min(len(x), len(y))
-            differ = np.flatnonzero(x[:m] != y[:m])
-            self.shared.append(int(differ[0]) if len(differ) else m)
+    def run(batches):
+        held, large = None, None  # rows of a signature that may go on; a signature already known to be large
+        for batch in batches:
+            cols = [batch.column(k).to_numpy() for k in range(4)]
+            if held is not None:
+                cols = [np.concatenate(x) for x in zip(held, cols)]
+            sig = cols[0]
+            if not len(sig):
+                continue
+            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
+            size = np.diff(np.append(new, len(sig)))
+            big = (size > few) | (sig[new] == large if large is not None else False)
+            goes_on = np.zeros(len(new), bool)
+            goes_on[-1] = not big[-1]
+            large = sig[-1] if big[-1] else None
+            held = [x[new[-1] :] for x in cols] if goes_on[-1] else None
+            yield from emit(cols, new, size, big, ~goes_on)
+        if held is not None:
+            yield from emit(held, np.array([0]), np.array([len(held[0])]), np.array([False]), np.array([True]))
+
+    def emit(cols, new, size, big, done):
+        sig, ids, n, shift = cols
+        rows = np.repeat(big, size)
+        first, second = [], []
+        for s in range(2, few + 1):
+            start = new[(size == s) & ~big & done]
+            if len(start):
+                x, y = pairs(start[:, None] + np.arange(s), s)
+                first.append(x)
+                second.append(y)
+        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second))
+        table = pd.DataFrame({"id": ids[x], "n": n[x], "other": ids[y], "other_n": n[y], "shift": shift[x], "other_shift": shift[y]})
+        table = table[table.id != table.other].drop_duplicates()
+        if rows.any() or len(table):
+            k = int(rows.sum())
+            none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int8())
+            fixed = [pa.array(np.append(sig[rows], np.zeros(len(table), np.int64))), pa.array(np.append(ids[rows], table.id.to_numpy())), pa.array(np.append(n[rows], table.n.to_numpy()).astype(np.int32)), pa.array(np.append(shift[rows], table["shift"].to_numpy()).astype(np.int8))]
+            other = [pa.concat_arrays([none[0], pa.array(table.other.to_numpy(np.int64))]), pa.concat_arrays([none[1], pa.array(table.other_n.to_numpy(np.int32))]), pa.concat_arrays([none[2], pa.array(table.other_shift.to_numpy(np.int8))])]
+            yield pa.RecordBatch.from_arrays([*fixed, *other], names=["sig", "id", "n", "shift", "other", "other_n", "other_shift"])
+
+    return run
 
-    def similar(self, probe: int, inside: np.ndarray, wanted, percent: int):
-        """Sets similar to sets[probe] among those that wanted(i) asks for.
 
-        inside marks the probe's ranks. The overlap of a path's shared part is kept from the path before; a path, and
-        with it those that share its failing part, is left as soon as what remains can't reach the overlap needed.
-        """
-        n = len(self.sets[probe])
-        along = np.zeros(1, np.int64)  # overlap at each depth of the current path, as far as it is worked out
-        for i, shared in zip(self.order, self.shared):
-            along = along[: shared + 1]
-            if i == probe or not wanted(i):
+def _close_pairs(percent: int):
+    """Of pairs (id, n, near, other, other_n, other_near), those whose histograms are near enough for a link."""
+
+    def run(batches):
+        for batch in batches:
+            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).astype(np.int16) for k in (2, 5))
+            if not len(x):
                 continue
-            path = self.sets[i]
-            m = len(path)
-            need = -(-percent * (n + m) // (100 + percent))
-            if need > min(n, m):
-                continue  # too different in size
-            depth = len(along) - 1
-            if along[depth] + min(n - along[depth], m - depth) < need:
+            size = pc.binary_length(batch.column(2)).to_numpy()
+            apart = np.add.reduceat(np.abs(x - y).astype(np.int64), np.cumsum(size) - size)
+            n, other = batch.column(1).to_numpy(), batch.column(4).to_numpy()
+            keep = apart <= (n.astype(np.int64) + other) * (100 - percent) // (100 + percent)
+            yield _batch(batch.column(0).to_numpy()[keep], batch.column(3).to_numpy()[keep])
+
+    return run
+
+
+def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1, dtype=np.int64)
+
+
+def close(n: np.ndarray, near: np.ndarray, percent: int) -> np.ndarray:
+    """Groups of sets of one signature: the first of each set's group. Sets whose histograms are too far apart for a link
+    are in one group only if others join them."""
+    group = np.full(len(n), -1)
+    left = np.arange(len(n))
+    while len(left):
+        first, waiting, left = left[0], [left[0]], left[1:]
+        group[first] = first
+        while waiting and len(left):
+            x = waiting.pop()
+            found = _differ(near[left], near[x]) <= (n[left] + n[x]) * (100 - percent) // (100 + percent)
+            group[left[found]] = first
+            waiting += left[found].tolist()
+            left = left[~found]
+    return group
+
+
+def _linkable(percent: int):
+    """Links of rows (sig, id, n, near) sorted by signature and id: each row to the first of its group."""
+
+    def links(parts):
+        rows = pa.Table.from_batches(parts)
+        ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
+        near = np.frombuffer(b"".join(rows.column("near").to_pylist()), np.uint8).reshape(len(n), -1)
+        return ids, ids[close(n, near, percent)]
+
+    def run(batches):
+        now, parts = None, []
+        for batch in batches:
+            keys = batch.column(0).to_numpy()
+            if not len(keys):
                 continue
-            while depth < m:  # a stretch at a time, as long as the rest can still reach the need
-                stop = min(m, depth + max(32, m - need + 1))
-                along = np.concatenate([along, along[depth] + np.cumsum(inside[path[depth:stop]])])
-                depth = stop
-                if along[depth] + min(n - along[depth], m - depth) < need:
-                    break
-            if depth == m and along[m] >= need:
-                yield i
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
+            out = []
+            for at, end in zip(edges, edges[1:]):
+                if keys[at] != now and parts:
+                    out.append(links(parts))
+                    parts = []
+                now = keys[at]
+                parts.append(batch.slice(at, end - at))
+            if out:
+                yield _batch(*_pairs(*(np.concatenate(x) for x in zip(*out))))
+        if parts:
+            yield _batch(*_pairs(*links(parts)))
+
+    return run
+
+
+def _batch(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
+
+
+class PrefixTree:
+    """Sets in one global order as a prefix tree, an unbranched stretch of at most `stretch` ranks a node, level by level."""
+
+    def __init__(self, sets: list[np.ndarray], stretch: int = 32):
+        """sets: ranks in ascending order; low ranks are the rarest, where sets that aren't similar differ first."""
+        n = len(sets)
+        self.order = np.array(sorted(range(n), key=lambda i: sets[i].astype(">i4").tobytes()), np.int64)
+        size = np.array([len(sets[i]) for i in self.order], np.int64)
+        shared = np.zeros(n + 1, np.int64)  # depth that a path has in common with the one before
+        for k in range(1, n):
+            x, y = sets[self.order[k - 1]], sets[self.order[k]]
+            m = min(len(x), len(y))
+            differ = np.flatnonzero(x[:m] != y[:m])
+            shared[k] = differ[0] if len(differ) else m
+        spans, open_ = [(k, k + 1, int(size[k])) for k in range(n)], []
+        for k in range(1, n + 1):  # where paths branch: the widest runs of paths that share a depth
+            depth, left = int(shared[k]) if k < n else -1, k - 1
+            while open_ and open_[-1][0] > depth:
+                own, left = open_.pop()
+                spans.append((left, k, own))
+            if depth >= 0 and (not open_ or open_[-1][0] < depth):
+                open_.append((depth, left))
+        pieces = [(a, b, d) for a, b, end in spans for d in [*range(int(max(shared[a], shared[b])) + stretch, end, stretch), end]]
+        nodes = sorted(pieces, key=lambda s: (s[0], -s[1], s[2]))
+        level, parent, path = [], [], []
+        for i, (left, right, _) in enumerate(nodes):
+            while path and nodes[path[-1]][1] < right or path and nodes[path[-1]][1] <= left:
+                path.pop()
+            parent.append(path[-1] if path else -1)
+            level.append(level[path[-1]] + 1 if path else 0)
+            path.append(i)
+        by_level = np.argsort(level, kind="stable")
+        place = np.empty(len(nodes) + 1, np.int64)
+        place[by_level], place[-1] = np.arange(len(nodes)), len(nodes)
+        table = np.array(nodes, np.int64)[by_level]
+        self.left, self.right, self.depth = table.T
+        self.parent = place[np.array(parent, np.int64)[by_level]]
+        begin = np.append(self.depth, 0)[self.parent]
+        self.cut = np.append(0, np.cumsum(self.depth - begin))
+        self.flat = np.concatenate([sets[self.order[k]][b:e] for k, b, e in zip(self.left.tolist(), begin.tolist(), self.depth.tolist())])
+        self.small, self.large = np.minimum.reduceat(np.append(size, 0), np.stack([self.left, self.right], 1).ravel())[::2], np.maximum.reduceat(np.append(size, 0), np.stack([self.left, self.right], 1).ravel())[::2]
+        self.levels = np.append(np.flatnonzero(np.diff(np.array(level)[by_level], prepend=-1)), len(nodes)).tolist()
+        self.leaves = np.flatnonzero((self.right - self.left == 1) & (self.depth == size[self.left]))
+
+    def similar(self, n: int, inside: np.ndarray, wanted: np.ndarray, percent: int) -> np.ndarray:
+        """Wanted sets that are similar to a set of n elements, whose ranks `inside` marks.
+
+        The overlap of a stretch is counted once for all paths through it. A node, and with it all below, is left as soon
+        as no wanted set is below, or what remains of the longest path can't reach the overlap that the shortest needs.
+        """
+        below = np.append(0, np.cumsum(wanted[self.order]))
+        need = -(-percent * (n + self.small) // (100 + percent))
+        live = np.append((below[self.right] > below[self.left]) & (need <= np.minimum(n, self.large)), True)
+        overlap = np.zeros(len(live), np.int64)
+        for a, b in zip(self.levels, self.levels[1:]):
+            on = a + np.flatnonzero(live[a:b] & live[self.parent[a:b]])
+            live[a:b] = False
+            if not len(on):
+                break
+            size = self.cut[on + 1] - self.cut[on]
+            at = np.repeat(self.cut[on] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+            counts = np.append(0, np.cumsum(inside[self.flat[at]]))
+            ends = np.cumsum(size)
+            own = overlap[self.parent[on]] + counts[ends] - counts[ends - size]
+            overlap[on] = own
+            live[on] = own + np.minimum(n - own, self.large[on] - self.depth[on]) >= need[on]
+        found = self.leaves[live[self.leaves]]
+        sets = self.order[self.left[found[overlap[found] >= need[found]]]]
+        return sets[wanted[sets]]
 
 
 def linked(ids: list[int], side: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """A spanning forest of the links among sets (of different sides, if there are two)."""
+    """Groups that the links among sets (of different sides, if there are two) make, as pairs (smallest id, id).
+
+    Each two sets are compared once at most, and not at all once they are in one group.
+    """
     n = len(ids)
     if n < 2:
         return []
     codes, _ = pd.factorize(hashes)
     counts = np.bincount(codes)
     rank = np.empty(len(counts), np.int64)
-    rank[np.lexsort((np.arange(len(counts)), -counts))] = np.arange(len(counts))
-    ranks = rank[codes]
+    rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+    ranks = rank[codes].astype(np.int32)
     sets = [np.sort(ranks[offsets[i] : offsets[i + 1]]) for i in range(n)]
     tree, inside = PrefixTree(sets), np.zeros(len(counts), np.int64)
-    root, out = list(range(n)), []
-    two = len(set(side.tolist())) > 1
-
-    def top(i):
-        while root[i] != i:
-            root[i] = root[root[i]]
-            i = root[i]
-        return i
-
-    left = n
-    for x in np.argsort([len(s) for s in sets], kind="stable").tolist():
-        if left == 1:
-            break
+    group, size = np.arange(n), np.array([len(s) for s in sets])
+    two = len(np.unique(side)) > 1
+    turns = np.lexsort((np.arange(n), size))
+    left = size > 0  # not yet had their turn
+    for x in turns.tolist():
+        left[x] = False
+        wanted = left & (group != group[x])
+        if two:
+            wanted &= side != side[x]
+        if not size[x] or not wanted.any():
+            continue
         inside[sets[x]] = 1
-        for y in tree.similar(x, inside, lambda i: len(sets[i]) > 0 and (not two or side[i] != side[x]) and top(i) != top(x), percent):
-            root[top(y)] = top(x)
-            out.append((ids[x], ids[y]))
-            left -= 1
+        found = tree.similar(int(size[x]), inside, wanted, percent)
         inside[sets[x]] = 0
-    return out
+        if len(found):
+            joined = np.unique(np.append(group[found], group[x]))
+            group[np.isin(group, joined)] = joined[0]
+    names = np.array(ids)
+    order = np.lexsort((names, group))
+    new = np.ones(n, bool)
+    new[1:] = group[order][1:] != group[order][:-1]
+    lead = names[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
+    return [(a, b) for a, b in zip(lead.tolist(), names[order].tolist()) if a != b]
 
 
 def _verified(size: int, percent: int):
-    """Links of each block of rows, which come sorted by block."""
+    """Links of each block of rows, which come sorted by block; a block's texts become sets a slice at a time."""
 
-    def links(rows):
-        raw, offsets = text_bytes(pa.array([r[2] for r in rows], pa.large_string()))
-        hashes, at = shingle_sets(raw, offsets, size)
-        return linked([r[1] for r in rows], np.array([r[0] for r in rows]), hashes, at, percent)
+    def links(parts):
+        rows = pa.Table.from_batches(parts)
+        sets = [shingle_sets(*text_bytes(cut.column(3)), size) for part in parts for cut in slices(part, "text")]
+        hashes = np.concatenate([h for h, _ in sets])
+        offsets = np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in sets])))
+        out = linked(rows.column("id").to_pylist(), rows.column("chunk").to_numpy(), hashes, offsets, percent)
+        return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])] if out else []
 
     def run(batches):
-        now, rows = None, []
+        now, parts = None, []
         for batch in batches:
-            for block, side, i, text in zip(*(c.to_pylist() for c in batch.columns)):
-                if block != now:
-                    if out := links(rows):
-                        yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], names=["src", "dst"])
-                    now, rows = block, []
-                rows.append((side, i, text))
-        if out := links(rows):
-            yield pa.RecordBatch.from_arrays([pa.array([a for a, _ in out]), pa.array([b for _, b in out])], names=["src", "dst"])
+            keys = batch.column(0).to_numpy(zero_copy_only=False)
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for at, end in zip(edges, edges[1:]):
+                if keys[at] != now and parts:
+                    yield from links(parts)
+                    parts = []
+                now = keys[at]
+                parts.append(batch.slice(at, end - at))
+        if parts:
+            yield from links(parts)
 
     return run
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 20) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 19, few: int = 24) -> DataFrame:
     """Groups documents whose sets of word shingles link: 100 * intersection >= percent * union. (id, n_shingles, component)
 
     Equal sets are one class, found by a hash of the set. Candidates share a signature (see `signatures`: no link
-    can be missed); those that share one are chained, not paired, and components of the chains are blocks. A block's
+    can be missed) and have histograms near enough for a link (see `histograms`: a bound, not a guess); they are linked to the
+    first of their group (groups of up to `few` are tried pair by pair), and components of these links are blocks. A block's
     sets form a prefix tree in one global order, whose traversal shares overlaps along common paths and leaves a path
     by the bound on what remains; sets that are in one group already are not compared. Blocks of more than
     block_shingles are cut into chunks, and every two chunks meet in a task of their own, so no group has to fit in one. component is
@@ -258,13 +420,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    meta = scratch.table("meta", rows.mapInArrow(_meta(shingle), _META))
+    meta = scratch.table("meta", rows.mapInArrow(_meta(shingle, percent), _META))
     known = meta.where("n > 0 and id is not null")
     classes = scratch.table("classes", known.groupBy(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("c3")).agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
     of_class = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("c3"))
-    signed = rows.mapInArrow(_signed(shingle, percent), "sig long, id long, edge boolean")
-    dealt = signed.repartition(F.when(F.col("edge"), F.xxhash64("sig", "id")).otherwise(F.col("sig"))).sortWithinPartitions("edge", "sig", "id")
-    near = scratch.table("near", dealt.mapInArrow(_chained, "src long, dst long").distinct())
+    signed = rows.mapInArrow(_signed(shingle, percent), _SIGNED).repartition("sig").sortWithinPartitions("sig", "id")
+    repeated = known.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
+    copies = known.join(classes.where("copies > 1"), of_class).where("id <> lead").select("id").join(repeated, F.col("id") == F.col("again"), "left_anti")
+    shared = scratch.table("shared", signed.mapInArrow(_shared(few), _SHARED))
+    scratch.release()
+    seen = known.select("id", F.col("n").cast("int").alias("n"), "near0", "near1").join(copies, "id", "left_anti")
+    near_of = lambda shift: F.when(F.col(shift) == 0, F.col("near0")).otherwise(F.col("near1"))
+    pairs = shared.where("other is not null").drop("sig").distinct()
+    pairs = pairs.join(seen, ["id", "n"]).select("id", "n", near_of("shift").alias("near"), F.col("other"), F.col("other_n"), "other_shift")
+    other = seen.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "near0", "near1")
+    pairs = pairs.join(other, ["other", "other_n"]).select("id", "n", "near", "other", "other_n", near_of("other_shift").alias("other_near"))
+    many = shared.where("other is null").join(seen, ["id", "n"]).select("sig", "id", "n", near_of("shift").alias("near")).repartition("sig").sortWithinPartitions("sig", "id")
+    link = "src long, dst long"
+    near = scratch.table("near", pairs.mapInArrow(_close_pairs(percent), link).unionByName(many.mapInArrow(_linkable(percent), link)).distinct())
+    scratch.release()
     blocks = scratch.table("blocks", connected_components(near))
     members = blocks.join(classes, F.col("node") == F.col("lead")).select("node", "component", F.col("c3").alias("n")).groupBy("node", "component").agg(F.max("n").alias("n"))
     sizes = members.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
@@ -274,7 +448,6 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     texts = rows.join(placed.select("node"), F.col("id") == F.col("node"), "left_semi")
     grouped = texts.join(met, F.col("id") == F.col("node")).select("key", "chunk", "id", "text").repartition("key").sortWithinPartitions("key", "id")
     links = scratch.table("links", grouped.mapInArrow(_verified(shingle, percent), "src long, dst long"))
-    repeated = known.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
     bridges = known.join(repeated, F.col("id") == F.col("again"), "left_semi").join(classes, of_class).select(F.col("id").alias("src"), F.col("lead").alias("dst"))
     labels = scratch.table("labels", connected_components(links.unionByName(bridges)).select(F.col("node").alias("l"), F.col("component").alias("c")))
     joined = meta.join(classes.where("copies > 1"), of_class & F.col("id").isNotNull(), "left").withColumn("lead", F.coalesce("lead", "id")).join(labels, F.col("lead") == F.col("l"), "left")
