@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import slices, text_bytes
+from .shared import ship, slices, text_bytes
 from .words import ALPHANUMERIC, Words
 
 
@@ -118,6 +118,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, text_col: str = "tex
     Null texts have no words; null item ids are left out; repeated items and rows stay as they are. Columns named
     like a result are replaced; others stay. An empty benchmark gives no hits, an empty table no rows.
     """
+    ship(docs.sparkSession)
     items = benchmark.where(F.col(item_col).isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col(item_text_col).alias("text"))
     total = items.agg(F.sum(F.octet_length("text")).alias("n")).first().n or 0
     blocks = -(-total // block_bytes)

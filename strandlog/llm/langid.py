@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .shared import slices, text_bytes
+from .shared import ship, slices, text_bytes
 
 ORDERS = (2, 3, 4)
 UNDETERMINED = "und"
@@ -187,6 +187,7 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "t
     model (no labelled rows) every text is. Columns that already have one of the new names are replaced; all others
     stay, whatever they are called. Rows that repeat stay; an empty table gives no rows.
     """
+    ship(docs.sparkSession)
     docs = docs.drop(lang_out, score_out, rejected_out)
     flagged = docs.withColumn(rejected_out, ~has_letter(F.col(text_col)))
     schema = T.StructType([*docs.schema.fields, T.StructField(lang_out, T.StringType()), T.StructField(score_out, T.DoubleType()), T.StructField(rejected_out, T.BooleanType())])

@@ -38,11 +38,35 @@ def _delete(spark: SparkSession, path: str) -> None:
     target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the executors once an application, so that they needn't have it installed."""
+    import os
+    import zipfile
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="strandlog-")), "strandlog_code.zip")
+    with zipfile.ZipFile(path, "w") as out:
+        for folder, _, names in os.walk(package):
+            for name in sorted(names):
+                if name.endswith(".py"):
+                    own = os.path.join(folder, name)
+                    out.write(own, os.path.join(os.path.basename(package), os.path.relpath(own, package)))
+    spark.sparkContext.addPyFile(path)
+    _shipped.add(app)
+
+
 class Scratch:
     """Tables written to the shared folder; they cut the lineage and survive lost executors."""
 
     def __init__(self, spark: SparkSession, tag: str):
         self.spark, self.tag, self.paths = spark, tag, {}
+        ship(spark)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
         """Writes df as zstd Parquet and reads it back with the schema that was written."""

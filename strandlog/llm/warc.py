@@ -12,7 +12,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch
+from .shared import Scratch, ship
 
 #: Fixed values of the seekable Zstandard format: a skippable frame with this magic holds the table, its footer ends with the other.
 SKIPPABLE_MAGIC = 0x184D2A5E
@@ -177,6 +177,7 @@ def read_archive(bundles: DataFrame) -> DataFrame:
 
     One row a record, with the place that lets read_record fetch it alone: frame, and offset and length in that frame.
     """
+    ship(bundles.sparkSession)
     return bundles.select("bundle").mapInArrow(_unpack, "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, " + INDEX.split(", ", 1)[1])
 
 
@@ -201,4 +202,5 @@ def export_archive(bundles: DataFrame, folder: str) -> DataFrame:
                 os.replace(part, f"{folder}/{names[-1]}")
             yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], names=["file", "n_records"])
 
+    ship(bundles.sparkSession)
     return bundles.select("bundle", "n_records").mapInArrow(run, "file string, n_records int")
