@@ -142,6 +142,7 @@ def pack_documents(docs: DataFrame, tokenizer: str, *, id_col: str = "doc_id", t
     before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     moved = scratch.table("moved", counts.select(F.col("part").alias("p"), F.col("length").alias("l"), "n", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("before")))
     histogram = {r.l: r.n for r in moved.groupBy("l").agg(F.sum("n").alias("n")).collect()}
+    # merged, not broadcast: there are up to `size` counts for each task of the first pass
     table = spark.sparkContext.broadcast(slot_table(shortest_pack_first(histogram, size), size))
-    ranked = pieces.join(moved, (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("before")).alias("rank"))
+    ranked = pieces.join(moved.hint("merge"), (F.col("part") == F.col("p")) & (F.col("length") == F.col("l"))).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", (F.col("nth") + F.col("before")).alias("rank"))
     return ranked.mapInArrow(_place(table), _PLACED)
