@@ -186,11 +186,11 @@ def near_rows(seed, families, copies):
     return rows
 
 
-@pytest.mark.parametrize("n,percent,block", [(4, 85, 1 << 19), (5, 80, 200), (3, 60, 1 << 19)])
-def test_jaccard_components(spark, n, percent, block):
+@pytest.mark.parametrize("n,percent,block,few", [(4, 85, 1 << 19, 24), (5, 80, 200, 3), (3, 60, 1 << 19, 5)])
+def test_jaccard_components(spark, n, percent, block, few):
     rows = near_rows(n, 40, 8) + [(2000, None), (2001, ""), (2002, " \t\n"), (None, "one two three four five"), (2003, "One  two three\tfour five"), (2004, "one two three four five"), (2005, "x"), (2006, "X"), (2007, "x x"), (2003, "six seven eight nine ten"), (2008, "six seven eight nine ten")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int").repartition(3)
-    got = jaccard.jaccard_components(docs, shingle=n, percent=percent, block_shingles=block).collect()
+    got = jaccard.jaccard_components(docs, shingle=n, percent=percent, block_shingles=block, few=few).collect()
     assert sorted([(r.id, r.n_shingles, r.component) for r in got], key=str) == plain_components(rows, n, percent)
 
 
@@ -218,8 +218,13 @@ def test_signatures_miss_no_similar_pair():
                     break
                 y = z
             flat = np.array([*sorted(x), *sorted(y)], np.uint64)
-            text, sig = jaccard.signatures(flat, np.array([0, len(x), len(x) + len(y)]), levels)
+            text, sig, _ = jaccard.signatures(flat, np.array([0, len(x), len(x) + len(y)]), levels)
             assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
+            offsets = np.array([0, len(x), len(x) + len(y)])
+            level = int(levels.of(np.array([min(len(x), len(y))]))[0])
+            near = [jaccard.histograms(flat, offsets, levels, s) for s in (0, 1)]
+            own = [np.frombuffer(near[int(levels.of(np.array([m]))[0]) - level][i], np.uint8) for i, m in enumerate((len(x), len(y)))]
+            assert jaccard.close(np.array([len(x), len(y)]), np.stack(own), percent).tolist() == [0, 0]
 
 
 def plain_repeats(rows, size):
