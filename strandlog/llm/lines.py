@@ -14,6 +14,11 @@ def line_key(line: Column) -> Column:
     return F.when(bare != "", F.struct(F.xxhash64(bare).alias("a"), F.xxhash64(bare, F.lit(1)).alias("b")))
 
 
+def text_key(text: Column) -> Column:
+    """What copies are told by: MD5 of the lines that aren't blank, without spaces at their ends, in order."""
+    return F.md5(F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
+
+
 def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", least_sites: int = 10, log2_registers: int = 12, band: float = 0.25) -> DataFrame:
     """Keys of the lines that stand on least_sites different sites or more: (a, b).
 
@@ -31,12 +36,13 @@ def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     return scratch.table("spread", sure.unionByName(exact))
 
 
-def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 10, most_share: float = 0.5, out_col: str = "kept_text", removed_col: str = "removed_lines") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 10, most_share: float = 0.5, only_copies: bool = True, out_col: str = "kept_text", removed_col: str = "removed_lines") -> DataFrame:
     """Appends the text without its boilerplate, and how many lines went.
 
-    Boilerplate is every line (spaces at its ends apart) that stands on least_sites sites or more. A document whose
-    boilerplate is more than most_share of its non-blank characters is a copy of a document rather than one with
-    boilerplate: it stays whole, so that the near-duplicate stage can keep one of its group.
+    Boilerplate is every line (spaces at its ends apart) that stands on least_sites sites or more. It goes whatever its
+    share, but for copies: a document whose boilerplate is more than most_share of its non-blank characters and whose
+    text another row repeats (blank lines and spaces at the ends of lines apart) stays whole, so that the near-duplicate
+    stage can keep one of its group. Without only_copies every document beyond most_share stays whole, copy or not.
 
     Each document's lines are cut once; the spread keys that it holds come back to it by a join on its id, so
     documents that repeat an id still each lose their own lines only. Null texts stay null with no line removed, null
@@ -46,14 +52,22 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop(out_col, removed_col)
     found = spread_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
-    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))).alias("k")).where("k is not null")
-    held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb"))).select("id", "k").groupBy(F.col("id").alias("__id")).agg(F.collect_set("k").alias("__spread"))
+    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), (text_key(F.col(text_col)) if only_copies else F.lit(None)).alias("c"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))).alias("k")).where("k is not null")
+    held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb")))
+    if only_copies:
+        # a copy of a text that holds a spread line holds it too; rows of one id and text each brought every key once
+        texts = scratch.table("texts", held.groupBy("id", "c").agg(F.collect_set("k").alias("ks"), F.count("*").alias("n")))
+        copies = texts.groupBy(F.col("c").alias("copy")).agg(F.sum(F.expr("n div size(ks)")).alias("rows")).where("rows > 1").select("copy")
+        held = texts.join(copies, F.col("c") == F.col("copy"), "left").groupBy(F.col("id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("__spread"), F.collect_set("copy").alias("__copies"))
+    else:
+        held = held.groupBy(F.col("id").alias("__id")).agg(F.collect_set("k").alias("__spread"))
     # a merge join at every size: what it moves follows the input, and what it needs doesn't grow with the spread lines
     joined = docs.join(scratch.table("held", held).hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
     flagged = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("__spread", line_key(x)), F.lit(False)).alias("spread")))
     size = lambda only: F.aggregate("__lines", F.lit(0), lambda n, x: n + F.when(only(x), F.length(F.trim(x.line))).otherwise(0))
     keep = F.array_join(F.transform(F.filter("__lines", lambda x: ~x.spread), lambda x: x.line), "\n")
-    cut = F.col("__spread").isNotNull() & (size(lambda x: x.spread) <= most_share * size(lambda x: F.lit(True)))
+    alone = ~F.array_contains("__copies", text_key(F.col(text_col))) if only_copies else F.lit(False)
+    cut = F.col("__spread").isNotNull() & ((size(lambda x: x.spread) <= most_share * size(lambda x: F.lit(True))) | alone)
     removed = F.when(cut, F.size(F.filter("__lines", lambda x: x.spread))).otherwise(0)
     marked = joined.withColumn("__lines", F.when(F.col("__spread").isNotNull(), flagged))
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(cut, keep).otherwise(F.col(text_col)).alias(out_col), removed.cast("long").alias(removed_col))

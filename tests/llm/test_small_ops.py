@@ -133,6 +133,17 @@ def test_spread_lines_go(spark):
     assert lines.remove_spread_lines(docs.limit(0)).count() == 0
 
 
+def test_short_pages_lose_their_boilerplate_and_copies_stay(spark):
+    licence = "\n".join(f"licence line {k} that every site repeats" for k in range(6))
+    rows = [(i, f"{licence}\nown {i}", f"site{i}") for i in range(12)]  # more than half boilerplate, no copies
+    rows += [(100 + i, "a story\nthat was copied" + "  \n" * (i % 2), f"site{i}") for i in range(12)]
+    rows += [(200, licence, "site1"), (300, f"{licence}\ntwice", "site1"), (300, f"{licence}\ntwice", "site1"), (None, f"{licence}\nnull id", "site2"), (7, "a story\nown 7b", "site3")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = lines.remove_spread_lines(docs).collect()
+    want = [(i, f"own {i}", 6) for i in range(12)] + [(r[0], r[1], 0) for r in rows[12:24]] + [(200, "", 6), (300, rows[25][1], 0), (300, rows[25][1], 0), (None, "null id", 6), (7, "own 7b", 1)]
+    assert sorted([(r.doc_id, r.kept_text, r.removed_lines) for r in got], key=str) == sorted(want, key=str)
+
+
 def test_many_sites_near_the_threshold(spark):
     rows = [(i, f"line {n}\n{'own text ' * 9}{i}-{n}", f"s{i}") for n in (95, 99, 100, 101, 120) for i in range(n)]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
