@@ -136,8 +136,7 @@ _docs("logs_match_middle", "T%e.", {}, _like("T%e."))
 @_query("log_label_key", r"SELECT doc_id, 'a=' || replace(replace(replace(text[1:40], '%', '%25'), '|', '%7C'), '=', '%3D') || '|lang=' || lang AS label_key FROM documents WHERE text IS NOT NULL")
 def log_label_key(spark, d):
     """Label sets with awkward values, in canonical text."""
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
-    return rows.select("doc_id", label_key(F.create_map(F.lit("lang"), F.col("lang"), F.lit("a"), F.substring("text", 1, 40))).alias("label_key"))
+    return _label_keys(spark, d, F.substring("text", 1, 40))
 
 
 @_query("log_label_roundtrip", "SELECT doc_id, text[1:40] AS a, lang FROM documents WHERE text IS NOT NULL")
@@ -147,6 +146,24 @@ def log_label_roundtrip(spark, d):
     return log_label_key(spark, d).select("doc_id", back["a"].alias("a"), back["lang"].alias("lang"))
 
 
+@_query("log_label_key_whole", r"SELECT doc_id, 'a=' || replace(replace(replace(text, '%', '%25'), '|', '%7C'), '=', '%3D') || '|lang=' || lang AS label_key FROM documents WHERE text IS NOT NULL")
+def log_label_key_whole(spark, d):
+    """Whole texts as label values."""
+    return _label_keys(spark, d, F.col("text"))
+
+
+@_query("log_label_roundtrip_whole", "SELECT doc_id, text AS a, lang FROM documents WHERE text IS NOT NULL")
+def log_label_roundtrip_whole(spark, d):
+    """Whole texts decoded back from canonical text."""
+    back = label_map(F.col("label_key"))
+    return log_label_key_whole(spark, d).select("doc_id", back["a"].alias("a"), back["lang"].alias("lang"))
+
+
+def _label_keys(spark, d, a: Column) -> DataFrame:
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return rows.select("doc_id", label_key(F.create_map(F.lit("lang"), F.col("lang"), F.lit("a"), a)).alias("label_key"))
+
+
 @_query("log_time_parse", "SELECT event_id, epoch_ns(ts) AS ts_nanos FROM events")
 def log_time_parse(spark, d):
     """RFC 3339 texts to nanoseconds."""

@@ -50,6 +50,14 @@ def test_times_do_not_hang_on_the_session_s_zone(spark, duck, zone):
         spark.conf.set("spark.sql.session.timeZone", "UTC")
 
 
+def test_label_values_are_whole_texts(spark, tmp_path):
+    text = "long enough to pass forty characters, then: 50% | a=b | " + "x=%|" * 20
+    spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
+    key = text.replace("%", "%25").replace("|", "%7C").replace("=", "%3D")
+    assert [tuple(r) for r in catalog.queries()["log_label_key_whole"](spark, str(tmp_path)).collect()] == [(1, f"a={key}|lang=en")]
+    assert [tuple(r) for r in catalog.queries()["log_label_roundtrip_whole"](spark, str(tmp_path)).collect()] == [(1, text, "en")]
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
