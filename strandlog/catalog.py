@@ -107,6 +107,12 @@ def logs_hour_ties(spark, d):
     return _select(logs.ordered(rows).limit(500))
 
 
+@_query("logs_hour_ties_all", f"WITH {LOGS_SQL} SELECT ts_nanos // {HOUR} * {HOUR} AS ts_nanos, label_key, sequence, message FROM logs ORDER BY 1, 2, 3")
+def logs_hour_ties_all(spark, d):
+    """The same for every event, without a limit."""
+    return _select(logs.ordered(events(spark, d).withColumn("ts_nanos", F.expr(f"ts_nanos div {HOUR} * {HOUR}"))))
+
+
 @_query("logs_truncated", f"WITH {LOGS_SQL} SELECT least(count(*), 100) AS entries, count(*) > 100 AS truncated FROM logs WHERE ts_nanos BETWEEN {NOW - 480 * HOUR} AND {NOW} AND event_type = 'view'")
 def logs_truncated(spark, d):
     return logs.truncated(events(spark, d, NOW - 480 * HOUR, NOW), '"%"{event_type=view}[480h]', NOW, 100)

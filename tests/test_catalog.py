@@ -58,6 +58,12 @@ def test_label_values_are_whole_texts(spark, tmp_path):
     assert [tuple(r) for r in catalog.queries()["log_label_roundtrip_whole"](spark, str(tmp_path)).collect()] == [(1, text, "en")]
 
 
+@needs_data
+def test_all_hours_and_their_ties_stand_in_order(spark):
+    got = [tuple(r)[:3] for r in catalog.queries()["logs_hour_ties_all"](spark, str(DATA)).collect()]
+    assert got == sorted(got) and len(got) == spark.read.parquet(f"{DATA}/events.parquet").count() > 500
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
