@@ -199,6 +199,9 @@ _query("kv_multi_get", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT
 _query("kv_multi_get_table", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_custkey % 2 = 0)")(
     lambda spark, d: kv.multi_get(keys(spark, d), spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")))
 )
+_query("kv_multi_get_table_all", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer)")(
+    lambda spark, d: kv.multi_get(keys(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")))
+)
 _query("kv_scan_half_open", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key >= 'user/000005' AND key < 'user/000012'")(lambda spark, d: kv.scan(keys(spark, d), "user/000005", "user/000012"))
 _query("kv_scan_unbounded", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted")(lambda spark, d: kv.scan(keys(spark, d)))
 _query("kv_scan_raw_tombstones", f"WITH {KEYS_SQL} SELECT key, value, deleted, version FROM latest WHERE key >= 'user/000002'")(lambda spark, d: kv.scan_raw(keys(spark, d), "user/000002"))

@@ -64,6 +64,14 @@ def test_all_hours_and_their_ties_stand_in_order(spark):
     assert got == sorted(got) and len(got) == spark.read.parquet(f"{DATA}/events.parquet").count() > 500
 
 
+@needs_data
+def test_keys_of_a_table_are_all_looked_up(spark):
+    got = {r.key for r in catalog.queries()["kv_multi_get_table_all"](spark, str(DATA)).collect()}
+    users = {f"user/{r[0]:06d}" for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
+    live = {r.key for r in catalog.queries()["kv_scan_unbounded"](spark, str(DATA)).collect()}
+    assert got == users & live and {int(k[-1]) % 2 for k in got} == {0, 1}
+
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
