@@ -31,10 +31,18 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the document with the smallest id of each group whose five-word shingle sets link at 0.8; documents without words stay."""
-    groups = jaccard_components(docs, shingle=5, percent=80)
-    extra = Scratch(spark, "pipeline").table("extra", groups.where("id is not null and n_shingles > 0 and id <> component").select(F.col("id").alias("__extra")))
-    return docs.join(extra, F.col("doc_id") == F.col("__extra"), "left_anti")
+    """Keeps the document with the smallest id of each group whose five-word shingle sets link at 0.8; documents without words stay.
+
+    Rows are told apart by a number of their own, so of rows that repeat an id, and of those without one (they come
+    last), exactly one of a group stays too.
+    """
+    scratch = Scratch(spark, "pipeline")
+    rows = scratch.table("rows", docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = scratch.table("groups", jaccard_components(rows, id_col="__row", shingle=5, percent=80).where("n_shingles > 0").select("id", "component"))
+    ids = rows.select("__row", "doc_id")
+    kept = groups.join(ids, F.col("id") == F.col("__row")).groupBy("component").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("kept"))
+    extra = scratch.table("extra", groups.join(kept, F.col("id") == F.col("kept"), "left_anti").select(F.col("id").alias("__extra")))
+    return rows.join(extra, F.col("__row") == F.col("__extra"), "left_anti").drop("__row")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -291,3 +291,14 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
     assert bad and set(steps["decontaminated"]) == set(steps["near_duplicates"]) - bad
     out = pipeline.run(spark, d).collect()
     assert {r.doc_id for r in out} == set(steps["decontaminated"])
+
+
+def test_one_row_of_each_group_stays_whatever_the_ids(spark):
+    import corpus_pipeline as pipeline
+
+    a, b, c, d = (" ".join(words(30, 7000 + k)) for k in range(4))
+    rows = [(5, a), (5, a), (None, a), (None, b), (None, b), (9, b), (5, c), (4, c), (None, d), (None, d), (8, ""), (8, ""), (None, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = pipeline.near_duplicates(spark, docs, "")
+    assert got.columns == docs.columns
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, a), (9, b), (4, c), (None, d), (8, ""), (8, ""), (None, None)]))
