@@ -87,11 +87,35 @@ def test_filters_and_columns_reach_the_scan(spark):
     assert text.rindex("user/000003") > text.rindex("Aggregate")  # the key is looked for below the aggregation
 
 
+def without_the_optional_part(folder):
+    """A whole copy of the repository, corpus_pipeline.py and all, without the two optional folders."""
+    shutil.copytree(REPO, folder, ignore=shutil.ignore_patterns("llm", "__pycache__", ".git", ".pytest_cache"))
+    assert (folder / "corpus_pipeline.py").exists() and not (folder / "strandlog/llm").exists() and not (folder / "tests/llm").exists()
+    return {**os.environ, "PYTHONPATH": os.pathsep.join([str(folder), os.environ.get("PYTHONPATH", "")])}
+
+
 def test_entry_works_without_the_optional_part(tmp_path):
-    shutil.copytree(REPO / "strandlog", tmp_path / "strandlog", ignore=shutil.ignore_patterns("llm", "__pycache__"))
-    shutil.copy(REPO / "__spark_entry__.py", tmp_path)
+    env = without_the_optional_part(tmp_path / "copy")
     code = "import __spark_entry__ as e; q, s = e.queries(), e.oracle_sql(); assert set(s) <= set(q) and len(q) > 50 and not any(n.startswith('op') or n == 'pipeline' for n in q)"
-    subprocess.run([sys.executable, "-c", code], cwd=tmp_path, check=True, env={**os.environ, "PYTHONPATH": str(tmp_path)})
+    for pipeline in (True, False):
+        if not pipeline:
+            (tmp_path / "copy/corpus_pipeline.py").unlink()
+        subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", check=True, env=env)
+
+
+def test_the_other_tests_pass_without_the_optional_part(tmp_path):
+    env = without_the_optional_part(tmp_path / "copy")
+    subprocess.run([sys.executable, "-m", "pytest", "-q", "-x", "tests/test_language.py", "-p", "no:cacheprovider"], cwd=tmp_path / "copy", check=True, env=env, capture_output=True)
+
+
+def test_a_broken_pipeline_is_not_hidden(tmp_path):
+    """corpus_pipeline may miss strandlog.llm only where that is missing as a whole."""
+    env = without_the_optional_part(tmp_path / "copy")
+    (tmp_path / "copy/strandlog/llm").mkdir()
+    (tmp_path / "copy/strandlog/llm/__init__.py").touch()
+    (tmp_path / "copy/strandlog/llm/queries.py").write_text("def queries():\n    return {}\n\n\ndef oracle_sql():\n    return {}\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path / "copy", capture_output=True, text=True, env=env)
+    assert done.returncode and "strandlog.llm." in done.stderr
 
 
 def test_a_broken_optional_part_is_not_hidden(tmp_path):
