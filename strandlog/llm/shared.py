@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import gc
 import tempfile
-import time
 import uuid
 
 import numpy as np
@@ -61,6 +59,10 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
+#: Spark's setting that deletes a query's shuffle files as it ends.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables written to the shared folder; they cut the lineage and survive lost executors."""
 
@@ -69,19 +71,17 @@ class Scratch:
         ship(spark)
 
     def table(self, name: str, df: DataFrame) -> DataFrame:
-        """Writes df as zstd Parquet and reads it back with the schema that was written."""
+        """Writes df as zstd Parquet and reads it back with the schema that was written; its shuffle files go with the write's end."""
         path = scratch_path(self.spark, f"{self.tag}-{name}")
-        df.write.option("compression", "zstd").parquet(path)
+        held = self.spark.conf.get(_CLEANUP, None)
+        self.spark.conf.set(_CLEANUP, "true")
+        try:
+            df.write.option("compression", "zstd").parquet(path)
+        finally:
+            self.spark.conf.unset(_CLEANUP) if held is None else self.spark.conf.set(_CLEANUP, held)
         self.paths[name] = path
         return self.spark.read.schema(df.schema).parquet(path)
 
-    def release(self) -> None:
-        """Lets Spark's cleaner delete the shuffle files of what is written by now; it acts on what the JVM has collected."""
-        for _ in range(2):  # the second time for what the first has only queued
-            gc.collect()
-            self.spark.sparkContext._jvm.System.gc()
-            time.sleep(0.5)
-
     def drop(self, *names: str) -> None:
         for name in names:
             if name in self.paths:
@@ -133,31 +133,85 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h
 
 
-class Rolling:
-    """Polynomial hashes modulo 2**64 of any byte or word run, from prefix sums."""
-
-    def __init__(self, base: int):
-        self.base, self.inverse = np.uint64(base | 1), np.uint64(pow(base | 1, -1, 1 << 64))
-        self._powers = self._inverses = np.ones(1, np.uint64)
-
-    def _grow(self, n: int) -> None:
-        if len(self._powers) <= n:
-            size = -(-(n + 1) >> 20) << 20 if n >= 1 << 20 else 2 * n + 1
-            for name, base in (("_powers", self.base), ("_inverses", self.inverse)):
-                steps = np.full(size, base, np.uint64)
-                steps[0] = 1
-                setattr(self, name, np.multiply.accumulate(steps))
-
-    def prefix(self, values: np.ndarray) -> np.ndarray:
-        self._grow(len(values))
-        out = np.zeros(len(values) + 1, np.uint64)
-        np.multiply(values, self._powers[: len(values)], out=out[1:])
-        np.cumsum(out[1:], out=out[1:])
-        return out
-
-    def of(self, prefix: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        """Hashes of values[start:end], the same wherever the run stands."""
-        h = prefix[end]
-        h -= prefix[start]
-        h *= self._inverses[start]
-        return mixed(h)
+_MASKS = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+_STEP = 0x9E3779B97F4A7C15
+_SHORT = 4
+
+
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes from every place of raw (and its end) as one little-endian number, zeros past the end."""
+    padded = np.zeros(len(raw) + 8, np.uint8)
+    padded[: len(raw)] = raw
+    return np.ndarray((len(raw) + 1,), "<u8", padded, strides=(1,))
+
+
+def _pieces(at8: np.ndarray, start: np.ndarray, end: np.ndarray, first: int):
+    """All eight-byte pieces of long runs from their piece `first` on: (the runs' first rows, piece values, piece numbers)."""
+    count = -(-(end - start) // 8) - first
+    lead = np.cumsum(count) - count
+    number = np.arange(int(count.sum())) - np.repeat(lead, count) + first
+    at = np.repeat(start, count) + 8 * number
+    return lead, at8[at] & _MASKS[np.minimum(np.repeat(end, count) - at, 8)], number
+
+
+def _keyed(value: np.ndarray, number, seed: int) -> np.ndarray:
+    if isinstance(number, int):
+        return mixed(value ^ np.uint64((number + seed + 1) * _STEP % (1 << 64)))
+    return mixed(value ^ (number.astype(np.uint64) + np.uint64(seed + 1)) * np.uint64(_STEP))
+
+
+def span_hashes(at8: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int = 0) -> np.ndarray:
+    """64-bit hashes of the byte runs [start, end) of what `eights` gave, the same wherever a run stands.
+
+    A run is cut into pieces of eight bytes; each piece goes through a full mixer keyed by its number, and the sum of
+    these with the length through another. Runs of up to eight bytes collide never but for the last 64-bit step, longer
+    ones by chance alone: there is no base whose powers could cancel, as in polynomials modulo 2**64.
+    Among n different runs of one seed a pair collides with a chance of about n**2 / 2**65.
+    """
+    size = end - start
+    out = np.asarray(size, np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    live = np.flatnonzero(size > 0)
+    for k in range(_SHORT):
+        if not len(live):
+            break
+        left = size[live] - 8 * k
+        out[live] += _keyed(at8[start[live] + 8 * k] & _MASKS[np.minimum(left, 8)], k, seed)
+        live = live[left > 8]
+    if len(live):
+        lead, value, number = _pieces(at8, start[live], end[live], _SHORT)
+        out[live] += np.add.reduceat(_keyed(value, number, seed), lead)
+    return mixed(out)
+
+
+def same_spans(at8: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether the size bytes at a and at b are equal, run by run, by comparing the bytes."""
+    out = np.ones(len(a), bool)
+    live = np.flatnonzero((size > 0) & (a != b))
+    for k in range(_SHORT):
+        if not len(live):
+            return out
+        left = size[live] - 8 * k
+        mask = _MASKS[np.minimum(left, 8)]
+        out[live] = (at8[a[live] + 8 * k] & mask) == (at8[b[live] + 8 * k] & mask)
+        live = live[(left > 8) & out[live]]
+    if len(live):
+        lead, x, _ = _pieces(at8, a[live], a[live] + size[live], _SHORT)
+        _, y, _ = _pieces(at8, b[live], b[live] + size[live], _SHORT)
+        out[live] = np.logical_and.reduceat(x == y, lead)
+    return out
+
+
+_PLACES = np.array([(_STEP * (2 * k + 1) ** 3) % (1 << 64) | 1 for k in range(64)], np.uint64)
+
+
+def sequence_hashes(values: np.ndarray, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
+    """64-bit hashes of the runs values[start : start + size] of up to 64 mixed 64-bit values, by place and length."""
+    size = np.broadcast_to(np.asarray(size, np.int64), start.shape)
+    out = size.astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+    for k in range(int(size.max(initial=0))):
+        if (size > k).all():
+            out += values[start + k] * _PLACES[k]
+        else:
+            live = np.flatnonzero(size > k)
+            out[live] += values[start[live] + k] * _PLACES[k]
+    return mixed(out)

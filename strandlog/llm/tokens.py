@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 
-from .shared import Rolling
+from .shared import eights, same_spans, span_hashes
 
 _LETTER, _DIGIT, _SPACE, _OTHER = 0, 1, 2, 3
 _APOSTROPHE = ord("'")
@@ -49,8 +49,8 @@ class WordIds:
     """Ids of texts under a byte-level BPE vocabulary, equal to those of its tokenizer.
 
     Texts are cut into the pieces of the split pattern with array operations; a piece's ids are worked out
-    once by the tokenizer and kept by the piece's hash while the memory lasts. Texts that hold a special
-    token of the vocabulary go to the tokenizer whole.
+    once by the tokenizer and kept by the piece's bytes while the memory lasts. Equal pieces of a slice are found
+    by hash and then compared byte by byte. Texts that hold a special token of the vocabulary go to the tokenizer whole.
     """
 
     def __init__(self, path: str, most: int = 600_000):
@@ -58,7 +58,7 @@ class WordIds:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.special = [t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.classes, self.rolling, self.most = _classes(), Rolling(0x9E3779B97F4A7C15), most
+        self.classes, self.most = _classes(), most
         self.merge = _merger(path)
         self._reset()
 
@@ -68,7 +68,7 @@ class WordIds:
         return [e.ids for e in self.tokenizer.encode_batch_fast([p.decode() for p in pieces], add_special_tokens=False)]
 
     def _reset(self):
-        self.known: dict[int, int] = {}
+        self.known: dict[bytes, int] = {}
         self.offsets, self.ids = np.zeros(1, np.int64), np.zeros(0, np.uint32)
 
     def _byte_classes(self, raw: np.ndarray) -> np.ndarray:
@@ -129,24 +129,28 @@ class WordIds:
             return np.zeros(0, np.uint32), np.zeros(len(offsets), np.int64)
         begin = self.starts(raw, offsets)
         end = np.append(begin[1:], len(raw))
-        prefix = self.rolling.prefix(raw + np.uint64(1))
-        key = self.rolling.of(prefix, begin, end) ^ (end - begin).astype(np.uint64)
-        code, unique = pd.factorize(key)
-        keys = unique.tolist()
+        at8, data = eights(raw), raw.tobytes()
+        code, unique = pd.factorize(span_hashes(at8, begin, end))
+        where = np.empty(len(unique), np.int64)
+        where[code[::-1]] = np.arange(len(code))[::-1]
+        size = end - begin
+        same = (size == size[where][code]) & same_spans(at8, begin, begin[where][code], np.minimum(size, size[where][code]))
+        if not same.all():  # pieces that only share their hash are told apart by their bytes
+            code, _ = pd.factorize(np.array([data[b:e] for b, e in zip(begin.tolist(), end.tolist())], object))
+            where = np.empty(code.max() + 1, np.int64)
+            where[code[::-1]] = np.arange(len(code))[::-1]
+        keys = [data[b:e] for b, e in zip(begin[where].tolist(), end[where].tolist())]
         if len(self.known) + len(keys) > self.most:
             self._reset()
         slot = np.array([self.known.get(k, -1) for k in keys], np.int64)
         missing = np.flatnonzero(slot < 0)
         if len(missing):
-            where = np.empty(len(keys), np.int64)
-            where[code[::-1]] = np.arange(len(code))[::-1]
-            data = raw.tobytes()
-            got = self._pieces([data[b:e] for b, e in zip(begin[where[missing]].tolist(), end[where[missing]].tolist())])
+            got = self._pieces([keys[m] for m in missing.tolist()])
             size = np.array([len(g) for g in got], np.int64)
             slot[missing] = len(self.offsets) - 1 + np.arange(len(missing))
             self.offsets = np.concatenate([self.offsets, self.offsets[-1] + np.cumsum(size)])
             self.ids = np.concatenate([self.ids, np.array([i for g in got for i in g], np.uint32)])
-            self.known.update(zip([keys[m] for m in missing], slot[missing].tolist()))
+            self.known.update(zip([keys[m] for m in missing.tolist()], slot[missing].tolist()))
         piece = slot[code]
         size = np.diff(self.offsets)[piece]
         ends = np.cumsum(size)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 
-from .shared import Rolling
+from .shared import eights, sequence_hashes, span_hashes
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
@@ -17,8 +17,6 @@ ALPHANUMERIC[0x30:0x3A] = ALPHANUMERIC[0x61:0x7B] = ALPHANUMERIC[0x80:] = True
 UNSPACED = np.ones(256, bool)
 UNSPACED[0x20] = UNSPACED[0x09:0x0E] = False
 
-_BYTES, _WORDS = Rolling(0x9E3779B97F4A7C15), Rolling(0xC2B2AE3D27D4EB4F)
-
 
 class Words:
     """The words of a run of texts: lower-cased bytes, (begin, end) and hash of each word, first word of each text."""
@@ -35,16 +33,12 @@ class Words:
         begins[cut] = inside[1:-1][cut]
         ends[cut - 1] = inside[1:-1][cut - 1]
         self.begin, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        prefix = _BYTES.prefix(self.raw + np.uint64(1))
-        self.hash = _BYTES.of(prefix, self.begin, self.end) ^ (self.end - self.begin).astype(np.uint64)
+        self.hash = span_hashes(eights(self.raw), self.begin, self.end)
         self.first = np.searchsorted(self.begin, offsets)
-        self._prefix = None
 
     def runs(self, start: np.ndarray, size: np.ndarray | int) -> np.ndarray:
-        """Hashes of size words from each start."""
-        if self._prefix is None:
-            self._prefix = _WORDS.prefix(self.hash)
-        return _WORDS.of(self._prefix, start, start + size)
+        """Hashes of size words (64 at most) from each start."""
+        return sequence_hashes(self.hash, start, size)
 
     def texts(self, start: int, size: int) -> list[bytes]:
         return [self.raw[b:e].tobytes() for b, e in zip(self.begin[start : start + size], self.end[start : start + size])]

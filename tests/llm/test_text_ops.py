@@ -1,5 +1,6 @@
 """Packing, language identification, decontamination, near duplicates, substrings and the pipeline against plain versions."""
 
+import hashlib
 import random
 import re
 import struct
@@ -13,7 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlog.llm import decontaminate, jaccard, langid, packing, substrings
-from strandlog.llm.shared import Rolling, slices, text_bytes
+from strandlog.llm.shared import eights, same_spans, sequence_hashes, slices, span_hashes, text_bytes
 from strandlog.llm.tokens import WordIds
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.json")
@@ -24,11 +25,28 @@ def words(n, seed, most=500):
     return [f"w{draw.randrange(most)}" for _ in range(n)]
 
 
-def test_rolling_hashes_and_slices():
-    roll, x = Rolling(12345), np.frombuffer(b"abcabcabc" * 50, np.uint8)
-    p = roll.prefix(x + np.uint64(1))
-    h = roll.of(p, np.arange(0, 400), np.arange(50, 450))
+def thue_morse(n):
+    """The word of n letters and its complement, which collide under every polynomial modulo 2**64 from 1024 letters on."""
+    bits = [bin(k).count("1") & 1 for k in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_hashes_and_slices():
+    at8 = eights(np.frombuffer(b"abcabcabc" * 50, np.uint8))
+    h = span_hashes(at8, np.arange(0, 400), np.arange(50, 450))
     assert h[0] == h[3] == h[6] and len(set(h.tolist())) == 3
+    draw = random.Random(9)
+    parts = ["", "a", "a\0", "\0", "aa", *thue_morse(512), *thue_morse(4096), *["".join(draw.choice("ab\0") for _ in range(draw.choice([3, 8, 9, 16, 31, 32, 33, 40, 41, 200]))) for _ in range(400)]]
+    raw, offsets = text_bytes(pa.array([p + "x" for p in parts] * 2))
+    begin, end = offsets[:-1], offsets[1:] - 1
+    h = span_hashes(eights(raw), begin, end).tolist()
+    assert len(set(h)) == len(set(parts)) and h[: len(parts)] == h[len(parts) :] and h != span_hashes(eights(raw), begin, end, 1).tolist()
+    pairs = [(i, j) for i in range(len(parts)) for j in (draw.randrange(2 * len(parts)), i + len(parts)) if len(parts[i]) == len((parts * 2)[j])]
+    a, b = (np.array(x) for x in zip(*pairs))
+    assert same_spans(eights(raw), begin[a], begin[b], end[a] - begin[a]).tolist() == [parts[i] == (parts * 2)[j] for i, j in pairs]
+    values = np.array([5, 6, 5, 6, 7], np.uint64)
+    s = sequence_hashes(values, np.array([0, 2, 0, 1]), np.array([2, 2, 1, 2]))
+    assert s[0] == s[1] and len(set(s.tolist())) == 3
     batch = pa.RecordBatch.from_arrays([pa.array(range(6)), pa.array(["a" * 10, None, "b" * 100, "", "c", "d" * 9])], names=["i", "text"])
     parts = list(slices(batch, "text", 20))
     assert [i for p in parts for i in p.column(0).to_pylist()] == list(range(6)) and len(parts) == 3
@@ -229,7 +247,7 @@ def test_signatures_miss_no_similar_pair():
 
 def plain_repeats(rows, size):
     seen, out = set(), []
-    for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], r[1] is not None, r[1] or "")):
+    for i, t in sorted(rows, key=lambda r: (-1 if r[0] is None else r[0], hashlib.md5((r[1] or "").encode()).hexdigest())):
         b = (t or "").encode()
         gone = np.zeros(len(b), bool)
         for p in range(len(b) - size + 1):
@@ -241,17 +259,27 @@ def plain_repeats(rows, size):
     return sorted(out, key=str)
 
 
-@pytest.mark.parametrize("size,gram", [(100, 40), (20, 8)])
-def test_repeats_go(spark, size, gram):
+@pytest.mark.parametrize("size,gram,stretch", [(100, 40, 4 << 20), (20, 8, 64), (9, 8, 4 << 20), (31, 11, 500)])
+def test_repeats_go(spark, size, gram, stretch):
     draw = random.Random(size)
     pieces = ["".join(draw.choice("abcé ") for _ in range(draw.choice([5, 30, 99, 100, 101, 140, 300]))) for _ in range(25)]
     rows = [(i * 7 % 101, "".join(draw.choice(pieces) if draw.random() < 0.6 else "".join(draw.choice("xyz ") for _ in range(draw.randint(1, 150))) for _ in range(draw.randint(0, 5)))) for i in range(80)]
+    rows += [(600 + k, draw.choice("pqr") * k + pieces[3][:60] + "zz" + thue_morse(700)[k % 2] + pieces[4]) for k in range(20)]  # one passage in different surroundings
     rows += [(500, "a" * 350), (501, "ab" * 200), (502, "a" * 99), (503, None), (504, ""), (505, rows[3][1]), (5, rows[9][1] + "q"), (5, rows[9][1]), (None, pieces[-1] * 2)]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, spans int").repartition(4)
-    got = substrings.remove_repeats(docs, size=size, gram=gram).collect()
+    got = substrings.remove_repeats(docs, size=size, gram=gram, stretch=stretch).collect()
     assert sorted([(r.id, r.n_bytes, [(s.start, s.stop) for s in r.spans], bytes(r.kept)) for r in got], key=str) == plain_repeats(rows, size)
 
 
+def test_places_pair_up_over_blocks_and_ranks_over_ranges(spark):
+    """A text longer than a block of places, and many rows of one pair over several ranges of the sorted order."""
+    draw = random.Random(8)
+    long = "".join(draw.choice("abcdefgh ") for _ in range(1_100_000))
+    rows = [(1, long), (2, long[500_000:500_300] + "!" + long[1_048_400:1_048_700] + "?"), *[(10 + k, f"{k:04d}" + "same words in every text of these " * 4 + f"{k:05d}") for k in range(300)]]
+    got = substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()
+    assert sorted([(r.id, r.n_bytes, [(s.start, s.stop) for s in r.spans], bytes(r.kept)) for r in got], key=str) == plain_repeats(rows, 100)
+
+
 def test_repeats_of_an_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, text string")
     assert substrings.remove_repeats(docs).count() == 0
