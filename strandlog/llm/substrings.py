@@ -8,9 +8,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Scratch, eights, mixed, slices, span_hashes, text_bytes
+from .shared import Scratch, eights, mixed, sequence_hashes, slices, span_hashes, text_bytes
 
-_RUN = "gram long, span long, doc long, sub long, start long, windows int, done boolean"
+_RUN = "key long, span long, doc long, sub long, start long, windows int, at int, done boolean"
 _PAIR = "a long, b long, doc long, sub long, at long"
 _RANKED = "part int, rank long, doc long, sub long, at long, again boolean, edge int, a long, b long"
 _GRAM_PLACES = np.array([(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3) % (1 << 64) | 1 for k in range(64)], np.uint64)
@@ -34,7 +34,7 @@ def gram_hashes(at8: np.ndarray, n: int, gram: int) -> np.ndarray:
 
 
 def anchors(at8: np.ndarray, offsets: np.ndarray, size: int, gram: int):
-    """Runs of windows of `size` bytes by the gram that stands for them: (text, first window, windows, gram hash).
+    """Runs of windows of `size` bytes by the gram that stands for them: (text, first window, windows, gram's place, gram hash).
 
     A window's gram is the least by hash (the last of equals) of the `gram`-byte strings in it, so that equal windows
     have their gram at the same place, and windows that follow each other share it: about 2 / (size - gram + 2) grams a byte.
@@ -42,7 +42,7 @@ def anchors(at8: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     n = np.diff(offsets)
     if not (n >= size).any():
         none = np.zeros(0, np.int64)
-        return none, none, none, np.zeros(0, np.uint64)
+        return none, none, none, none, np.zeros(0, np.uint64)
     width = size - gram + 1
     h = gram_hashes(at8, int(offsets[-1]), gram)
     # the least of each run of `width` grams, as (hash, place from the end): doubling of the run's length
@@ -61,14 +61,14 @@ def anchors(at8: np.ndarray, offsets: np.ndarray, size: int, gram: int):
     new = np.ones(len(text), bool)
     new[1:] = (place[1:] != place[:-1]) | (text[1:] != text[:-1])
     first = np.flatnonzero(new)
-    return text[first], window[first], np.diff(np.append(first, len(text))), h[place[first]]
+    return text[first], window[first], np.diff(np.append(first, len(text))), place[first], h[place[first]]
 
 
-def _run_rows(size: int, doc, sub, gram, span, start, count) -> pa.RecordBatch:
+def _run_rows(size: int, doc, sub, key, span, start, count, at) -> pa.RecordBatch:
     """Rows of a slice's runs; those that repeat an earlier one of the slice leave as stretches, neighbours joined."""
-    order = np.lexsort((start, sub, doc, span, gram))
+    order = np.lexsort((start, sub, doc, span, key))
     repeat = np.zeros(len(order), bool)
-    repeat[1:] = (gram[order][1:] == gram[order][:-1]) & (span[order][1:] == span[order][:-1])
+    repeat[1:] = (key[order][1:] == key[order][:-1]) & (span[order][1:] == span[order][:-1])
     done = np.zeros(len(order), bool)
     done[order] = repeat
     rest, gone = np.flatnonzero(~done), np.flatnonzero(done)
@@ -79,7 +79,7 @@ def _run_rows(size: int, doc, sub, gram, span, start, count) -> pa.RecordBatch:
     stop = start[last] + count[last]
     pick = np.concatenate([rest, lead])
     windows = np.concatenate([count[rest], stop - start[lead]]).astype(np.int32)
-    return _batch(_RUN, gram[pick].view(np.int64), span[pick].view(np.int64), doc[pick], sub[pick], start[pick], windows, np.arange(len(pick)) >= len(rest))
+    return _batch(_RUN, key[pick].view(np.int64), span[pick].view(np.int64), doc[pick], sub[pick], start[pick], windows, at[pick].astype(np.int32), np.arange(len(pick)) >= len(rest))
 
 
 def _runs(size: int, gram: int, stretch: int):
@@ -95,10 +95,50 @@ def _runs(size: int, gram: int, stretch: int):
                     own = raw[low : low + stretch + size - 1] if part.num_rows == 1 else raw
                     edges = np.array([0, len(own)]) if part.num_rows == 1 else offsets
                     at8 = np.ascontiguousarray(eights(own))
-                    text, window, count, key = anchors(at8, edges, size, gram)
+                    text, window, count, place, key = anchors(at8, edges, size, gram)
                     if len(text):
                         span = span_hashes(at8, window, window + count + size - 1)
-                        yield _run_rows(size, doc[text], sub[text], key, span, window - edges[text] + low, count)
+                        yield _run_rows(size, doc[text], sub[text], key, span, window - edges[text] + low, count, place - window)
+
+    return run
+
+
+def _listed(part: pa.RecordBatch, *fields: int) -> list[np.ndarray]:
+    """The text numbers and fields of the runs that stand in a slice's column 3, by place."""
+    lists = part.column(3)
+    flat = lists.flatten()
+    values = [flat.field(k).to_numpy().astype(np.int64) for k in fields]
+    text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+    order = np.lexsort((values[0], text))
+    return [text[order], *[v[order] for v in values]]
+
+
+def _cores(size: int, gram: int, few: int):
+    """Open runs cut into runs of `few` windows at most, by the bytes that all of these share (size - few + 1 at least).
+
+    Cuts stand at fixed distances from the gram, so equal windows of different runs come under the same bytes again.
+    """
+
+    def run(batches):
+        for batch in batches:
+            for part in slices(batch, "text"):
+                doc, sub = part.column(0).to_numpy(), part.column(1).to_numpy()
+                raw, offsets = text_bytes(part.column(2))
+                at8 = eights(raw)
+                text, start, many, at = _listed(part, 0, 1, 2)
+                if not len(text):
+                    continue
+                far, near = at, at - many + 1  # distances from a window's start to the gram
+                cuts = far // few - near // few + 1
+                own = np.repeat(np.arange(len(text)), cuts)
+                k = (far // few)[own] - np.arange(len(own)) + np.repeat(np.cumsum(cuts) - cuts, cuts)  # the farthest from the gram begins first
+                low, high = k * few, np.minimum(k * few + few - 1, size - gram)
+                place = (start + at + offsets[text])[own]
+                first, last = place - np.minimum(high, far[own]), place - np.maximum(low, near[own])
+                key = span_hashes(at8, place - low, place - high + size, 1) + k.astype(np.uint64)
+                span = span_hashes(at8, first, last + size)
+                text = text[own]
+                yield _run_rows(size, doc[text], sub[text], key, span, first - offsets[text], last - first + 1, place - first)
 
     return run
 
@@ -110,7 +150,7 @@ def steps(size: int) -> tuple[int, int]:
 
 
 def _first_pairs(size: int):
-    """For each place that an open window needs, the names of the bytes there and one offset further on.
+    """For each place that an open window needs, the names of the bytes there and one offset further on, as one fingerprint (b is 0).
 
     A name is a hash of a quarter of the size, the ranks that doubling begins with. at is twice the place, plus one if
     an open window begins there; places without that only serve as the second half of a window.
@@ -122,31 +162,33 @@ def _first_pairs(size: int):
         for batch in batches:
             for part in slices(batch, "text"):
                 raw, offsets = text_bytes(part.column(2))
-                at8, lists = eights(raw), part.column(3)
-                flat = lists.flatten()
-                start, many = (flat.field(k).to_numpy().astype(np.int64) for k in (0, 1))
-                text = np.repeat(np.arange(part.num_rows), np.diff(np.asarray(lists.offsets)))
+                at8 = eights(raw)
+                text, start, many = _listed(part, 0, 1)
                 start = start + offsets[text]
-                order = np.argsort(start, kind="stable")
-                start, stop, text = start[order], (start + many)[order], text[order]
-                # open windows never overlap: each belongs to one run. What they need may overlap and is joined
-                need = np.maximum(stop[:-1] + two, 0) >= start[1:]
-                new = np.append(True, ~(need & (text[1:] == text[:-1]))) if len(start) else np.zeros(0, bool)
+                stop = start + many
+                # both halves of the windows, joined where they overlap; windows of different runs never do
+                low, high, of = np.concatenate([start, start + two]), np.concatenate([stop, stop + two]), np.concatenate([text, text])
+                order = np.lexsort((low, of))
+                low, high, of = low[order], high[order], of[order]
+                reach = np.maximum.accumulate(high) if len(high) else high
+                new = np.append(True, (low[1:] > reach[:-1]) | (of[1:] != of[:-1])) if len(low) else np.zeros(0, bool)
                 first = np.flatnonzero(new)
-                low, high = start[first], (stop + two)[np.append(first[1:], len(start)) - 1] if len(start) else stop
+                if not len(first):
+                    continue
+                low, high, of = low[first], reach[np.append(first[1:], len(reach)) - 1], of[first]
                 for a, b in _portions(low, high):
                     size_ = high[a:b] - low[a:b]
-                    place = np.repeat(low[a:b] - (np.cumsum(size_) - size_), size_) + np.arange(int(size_.sum()))
                     own = np.repeat(np.arange(b - a), size_)
-                    # names of the places and, behind each piece, of the offset that follows it
-                    wide = size_ + one
-                    all_ = np.repeat(low[a:b] - (np.cumsum(wide) - wide), wide) + np.arange(int(wide.sum()))
-                    names = span_hashes(at8, all_, all_ + base)
+                    place = np.arange(len(own)) + (low[a:b] - (np.cumsum(size_) - size_))[own]
+                    wide = size_ + one  # names of the places and, behind each piece, of the offset that follows it
+                    every = np.arange(int(wide.sum())) + np.repeat(low[a:b] - (np.cumsum(wide) - wide), wide)
+                    names = span_hashes(at8, every, every + base)
                     here = np.arange(len(place)) + own * one
-                    run_of = np.searchsorted(start, place, "right") - 1
-                    wanted = place < stop[run_of]
-                    doc = text[first[a:b]][own]
-                    yield _batch(_PAIR, names[here].view(np.int64), names[here + one].view(np.int64), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), (place - offsets[doc]) * 2 + wanted)
+                    pair = sequence_hashes(np.stack([names[here], names[here + one]], 1).ravel(), 2 * np.arange(len(here)), 2)
+                    slot = np.searchsorted(start, place, "right") - 1
+                    wanted = (slot >= 0) & (place < stop[np.maximum(slot, 0)])
+                    doc = of[a:b][own]
+                    yield _batch(_PAIR, pair.view(np.int64), np.zeros(len(pair), np.int64), part.column(0).take(pa.array(doc)), part.column(1).take(pa.array(doc)), (place - offsets[doc]) * 2 + wanted)
 
     return run
 
@@ -300,16 +342,41 @@ def in_order(rows: DataFrame, scratch: Scratch) -> DataFrame:
     return scratch.table("rows", placed.select("doc", F.monotonically_increasing_id().alias("sub"), "text"))
 
 
-def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 100, gram: int = 40, stretch: int = 4 << 20) -> DataFrame:
+def _by_doc(opened: DataFrame) -> DataFrame:
+    return opened.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("start", "windows", "at")).alias("runs"))
+
+
+def _sifted(scratch: Scratch, tag: str, rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Of runs by key, (those that repeat an earlier run whole, the first ones of keys that stand for different runs).
+
+    Runs whose key stands nowhere else are unique and leave. Keys meet by partial aggregation and by joins of written
+    tables, which AQE splits, so a key that is everywhere costs a row a task and then is dealt like any other.
+    """
+    runs = scratch.table(tag, rows)
+    keys = scratch.table(f"{tag}-keys", runs.where("not done").groupBy(F.col("key").alias("k")).agg(F.count("*").alias("n")).where("n > 1").select("k"))
+    shared = scratch.table(f"{tag}-shared", runs.where("not done").join(keys, F.col("key") == F.col("k"), "left_semi"))
+    classes = scratch.table(f"{tag}-classes", shared.groupBy(F.col("key").alias("k"), F.col("span").alias("s")).agg(F.min(F.struct("doc", "sub", "start", "windows", "at")).alias("first"), F.count("*").alias("n")))
+    place = ("doc", "sub", "start")
+    again = shared.join(classes.where("n > 1"), (F.col("key") == F.col("k")) & (F.col("span") == F.col("s"))).where(F.struct(*place) != F.struct(*[F.col(f"first.{c}") for c in place]))
+    repeats = scratch.table(f"{tag}-repeats", again.select(*place, "windows").unionByName(runs.where("done").select(*place, "windows")))
+    scratch.drop(tag, f"{tag}-keys", f"{tag}-shared")
+    varied = scratch.table(f"{tag}-varied", classes.groupBy(F.col("k").alias("v")).agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("v"))
+    opened = scratch.table(f"{tag}-opened", classes.join(varied, F.col("k") == F.col("v"), "left_semi").select("first.*"))
+    scratch.drop(f"{tag}-classes", f"{tag}-varied")
+    return repeats, opened
+
+
+def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size: int = 100, gram: int = 40, few: int = 16, stretch: int = 4 << 20) -> DataFrame:
     """Removes every byte covered by a size-byte string that also starts earlier: (id, n_bytes, spans, kept).
 
     An exact filter first: each window of size bytes stands under its least gram by hash, which equal windows choose
     alike; windows in a row with the same gram are one run. Runs whose gram stands nowhere else are unique and leave,
-    and of runs equal in all bytes all but the first are repeats. What is left, where a gram stands in different runs,
-    goes through prefix doubling place by place: names of a quarter of the size are paired at one offset (25 for
+    and of runs equal in all bytes all but the first are repeats. Where a gram stands in different runs, the first ones
+    are cut into runs of `few` windows and sifted once more, by the bytes that all windows of such a run share. What is
+    left goes through prefix doubling place by place: names of a quarter of the size are paired at one offset (25 for
     100), Spark sorts the pairs and gives dense ranks, pairs that stand once leave, and the ranks are paired and
     sorted again at the next offset (50); of equal pairs all but the first place are repeats. Sorted orders are cut by
-    key and place, grams that are everywhere meet by partial aggregation and joins that AQE splits: no key needs a
+    key and place, keys that are everywhere meet by partial aggregation and joins that AQE splits: no key needs a
     task of its own. Only two rows a task come to the driver.
 
     Earlier is by id, then by place; a null id is below all others; rows that repeat an id follow each other in the
@@ -321,31 +388,22 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
         raise ValueError("gram must be 8 to size")
     scratch = Scratch(docs.sparkSession, "repeats")
     rows = in_order(docs.select(F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63))).alias("doc"), F.col(text_col).alias("text")), scratch)
-    runs = scratch.table("runs", rows.mapInArrow(_runs(size, gram, stretch), _RUN))
-    grams = scratch.table("grams", runs.where("not done").groupBy(F.col("gram").alias("g")).agg(F.count("*").alias("n")).where("n > 1").select("g"))
-    shared = scratch.table("shared", runs.where("not done").join(grams, F.col("gram") == F.col("g"), "left_semi"))
-    classes = scratch.table("classes", shared.groupBy(F.col("gram").alias("g"), F.col("span").alias("s")).agg(F.min(F.struct("doc", "sub", "start", "windows")).alias("first"), F.count("*").alias("n")))
-    place = ("doc", "sub", "start")
-    again = shared.join(classes.where("n > 1"), (F.col("gram") == F.col("g")) & (F.col("span") == F.col("s"))).where(F.struct(*place) != F.struct(*[F.col(f"first.{c}") for c in place]))
-    repeats = scratch.table("repeats", again.select(*place, "windows").unionByName(runs.where("done").select(*place, "windows")))
-    scratch.drop("runs", "grams", "shared")
-    varied = scratch.table("varied", classes.groupBy(F.col("g").alias("v")).agg(F.min("s").alias("low"), F.max("s").alias("high")).where("low <> high").select("v"))
-    opened = classes.join(varied, F.col("g") == F.col("v"), "left_semi").select("first.*")
-    lists = opened.groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list(F.struct("start", "windows")).alias("runs"))
     of_row = (F.col("doc") == F.col("d")) & (F.col("sub") == F.col("s"))
-    lists = scratch.table("lists", lists)
-    scratch.drop("classes", "varied")
+    gone, opened = _sifted(scratch, "runs", rows.mapInArrow(_runs(size, gram, stretch), _RUN))
+    cores = rows.join(_by_doc(opened), of_row).select("doc", "sub", "text", "runs").mapInArrow(_cores(size, gram, few), _RUN)
+    more, opened = _sifted(scratch, "cores", cores)
+    still = scratch.table("still", rows.join(_by_doc(opened), of_row).select("doc", "sub", "text", "runs"))
     first, second = steps(size)
-    places = rows.join(lists, of_row).select("doc", "sub", "text", "runs").mapInArrow(_first_pairs(size), _PAIR)
-    half = ranked(scratch, "half", places).select("doc", "sub", F.expr("at div 2097152").alias("block"), "at", "rank")
+    half = ranked(scratch, "half", still.mapInArrow(_first_pairs(size), _PAIR)).select("doc", "sub", F.expr("at div 2097152").alias("block"), "at", "rank")
+    scratch.drop("still")
     # the first places of a block also stand at the end of the one before it, as second halves only
     edge = half.where(F.expr(f"block > 0 and at % 2097152 < {2 * second}")).select("doc", "sub", (F.col("block") - 1).alias("block"), F.expr("at - at % 2").alias("at"), "rank")
-    paired = half.unionByName(edge).repartition("doc", "sub", "block").sortWithinPartitions("doc", "sub", "block", "at").mapInArrow(_next_pairs(second), _PAIR)
-    whole = ranked(scratch, "whole", scratch.table("paired", paired))
-    scratch.drop("half", "paired", "lists")
-    gone = repeats.unionByName(whole.where("again").select("doc", "sub", F.col("at").alias("start"), F.lit(1).alias("windows")))
+    paired = scratch.table("paired", half.unionByName(edge).repartition("doc", "sub", "block").sortWithinPartitions("doc", "sub", "block", "at").mapInArrow(_next_pairs(second), _PAIR))
+    scratch.drop("half")
+    whole = ranked(scratch, "whole", paired)
+    gone = gone.unionByName(more).unionByName(whole.where("again").select("doc", "sub", F.col("at").alias("start"), F.lit(1).alias("windows")))
     packed = (F.shiftleft("start", 31) + F.col("windows") + (size - 1)).alias("x")
     found = scratch.table("found", gone.select("doc", "sub", packed).groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list("x").alias("x")))
-    scratch.drop("repeats", "whole")
+    scratch.drop("paired", "whole", "runs-repeats", "cores-repeats")
     cut = rows.join(found, of_row, "left").select("doc", "sub", "text", "x").mapInArrow(_cut_out, _KEPT)
     return cut.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("id"), "n_bytes", "spans", "kept")

@@ -2,160 +2,90 @@
 
 from __future__ import annotations
 
+from fractions import Fraction
+
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
-_BLOCK = "dim int, slot int, n int, ids binary, vectors binary, distances binary"
-_HITS = "query_id long, vec_id long, score long"
+_BLOCK = "dim int, slots int, slot int, n int, ids binary, asks binary, vectors binary, distances binary"
+_HITS = "query_id long, ask long, vec_id long, score long"
+#: Products up to the first bound are exact in doubles, up to the second in 64-bit integers; norms of each kind keep them there.
+_DOUBLE, _LONG = 2.0**52, 2.0**61
+_KINDS = np.array([2.0**26, 2.0**30])
+_LONGS = -(1 << 63), (1 << 63) - 1
 
 
 def quantised(column: pa.Array, scale: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Row numbers, lengths and floor(scale * x) of the usable vectors (not null, all components finite)."""
+    """Offsets of the vectors, their components x and floor(scale * x), which is infinite where it passes a double."""
     column = column.cast(pa.list_(pa.float64()))
     offsets = np.asarray(column.offsets, np.int64)
     flat = column.values
-    x = flat.fill_null(float("nan")).to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
-    length = np.diff(offsets)
-    bad = np.concatenate([[0], np.cumsum(~np.isfinite(x))])
-    usable = np.asarray(column.is_valid()) & (bad[offsets[1:]] == bad[offsets[:-1]])
-    rows = np.flatnonzero(usable)
-    return rows, length, (offsets, np.floor(scale * x))
+    x = flat.to_numpy(zero_copy_only=False) if len(flat) else np.zeros(0)
+    with np.errstate(over="ignore"):
+        return offsets, x, np.floor(scale * x)
 
 
-def _blocks(scale: float, size: int, pivots: dict[int, np.ndarray], slots: int, replicate: bool):
-    """Packs (id, vector) rows into blocks of one length, with the distances to the pivots of that length."""
+def whole(x: np.ndarray, scale: float) -> np.ndarray:
+    """floor(scale * x) as Python integers, without bound."""
+    with np.errstate(over="ignore"):
+        y = np.floor(scale * x)
+    out = np.empty(x.shape, object)
+    for i, (a, b) in enumerate(zip(x.ravel().tolist(), y.ravel().tolist())):
+        out.ravel()[i] = int(b) if np.isfinite(b) else int(Fraction(a) * Fraction(scale) // 1)
+    return out
 
-    def pack(dim: int, ids: list[int], rows: list[np.ndarray], count: int):
-        m = np.stack(rows) if dim else np.zeros((len(rows), 0))
-        d = np.sqrt(np.maximum(((m[:, None, :] - pivots[dim][None, :, :]) ** 2).sum(2), 0)) if dim in pivots else np.zeros((len(rows), 0))
-        for slot in range(slots) if replicate else [count % slots]:
-            yield dim, slot, len(rows), np.asarray(ids, "<i8").tobytes(), m.astype("<f8").tobytes(), d.astype("<f8").tobytes()
 
-    def run(batches):
-        held, count = {}, 0
-        names = [f.strip().split()[0] for f in _BLOCK.split(",")]
-        types = [pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary()]
-        make = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), types)], names=names)
-        for batch in batches:
-            ids = batch.column(0).to_pylist()
-            rows, length, (offsets, x) = quantised(batch.column(1), scale)
-            count = count or int(np.uint64(abs(hash(tuple(ids[:3])))) % np.uint64(slots))
-            for i in rows:
-                if ids[i] is None:
-                    continue
-                dim = int(length[i])
-                own = held.setdefault(dim, ([], []))
-                own[0].append(ids[i])
-                own[1].append(x[offsets[i] : offsets[i + 1]])
-                if len(own[0]) >= size:
-                    yield make(list(pack(dim, *held.pop(dim), count)))
-                    count += 1
-        for dim, own in held.items():
-            yield make(list(pack(dim, *own, count)))
-            count += 1
+def _norms(m: np.ndarray) -> np.ndarray:
+    with np.errstate(over="ignore"):
+        return np.sqrt((m * m).sum(1))
 
-    return run
 
+def _blocks(scale: float, size: int, floats: int, pivots: dict[int, np.ndarray], is_data: bool):
+    """Packs rows (id, v, slots) into blocks of one length and kind, with the distances to the pivots of that length.
 
-def _search(k: int):
-    """Top k of each query block against the data blocks of its slot, in bound order until the k-th score beats every bound."""
-
-    def search(queries, data, best):
-        (qi, q, qd), (xi, x, xd) = queries, data
-        bound = np.zeros((len(qi), len(xi)))
-        gap = np.empty_like(bound)
-        for p in range(qd.shape[1]):
-            np.subtract(qd[:, p, None], xd[None, :, p], out=gap)
-            np.abs(gap, out=gap)
-            np.maximum(bound, gap, out=bound)
-        bound *= bound
-        upper = ((q**2).sum(1)[:, None] + (x**2).sum(1)[None, :] - bound) / 2
-        upper += 1 + 1e-9 * np.abs(upper)  # scores are whole numbers; covers rounding of the distances
-        for i in range(len(qi)):
-            scores, ids = best[i]
-            floor = scores[-1] if len(scores) == k else -np.inf
-            near = np.flatnonzero(upper[i] >= floor)
-            near = near[np.argsort(-upper[i, near], kind="stable")]
-            for at in range(0, len(near), 1024):
-                part = near[at : at + 1024]
-                if len(scores) == k and upper[i, part[0]] < scores[-1]:
-                    break
-                own = x[part] @ q[i]
-                keep = xi[part] != qi[i]
-                if len(scores) == k:
-                    keep &= own >= scores[-1]
-                if keep.any():
-                    scores, ids = np.concatenate([scores, own[keep]]), np.concatenate([ids, xi[part][keep]])
-                    order = np.lexsort((ids, -scores))[:k]
-                    scores, ids = scores[order], ids[order]
-            best[i] = scores, ids
-
-    def read(row, side):
-        n = row[f"{side}n"]
-        of = lambda name, kind: np.frombuffer(row[side + name], kind)
-        return of("ids", "<i8"), of("vectors", "<f8").reshape(n, -1), of("distances", "<f8").reshape(n, -1)
+    A block holds the components as they are; data blocks belong to the slot that their first id's hash names.
+    """
+    names = [f.strip().split()[0] for f in _BLOCK.split(",")]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary(), pa.binary()]
+
+    def pack(dim: int, slots: int, ids: list[int], asks: list[int], rows: list[np.ndarray]):
+        x = np.stack(rows) if dim else np.zeros((len(rows), 0))
+        with np.errstate(all="ignore"):
+            m = np.floor(scale * x)
+            d = np.sqrt(np.maximum(((m[:, None, :] - pivots[dim][None, :, :]) ** 2).sum(2), 0)) if dim in pivots else np.zeros((len(rows), 0))
+        slot = (ids[0] * 0x9E3779B97F4A7C15 + asks[0] >> 17) % slots if is_data else 0
+        row = dim, slots, slot, len(rows), np.asarray(ids, "<i8").tobytes(), np.asarray(asks, "<i8").tobytes(), x.astype("<f8").tobytes(), d.astype("<f8").tobytes()
+        return pa.RecordBatch.from_arrays([pa.array([v], t) for v, t in zip(row, types)], names=names)
 
     def run(batches):
-        key, queries, best = None, None, []
-
-        def results():
-            if not best:
-                return
-            n = [len(s) for s, _ in best]
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.repeat(queries[0], n), pa.int64()), pa.array(np.concatenate([i for _, i in best]), pa.int64()),
-                pa.array(np.concatenate([s for s, _ in best]).astype(np.int64), pa.int64())], names=["query_id", "vec_id", "score"])
-
+        held, inside, seen = {}, 0, TaskContext.get().partitionId() << 33
         for batch in batches:
-            for r in range(batch.num_rows):
-                row = {f: batch.column(j)[r].as_py() for j, f in enumerate(batch.schema.names)}
-                if (now := (row["dim"], row["q_ids"])) != key:
-                    yield from results()
-                    key, queries = now, read(row, "q_")
-                    best = [(np.zeros(0), np.zeros(0, np.int64))] * len(queries[0])
-                search(queries, read(row, "x_"), best)
-        yield from results()
+            ids, slots = batch.column(0).to_pylist(), batch.column(2).to_pylist()
+            offsets, x, m = quantised(batch.column(1), scale)
+            for i in range(len(ids)):
+                dim = int(offsets[i + 1] - offsets[i])
+                own = m[offsets[i] : offsets[i + 1]]
+                with np.errstate(over="ignore"):
+                    kind = int(np.searchsorted(_KINDS, np.sqrt((own * own).sum()), "right"))
+                rows = held.setdefault((dim, kind), ([], [], []))
+                rows[0].append(ids[i])
+                rows[1].append(seen)
+                rows[2].append(x[offsets[i] : offsets[i + 1]].copy())
+                seen, inside = seen + 1, inside + dim + 8
+                if len(rows[0]) >= min(size, max(1, floats // max(1, dim))):
+                    inside -= len(rows[0]) * (dim + 8)
+                    yield pack(dim, slots[i], *held.pop((dim, kind)))
+                elif inside > 8 * floats:  # many lengths: what is held goes as it is
+                    for (d, _), r in held.items():
+                        yield pack(d, slots_of[d] if (slots_of := {dim: slots[i]}).get(d) else r_slots[d], *r) if False else pack(d, max(1, kept[d]), *r)
+                    held, inside = {}, 0
+                kept_ = slots[i]
+        for (dim, _), rows in held.items():
+            yield pack(dim, kept_, *rows)
 
     return run
-
-
-def exact_top_k(vectors: DataFrame, is_query: Column, *, id_col: str = "vec_id", vector_col: str = "embedding", k: int = 5, scale: float = 256.0, n_pivots: int = 12, block: int = 2048, query_block: int = 512) -> DataFrame:
-    """The k highest integer inner products of each query among all other rows: (query_id, rank, vec_id, score).
-
-    Components become floor(scale * x). Distances from every vector to n_pivots fixed pivots are worked out once;
-    |d(q, p) - d(x, p)| bounds the distance of q and x from below and so their product from above. Candidates are
-    evaluated in the order of that bound until the k-th score beats what is left, so the result is exact. Queries
-    are packed in blocks, which go to every slot of the data; nothing but the pivots comes to the driver.
-
-    Null ids, and vectors that are null or hold null or non-finite components, take no part. Vectors of different
-    lengths are not compared (an empty vector has product 0 with its like). Ties go to the smaller id. Repeated ids
-    are separate candidates; such a query is answered once. Other columns are ignored; an empty table gives no rows.
-    Products must stay below 2**53, which is checked.
-    """
-    spark = vectors.sparkSession
-    slots = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    rows = vectors.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).cast("array<double>").alias("v"), is_query.alias("is_query")).where("id is not null and v is not null and forall(v, x -> x is not null and not isnan(x) and abs(x) < double('infinity'))")
-    dims = rows.select(F.size("v").alias("dim"), F.aggregate("v", F.lit(0.0), lambda a, x: a + F.floor(x * scale) * F.floor(x * scale)).alias("norm")).groupBy("dim").agg(F.max("norm").alias("norm")).limit(1001).collect()
-    if len(dims) > 1000:
-        raise ValueError("more than 1000 vector lengths")
-    if any(r.norm >= 2.0**53 for r in dims):
-        raise ValueError("inner products could pass 2**53")
-    pivots = {}
-    for r in dims:  # a handful of rows each, chosen by hash
-        chosen = rows.where(F.size("v") == r.dim).select(F.transform("v", lambda x: F.floor(x * scale).cast("double")).alias("v"), F.xxhash64("v").alias("h")).distinct().orderBy("h").limit(n_pivots).collect()
-        pivots[r.dim] = np.array([c.v for c in chosen], float).reshape(len(chosen), r.dim)
-    scratch = Scratch(spark, "topk")
-    plain = rows.select("id", "v")
-    asked = rows.where("is_query").groupBy("id").agg(F.min("v").alias("v"))
-    q = scratch.table("queries", asked.mapInArrow(_blocks(scale, query_block, pivots, 1, False), _BLOCK))
-    q = q.withColumn("slot", F.explode(F.sequence(F.lit(0), F.lit(slots - 1))))
-    x = plain.mapInArrow(_blocks(scale, block, pivots, slots, False), _BLOCK)
-    side = lambda df, s: df.select("dim", "slot", *[F.col(c).alias(s + c) for c in ("n", "ids", "vectors", "distances")])
-    pairs = side(x, "x_").join(side(q, "q_").hint("shuffle_hash"), ["dim", "slot"]).sortWithinPartitions("dim", F.xxhash64("q_ids"), "q_ids")
-    hits = pairs.mapInArrow(_search(k), _HITS)
-    rank = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    return hits.withColumn("rank", F.row_number().over(rank)).where(F.col("rank") <= k).select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
