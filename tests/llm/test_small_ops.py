@@ -1,6 +1,8 @@
 """WARC bundles, URL aliases, reply trees, line spread, top-k: edge cases and plain versions."""
 
 import hashlib
+import math
+from fractions import Fraction
 
 import numpy as np
 import pytest
@@ -152,29 +154,47 @@ def test_many_sites_near_the_threshold(spark):
 
 
 def plain_top(rows, k=5):
-    v = {}
-    for i, e in rows:
-        if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e):
-            v.setdefault(i, []).append([int(np.floor(256 * x)) for x in e])
+    """Every query row against every row of another id, in whole numbers without bound, cut to longs."""
+    v = [(i, [math.floor(Fraction(x) * 256) if abs(x) > 1e300 else math.floor(256 * x) for x in e]) for i, e in rows if i is not None and e is not None and all(x is not None and np.isfinite(x) for x in e)]
     out = []
-    for q in sorted(v):
+    for q, mine in v:
         if q % 50 == 0:
-            mine = min(v[q])
-            found = sorted((-sum(a * b for a, b in zip(mine, e)), i) for i, es in v.items() if i != q for e in es if len(e) == len(mine))[:k]
+            found = sorted((-max(-(1 << 63), min((1 << 63) - 1, sum(a * b for a, b in zip(mine, e)))), i) for i, e in v if i != q and len(e) == len(mine))[:k]
             out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(found)]
-    return out
+    return sorted(out)
+
+
+def top(df, **options):
+    return sorted(map(tuple, topk.exact_top_k(df, F.col("vec_id") % 50 == 0, **options).drop("ask").collect()))
 
 
 def test_top_k_is_exact(spark):
     rng = np.random.default_rng(3)
     rows = [(i, [float(x) for x in rng.normal(size=8) / 4]) for i in range(400)]
-    rows += [(1000 + i, rows[50][1]) for i in range(30)] + [(500, None), (550, [float("nan")] * 8), (551, [None] + [0.1] * 7), (600, []), (601, []), (650, [0.5, 0.25]), (700, [float("inf")] * 8), (None, rows[3][1]), (17, rows[0][1])]
+    rows += [(1000 + i, rows[50][1]) for i in range(30)] + [(500, None), (550, [float("nan")] * 8), (551, [None] + [0.1] * 7), (600, []), (601, []), (650, [0.5, 0.25]), (700, [float("inf")] * 8), (None, rows[3][1]), (17, rows[0][1]), (100, rows[7][1]), (100, rows[7][1])]
     df = spark.createDataFrame([(*r, 0) for r in rows], "vec_id long, embedding array<double>, rank int")
     for block, pivots in ((2048, 12), (16, 3)):
-        got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0, block=block, query_block=4, n_pivots=pivots).collect()
-        assert sorted(map(tuple, got)) == plain_top(rows)
+        assert top(df, block=block, query_block=4, n_pivots=pivots) == plain_top(rows)
     assert topk.exact_top_k(df.limit(0), F.col("vec_id") % 50 == 0).count() == 0
 
 
+def test_top_k_of_every_finite_vector(spark):
+    rng = np.random.default_rng(4)
+    sizes = [0.25, 3.0, 4e5, 1e9, 3e15, 1e30, 1e160, 1.7e308]
+    rows = [(i, [float(np.clip(x, -1, 1) * sizes[(i // 3) % len(sizes)]) for x in rng.normal(size=3)]) for i in range(240)]
+    rows += [(1000, [1.7976931348623157e308, 0.0, 5e-324]), (1050, [4e5, -4e5, 0.0]), (1001, [-0.0, 1e30, -1e30])]
+    for block in (2048, 8):
+        assert top(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=block, query_block=4) == plain_top(rows)
+
+
+def test_top_k_of_many_lengths_and_a_hot_one(spark):
+    rng = np.random.default_rng(5)
+    rows = [(50 * i + j, [float(x) for x in rng.integers(-3, 3, i)]) for i in range(1500) for j in (0, 1)]
+    rows += [(10**6 + i, [0.5, -0.25, 1.0, 0.125]) for i in range(1500)]  # one vector over and over, its ids a tie
+    got = top(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3), block=64)
+    want = plain_top([r for r in rows if r[0] < 10**6 or len(r[1]) == 4])
+    assert got == want and len({q for q, *_ in got}) == 1500 + 30
+
+
 def test_the_shared_folder_is_the_session_s(spark):
     assert shared.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
