@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -15,59 +17,52 @@ def line_key(line: Column) -> Column:
 
 
 def text_key(text: Column) -> Column:
-    """What copies are told by: MD5 of the lines that aren't blank, without spaces at their ends, in order."""
-    return F.md5(F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
+    """What copies are told by: a hash of the lines that aren't blank, without spaces at their ends, in order."""
+    return F.xxhash64(F.array_join(F.filter(F.transform(F.split(text, "\n", -1), lambda x: F.trim(x)), lambda x: x != ""), "\n"))
 
 
-def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", least_sites: int = 10, log2_registers: int = 12, band: float = 0.25) -> DataFrame:
-    """Keys of the lines that stand on least_sites different sites or more: (a, b).
+def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "source", least_sites: int = 10, least_texts: int = 1, log2_registers: int = 12, band: float = 0.25) -> DataFrame:
+    """Keys of the lines that stand on least_sites different sites or more, and in least_texts different texts: (a, b).
 
-    HyperLogLog sketches of the sites merge per line by aggregation, on the map side first, so a line that is everywhere
-    costs one sketch a task. Estimates of at least (1 + band) * least_sites are taken, those under (1 - band) are
-    not (the error is 1.6 %, less for few sites); lines between get an exact distinct count.
+    HyperLogLog sketches of the sites (and texts) merge per line by aggregation, on the map side first, so a line that is
+    everywhere costs one sketch a task. Estimates of at least (1 + band) times the least number are taken, those under
+    (1 - band) are not (the error is 1.6 %, less for few); lines between get exact distinct counts.
     """
     scratch = Scratch(docs.sparkSession, "lines")
-    lines = docs.where(F.col(site_col).isNotNull() & F.col(text_col).isNotNull()).select(F.col(site_col).cast("string").alias("site"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))).alias("k")).where("k is not null").select("k.a", "k.b", "site")
-    sketched = lines.groupBy("a", "b").agg(F.hll_sketch_estimate(F.hll_sketch_agg("site", log2_registers)).alias("sites"))
-    near = scratch.table("near", sketched.where(F.col("sites") >= (1 - band) * least_sites))
-    sure = near.where(F.col("sites") >= (1 + band) * least_sites).select("a", "b")
-    unsure = near.where(F.col("sites") < (1 + band) * least_sites).select(F.col("a").alias("ua"), F.col("b").alias("ub"))
-    exact = lines.join(unsure, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi").distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least_sites).select("a", "b")
-    return scratch.table("spread", sure.unionByName(exact))
+    asked = {"site": (F.col(site_col).cast("string"), least_sites)} | ({"copy": (text_key(F.col(text_col)), least_texts)} if least_texts > 1 else {})
+    keys = F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))
+    lines = docs.where(F.col(site_col).isNotNull() & F.col(text_col).isNotNull()).select(*[c.alias(n) for n, (c, _) in asked.items()], F.explode(keys).alias("k")).where("k is not null").select("k.a", "k.b", *asked)
+    sketched = lines.groupBy("a", "b").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(n, log2_registers)).alias(n) for n in asked])
+    all_of = lambda share: F.lit(True) if not asked else reduce(lambda x, y: x & y, [F.col(n) >= (1 + share) * least for n, (_, least) in asked.items()])
+    near = scratch.table("near", sketched.where(all_of(-band)).select("a", "b", all_of(band).alias("sure")))
+    unsure = near.where("not sure").select(F.col("a").alias("ua"), F.col("b").alias("ub"))
+    some = lines.join(unsure, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi")
+    counted = [some.select("a", "b", n).distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b") for n, (_, least) in asked.items()]
+    exact = reduce(lambda x, y: x.join(y, ["a", "b"], "left_semi"), counted)
+    return scratch.table("spread", near.where("sure").select("a", "b").unionByName(exact))
 
 
-def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 10, most_share: float = 0.5, only_copies: bool = True, out_col: str = "kept_text", removed_col: str = "removed_lines") -> DataFrame:
+def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 10, least_texts: int = 1, out_col: str = "kept_text", removed_col: str = "removed_lines") -> DataFrame:
     """Appends the text without its boilerplate, and how many lines went.
 
-    Boilerplate is every line (spaces at its ends apart) that stands on least_sites sites or more. It goes whatever its
-    share, but for copies: a document whose boilerplate is more than most_share of its non-blank characters and whose
-    text another row repeats (blank lines and spaces at the ends of lines apart) stays whole, so that the near-duplicate
-    stage can keep one of its group. Without only_copies every document beyond most_share stays whole, copy or not.
+    Boilerplate is every line (spaces at its ends apart) that stands on least_sites sites or more; it goes whatever its
+    share of a document. With least_texts such a line must stand in as many different texts too: then a page that is
+    copied whole over many sites isn't boilerplate by itself, and the near-duplicate stage can keep one of its copies.
 
-    Each document's lines are cut once; the spread keys that it holds come back to it by a join on its id, so
-    documents that repeat an id still each lose their own lines only. Null texts stay null with no line removed, null
-    sites count for no line, null ids are documents like others. Columns named like a result are replaced, others
-    stay, and an empty table gives no rows.
+    Each document's lines are cut once; the places of its spread lines come back to it by a join on its id and a hash
+    of its text, so documents that repeat an id, or have none, still each lose their own lines only, and the work
+    follows a text's lines however long it is. Null texts stay null with no line removed, null sites count for no
+    line. Columns named like a result are replaced, others stay, and an empty table gives no rows.
     """
     scratch = Scratch(docs.sparkSession, "lines")
     docs = docs.drop(out_col, removed_col)
-    found = spread_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
-    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), (text_key(F.col(text_col)) if only_copies else F.lit(None)).alias("c"), F.explode(F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))).alias("k")).where("k is not null")
-    held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb")))
-    if only_copies:
-        # a copy of a text that holds a spread line holds it too; rows of one id and text each brought every key once
-        texts = scratch.table("texts", held.groupBy("id", "c").agg(F.collect_set("k").alias("ks"), F.count("*").alias("n")))
-        copies = texts.groupBy(F.col("c").alias("copy")).agg(F.sum(F.expr("n div size(ks)")).alias("rows")).where("rows > 1").select("copy")
-        held = texts.join(copies, F.col("c") == F.col("copy"), "left").groupBy(F.col("id").alias("__id")).agg(F.array_distinct(F.flatten(F.collect_list("ks"))).alias("__spread"), F.collect_set("copy").alias("__copies"))
-    else:
-        held = held.groupBy(F.col("id").alias("__id")).agg(F.collect_set("k").alias("__spread"))
+    found = spread_lines(docs, text_col=text_col, site_col=site_col, least_sites=least_sites, least_texts=least_texts).select(F.col("a").alias("sa"), F.col("b").alias("sb"))
+    parts = F.split(F.col(text_col), "\n", -1)
+    cut = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("h"), F.posexplode(F.transform(parts, line_key)).alias("at", "k")).where("k is not null")
+    held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb"))).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("at")).alias("__at"))
     # a merge join at every size: what it moves follows the input, and what it needs doesn't grow with the spread lines
-    joined = docs.join(scratch.table("held", held).hint("merge"), docs[id_col].eqNullSafe(F.col("__id")), "left")
-    flagged = F.transform(F.split(F.col(text_col), "\n", -1), lambda x: F.struct(x.alias("line"), F.coalesce(F.array_contains("__spread", line_key(x)), F.lit(False)).alias("spread")))
-    size = lambda only: F.aggregate("__lines", F.lit(0), lambda n, x: n + F.when(only(x), F.length(F.trim(x.line))).otherwise(0))
-    keep = F.array_join(F.transform(F.filter("__lines", lambda x: ~x.spread), lambda x: x.line), "\n")
-    alone = ~F.array_contains("__copies", text_key(F.col(text_col))) if only_copies else F.lit(False)
-    cut = F.col("__spread").isNotNull() & ((size(lambda x: x.spread) <= most_share * size(lambda x: F.lit(True))) | alone)
-    removed = F.when(cut, F.size(F.filter("__lines", lambda x: x.spread))).otherwise(0)
-    marked = joined.withColumn("__lines", F.when(F.col("__spread").isNotNull(), flagged))
-    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], F.when(cut, keep).otherwise(F.col(text_col)).alias(out_col), removed.cast("long").alias(removed_col))
+    same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__h"))
+    marked = docs.join(scratch.table("held", held).hint("merge"), same, "left").withColumn("__ends", F.concat(F.array(F.lit(-1)), "__at", F.array(F.size(parts))))
+    between = F.transform(F.sequence(F.lit(0), F.size("__at")), lambda i: F.slice(parts, F.get("__ends", i) + 2, F.get("__ends", i + 1) - F.get("__ends", i) - 1))
+    kept = F.when(F.col("__at").isNotNull(), F.array_join(F.flatten(between), "\n")).otherwise(F.col(text_col))
+    return marked.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias(out_col), F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias(removed_col))

@@ -35,19 +35,13 @@ def op3_subword_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", F.col("lang_score").alias("score"), F.col("lang_rejected").alias("rejected"))
 
 
-def op4_site_spread_lines(spark: SparkSession, sf_dir: str, only_copies: bool = False) -> DataFrame:
-    """As its SQL has it: each document that is more than half boilerplate stays whole."""
+def op4_site_spread_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .lines import remove_spread_lines
 
-    out = remove_spread_lines(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"), only_copies=only_copies)
+    out = remove_spread_lines(_read(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return out.select("doc_id", F.col("removed_lines").alias("n_removed"), F.length("kept_text").cast("long").alias("kept_chars"), F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
-def op4_spread_lines_but_copies(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Boilerplate goes whatever its share; of the documents that are more than half boilerplate only copies stay whole."""
-    return op4_site_spread_lines(spark, sf_dir, only_copies=True)
-
-
 def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -138,21 +132,9 @@ _OP4_SQL = """
 WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
 l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d WHERE text IS NOT NULL),
 s AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
-g AS (SELECT r, count(*) FILTER (t IS NOT NULL) AS n, coalesce(sum(length(trim(line))) FILTER (t IS NOT NULL), 0) AS gone, sum(length(trim(line))) AS total,
-  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (t IS NULL), '') AS kept FROM l LEFT JOIN s ON t = trim(line) GROUP BY r),
-j AS (SELECT d.*, g.kept, CASE WHEN g.n > 0 AND 2 * g.gone <= g.total THEN g.n ELSE 0 END AS n FROM d LEFT JOIN g USING (r))
-SELECT doc_id, CAST(n AS BIGINT) AS n_removed, CAST(length(CASE WHEN n > 0 THEN kept ELSE text END) AS BIGINT) AS kept_chars, sha256(CASE WHEN n > 0 THEN kept ELSE text END) AS kept_sha256 FROM j
-"""
-
-_OP4_COPIES_SQL = """
-WITH d AS (SELECT doc_id, source, text, row_number() OVER () AS r FROM documents),
-l AS (SELECT r, source, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS k FROM d WHERE text IS NOT NULL),
-s AS (SELECT trim(line) AS t FROM l WHERE trim(line) <> '' GROUP BY 1 HAVING count(DISTINCT source) >= 10),
-g AS (SELECT r, count(*) FILTER (t IS NOT NULL) AS n, coalesce(sum(length(trim(line))) FILTER (t IS NOT NULL), 0) AS gone, sum(length(trim(line))) AS total,
-  coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (t IS NULL), '') AS kept, string_agg(trim(line), chr(10) ORDER BY k) FILTER (trim(line) <> '') AS bare FROM l LEFT JOIN s ON t = trim(line) GROUP BY r),
-c AS (SELECT *, count(*) OVER (PARTITION BY bare) AS same FROM g),
-j AS (SELECT d.*, c.kept, CASE WHEN c.n > 0 AND (2 * c.gone <= c.total OR c.same = 1) THEN c.n ELSE 0 END AS n FROM d LEFT JOIN c USING (r))
-SELECT doc_id, CAST(n AS BIGINT) AS n_removed, CAST(length(CASE WHEN n > 0 THEN kept ELSE text END) AS BIGINT) AS kept_chars, sha256(CASE WHEN n > 0 THEN kept ELSE text END) AS kept_sha256 FROM j
+g AS (SELECT r, count(*) FILTER (t IS NOT NULL) AS n, coalesce(string_agg(line, chr(10) ORDER BY k) FILTER (t IS NULL), '') AS kept FROM l LEFT JOIN s ON t = trim(line) GROUP BY r),
+j AS (SELECT d.doc_id, coalesce(g.n, 0) AS n, CASE WHEN g.n > 0 THEN g.kept ELSE d.text END AS kept FROM d LEFT JOIN g USING (r))
+SELECT doc_id, CAST(n AS BIGINT) AS n_removed, CAST(length(kept) AS BIGINT) AS kept_chars, sha256(kept) AS kept_sha256 FROM j
 """
 
 _OP8_SQL = r"""
@@ -198,4 +180,4 @@ SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f W
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows. op6's holds where no page names a canonical or refresh address, as in these tables."""
-    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op4_spread_lines_but_copies": _OP4_COPIES_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}
+    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}

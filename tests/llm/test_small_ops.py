@@ -105,45 +105,59 @@ def test_control_strings_come_back(spark):
         assert r.loss == "".join(t for role, t in said if role == "assistant")
 
 
-def plain_lines(rows, least, share=0.5):
-    sites = {}
+def plain_lines(rows, least, texts=1):
+    bare = lambda text: "\n".join(x.strip(" ") for x in text.split("\n") if x.strip(" "))
+    sites, kinds = {}, {}
     for _, text, site in rows:
         for x in (text or "").split("\n"):
-            if x.strip(" "):
+            if x.strip(" ") and site is not None:
                 sites.setdefault(x.strip(" "), set()).add(site)
-    spread = {x for x, s in sites.items() if len(s - {None}) >= least}
+                kinds.setdefault(x.strip(" "), set()).add(bare(text))
+    spread = {x for x, s in sites.items() if len(s) >= least and len(kinds[x]) >= texts}
     out = []
     for i, text, _ in rows:
-        if text is None:
-            out.append((i, None, 0))
-            continue
-        parts = text.split("\n")
-        gone = [x for x in parts if x.strip(" ") in spread]
-        cut = gone and sum(len(x.strip(" ")) for x in gone) <= share * sum(len(x.strip(" ")) for x in parts)
-        out.append((i, "\n".join(x for x in parts if x.strip(" ") not in spread) if cut else text, len(gone) if cut else 0))
+        parts = (text or "").split("\n")
+        gone = sum(x.strip(" ") in spread for x in parts)
+        out.append((i, "\n".join(x for x in parts if x.strip(" ") not in spread) if gone else text, gone))
     return sorted(out, key=str)
 
 
 def test_spread_lines_go(spark):
     own = "this line is long and stands in one document only, number {}".format
     rows = [(i, f"{own(i)}\n  all rights reserved \n\nend {i % 3}", f"site{i % 7}") for i in range(60)]
-    rows += [(100 + i, "all rights reserved\nend 1", f"site{i}") for i in range(4)] + [(None, own("x") + "\nall rights reserved", "site1"), (200, None, "site2"), (201, "", "site2"), (202, own("y") + "\nall rights reserved", None), (3, own("other") + "\nall rights reserved", "site9"), (5, rows[5][1], "site5")]
+    rows += [(100 + i, "all rights reserved\nend 1", f"site{i}") for i in range(4)] + [(None, own("x") + "\nall rights reserved", "site1"), (None, "end 2\n" + own("z"), "site1"), (200, None, "site2"), (201, "", "site2"), (202, own("y") + "\nall rights reserved", None), (3, own("other") + "\nall rights reserved", "site9"), (5, rows[5][1], "site5"), (6, "end 1\n\nend 1\n", "site1"), (7, "\n" * 3 + "end 2", "site1")]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, source string, kept_text int")
-    for least in (3, 7, 8, 20):
-        got = lines.remove_spread_lines(docs, least_sites=least)
-        assert sorted([(r.doc_id, r.kept_text, r.removed_lines) for r in got.collect()], key=str) == plain_lines(rows, least)
+    for least, texts in ((3, 1), (7, 1), (8, 1), (20, 1), (3, 5), (7, 21), (7, 22), (7, 23)):
+        got = lines.remove_spread_lines(docs, least_sites=least, least_texts=texts)
+        assert sorted([(r.doc_id, r.kept_text, r.removed_lines) for r in got.collect()], key=str) == plain_lines(rows, least, texts)
     assert lines.remove_spread_lines(docs.limit(0)).count() == 0
 
 
-def test_short_pages_lose_their_boilerplate_and_copies_stay(spark):
+def test_short_pages_lose_their_boilerplate_and_whole_copies_may_stay(spark):
     licence = "\n".join(f"licence line {k} that every site repeats" for k in range(6))
-    rows = [(i, f"{licence}\nown {i}", f"site{i}") for i in range(12)]  # more than half boilerplate, no copies
+    rows = [(i, f"{licence}\nown {i}", f"site{i}") for i in range(12)]  # more than half boilerplate
     rows += [(100 + i, "a story\nthat was copied" + "  \n" * (i % 2), f"site{i}") for i in range(12)]
-    rows += [(200, licence, "site1"), (300, f"{licence}\ntwice", "site1"), (300, f"{licence}\ntwice", "site1"), (None, f"{licence}\nnull id", "site2"), (7, "a story\nown 7b", "site3")]
+    rows += [(200, licence, "site1"), (300, f"{licence}\ntwice", "site1"), (300, f"{licence}\ntwice", "site1"), (None, f"{licence}\nnull id", "site2"), (7, "a story\nown 7b", "site3"), (400, "the same first line\n" * 1, "site1")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
-    got = lines.remove_spread_lines(docs).collect()
-    want = [(i, f"own {i}", 6) for i in range(12)] + [(r[0], r[1], 0) for r in rows[12:24]] + [(200, "", 6), (300, rows[25][1], 0), (300, rows[25][1], 0), (None, "null id", 6), (7, "own 7b", 1)]
-    assert sorted([(r.doc_id, r.kept_text, r.removed_lines) for r in got], key=str) == sorted(want, key=str)
+    for texts in (1, 10):
+        got = sorted([(r.doc_id, r.kept_text, r.removed_lines) for r in lines.remove_spread_lines(docs, least_texts=texts).collect()], key=str)
+        assert got == plain_lines(rows, 10, texts)
+        assert {g for g in got if g[0] is not None and g[0] < 12 and g[2] == 6} == {(i, f"own {i}", 6) for i in range(12)} and (200, "", 6) in got
+        copies = {g[1] for g in got if g[0] is not None and 100 <= g[0] < 112}
+        assert copies == ({""} if texts == 1 else {"a story\nthat was copied", "a story\nthat was copied  \n"})
+
+
+def test_twenty_short_documents_with_one_line_in_common(spark):
+    rows = [(i, f"a line of thirty letters or so it is\nx{i}", f"site{i}") for i in range(20)]
+    got = lines.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.kept_text, r.removed_lines) for r in got.collect()} == {(i, f"x{i}", 1) for i in range(20)}
+
+
+def test_a_long_text_of_spread_lines(spark):
+    shared = [f"common line number {k}" for k in range(3000)]
+    rows = [(i, "\n".join([*shared, f"own {i}", *shared]), f"site{i}") for i in range(11)]
+    got = lines.remove_spread_lines(spark.createDataFrame(rows, "doc_id long, text string, source string"))
+    assert {(r.doc_id, r.kept_text, r.removed_lines) for r in got.collect()} == {(i, f"own {i}", 6000) for i in range(11)}
 
 
 def test_many_sites_near_the_threshold(spark):

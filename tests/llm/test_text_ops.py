@@ -311,7 +311,7 @@ def test_pipeline_against_a_plain_version(spark, tmp_path):
 
     assert not {2000, 2001, 2002} & set(steps["language"]) and len(steps["language"]) >= 0.97 * (len(rows) - 3)
     before = [r for r in rows if r[0] in steps["language"]]
-    lines = {i: t for i, t, _ in plain_lines([(i, t, s) for i, t, _, s in before], 10)}
+    lines = {i: t for i, t, _ in plain_lines([(i, t, s) for i, t, _, s in before], 10, 10)}
     assert steps["lines"] == lines and any(boiler not in t for i, t in lines.items() if boiler in dict((r[0], r[1]) for r in rows)[i])
     groups = plain_components(list(lines.items()), 5, 80)
     assert set(steps["near_duplicates"]) == {i for i, n, c in groups if not n or i == c}
