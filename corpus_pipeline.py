@@ -24,8 +24,11 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Takes cross-site boilerplate lines out of the texts; n_chars follows the text."""
-    out = remove_spread_lines(docs)
+    """Takes cross-site boilerplate lines out of the texts, whatever their share; n_chars follows the text.
+
+    A line must stand in ten different texts too, so that a page copied whole over ten sites is left to the next stage.
+    """
+    out = remove_spread_lines(docs, least_texts=10)
     new = {"text": F.col("kept_text"), "n_chars": F.when(F.col("removed_lines") > 0, F.length("kept_text").cast("long")).otherwise(F.col("n_chars"))}
     return out.select(*[new.get(c, F.col(f"`{c}`")).alias(c) for c in docs.columns])
 
