@@ -61,10 +61,30 @@ def test_urls_take_verdicts_from_aliases(spark):
     more = spark.createDataFrame([("http://d.org/5", "http://bad.com/q")], "src string, dst string")
     assert {r.verdict for r in urls.judge_urls(pages, RULES, redirects=more).where("page_id = 5").collect()} == {"block"}
     assert urls.judge_urls(pages.limit(0), RULES).count() == 0
+    assert [r.verdict for r in urls.judge_urls(pages, spark.createDataFrame(RULES, "verdict string, host string, path string")).where("page_id = 2").collect()] == ["block"]
     hosts = pages.select(urls.url_host(F.col("url")).alias("h"), urls.url_path(F.col("url")).alias("p")).where("url like '%NET%'").first()
     assert tuple(hosts) == ("x.net", "/de/8")
 
 
+def test_addresses_meet_however_they_are_written(spark):
+    link = '<link rel="canonical" href="{}">'.format
+    rows = [
+        (1, "http://x.org/p?a=1&b=2", ""), (2, "http://a.org/2", link("http://X.org:80/p?a=1&amp;b=2")), (3, "HTTPS://Bad.com:443/q/./r/../s", ""), (4, "http://a.org/4", link("https://bad.com/q/s")), (5, "http://a.org/5", link("http://a.org/4#top")),
+        (6, "http://b.org", ""), (7, "http://a.org/x/y/7", link("../../../../z/.")), (8, "http://a.org/z/", link("?q=&#x31;&#49;")), (9, "http://bad.com/w", link("http://b.org/")), (None, "http://a.org/z/?q=11", link("http://bad.com/v")), (10, "http://c.org/&amp;lt;", None), (11, "http://c.org/1", link("/&amp;amp;lt;")),
+    ]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.component) for r in urls.judge_urls(pages, [("block", "bad.com", "/")]).collect()}
+    assert {i: v for i, (v, _) in got.items()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "block", None: "block", 10: "allow", 11: "allow"}
+    assert got[1][1] == got[2][1] and got[3][1] == got[4][1] == got[5][1] and got[6][1] == got[9][1] and got[7][1] == got[8][1] == got[None][1] and got[10][1] == got[11][1]
+
+
+def test_many_rules_are_a_table(spark):
+    rules = [("block", f"h{i}.example", "/") for i in range(3000)] + [("allow", "h7.example", "/ok"), ("block", "h7.example", "/ok"), ("block", "h9.example", "/x"), ("block", "h9.example", "/x")]
+    pages = spark.createDataFrame([(i, f"http://www.h{i}.example/" + ("ok" if i % 2 else "x"), None) for i in range(3010)], "page_id long, url string, html string")
+    got = {r.page_id: (r.verdict, r.rule) for r in urls.judge_urls(pages, rules).collect()}
+    assert got == {i: ("allow", "h7.example/ok") if i == 7 else ("allow", None) if i >= 3000 else ("block", f"h{i}.example/") for i in range(3010)}
+
+
 def test_reply_trees_rank_and_format(spark):
     rows = [(1, "r", None, "user", "q", 1.0), (1, "a", "r", "assistant", "good", 5.0), (1, "b", "r", "assistant", "bad", 0.0), (1, "c", "a", "user", "thanks", 5.0), (1, "d", "a", "user", "hm", None), (2, "x", "gone", "user", None, 0.0), (3, "p", "q", "user", "cycle", 9.0), (3, "q", "p", "assistant", "cycle", 9.0), (3, "s", "q", "user", "under a cycle", 9.0), (None, "n", None, "user", "no tree", 0.0)]
     nodes = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string, score double")
