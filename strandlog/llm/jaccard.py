@@ -5,7 +5,6 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,10 +12,12 @@ from .components import connected_components
 from .shared import Scratch, mixed, slices, text_bytes
 from .words import UNSPACED, Words
 
-_META = "id long, n long, h1 long, h2 long, near0 binary, near1 binary"
-_SIGNED = "sig long, id long, n int, shift byte"
-_SHARED = _SIGNED + ", other long, other_n int, other_shift byte"
+_META = "kind byte, id long, n long, h1 long, h2 long, near0 binary, near1 binary"
+_TOKEN = "token long, salt int, id long, n int, at int"
+_MET = "kind byte, token long, id long, n int, other long, other_n int"
 _SALT = np.uint64(0x9FB21C651E98DF25)
+#: Cells that shingles are counted in; a cell's weight is the bit length of its count. Tokens of at least this weight are salted.
+_CELLS, _HOT = 1 << 20, 14
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -50,37 +51,24 @@ class Levels:
         return np.searchsorted(self.starts, n, "right") - 1
 
 
-def signatures(hashes: np.ndarray, offsets: np.ndarray, levels: Levels) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, signature, levels below the text's own) rows such that any two similar sets have one in common.
+def in_order(hashes: np.ndarray, offsets: np.ndarray, weights: np.ndarray) -> np.ndarray:
+    """The order that sorts each set by the one global order: weight of the shingle's cell (rare ones first), then hash."""
+    doc = np.repeat(np.arange(len(offsets) - 1), np.diff(offsets))
+    return np.lexsort((hashes, weights[_cell(hashes)], doc))
 
-    At a level, the shingles are dealt to more buckets by their hash than two similar sets can have differences, so one
-    bucket at least is the same in both; its content is the signature. Empty buckets are the same for all and are left
-    out, unless a set has so many of them that what is left wouldn't do.
-    """
+
+def _cell(hashes: np.ndarray) -> np.ndarray:
+    return (mixed(hashes + _SALT) & np.uint64(_CELLS - 1)).astype(np.int64)
+
+
+def prefixes(hashes: np.ndarray, offsets: np.ndarray, percent: int, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(text, token, place) of each set's first shingles in the global order, so many that two similar sets have one in common."""
     n = np.diff(offsets)
-    texts, sums, shifts = [], [], []
-    own = mixed(hashes ^ _SALT)
-    doc = np.repeat(np.arange(len(n)), n)
-    for shift in (0, 1):
-        level = levels.of(n) - shift
-        used = (n > 0) & (level >= 0)
-        buckets = np.where(used, levels.buckets[np.maximum(level, 0)], 0)
-        base = np.cumsum(buckets) - buckets
-        at = used[doc]
-        slot = base[doc[at]] + (own[at] % buckets[doc[at]].astype(np.uint64)).astype(np.int64)
-        total = int(buckets.sum())
-        value = mixed(hashes[at])
-        low = np.bincount(slot, (value & np.uint64(0xFFFFFFFF)).astype(float), total).astype(np.uint64)
-        high = np.bincount(slot, (value >> np.uint64(32)).astype(float), total).astype(np.uint64)
-        filled = np.bincount(slot, minlength=total) > 0
-        owner = np.repeat(np.arange(len(n)), buckets)
-        enough = np.bincount(owner[filled], minlength=len(n)) > levels.differ[np.maximum(level, 0)]
-        keep = np.flatnonzero(filled | ~enough[owner])
-        key = mixed(low[keep] + (high[keep] << np.uint64(32))) + (keep - base[owner[keep]]).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93) + level[owner[keep]].astype(np.uint64)
-        texts.append(owner[keep])
-        sums.append(mixed(key))
-        shifts.append(np.full(len(keep), shift))
-    return np.concatenate(texts), np.concatenate(sums), np.concatenate(shifts)
+    many = np.where(n > 0, n - -(-percent * n // 100) + 1, 0)
+    order = in_order(hashes, offsets, weights)
+    text = np.repeat(np.arange(len(n)), many)
+    place = np.arange(len(text)) - np.repeat(np.cumsum(many) - many, many)
+    return text, hashes[order[offsets[text] + place]], place
 
 
 def histograms(hashes: np.ndarray, offsets: np.ndarray, levels: Levels, shift: int) -> list[bytes]:
@@ -105,157 +93,190 @@ def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _meta(size: int, percent: int):
+    """A row a set: its size, two sums that tell equal sets, and its histograms; and, as kind 1, the cells that hold
+    clearly more shingles of this task than most do: (cell, count)."""
+
+    def rows(kind, *columns):
+        kinds = pa.array(np.full(len(columns[0]), kind, np.int8))
+        return pa.RecordBatch.from_arrays([kinds, *columns], names=[f.strip().split()[0] for f in _META.split(",")])
+
     def run(batches):
-        levels = Levels(percent)
+        levels, seen = Levels(percent), np.zeros(_CELLS, np.int64)
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
-                padded = np.append(hashes, np.uint64(0))
-                sums = [np.where(np.diff(offsets) > 0, np.add.reduceat(mixed(padded ^ salt), offsets[:-1]), np.uint64(0)).astype(np.uint64).view(np.int64) for salt in (np.uint64(0), _SALT)]
+                seen += np.bincount(_cell(hashes), minlength=_CELLS)
                 near = [pa.array(histograms(hashes, offsets, levels, shift), pa.binary()) for shift in (0, 1)]
-                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(np.diff(offsets)), *map(pa.array, sums), *near], names=["id", "n", "h1", "h2", "near0", "near1"])
+                yield rows(0, part.column(0), pa.array(np.diff(offsets)), *map(pa.array, set_sums(hashes, offsets)), *near)
+        often = np.flatnonzero(seen >= seen.mean() + 4)
+        none = pa.nulls(len(often), pa.int64())
+        yield rows(1, pa.array(often), pa.array(seen[often]), none, none, pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()))
 
     return run
 
 
-def _signed(size: int, percent: int):
-    """Signature rows; of equal sets in a slice only the one of the smallest id has any."""
+def set_sums(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
+    """Two 64-bit sums over each set that are equal for equal sets."""
+    padded, some = np.append(hashes, np.uint64(0)), np.diff(offsets) > 0
+    return [np.where(some, np.add.reduceat(mixed(padded ^ salt), offsets[:-1]), np.uint64(0)).astype(np.uint64).view(np.int64) if len(some) else np.zeros(0, np.int64) for salt in (np.uint64(0), _SALT)]
+
+
+def _tokens(size: int, percent: int, weights):
+    """Prefix rows; of equal sets in a slice only the one of the smallest id has any. Tokens of heavy cells get a salt."""
 
     def run(batches):
-        levels = Levels(percent)
+        weight = weights.value
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
                 n, ids = np.diff(offsets), part.column(0).fill_null(0).to_numpy()
-                total = np.where(n > 0, np.add.reduceat(mixed(np.append(hashes, np.uint64(0)) ^ _SALT), offsets[:-1]), np.uint64(0))
-                order = np.lexsort((ids, n, total))
+                one, two = set_sums(hashes, offsets)
+                order = np.lexsort((ids, n, two, one))
                 chosen = np.asarray(part.column(0).is_valid()).copy()
-                again = order[1:][(total[order][1:] == total[order][:-1]) & (n[order][1:] == n[order][:-1]) & chosen[order][:-1]]
-                chosen[again] = False
-                text, sig, shift = signatures(hashes, offsets, levels)
+                same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] == n[order][:-1])
+                chosen[order[1:][same & chosen[order][:-1]]] = False
+                text, token, place = prefixes(hashes, offsets, percent, weight)
                 keep = chosen[text]
-                text = text[keep]
-                yield pa.RecordBatch.from_arrays([pa.array(sig[keep].view(np.int64)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(shift[keep].astype(np.int8))], names=["sig", "id", "n", "shift"])
+                text, token, place = text[keep], token[keep], place[keep]
+                salts = 1 << np.maximum(weight[_cell(token)].astype(np.int64) - _HOT + 2, 0)
+                salt = np.where(salts > 4 - 1, 1 + (mixed(ids[text].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), 0)
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(place.astype(np.int32))], names=[f.strip().split()[0] for f in _TOKEN.split(",")])
 
     return run
 
 
-def _shared(few: int):
-    """Of rows sorted by signature, those whose signature others have too: groups of few rows as pairs, larger ones as they are."""
+def _meeting(few: int, percent: int):
+    """Of rows sorted by token, salt and size, what may link by a token that both have.
 
-    def pairs(group, size):
-        """Pairs of the rows of groups of one size, given as (groups, size) positions."""
-        i, j = np.triu_indices(size, 1)
-        return group[:, i].ravel(), group[:, j].ravel()
+    Groups of up to few rows without a salt give their pairs (kind 0) whose sizes and places leave room for enough
+    overlap. Larger ones give chains (kind 1): each row with the next one, unless the next is too large for any link
+    with this one or a smaller one; so whatever links is in one chain, however large the group is. Salted groups
+    give their chains too, and of each chain its sizes (kind 2: id, n to other_n), to be chained over all salts.
+    """
+
+    def rows(kind, token, a, an, b, bn):
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *(pa.array(v.astype(t)) for v, t in ((token, np.int64), (a, np.int64), (an, np.int32), (b, np.int64), (bn, np.int32)))], names=[f.strip().split()[0] for f in _MET.split(",")])
+
+    def small(cols, start, size):
+        token, _, ids, n, at = cols
+        first, second = [], []
+        for s in range(2, few + 1):
+            own = start[size == s]
+            if len(own):
+                group = own[:, None] + np.arange(s)
+                i, j = np.triu_indices(s, 1)
+                first.append(group[:, i].ravel())
+                second.append(group[:, j].ravel())
+        if not first:
+            return
+        x, y = np.concatenate(first), np.concatenate(second)
+        need = -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent))
+        fits = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
+        x, y = x[fits], y[fits]
+        swap = ids[x] > ids[y]
+        x, y = np.where(swap, y, x), np.where(swap, x, y)
+        table = pd.DataFrame({"a": ids[x], "an": n[x], "b": ids[y], "bn": n[y]}).drop_duplicates()
+        if len(table):
+            yield rows(0, np.zeros(len(table)), *(table[c].to_numpy() for c in ("a", "an", "b", "bn")))
 
     def run(batches):
-        held, large = None, None  # rows of a signature that may go on; a signature already known to be large
+        held, large, last = None, None, None  # rows of a group that may go on; a group known to be large and its last row; its chain so far
+        chain = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(4)]
+            cols = [batch.column(k).to_numpy() for k in range(5)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
-            sig = cols[0]
-            if not len(sig):
+                held = None
+            token, salt, ids, n, _ = cols
+            if not len(token):
                 continue
-            new = np.flatnonzero(np.append(True, sig[1:] != sig[:-1]))
-            size = np.diff(np.append(new, len(sig)))
-            big = (size > few) | (sig[new] == large if large is not None else False)
-            goes_on = np.zeros(len(new), bool)
-            goes_on[-1] = not big[-1]
-            large = sig[-1] if big[-1] else None
-            held = [x[new[-1] :] for x in cols] if goes_on[-1] else None
-            yield from emit(cols, new, size, big, ~goes_on)
+            new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
+            start = np.flatnonzero(new)
+            size = np.diff(np.append(start, len(token)))
+            goes_on = large == (token[0], salt[0])
+            chained = (size > few) | (salt[start] > 0)
+            chained[0] |= goes_on
+            if not chained[-1]:
+                held = [c[start[-1] :] for c in cols]
+            yield from small(cols, *((start[~chained], size[~chained]) if held is None else (start[~chained][:-1], size[~chained][:-1])))
+            at = np.flatnonzero(np.repeat(chained, size))
+            if chain is not None and not goes_on:
+                yield from segments([chain])
+                chain, last = None, None
+            large = (token[-1], salt[-1]) if chained[-1] else None
+            if len(at):
+                t, s, i, m = (c[at] for c in (token, salt, ids, n))
+                if last is not None:
+                    t, s, i, m = (np.append(v, w) for v, w in zip(last, (t, s, i, m)))
+                joined = (t[1:] == t[:-1]) & (s[1:] == s[:-1]) & (100 * m[:-1].astype(np.int64) >= percent * m[1:].astype(np.int64))
+                k = np.flatnonzero(joined & (i[1:] != i[:-1]))
+                if len(k):
+                    yield rows(1, t[k], i[k], m[k], i[k + 1], m[k + 1])
+                head = np.append(True, ~joined)
+                lead = np.flatnonzero(head)
+                stop = np.append(lead[1:], len(t)) - 1
+                found = [(int(t[x]), int(s[x]), int(i[x]), int(m[x]), int(m[y])) for x, y in zip(lead.tolist(), stop.tolist()) if s[x] > 0]
+                if chain is not None and found and found[0][:2] == chain[:2] and not head[1:2].all():
+                    found[0] = (*chain[:4], found[0][4])
+                elif chain is not None:
+                    found.insert(0, chain)
+                open_ = large is not None and s[-1] > 0
+                yield from segments(found[:-1] if open_ else found)
+                chain = found[-1] if open_ else None
+                last = tuple(v[-1:] for v in (t, s, i, m)) if large is not None else None
         if held is not None:
-            yield from emit(held, np.array([0]), np.array([len(held[0])]), np.array([False]), np.array([True]))
+            start = np.array([0])
+            yield from small(held, start, np.array([len(held[0])]))
+        if chain is not None:
+            yield from segments([chain])
 
-    def emit(cols, new, size, big, done):
-        sig, ids, n, shift = cols
-        rows = np.repeat(big, size)
-        first, second = [], []
-        for s in range(2, few + 1):
-            start = new[(size == s) & ~big & done]
-            if len(start):
-                x, y = pairs(start[:, None] + np.arange(s), s)
-                first.append(x)
-                second.append(y)
-        x, y = (np.concatenate(v) if v else np.zeros(0, np.int64) for v in (first, second))
-        table = pd.DataFrame({"id": ids[x], "n": n[x], "other": ids[y], "other_n": n[y], "shift": shift[x], "other_shift": shift[y]})
-        table = table[table.id != table.other].drop_duplicates()
-        if rows.any() or len(table):
-            k = int(rows.sum())
-            none = pa.nulls(k, pa.int64()), pa.nulls(k, pa.int32()), pa.nulls(k, pa.int8())
-            fixed = [pa.array(np.append(sig[rows], np.zeros(len(table), np.int64))), pa.array(np.append(ids[rows], table.id.to_numpy())), pa.array(np.append(n[rows], table.n.to_numpy()).astype(np.int32)), pa.array(np.append(shift[rows], table["shift"].to_numpy()).astype(np.int8))]
-            other = [pa.concat_arrays([none[0], pa.array(table.other.to_numpy(np.int64))]), pa.concat_arrays([none[1], pa.array(table.other_n.to_numpy(np.int32))]), pa.concat_arrays([none[2], pa.array(table.other_shift.to_numpy(np.int8))])]
-            yield pa.RecordBatch.from_arrays([*fixed, *other], names=["sig", "id", "n", "shift", "other", "other_n", "other_shift"])
+    def segments(found):
+        if found:
+            t, _, i, a, b = (np.array(v) for v in zip(*found))
+            yield rows(2, t, i, a, i, b)
 
     return run
 
 
-def _close_pairs(percent: int):
-    """Of pairs (id, n, near, other, other_n, other_near), those whose histograms are near enough for a link."""
+def _over_salts(percent: int):
+    """Chains the segments of each token (id, n to other_n), sorted by token and n: links of those near enough in size."""
 
     def run(batches):
+        now, reach, lead = None, 0, None
         for batch in batches:
-            x, y = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint8).astype(np.int16) for k in (2, 5))
-            if not len(x):
-                continue
-            size = pc.binary_length(batch.column(2)).to_numpy()
-            apart = np.add.reduceat(np.abs(x - y).astype(np.int64), np.cumsum(size) - size)
-            n, other = batch.column(1).to_numpy(), batch.column(4).to_numpy()
-            keep = apart <= (n.astype(np.int64) + other) * (100 - percent) // (100 + percent)
-            yield _batch(batch.column(0).to_numpy()[keep], batch.column(3).to_numpy()[keep])
+            out = []
+            for token, i, low, high in zip(*(batch.column(k).to_pylist() for k in range(4))):
+                if token == now and 100 * reach >= percent * low:
+                    out.append((lead, i))
+                    reach = max(reach, high)
+                else:
+                    now, reach = token, high
+                lead = i
+            out = [(a, b) for a, b in out if a != b]
+            if out:
+                yield _batch(*(np.array(v, np.int64) for v in zip(*out)))
 
     return run
 
 
-def _differ(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.abs(a.astype(np.int16) - b.astype(np.int16)).sum(1, dtype=np.int64)
-
-
-def close(n: np.ndarray, near: np.ndarray, percent: int) -> np.ndarray:
-    """Groups of sets of one signature: the first of each set's group. Sets whose histograms are too far apart for a link
-    are in one group only if others join them."""
-    group = np.full(len(n), -1)
-    left = np.arange(len(n))
-    while len(left):
-        first, waiting, left = left[0], [left[0]], left[1:]
-        group[first] = first
-        while waiting and len(left):
-            x = waiting.pop()
-            found = _differ(near[left], near[x]) <= (n[left] + n[x]) * (100 - percent) // (100 + percent)
-            group[left[found]] = first
-            waiting += left[found].tolist()
-            left = left[~found]
-    return group
-
-
-def _linkable(percent: int):
-    """Links of rows (sig, id, n, near) sorted by signature and id: each row to the first of its group."""
-
-    def links(parts):
-        rows = pa.Table.from_batches(parts)
-        ids, n = rows.column("id").to_numpy(), rows.column("n").to_numpy()
-        near = np.frombuffer(b"".join(rows.column("near").to_pylist()), np.uint8).reshape(len(n), -1)
-        return ids, ids[close(n, near, percent)]
+def _close_pairs(percent: int):
+    """Of pairs (id, n, its histograms, other, other_n, the other's), those near enough for a link: compared at the level of the smaller set."""
 
     def run(batches):
-        now, parts = None, []
+        levels = Levels(percent)
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            if not len(keys):
+            n, other = (batch.column(k).to_numpy().astype(np.int64) for k in (1, 5))
+            low = np.minimum(levels.of(n), levels.of(other))
+            down, other_down = levels.of(n) - low, levels.of(other) - low
+            keep = np.flatnonzero((down < 2) & (other_down < 2))
+            if not len(keep):
                 continue
-            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)]
-            out = []
-            for at, end in zip(edges, edges[1:]):
-                if keys[at] != now and parts:
-                    out.append(links(parts))
-                    parts = []
-                now = keys[at]
-                parts.append(batch.slice(at, end - at))
-            if out:
-                yield _batch(*_pairs(*(np.concatenate(x) for x in zip(*out))))
-        if parts:
-            yield _batch(*_pairs(*links(parts)))
+            x, y = ([batch.column(c + int(d))[int(k)].as_buffer() for k, d in zip(keep.tolist(), s[keep].tolist())] for c, s in ((2, down), (6, other_down)))
+            size = np.array([b.size for b in x])
+            x, y = (np.frombuffer(b"".join(v), np.uint8).astype(np.int16) for v in (x, y))
+            apart = np.add.reduceat(np.abs(x - y).astype(np.int64), np.cumsum(size) - size)
+            near = keep[apart <= (n[keep] + other[keep]) * (100 - percent) // (100 + percent)]
+            yield _batch(batch.column(0).to_numpy()[near], batch.column(4).to_numpy()[near])
 
     return run
 
@@ -335,56 +356,52 @@ class PrefixTree:
         return sets[wanted[sets]]
 
 
-def linked(ids: list[int], side: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, percent: int) -> list[tuple[int, int]]:
-    """Groups that the links among sets (of different sides, if there are two) make, as pairs (smallest id, id).
+def linked(ids: np.ndarray, label: np.ndarray, side: np.ndarray, hashes: np.ndarray, offsets: np.ndarray, percent: int, weights: np.ndarray) -> list[tuple[int, int]]:
+    """Links that join sets of different labels, one for each two labels that come together: pairs of ids.
 
-    Each two sets are compared once at most, and not at all once they are in one group.
+    Sets of one label are in one group already and sets of side 0 are not compared with each other; each other two sets
+    are compared once at most, and not at all once they are in one group.
     """
     n = len(ids)
     if n < 2:
         return []
-    codes, _ = pd.factorize(hashes)
-    counts = np.bincount(codes)
-    rank = np.empty(len(counts), np.int64)
-    rank[np.lexsort((np.arange(len(counts)), counts))] = np.arange(len(counts))
+    codes, unique = pd.factorize(hashes)
+    rank = np.empty(len(unique), np.int64)
+    rank[np.lexsort((unique, weights[_cell(unique)]))] = np.arange(len(unique))  # as the global order has them
     ranks = rank[codes].astype(np.int32)
     sets = [np.sort(ranks[offsets[i] : offsets[i + 1]]) for i in range(n)]
-    tree, inside = PrefixTree(sets), np.zeros(len(counts), np.int64)
-    group, size = np.arange(n), np.array([len(s) for s in sets])
-    two = len(np.unique(side)) > 1
-    turns = np.lexsort((np.arange(n), size))
-    left = size > 0  # not yet had their turn
-    for x in turns.tolist():
+    tree, inside = PrefixTree(sets), np.zeros(len(unique), np.int64)
+    own, first = np.unique(label, return_index=True)
+    group = np.searchsorted(own, label)
+    size = np.array([len(s) for s in sets])
+    left, out = size > 0, []  # left: not yet had their turn
+    for x in np.lexsort((np.arange(n), size)).tolist():
         left[x] = False
         wanted = left & (group != group[x])
-        if two:
-            wanted &= side != side[x]
+        if side[x] == 0:
+            wanted &= side != 0
         if not size[x] or not wanted.any():
             continue
         inside[sets[x]] = 1
         found = tree.similar(int(size[x]), inside, wanted, percent)
         inside[sets[x]] = 0
         if len(found):
-            joined = np.unique(np.append(group[found], group[x]))
-            group[np.isin(group, joined)] = joined[0]
-    names = np.array(ids)
-    order = np.lexsort((names, group))
-    new = np.ones(n, bool)
-    new[1:] = group[order][1:] != group[order][:-1]
-    lead = names[order][np.flatnonzero(new)[np.cumsum(new) - 1]]
-    return [(a, b) for a, b in zip(lead.tolist(), names[order].tolist()) if a != b]
+            joined, at = np.unique(group[found], return_index=True)
+            out += [(int(ids[x]), int(ids[f])) for f in found[at].tolist()]
+            group[np.isin(group, joined)] = group[x]
+    return out
 
 
-def _verified(size: int, percent: int):
-    """Links of each block of rows, which come sorted by block; a block's texts become sets a slice at a time."""
+def _verified(size: int, percent: int, weights):
+    """Links inside each block of rows (key, side, label, id, text), which come sorted by key; a block's texts become sets a slice at a time."""
 
     def links(parts):
         rows = pa.Table.from_batches(parts)
-        sets = [shingle_sets(*text_bytes(cut.column(3)), size) for part in parts for cut in slices(part, "text")]
+        sets = [shingle_sets(*text_bytes(cut.column(4)), size) for part in parts for cut in slices(part, "text")]
         hashes = np.concatenate([h for h, _ in sets])
         offsets = np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in sets])))
-        out = linked(rows.column("id").to_pylist(), rows.column("chunk").to_numpy(), hashes, offsets, percent)
-        return [pa.RecordBatch.from_arrays([pa.array([a for a, _ in out], pa.int64()), pa.array([b for _, b in out], pa.int64())], names=["src", "dst"])] if out else []
+        out = linked(*(rows.column(c).to_numpy() for c in ("id", "label", "side")), hashes, offsets, percent, weights.value)
+        return [_batch(*(np.array(v, np.int64) for v in zip(*out)))] if out else []
 
     def run(batches):
         now, parts = None, []
@@ -403,52 +420,84 @@ def _verified(size: int, percent: int):
     return run
 
 
+def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members with the smallest node that the links join them with, as label."""
+    labels = connected_components(links).select(F.col("node").alias("l"), F.col("component").alias("c"))
+    return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
+
+
 def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 19, few: int = 24) -> DataFrame:
     """Groups documents whose sets of word shingles link: 100 * intersection >= percent * union. (id, n_shingles, component)
 
-    Equal sets are one class, found by a hash of the set. Candidates share a signature (see `signatures`: no link
-    can be missed) and have histograms near enough for a link (see `histograms`: a bound, not a guess); they are linked to the
-    first of their group (groups of up to `few` are tried pair by pair), and components of these links are blocks. A block's
-    sets form a prefix tree in one global order, whose traversal shares overlaps along common paths and leaves a path
-    by the bound on what remains; sets that are in one group already are not compared. Blocks of more than
-    block_shingles are cut into chunks, and every two chunks meet in a task of their own, so no group has to fit in one. component is
-    the smallest id reachable by links.
+    Equal sets are one class, found by two 64-bit sums over the set. All shingles stand in one global order: by the weight
+    of the cell that they are counted in, rare ones first, then by hash. Sets are routed by their prefix tokens in that
+    order, one of which two similar sets must share. Tokens of up to `few` sets try their pairs by size, place and
+    histogram (bounds, not guesses); sets of a commoner token are chained by size, heavy ones in salted parts. The
+    components of these candidates are blocks. A block's sets form a prefix tree in the global order, whose traversal
+    shares overlaps along common paths and leaves a path by the bound on what remains; sets that are in one group
+    already are not compared. A block of more than block_shingles is cut into chunks: each meets the first one, and
+    what has not come together by then meets all others in parts, so no group has to fit in one task, and a
+    group of copies is sent twice at most. component is the smallest id reachable by links.
 
     Null texts, and texts without words, have an empty set and link with nothing. Rows that repeat an id are one node.
     A null id links with nothing and has a null component. Other columns are ignored; an empty table gives no rows.
+    Shingles are told by 64-bit hashes: two sets of a and b shingles are compared wrongly with a chance of about a * b / 2**64.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "jaccard")
     rows = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
-    meta = scratch.table("meta", rows.mapInArrow(_meta(shingle, percent), _META))
+    both = scratch.table("meta", rows.mapInArrow(_meta(shingle, percent), _META))
+    meta = both.where("kind = 0").drop("kind")
+    weight = np.zeros(_CELLS, np.uint8)
+    for r in both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many rows as cells at most
+        weight[r.id] = int(r.n).bit_length()
+    weights = spark.sparkContext.broadcast(weight)
     known = meta.where("n > 0 and id is not null")
     classes = scratch.table("classes", known.groupBy(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("c3")).agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
     of_class = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("c3"))
-    signed = rows.mapInArrow(_signed(shingle, percent), _SIGNED).repartition("sig").sortWithinPartitions("sig", "id")
     repeated = known.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
     copies = known.join(classes.where("copies > 1"), of_class).where("id <> lead").select("id").join(repeated, F.col("id") == F.col("again"), "left_anti")
-    shared = scratch.table("shared", signed.mapInArrow(_shared(few), _SHARED))
-    scratch.release()
+    routed = rows.mapInArrow(_tokens(shingle, percent, weights), _TOKEN).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
+    met = scratch.table("met", routed.mapInArrow(_meeting(few, percent), _MET))
     seen = known.select("id", F.col("n").cast("int").alias("n"), "near0", "near1").join(copies, "id", "left_anti")
-    near_of = lambda shift: F.when(F.col(shift) == 0, F.col("near0")).otherwise(F.col("near1"))
-    pairs = shared.where("other is not null").drop("sig").distinct()
-    pairs = pairs.join(seen, ["id", "n"]).select("id", "n", near_of("shift").alias("near"), F.col("other"), F.col("other_n"), "other_shift")
-    other = seen.select(F.col("id").alias("other"), F.col("n").alias("other_n"), "near0", "near1")
-    pairs = pairs.join(other, ["other", "other_n"]).select("id", "n", "near", "other", "other_n", near_of("other_shift").alias("other_near"))
-    many = shared.where("other is null").join(seen, ["id", "n"]).select("sig", "id", "n", near_of("shift").alias("near")).repartition("sig").sortWithinPartitions("sig", "id")
+    pairs = met.where("kind = 0").select("id", "n", "other", "other_n").distinct()
+    pairs = pairs.join(seen, ["id", "n"]).withColumnsRenamed({"near0": "a0", "near1": "a1"})
+    other = seen.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("near0").alias("b0"), F.col("near1").alias("b1"))
+    pairs = pairs.join(other, ["other", "other_n"])
     link = "src long, dst long"
-    near = scratch.table("near", pairs.mapInArrow(_close_pairs(percent), link).unionByName(many.mapInArrow(_linkable(percent), link)).distinct())
-    scratch.release()
+    chains = met.where("kind = 1").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    salted = met.where("kind = 2").select("token", "id", "n", "other_n").repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_over_salts(percent), link)
+    near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(chains).unionByName(salted).distinct())
     blocks = scratch.table("blocks", connected_components(near))
-    members = blocks.join(classes, F.col("node") == F.col("lead")).select("node", "component", F.col("c3").alias("n")).groupBy("node", "component").agg(F.max("n").alias("n"))
-    sizes = members.groupBy(F.col("component").alias("block")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
-    placed = members.join(sizes, F.col("component") == F.col("block")).select("node", "block", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk"))
-    met = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", F.concat_ws("/", "block", F.least("chunk", "other"), F.greatest("chunk", "other")).alias("key"), "chunk")
-    met = scratch.table("met", met)
-    texts = rows.join(placed.select("node"), F.col("id") == F.col("node"), "left_semi")
-    grouped = texts.join(met, F.col("id") == F.col("node")).select("key", "chunk", "id", "text").repartition("key").sortWithinPartitions("key", "id")
-    links = scratch.table("links", grouped.mapInArrow(_verified(shingle, percent), "src long, dst long"))
+    leads = classes.groupBy(F.col("lead").alias("node")).agg(F.max("c3").alias("n"))  # an id that repeats may lead several classes
+    members = scratch.table("members", blocks.join(leads, "node").select("node", F.col("component").alias("block"), "n"))
+    sizes = members.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
+    placed = scratch.table("placed", members.join(sizes, F.col("block") == F.col("b")).select("node", "block", "n", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
+    key = lambda *parts: F.concat_ws("/", *parts)
+
+    def links(name: str, sent: DataFrame) -> DataFrame:
+        """Links of what is sent (node, key, side, label): every text goes to its keys, each of which is one task's work."""
+        texts = rows.join(sent.select("node").distinct(), F.col("id") == F.col("node"), "left_semi")
+        grouped = texts.join(sent, F.col("id") == F.col("node")).select("key", "side", "label", "id", "text").repartition("key").sortWithinPartitions("key", "id")
+        return scratch.table(name, grouped.mapInArrow(_verified(shingle, percent, weights), link))
+
+    own = placed.select("node", key("block", "chunk").alias("key"), F.when(F.col("chunk") == 0, 1).otherwise(2).alias("side"), F.col("node").alias("label"))
+    hub = placed.where("chunk = 0 and chunks > 1").select("node", "block", F.explode(F.sequence(F.lit(1), F.col("chunks") - 1)).alias("chunk")).select("node", key("block", "chunk").alias("key"), F.lit(0).alias("side"), F.col("node").alias("label"))
+    found = links("links", scratch.table("sent", own.unionByName(hub)))
+    large = placed.where("chunks > 1")
+    if not large.isEmpty():
+        labelled = _labelled(scratch, "labelled", large, found)
+        groups = labelled.groupBy("block", "label").agg(F.sum("n").alias("n"))
+        top = groups.groupBy(F.col("block").alias("b")).agg(F.max_by("label", F.struct("n", "label")).alias("top"), F.count("*").alias("groups")).where("groups > 1")
+        apart = scratch.table("apart", labelled.join(top, F.col("block") == F.col("b")).drop("b", "groups"))
+        rest = apart.where("label <> top")
+        parts = rest.groupBy(F.col("block").alias("b")).agg(F.ceil(F.sum("n") / block_shingles).cast("int").alias("parts"))
+        there = apart.join(parts, F.col("block") == F.col("b"))
+        stay = there.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("node", key("block", "chunk", "part").alias("key"), F.lit(1).alias("side"), "label")
+        come = there.where("label <> top").withColumn("part", F.pmod(F.xxhash64("node", F.lit(1)), F.col("parts"))).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1))).select("node", key("block", "chunk", "part").alias("key"), F.lit(2).alias("side"), "label")
+        if not rest.isEmpty():
+            found = found.unionByName(links("more", scratch.table("sent2", stay.unionByName(come).groupBy("node", "key", "label").agg(F.max("side").alias("side")))))
     bridges = known.join(repeated, F.col("id") == F.col("again"), "left_semi").join(classes, of_class).select(F.col("id").alias("src"), F.col("lead").alias("dst"))
-    labels = scratch.table("labels", connected_components(links.unionByName(bridges)).select(F.col("node").alias("l"), F.col("component").alias("c")))
+    labels = scratch.table("labels", connected_components(found.unionByName(bridges)).select(F.col("node").alias("l"), F.col("component").alias("c")))
     joined = meta.join(classes.where("copies > 1"), of_class & F.col("id").isNotNull(), "left").withColumn("lead", F.coalesce("lead", "id")).join(labels, F.col("lead") == F.col("l"), "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "lead").alias("component"))

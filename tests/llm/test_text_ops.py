@@ -204,9 +204,9 @@ def near_rows(seed, families, copies):
     return rows
 
 
-@pytest.mark.parametrize("n,percent,block,few", [(4, 85, 1 << 19, 24), (5, 80, 200, 3), (3, 60, 1 << 19, 5)])
+@pytest.mark.parametrize("n,percent,block,few", [(4, 85, 1 << 19, 24), (5, 80, 200, 3), (5, 80, 2000, 2), (3, 60, 1 << 19, 5)])
 def test_jaccard_components(spark, n, percent, block, few):
-    rows = near_rows(n, 40, 8) + [(2000, None), (2001, ""), (2002, " \t\n"), (None, "one two three four five"), (2003, "One  two three\tfour five"), (2004, "one two three four five"), (2005, "x"), (2006, "X"), (2007, "x x"), (2003, "six seven eight nine ten"), (2008, "six seven eight nine ten")]
+    rows = near_rows(n, 40, 8) + [(2000, None), (2001, ""), (2002, " \t\n"), (None, "one two three four five"), (2003, "One  two three\tfour five"), (2004, "one two three four five"), (2005, "x"), (2006, "X"), (2007, "x x"), (2003, "six seven eight nine ten"), (2008, "six seven eight nine ten"), *[(2100 + i, x) for i, x in enumerate(thue_morse(1024))]]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int").repartition(3)
     got = jaccard.jaccard_components(docs, shingle=n, percent=percent, block_shingles=block, few=few).collect()
     assert sorted([(r.id, r.n_shingles, r.component) for r in got], key=str) == plain_components(rows, n, percent)
@@ -218,31 +218,72 @@ def test_jaccard_of_empty_tables_and_lone_documents(spark):
     assert jaccard.jaccard_components(docs.limit(0)).count() == 0
 
 
-def test_signatures_miss_no_similar_pair():
+def similar_sets(draw, percent):
+    n = draw.choice([1, 2, 3, 5, 6, 7, 8, 11, 12, 20, 50, 200])
+    x = {draw.getrandbits(64) for _ in range(n)}
+    y = set(x)
+    while True:
+        z = set(y)
+        if draw.random() < 0.5 and z:
+            z.discard(draw.choice(sorted(z)))
+        else:
+            z.add(draw.getrandbits(64))
+        if 100 * len(x & z) < percent * len(x | z):
+            return sorted(x), sorted(y)
+        y = z
+
+
+def test_bounds_miss_no_similar_pair():
     draw = random.Random(4)
+    weights = np.array([draw.choice([0, 0, 0, 3, 9]) for _ in range(jaccard._CELLS)], np.uint8)
     for percent in (85, 80, 60):
         levels = jaccard.Levels(percent)
         for _ in range(400):
-            n = draw.choice([1, 2, 3, 5, 6, 7, 8, 11, 12, 20, 50, 200])
-            x = {draw.getrandbits(64) for _ in range(n)}
-            y = set(x)
-            while True:
-                z = set(y)
-                if draw.random() < 0.5 and z:
-                    z.discard(draw.choice(sorted(z)))
-                else:
-                    z.add(draw.getrandbits(64))
-                if 100 * len(x & z) < percent * len(x | z):
-                    break
-                y = z
-            flat = np.array([*sorted(x), *sorted(y)], np.uint64)
-            text, sig, _ = jaccard.signatures(flat, np.array([0, len(x), len(x) + len(y)]), levels)
-            assert set(sig[text == 0].tolist()) & set(sig[text == 1].tolist())
-            offsets = np.array([0, len(x), len(x) + len(y)])
-            level = int(levels.of(np.array([min(len(x), len(y))]))[0])
+            x, y = similar_sets(draw, percent)
+            flat, offsets = np.array([*x, *y], np.uint64), np.array([0, len(x), len(x) + len(y)])
+            text, token, place = jaccard.prefixes(flat, offsets, percent, weights)
+            first = sorted(set(token[text == 0].tolist()) & set(token[text == 1].tolist()), key=lambda t: place[(text == 0) & (token == np.uint64(t))][0])
+            assert first
+            at = [place[(text == k) & (token == np.uint64(first[0]))][0] for k in (0, 1)]
+            assert min(len(x) - at[0], len(y) - at[1]) >= -(-percent * (len(x) + len(y)) // (100 + percent))
             near = [jaccard.histograms(flat, offsets, levels, s) for s in (0, 1)]
-            own = [np.frombuffer(near[int(levels.of(np.array([m]))[0]) - level][i], np.uint8) for i, m in enumerate((len(x), len(y)))]
-            assert jaccard.close(np.array([len(x), len(y)]), np.stack(own), percent).tolist() == [0, 0]
+            rows = pa.RecordBatch.from_arrays([pa.array([v]) for v in (1, len(x), near[0][0], near[1][0], 2, len(y), near[0][1], near[1][1])], names=list("abcdefgh"))
+            assert [r.num_rows for r in jaccard._close_pairs(percent)([rows])] == [1]
+
+
+@pytest.mark.parametrize("few", [2, 24])
+def test_what_shares_a_token_meets(few):
+    """Streams of token rows in batches of any size: all rows of a group that may link come together, pairs or chains."""
+    draw = random.Random(few)
+    for _ in range(150):
+        groups = [(t, s, draw.choice([1, 2, 3, 30])) for t in range(draw.randint(1, 6)) for s in (draw.choice([[0], [1, 2, 3]]))]
+        rows, n_ids = [], 0
+        for t, s, k in groups:
+            for _ in range(k):
+                rows.append((t, s, n_ids, draw.choice([10, 11, 13, 40, 41, 100]), 0))
+                n_ids += 1
+        rows.sort(key=lambda r: (r[0], r[1], r[3], r[2]))
+        cuts = sorted({0, len(rows), *[draw.randrange(len(rows) + 1) for _ in range(draw.randint(0, 6))]})
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32()))], names=list("abcde")) for a, b in zip(cuts, cuts[1:])]
+        out = [r for b in jaccard._meeting(few, 80)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        parts = sorted((t, a, i, b) for k, t, i, a, _, b in out if k == 2)
+        links = [(i, j) for k, _, i, _, j, _ in out if k < 2]
+        if parts:
+            batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*[(t, i, a, b) for t, a, i, b in parts]), (pa.int64(), pa.int64(), pa.int32(), pa.int32()))], names=list("abcd"))
+            links += [r for b in jaccard._over_salts(80)(iter([batch])) for r in zip(*(c.to_pylist() for c in b.columns))]
+        root = list(range(n_ids))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in links:
+            root[top(i)] = top(j)
+        for t, _, i, n, _ in rows:
+            for u, _, j, m, _ in rows:
+                if t == u and i < j and 100 * min(n, m) >= 80 * max(n, m) and min(n, m) >= -(-80 * (n + m) // 180):
+                    assert top(i) == top(j)
 
 
 def plain_repeats(rows, size):
