@@ -62,7 +62,8 @@ def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: st
     held = cut.join(found, (F.col("k.a") == F.col("sa")) & (F.col("k.b") == F.col("sb"))).groupBy(F.col("id").alias("__id"), F.col("h").alias("__h")).agg(F.sort_array(F.collect_set("at")).alias("__at"))
     # a merge join at every size: what it moves follows the input, and what it needs doesn't grow with the spread lines
     same = docs[id_col].eqNullSafe(F.col("__id")) & (F.xxhash64(docs[text_col]) == F.col("__h"))
-    marked = docs.join(scratch.table("held", held).hint("merge"), same, "left").withColumn("__ends", F.concat(F.array(F.lit(-1)), "__at", F.array(F.size(parts))))
-    between = F.transform(F.sequence(F.lit(0), F.size("__at")), lambda i: F.slice(parts, F.get("__ends", i) + 2, F.get("__ends", i + 1) - F.get("__ends", i) - 1))
+    joined = docs.join(scratch.table("held", held).hint("merge"), same, "left").withColumn("__lines", F.when(F.col("__at").isNotNull(), parts))
+    marked = joined.withColumn("__ends", F.concat(F.array(F.lit(-1)), "__at", F.array(F.size("__lines"))))
+    between = F.transform(F.sequence(F.lit(0), F.size("__at")), lambda i: F.slice("__lines", F.get("__ends", i) + 2, F.get("__ends", i + 1) - F.get("__ends", i) - 1))
     kept = F.when(F.col("__at").isNotNull(), F.array_join(F.flatten(between), "\n")).otherwise(F.col(text_col))
     return marked.select(*[F.col(f"`{c}`") for c in docs.columns], kept.alias(out_col), F.coalesce(F.size("__at"), F.lit(0)).cast("long").alias(removed_col))
