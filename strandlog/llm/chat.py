@@ -24,72 +24,87 @@ def unescape(text: Column) -> Column:
     return F.regexp_replace(text, r"(?s)\\(.)", "$1")
 
 
-def reply_paths(nodes: DataFrame, *, tree_col: str, node_col: str, parent_col: str, score_col: str | None = None) -> DataFrame:
-    """All root-to-leaf paths of reply trees, a row a step: (tree, leaf, node, distance, s), distance counted from the leaf.
-
-    Iterative self-joins double their reach: the first rounds make tables of the ancestor 1, 2, 4, ... steps up, the
-    others extend each leaf's known ancestors by them, so a tree of depth d takes log2(d) rounds of each, and rows
-    are never more than the steps of the paths. Each round is a table in the shared folder.
-    A root has a null parent or one that isn't in its tree. Node ids are unique in a tree; null trees or ids, and
-    nodes that hang on a cycle, are in no path. Null scores are 0.
+class ReplyTrees:
+    """Reply trees (tree, node, parent, role, text, score) and their branches, the paths from a root to a leaf.
+
+    Iterative self-joins double each node's reach: a round's table has, for every node, the ancestor 1, 2, 4, ... steps
+    up and the sum and number of the scores on the way there, so a tree of depth d takes log2(d) rounds of as many rows
+    as there are nodes, and each leaf's whole branch is summed before any branch is written out. Only chosen branches
+    become rows a step, by the same tables. Each round is a table in the shared folder.
+
+    A root has a null parent or one that isn't in its tree. Rows that repeat a node of a tree are one node: the first
+    by parent, score, role and text (unique says that there are none). Null trees or nodes, and nodes that hang on a
+    cycle, are in no branch. Null scores are 0, null roles and texts empty. Other columns are ignored, whatever their
+    names; an empty table has no branches. A branch becomes one row with its whole text, however long that is.
     """
-    spark = nodes.sparkSession
-    scratch = Scratch(spark, "paths")
-    score = F.coalesce(F.col(score_col).cast("double"), F.lit(0.0)) if score_col else F.lit(0.0)
-    base = scratch.table("nodes", nodes.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).alias("parent"), score.alias("s")).where("tree is not null and node is not null"))
-    keys = base.select(F.col("tree").alias("t"), F.col("node").alias("n"))
-    jump = scratch.table("up0", base.where("parent is not null").join(keys.distinct(), (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n")), "left_semi").select("tree", "node", F.col("parent").alias("up")))
-    jumps = [jump]
-    while not jump.isEmpty():
-        if len(jumps) > 1 and 1 << (len(jumps) - 1) > (largest := keys.groupBy("t").count().agg(F.max("count")).first()[0]):
-            # what still has an ancestor farther up than its tree has nodes hangs on a cycle
-            base = scratch.table("acyclic", base.join(jump, ["tree", "node"], "left_anti"))
-            break
-        far = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), F.col("up").alias("farther"))
-        jump = scratch.table(f"up{len(jumps)}", jump.join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n"))).select("tree", "node", F.col("farther").alias("up")))
-        jumps.append(jump)
-    parents = jumps[0].select("tree", F.col("up").alias("node")).distinct()
-    steps = base.join(parents, ["tree", "node"], "left_anti").select("tree", F.col("node").alias("leaf"), "node", F.lit(0).cast("long").alias("distance"))
-    for k, jump in enumerate(jumps[:-1]):
-        steps = scratch.table(f"steps{k}", steps)
-        up = jump.select(F.col("tree").alias("t"), F.col("node").alias("n"), "up")
-        steps = steps.unionByName(steps.join(up, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", F.col("up").alias("node"), (F.col("distance") + (1 << k)).alias("distance")))
-    scores = base.select(F.col("tree").alias("t"), F.col("node").alias("n"), "s")
-    return scratch.table("steps", steps.join(scores, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "node", "distance", "s"))
-
-
-def best_paths(steps: DataFrame, per_tree: int = 1) -> DataFrame:
-    """The per_tree best branches of each tree: (tree, leaf, score, depth, rank).
-
-    By the mean score of a branch's nodes, ties to the longer and then to the smaller leaf.
-    """
-    paths = steps.groupBy("tree", "leaf").agg(F.avg("s").alias("score"), F.count("*").alias("depth"))
-    if per_tree == 1:  # extremes combine before the shuffle, however many leaves a tree has
-        low = paths.groupBy("tree").agg(F.max(F.struct("score", "depth")).alias("top")).select(F.col("tree").alias("t"), "top")
-        ties = paths.join(low, (F.col("tree") == F.col("t")) & (F.struct("score", "depth") == F.col("top")))
-        return ties.groupBy("tree").agg(F.min("leaf").alias("leaf"), F.max("score").alias("score"), F.max("depth").alias("depth")).withColumn("rank", F.lit(1))
-    order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf")
-    return paths.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
-
-
-def format_paths(chosen: DataFrame, steps: DataFrame, nodes: DataFrame, *, tree_col: str, node_col: str, role_col: str = "role", text_col: str = "text", trained_role: str = "assistant") -> DataFrame:
-    """Formats each chosen (tree, leaf, rank) as one conversation: (tree, leaf, rank, formatted, loss_spans).
-
-    loss_spans are (start, length) in code points of formatted: the texts of trained_role. Null texts and roles are empty.
-    """
-    said = nodes.select(F.col(tree_col).alias("t"), F.col(node_col).alias("i"), F.coalesce(F.col(role_col), F.lit("")).alias("role"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    own = steps.join(chosen.select("tree", "leaf", "rank"), ["tree", "leaf"])
-    turns = own.join(said, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("i"))).select("tree", "leaf", "rank", (-F.col("distance")).alias("pos"), F.concat(F.lit(TURN), F.url_encode("role"), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"), (F.col("role") == trained_role).alias("trained"))
-    held = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", "trained"))).alias("turns"))
-    formatted = F.concat(F.lit(OPEN), F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), ""), F.lit(CLOSE))
-    start = F.struct(F.lit(len(OPEN)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
-
-    def step(a, t):
-        begin, size = a.at + F.length(t.head), F.length(t.body).cast("long")
-        span = F.struct(begin.alias("start"), size.alias("length"))
-        return F.struct((begin + size + len(END)).alias("at"), F.when(t.trained, F.array_append(a.spans, span)).otherwise(a.spans).alias("spans"))
 
-    return held.select("tree", "leaf", "rank", formatted.alias("formatted"), F.aggregate("turns", start, step).getField("spans").alias("loss_spans"))
+    def __init__(self, nodes: DataFrame, *, tree_col: str = "tree", node_col: str = "node", parent_col: str = "parent", score_col: str | None = None, role_col: str | None = "role", text_col: str | None = "text", unique: bool = False):
+        given = lambda name, kind, empty: F.coalesce(F.col(name).cast(kind), F.lit(empty)) if name else F.lit(empty)
+        rows = nodes.select(F.col(tree_col).alias("tree"), F.col(node_col).alias("node"), F.col(parent_col).alias("parent"), given(score_col, "double", 0.0).alias("s"), given(role_col, "string", "").alias("role"), given(text_col, "string", "").alias("text")).where("tree is not null and node is not null")
+        if not unique:
+            rows = rows.groupBy("tree", "node").agg(F.min(F.struct("parent", "s", "role", "text")).alias("x")).select("tree", "node", "x.*")
+        self.scratch = Scratch(nodes.sparkSession, "trees")
+        self.nodes = self.scratch.table("nodes", rows)
+        self.rounds = self._rounds()
+
+    @staticmethod
+    def _as(table: DataFrame, *more: str) -> DataFrame:
+        return table.select(F.col("tree").alias("t"), F.col("node").alias("n"), *[F.col(c).alias(f"_{c}") for c in more])
+
+    def _rounds(self) -> list[DataFrame]:
+        here = (F.col("tree") == F.col("t")) & (F.col("parent") == F.col("n"))
+        first = self.nodes.select("tree", "node", "parent", "s").join(self._as(self.nodes), here, "left")
+        state = self.scratch.table("up0", first.select("tree", "node", F.col("n").alias("up"), F.col("s").alias("sum"), F.lit(1).cast("long").alias("depth")))
+        rounds, largest = [state], None
+        while not state.where("up is not null").isEmpty():
+            if len(rounds) > 6:  # what still has an ancestor farther up than its tree has nodes hangs on a cycle
+                largest = largest or self.nodes.groupBy("tree").count().agg(F.max("count")).first()[0]
+                if 1 << (len(rounds) - 1) > largest:
+                    break
+            far = self._as(state, "up", "sum", "depth")
+            joined = state.where("up is not null").join(far, (F.col("tree") == F.col("t")) & (F.col("up") == F.col("n")))
+            farther = joined.select("tree", "node", F.col("_up").alias("up"), (F.col("sum") + F.col("_sum")).alias("sum"), (F.col("depth") + F.col("_depth")).alias("depth"))
+            state = self.scratch.table(f"up{len(rounds)}", farther.unionByName(state.where("up is null")))
+            rounds.append(state)
+        return rounds
+
+    def branches(self) -> DataFrame:
+        """Every branch by its leaf: (tree, leaf, score, depth), the score being the mean of its nodes' scores."""
+        parents = self.rounds[0].where("up is not null").select(F.col("tree").alias("t"), F.col("up").alias("n")).distinct()
+        leaves = self.rounds[-1].where("up is null").join(parents, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n")), "left_anti")
+        return leaves.select("tree", F.col("node").alias("leaf"), (F.col("sum") / F.col("depth")).alias("score"), "depth")
+
+    def best(self, per_tree: int = 1) -> DataFrame:
+        """The per_tree best branches of each tree by score, ties to the longer and then to the smaller leaf: (tree, leaf, score, depth, rank)."""
+        order = Window.partitionBy("tree").orderBy(F.desc("score"), F.desc("depth"), "leaf")  # Spark cuts to per_tree rows before the shuffle
+        return self.branches().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= per_tree)
+
+    def steps(self, chosen: DataFrame) -> DataFrame:
+        """The nodes of chosen branches (tree, leaf, rank), a row a step: (tree, leaf, rank, node, distance), distance counted from the leaf."""
+        steps = chosen.select("tree", "leaf", "rank", F.col("leaf").alias("node"), F.lit(0).cast("long").alias("distance"))
+        for k, table in enumerate(self.rounds[:-1]):
+            steps = self.scratch.table(f"steps{k}", steps)
+            up = self._as(table.where("up is not null"), "up")
+            steps = steps.unionByName(steps.join(up, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("_up").alias("node"), (F.col("distance") + (1 << k)).alias("distance")))
+        return self.scratch.table("steps", steps)
+
+    def formatted(self, chosen: DataFrame, trained_role: str = "assistant") -> DataFrame:
+        """Each chosen branch as one conversation: (tree, leaf, rank, formatted, loss_spans).
+
+        loss_spans are (start, length) in code points of formatted: the texts of trained_role.
+        """
+        said = self._as(self.nodes, "role", "text")
+        turns = self.steps(chosen).join(said, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", (-F.col("distance")).alias("pos"), F.concat(F.lit(TURN), F.url_encode("_role"), F.lit("\n")).alias("head"), escape(F.col("_text")).alias("body"), (F.col("_role") == trained_role).alias("trained"))
+        held = turns.groupBy("tree", "leaf", "rank").agg(F.array_sort(F.collect_list(F.struct("pos", "head", "body", "trained"))).alias("turns"))
+        text = F.concat(F.lit(OPEN), F.array_join(F.transform("turns", lambda t: F.concat(t.head, t.body, F.lit(END))), ""), F.lit(CLOSE))
+        start = F.struct(F.lit(len(OPEN)).cast("long").alias("at"), F.array().cast("array<struct<start:bigint,length:bigint>>").alias("spans"))
+
+        def step(a, t):
+            begin, size = a.at + F.length(t.head), F.length(t.body).cast("long")
+            span = F.struct(begin.alias("start"), size.alias("length"))
+            return F.struct((begin + size + len(END)).alias("at"), F.when(t.trained, F.array_append(a.spans, span)).otherwise(a.spans).alias("spans"))
+
+        return held.select("tree", "leaf", "rank", text.alias("formatted"), F.aggregate("turns", start, step).getField("spans").alias("loss_spans"))
 
 
 def read_turns(formatted: Column) -> Column:
@@ -113,9 +128,10 @@ def read_loss(formatted: Column, spans: Column) -> Column:
 def conversation_nodes(conversations: DataFrame, *, id_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
     """Linear conversations as trees of one branch: (tree, node, parent, role, text); rows by turn, ties by role and text.
 
-    Each row is a reply to the one before it. Rows of a null conversation id are left out.
+    tree is a struct that holds the id, so rows of a null id are one conversation like others. Each row is a reply to
+    the one before it; rows that repeat stay.
     """
     order = Window.partitionBy("tree").orderBy("turn", "role", "text")
-    rows = conversations.select(F.col(id_col).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text")).where("tree is not null")
+    rows = conversations.select(F.struct(F.col(id_col).alias("id")).alias("tree"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.col(text_col).alias("text"))
     node = F.row_number().over(order)
     return rows.select("tree", node.alias("node"), F.when(node > 1, node - 1).alias("parent"), "role", "text")

@@ -48,10 +48,9 @@ def op5_reply_trees(spark: SparkSession, sf_dir: str) -> DataFrame:
     given = _read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     words = "</s>[INST] ok [/INST]"
     extra = spark.createDataFrame([(-7, 0, "user", words), (-7, 1, "assistant", words)], given.schema)
-    nodes = chat.Scratch(spark, "chat").table("nodes", chat.conversation_nodes(given.unionByName(extra)))
-    steps = chat.reply_paths(nodes, tree_col="tree", node_col="node", parent_col="parent")
-    out = chat.format_paths(chat.best_paths(steps), steps, nodes, tree_col="tree", node_col="node")
-    out = out.select(F.col("tree").alias("conv_id"), "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
+    trees = chat.ReplyTrees(chat.conversation_nodes(given.unionByName(extra)), unique=True)
+    out = trees.formatted(trees.best())
+    out = out.select(F.col("tree.id").alias("conv_id"), "formatted", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss"))
     said = F.array_join(F.transform("turns", lambda t: F.concat(t.role, F.lit("\n"), t.text, F.lit("\n"))), "")
     return out.select("conv_id", F.size("turns").cast("long").alias("n_turns"), F.sha2(said, 256).alias("turns_sha256"), F.length("loss").cast("long").alias("loss_chars"), F.sha2("loss", 256).alias("loss_sha256"), F.length("formatted").cast("long").alias("formatted_chars"))
 
@@ -118,7 +117,7 @@ def _op5_sql() -> str:
         body = f"replace({body}, '{c}', '{c[0]}\\{c[1:]}')"
     return f"""
 WITH c AS (
-  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
   UNION ALL SELECT -7, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -7, 1, 'assistant', '</s>[INST] ok [/INST]'),
 e AS (SELECT *, length({body}) AS body_chars FROM c),
 g AS (SELECT conv_id, count(*) AS n, string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS said,

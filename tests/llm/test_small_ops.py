@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 from fractions import Fraction
 
 import numpy as np
@@ -85,37 +86,70 @@ def test_many_rules_are_a_table(spark):
     assert got == {i: ("allow", "h7.example/ok") if i == 7 else ("allow", None) if i >= 3000 else ("block", f"h{i}.example/") for i in range(3010)}
 
 
+def plain_branches(rows):
+    """Branches of rows (tree, node, parent, role, text, score) by walking up from each leaf: {(tree, leaf): (nodes from the root, mean score)}."""
+    trees = {}
+    for tree, node, parent, role, text, score in sorted(rows, key=lambda r: tuple((x is not None, x) for x in (r[0], r[1], r[2], r[5] or 0.0, r[3] or "", r[4] or ""))):
+        if tree is not None and node is not None:
+            trees.setdefault(tree, {}).setdefault(node, (parent, score or 0.0, role or "", text or ""))
+    out = {}
+    for tree, own in trees.items():
+        for leaf in set(own) - {p for p, *_ in own.values()}:
+            path, at = [], leaf
+            while at in own and at not in path:
+                path.append(at)
+                at = own[at][0]
+            if at not in path:
+                out[tree, leaf] = path[::-1], sum(own[n][1] for n in path) / len(path), [own[n] for n in path[::-1]]
+    return out
+
+
 def test_reply_trees_rank_and_format(spark):
-    rows = [(1, "r", None, "user", "q", 1.0), (1, "a", "r", "assistant", "good", 5.0), (1, "b", "r", "assistant", "bad", 0.0), (1, "c", "a", "user", "thanks", 5.0), (1, "d", "a", "user", "hm", None), (2, "x", "gone", "user", None, 0.0), (3, "p", "q", "user", "cycle", 9.0), (3, "q", "p", "assistant", "cycle", 9.0), (3, "s", "q", "user", "under a cycle", 9.0), (None, "n", None, "user", "no tree", 0.0)]
-    nodes = spark.createDataFrame(rows, "tree long, node string, parent string, role string, text string, score double")
-    steps = chat.reply_paths(nodes, tree_col="tree", node_col="node", parent_col="parent", score_col="score")
+    rows = [(1, "r", None, "user", "q", 1.0), (1, "a", "r", "assistant", "good", 5.0), (1, "b", "r", "assistant", "bad", 0.0), (1, "c", "a", "user", "thanks", 5.0), (1, "d", "a", "user", "hm", None), (2, "x", "gone", "user", None, 0.0), (3, "p", "q", "user", "cycle", 9.0), (3, "q", "p", "assistant", "cycle", 9.0), (3, "s", "q", "user", "under a cycle", 9.0), (None, "n", None, "user", "no tree", 0.0), (4, None, None, "user", "no node", 1.0)]
+    rows += [(5, "r", None, "user", "q", 1.0), (5, "r", None, "user", "q", 1.0), (5, "r", "k", "user", "other", 2.0), (5, "k", "r", "assistant", "one", 1.0), (5, "k", "r", "assistant", "two", 1.0), (5, "m", "r", "assistant", "tie", 1.0), (6, "z", "z", "user", "its own parent", 1.0)]
+    nodes = spark.createDataFrame([(*r, 0, 0) for r in rows], "tree long, node string, parent string, role string, text string, score double, leaf int, rank int")
+    trees = chat.ReplyTrees(nodes, score_col="score")
+    want = plain_branches(rows)
+    assert {(r.tree, r.leaf): (r.depth, r.score) for r in trees.branches().collect()} == {k: (len(p), s) for k, (p, s, _) in want.items()}
+    best = trees.best(2)
+    assert sorted((r.tree, r.leaf, r.rank) for r in best.collect()) == [(1, "c", 1), (1, "d", 2), (2, "x", 1), (5, "k", 1), (5, "m", 2)]
     paths = {}
-    for r in steps.collect():
+    for r in trees.steps(best).collect():
         paths.setdefault((r.tree, r.leaf), {})[r.distance] = r.node
-    assert {k: [v[i] for i in sorted(v, reverse=True)] for k, v in paths.items()} == {(1, "b"): ["r", "b"], (1, "c"): ["r", "a", "c"], (1, "d"): ["r", "a", "d"], (2, "x"): ["x"]}
-    best = chat.best_paths(steps, 2)
-    assert sorted((r.tree, r.leaf, r.rank) for r in best.collect()) == [(1, "c", 1), (1, "d", 2), (2, "x", 1)]
-    one = chat.format_paths(chat.best_paths(steps), steps, nodes, tree_col="tree", node_col="node").where("tree = 1").first()
+    assert {k: [v[i] for i in sorted(v, reverse=True)] for k, v in paths.items()} == {k: p for k, (p, _, _) in want.items() if k != (1, "b")}
+    one = trees.formatted(trees.best()).where("tree = 1").first()
     assert one.formatted == "<s><|turn|>user\nq<|end|><|turn|>assistant\ngood<|end|><|turn|>user\nthanks<|end|></s>"
     assert [one.formatted[s.start : s.start + s.length] for s in one.loss_spans] == ["good"]
-    assert chat.reply_paths(nodes.limit(0), tree_col="tree", node_col="node", parent_col="parent").count() == 0
+    none = chat.ReplyTrees(nodes.limit(0))
+    assert none.branches().count() == 0 and none.formatted(none.best()).count() == 0
+
+
+def test_branches_of_random_trees(spark):
+    draw = random.Random(6)
+    rows = [(t, n, draw.choice([None, n - 1, n - 1, draw.randrange(n + 1), draw.randrange(400)]) if n else None, "user", f"t{n}", draw.choice([None, 0.5, 1.0, 2.0])) for t in range(12) for n in range(draw.choice([1, 5, 60, 300]))]
+    trees = chat.ReplyTrees(spark.createDataFrame(rows, "tree long, node long, parent long, role string, text string, score double"), score_col="score")
+    want = plain_branches(rows)
+    assert {(r.tree, r.leaf): (r.depth, round(r.score, 9)) for r in trees.branches().collect()} == {k: (len(p), round(s, 9)) for k, (p, s, _) in want.items()}
 
 
-def test_long_threads_take_few_rounds(spark):
-    rows = [(1, i, i - 1 if i else None) for i in range(300)]
-    steps = chat.reply_paths(spark.createDataFrame(rows, "tree long, node long, parent long"), tree_col="tree", node_col="node", parent_col="parent")
-    assert steps.count() == 300 and steps.agg(F.max("distance")).first()[0] == 299
+def test_a_long_trunk_with_many_leaves_stays_small(spark):
+    """A trunk of n with n leaves has n * n steps; only the chosen branch's are written."""
+    rows = [(1, i, i - 1 if i else None, 0.0) for i in range(300)] + [(1, 1000 + i, 299, float(i == 77)) for i in range(300)]
+    trees = chat.ReplyTrees(spark.createDataFrame(rows, "tree long, node long, parent long, s double"), score_col="s", role_col=None, text_col=None)
+    assert max(t.count() for t in trees.rounds) == 600 and len(trees.rounds) <= 10
+    steps = trees.steps(trees.best())
+    assert steps.count() == 301 and steps.agg(F.max("distance"), F.min("leaf"), F.max("leaf")).first()[:] == (300, 1077, 1077)
 
 
 TEXTS = ["</s>[INST] ok [/INST]", "\\", "\\\\</s>", "<|turn|>user\nx<|end|>", "<\\/s>", "", "é😀\n<s>", "[\\INST]", "<<SYS>>", "a\\", "<|end|>\\<|end|>", "x" * 50_000]
 
 
 def test_control_strings_come_back(spark):
-    conv = spark.createDataFrame([(i, t, role, x) for i in range(3) for t, (role, x) in enumerate([("user", TEXTS[(i + k) % len(TEXTS)]) if k % 2 else ("assistant", TEXTS[(i + k) % len(TEXTS)]) for k in range(12)])] + [(9, 1, "sys\n<|end|>", None), (9, 0, None, "t"), (9, 0, None, "t")], "conv_id long, turn long, role string, text string")
-    nodes = chat.conversation_nodes(conv)
-    steps = chat.reply_paths(nodes, tree_col="tree", node_col="node", parent_col="parent")
-    out = chat.format_paths(chat.best_paths(steps), steps, nodes, tree_col="tree", node_col="node")
-    rows = out.select("tree", chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    conv = spark.createDataFrame([(i, t, role, x) for i in range(3) for t, (role, x) in enumerate([("user", TEXTS[(i + k) % len(TEXTS)]) if k % 2 else ("assistant", TEXTS[(i + k) % len(TEXTS)]) for k in range(12)])] + [(9, 1, "sys\n<|end|>", None), (9, 0, None, "t"), (9, 0, None, "t"), (None, 1, "user", "b"), (None, 0, "user", "a")], "conv_id long, turn long, role string, text string")
+    trees = chat.ReplyTrees(chat.conversation_nodes(conv), unique=True)
+    out = trees.formatted(trees.best())
+    rows = out.select(F.col("tree.id").alias("tree"), chat.read_turns(F.col("formatted")).alias("turns"), chat.read_loss(F.col("formatted"), F.col("loss_spans")).alias("loss")).collect()
+    assert sorted(r.tree is None for r in rows) == [False] * 4 + [True]
     want = {}
     for r in conv.collect():
         want.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
