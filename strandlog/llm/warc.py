@@ -17,8 +17,8 @@ from .shared import Scratch, ship
 #: Fixed values of the seekable Zstandard format: a skippable frame with this magic holds the table, its footer ends with the other.
 SKIPPABLE_MAGIC = 0x184D2A5E
 SEEKABLE_MAGIC = 0x8F92EAB1
-BUNDLE = "bundle binary, n_records int"
-INDEX = "record_id string, frame int, offset long, length long"
+BUNDLE = "bundle_id string, bundle binary, n_records int, records array<struct<record_id:string,frame:int,offset:bigint,length:bigint>>"
+PLACE = "frame int, offset long, length long"
 
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
@@ -90,7 +90,7 @@ class Bundler:
         self._start()
 
     def _start(self):
-        self.pending, self.held, self.parts, self.sizes, self.size, self.n = [], 0, [], [], 0, 0
+        self.pending, self.held, self.parts, self.sizes, self.size, self.index = [], 0, [], [], 0, []
 
     def _frame(self):
         if self.pending:
@@ -99,40 +99,51 @@ class Bundler:
             self.sizes.append((len(self.parts[-1]), len(raw)))
             self.size, self.pending, self.held = self.size + len(self.parts[-1]), [], 0
 
-    def add(self, raw: bytes):
+    def add(self, record_id: str, raw: bytes):
         if self.held and self.held + len(raw) > self.frame_bytes:
             self._frame()
+        self.index.append({"record_id": record_id, "frame": len(self.parts), "offset": self.held, "length": len(raw)})
         self.pending.append(raw)
-        self.held, self.n = self.held + len(raw), self.n + 1
+        self.held += len(raw)
         if self.size + self.held >= self.bundle_bytes:
             yield self.finish()
 
-    def finish(self):
+    def finish(self) -> tuple[str, bytes, int, list[dict]]:
+        """The bundle's name (its SHA-1), its bytes, the number of its records and where each of them stands."""
         self._frame()
-        out = b"".join(self.parts) + seek_table(self.sizes), self.n
+        data = b"".join(self.parts) + seek_table(self.sizes)
+        out = hashlib.sha1(data).hexdigest(), data, len(self.index), self.index
         self._start()
         return out
 
 
+_PLACES = pa.list_(pa.struct([("record_id", pa.string()), ("frame", pa.int32()), ("offset", pa.int64()), ("length", pa.int64())]))
+
+
 def _pack(frame_bytes: int, bundle_bytes: int):
+    def batch_of(rows):
+        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.string(), pa.binary(), pa.int32(), _PLACES))], names=["bundle_id", "bundle", "n_records", "records"])
+
     def run(batches):
         bundler, made = Bundler(frame_bytes, bundle_bytes), []
-        batch_of = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.int32())], names=["bundle", "n_records"])
         for batch in batches:
             for key, url, digest, size, payload, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 kind = "response" if refers is None else "revisit"
-                made += bundler.add(record(kind, record_id(key), url, digest, payload, size, None if refers is None else record_id(refers)))
+                made += bundler.add(record_id(key), record(kind, record_id(key), url, digest, payload, size, None if refers is None else record_id(refers)))
                 if made:
                     yield batch_of(made)
                     made = []
-        if bundler.n:
+        if bundler.index:
             yield batch_of([bundler.finish()])
 
     return run
 
 
 def write_archive(pages: DataFrame, *, id_col: str = "page_id", url_col: str = "url", payload_col: str = "html", least_bytes: int = 1000, frame_bytes: int = 256 << 10, bundle_bytes: int = 4 << 20) -> DataFrame:
-    """Writes one WARC record a row into seekable bundles in the shared folder: (bundle, n_records).
+    """Writes one WARC record a row into seekable bundles in the shared folder: (bundle_id, bundle, n_records, records).
+
+    records maps each record's id to its frame, and to its offset and length in that frame; it is written with the bundle,
+    and being a column of its own it is read without the bundles (see archive_index).
 
     Records with equal payloads of least_bytes or more: the one with the largest id is the response, the others
     revisit it. Winners are maxima per digest by partial aggregation; only digests that repeat join back, and AQE can
@@ -178,29 +189,55 @@ def read_archive(bundles: DataFrame) -> DataFrame:
     One row a record, with the place that lets read_record fetch it alone: frame, and offset and length in that frame.
     """
     ship(bundles.sparkSession)
-    return bundles.select("bundle").mapInArrow(_unpack, "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, " + INDEX.split(", ", 1)[1])
+    return bundles.select("bundle").mapInArrow(_unpack, "record_id string, page_id long, record_type string, payload_bytes long, payload_digest string, refers_to long, " + PLACE)
+
+
+def archive_index(bundles: DataFrame) -> DataFrame:
+    """The stored map from record ids to places: (record_id, bundle_id, frame, offset, length). Reads no bundle."""
+    return bundles.select("bundle_id", F.explode("records").alias("r")).select("r.record_id", "bundle_id", "r.frame", "r.offset", "r.length")
+
+
+def _fetch(batches):
+    for batch in batches:
+        found, held = [], (None, None)
+        for name, data, frame, offset, length in zip(*(batch.column(c) for c in ("bundle_id", "bundle", "frame", "offset", "length"))):
+            if held[0] != (now := (name.as_py(), frame.as_py())):
+                held = now, read_frame(data.as_py(), frame.as_py())
+            found.append(held[1][offset.as_py() : offset.as_py() + length.as_py()])
+        yield pa.RecordBatch.from_arrays([batch.column("record_id"), pa.array(found, pa.binary())], names=["record_id", "record"])
+
+
+def fetch_records(bundles: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The records of wanted (record_id), by the stored index: (record_id, record). Only frames that hold one are decompressed.
+
+    Ids that no bundle has give no row; records that share an id all come, and repeated or null wanted ids count once or not at all.
+    """
+    ship(bundles.sparkSession)
+    places = archive_index(bundles).join(wanted.select("record_id").distinct(), "record_id", "left_semi")
+    held = bundles.select("bundle_id", "bundle").dropDuplicates(["bundle_id"])
+    return places.join(held, "bundle_id").sortWithinPartitions("bundle_id", "frame").select("record_id", "bundle_id", "bundle", "frame", "offset", "length").mapInArrow(_fetch, "record_id string, record binary")
 
 
 def export_archive(bundles: DataFrame, folder: str) -> DataFrame:
-    """Writes each bundle as <its SHA-1>.warc.zst into a folder that executors share: (file, n_records).
+    """Writes each bundle as <bundle_id>.warc.zst into a folder that executors reach, a path or a URI (file, hdfs, s3, gs): (file, n_records).
 
-    The name follows from the bytes and the file is renamed into place, so a task that runs twice changes nothing.
+    The name follows from the bytes and the file is moved into place, so a task that runs twice changes nothing.
     """
 
     def run(batches):
-        import os
         import uuid
 
+        from pyarrow import fs
+
+        store, root = fs.FileSystem.from_uri(folder)
         for batch in batches:
-            names = []
-            for bundle in batch.column(0):
-                data = bundle.as_py()
-                names.append(f"{hashlib.sha1(data).hexdigest()}.warc.zst")
-                part = f"{folder}/.{names[-1]}.{uuid.uuid4().hex}"
-                with open(part, "wb") as out:
-                    out.write(data)
-                os.replace(part, f"{folder}/{names[-1]}")
-            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(1)], names=["file", "n_records"])
+            names = [f"{name}.warc.zst" for name in batch.column(0).to_pylist()]
+            for name, bundle in zip(names, batch.column(1)):
+                part = f"{root}/.{name}.{uuid.uuid4().hex}"
+                with store.open_output_stream(part, compression=None) as out:
+                    out.write(bundle.as_py())
+                store.move(part, f"{root}/{name}")
+            yield pa.RecordBatch.from_arrays([pa.array(names, pa.string()), batch.column(2)], names=["file", "n_records"])
 
     ship(bundles.sparkSession)
-    return bundles.select("bundle", "n_records").mapInArrow(run, "file string, n_records int")
+    return bundles.select("bundle_id", "bundle", "n_records").mapInArrow(run, "file string, n_records int")

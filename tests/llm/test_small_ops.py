@@ -35,6 +35,12 @@ def test_warc_round_trip(spark, tmp_path):
     assert by[1] == [("revisit", 5, 1200)] and by[2] == [("revisit", 5, 1200)] and by[5] == [("response", None, 1200)] * 2 and by[None] == [("revisit", 5, 1200)]
     assert by[3] == by[4] == [("response", None, 5)] and by[6] == by[7] == [("response", None, 0)] and by[8] == [("response", None, 700_000)]
     assert {r.payload_digest for r in back if r.page_id == 1} == {hashlib.sha1(big.encode()).hexdigest()}
+    index = warc.archive_index(bundles)
+    assert "bundle:" not in index._jdf.queryExecution().executedPlan().toString().split("ReadSchema")[1].replace("bundle_id", "")
+    assert sorted((r.record_id, r.frame, r.offset, r.length) for r in index.collect()) == sorted((r.record_id, r.frame, r.offset, r.length) for r in back)
+    wanted = spark.createDataFrame([("urn:page:8",), ("urn:page:1",), ("urn:page:1",), ("urn:page:77",), (None,), ("urn:page:5",)], "record_id string")
+    got = sorted((r.record_id, bytes(r.record)) for r in warc.fetch_records(bundles, wanted).collect())
+    assert [g[0] for g in got] == ["urn:page:1", "urn:page:5", "urn:page:5", "urn:page:8"] and huge.encode() in got[3][1] and all(f"<{i}>".encode() in x for i, x in got)
     (tmp_path / "out").mkdir()
     files = warc.export_archive(bundles, str(tmp_path / "out")).collect()
     text = b"".join(zstandard.ZstdDecompressor().stream_reader(open(tmp_path / "out" / f.file, "rb"), read_across_frames=True).read() for f in files)
