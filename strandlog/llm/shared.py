@@ -183,20 +183,21 @@ def span_hashes(at8: np.ndarray, start: np.ndarray, end: np.ndarray, seed: int =
     return mixed(out)
 
 
-def same_spans(at8: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray) -> np.ndarray:
-    """Whether the size bytes at a and at b are equal, run by run, by comparing the bytes."""
+def same_spans(at8: np.ndarray, a: np.ndarray, b: np.ndarray, size: np.ndarray, other: np.ndarray | None = None) -> np.ndarray:
+    """Whether the size bytes at a and at b (of other, if given) are equal, run by run, by comparing the bytes."""
+    there = at8 if other is None else other
     out = np.ones(len(a), bool)
-    live = np.flatnonzero((size > 0) & (a != b))
+    live = np.flatnonzero((size > 0) & (a != b) if other is None else size > 0)
     for k in range(_SHORT):
         if not len(live):
             return out
         left = size[live] - 8 * k
         mask = _MASKS[np.minimum(left, 8)]
-        out[live] = (at8[a[live] + 8 * k] & mask) == (at8[b[live] + 8 * k] & mask)
+        out[live] = (at8[a[live] + 8 * k] & mask) == (there[b[live] + 8 * k] & mask)
         live = live[(left > 8) & out[live]]
     if len(live):
         lead, x, _ = _pieces(at8, a[live], a[live] + size[live], _SHORT)
-        _, y, _ = _pieces(at8, b[live], b[live] + size[live], _SHORT)
+        _, y, _ = _pieces(there, b[live], b[live] + size[live], _SHORT)
         out[live] = np.logical_and.reduceat(x == y, lead)
     return out
 

@@ -162,9 +162,21 @@ def test_contamination(spark):
         got = decontaminate.contamination(d, b, window=window, block_bytes=block).collect()
         assert sorted([(r.doc_id, r.n_words, sum(h.stop - h.start for h in r.hits), list(r["items"])) for r in got], key=str) == plain_contamination(docs, items, window)
     assert {len(r.hits) for r in decontaminate.contamination(d, b.limit(0)).collect()} == {0}
+    twins = thue_morse(1024)
+    got = decontaminate.contamination(spark.createDataFrame([(1, twins[0]), (2, "x " + twins[1] + " y")], "doc_id long, text string"), spark.createDataFrame([(7, twins[1])], "item_id long, text string"))
+    assert {(r.doc_id, tuple(r["items"])) for r in got.collect()} == {(1, ()), (2, (7,))}
     assert decontaminate.contamination(d.limit(0), b).count() == 0
 
 
+def test_the_index_keeps_its_bound():
+    """25 times the items' text at most, 12 for words of five letters; equal windows are one entry."""
+    for text, most in ((" ".join(random.Random(3).choice("abcdefgh") for _ in range(200_000)), 25), (" ".join(words(100_000, 4, 30_000)), 12), ("the same ten words over and over again without end " * 20_000, 12)):
+        own = decontaminate.item_words(pa.array([text]))
+        index = decontaminate.build_index(np.array([1]), own, {}, 10)
+        assert index.nbytes() - index.sieve.nbytes <= most * len(text)
+    assert len(index.start) == 10
+
+
 def shingles(text, n):
     w = re.findall(r"[^\x20\x09-\x0D]+", lower(text))
     return {tuple(w[k : k + n]) for k in range(max(1, len(w) - n + 1))} if w else set()
