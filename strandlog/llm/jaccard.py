@@ -426,7 +426,7 @@ def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame)
     return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 19, few: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 17, few: int = 24) -> DataFrame:
     """Groups documents whose sets of word shingles link: 100 * intersection >= percent * union. (id, n_shingles, component)
 
     Equal sets are one class, found by two 64-bit sums over the set. All shingles stand in one global order: by the weight

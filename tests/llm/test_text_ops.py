@@ -216,7 +216,7 @@ def near_rows(seed, families, copies):
     return rows
 
 
-@pytest.mark.parametrize("n,percent,block,few", [(4, 85, 1 << 19, 24), (5, 80, 200, 3), (5, 80, 2000, 2), (3, 60, 1 << 19, 5)])
+@pytest.mark.parametrize("n,percent,block,few", [(4, 85, 1 << 17, 24), (5, 80, 200, 3), (5, 80, 2000, 2), (3, 60, 1 << 19, 5)])
 def test_jaccard_components(spark, n, percent, block, few):
     rows = near_rows(n, 40, 8) + [(2000, None), (2001, ""), (2002, " \t\n"), (None, "one two three four five"), (2003, "One  two three\tfour five"), (2004, "one two three four five"), (2005, "x"), (2006, "X"), (2007, "x x"), (2003, "six seven eight nine ten"), (2008, "six seven eight nine ten"), *[(2100 + i, x) for i, x in enumerate(thue_morse(1024))]]
     docs = spark.createDataFrame([(*r, 1) for r in rows], "doc_id long, text string, component int").repartition(3)
