@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -31,14 +31,15 @@ _FOLD = _fold()
 def subwords(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
     """Buckets of the byte n-grams of each order, whether each counts, and the texts' starts in the padded bytes.
 
-    Each text stands between spaces; n-grams that begin with two spaces or reach past their text don't count.
+    Each text stands between a space and enough of them that no n-gram reaches into the next text; n-grams that begin
+    with two spaces don't count.
     """
-    n = len(offsets) - 1
-    padded = np.full(len(raw) + 2 * n + max(ORDERS), 32, np.uint8)
-    start = offsets[:-1] + 2 * np.arange(n)
-    place = np.arange(len(raw)) + np.repeat(2 * np.arange(n) + 1, np.diff(offsets))
+    n, room = len(offsets) - 1, max(ORDERS)
+    padded = np.full(len(raw) + room * n + room, 32, np.uint8)
+    start = offsets[:-1] + room * np.arange(n)
+    place = np.arange(len(raw)) + np.repeat(room * np.arange(n) + 1, np.diff(offsets))
     padded[place] = _FOLD[raw]
-    size = len(raw) + 2 * n
+    size = len(raw) + room * n
     b = padded.astype(np.uint32)
     gram = b[:-1] | (b[1:] << np.uint32(8))
     counts = gram[:size] != 0x2020
@@ -52,30 +53,39 @@ def subwords(raw: np.ndarray, offsets: np.ndarray, buckets: int) -> tuple[list[n
 
 @dataclass
 class LanguageModel:
-    """scores[o, bucket, class] is the embedding of a bucket times the softmax weights; bias, temperature and the least score that isn't rejected."""
+    """scores[o, bucket, class] is the embedding of a bucket times the softmax weights; bias, temperature, and the least
+    score that isn't rejected for texts of 2**k subword places and more."""
 
     languages: list[str]
     scores: np.ndarray
     bias: np.ndarray
     temperature: float
-    least: float
+    least: np.ndarray
 
-    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Class and probability of each text."""
-        return _softmax(self.logits(raw, offsets) / self.temperature)
+    def predict(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Class, probability and whether the model rejects it, of each text."""
+        logits, places = self.logits(raw, offsets)
+        best, score = _softmax(logits / self.temperature)
+        return best, score, score < self.least[size_class(places, len(self.least))]
 
-    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    def logits(self, raw: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Logits before the temperature and the number of subword places of each text."""
         n = len(offsets) - 1
         if not n:
-            return np.zeros((0, len(self.languages)))
+            return np.zeros((0, len(self.languages))), np.zeros(0, np.int64)
         grams, counts, start = subwords(raw, offsets, self.scores.shape[1])
         total = np.zeros((n, len(self.languages)))
         for o, g in enumerate(grams):
             own = self.scores[o][g]
             own[~counts] = 0
             total += np.add.reduceat(own, start, axis=0)
-        mean = total / np.maximum(1, len(ORDERS) * np.add.reduceat(counts.astype(np.int64), start))[:, None]
-        return mean + self.bias
+        places = np.add.reduceat(counts.astype(np.int64), start)
+        return total / np.maximum(1, len(ORDERS) * places)[:, None] + self.bias, places
+
+
+def size_class(places: np.ndarray, classes: int) -> np.ndarray:
+    """The binary logarithm of the number of subword places, 0 to classes - 1."""
+    return np.minimum(np.log2(np.maximum(places, 1)).astype(np.int64), classes - 1)
 
 
 def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -84,11 +94,51 @@ def _softmax(z: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return best, p[np.arange(len(p)), best] / p.sum(1)
 
 
-def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int = 16, epochs: int = 3, spans: int = 3, rate: float = 1.5, batch: int = 128, calibration: float = 0.2, rejected: float = 0.002, seed: int = 7) -> LanguageModel | None:
-    """Trains on spans of the given texts by stochastic gradient descent; a share of the texts only calibrates.
+#: Sizes in bytes of the spans that whole texts are cut into for training, one after the other, and of those that calibrate.
+_SPANS, _CUTS = (400, 60, 150, 24, 300), (12, 24, 48, 96, 192, 384, 768)
+_SIZE_CLASSES = 14
+
+
+def spans_of(offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Cuts every whole text into spans of _SPANS in turn: (offsets of the spans, the text of each)."""
+    begin, text = [], []
+    for i, (a, b) in enumerate(zip(offsets[:-1].tolist(), offsets[1:].tolist())):
+        k = i
+        while a < b:
+            begin.append(a)
+            text.append(i)
+            a, k = a + _SPANS[k % len(_SPANS)], k + 1
+    return np.append(begin, offsets[-1]).astype(np.int64), np.array(text, np.int64)
+
 
-    Those set the temperature (least log loss) and the rejection score: the share `rejected` of them, at most, would
-    be rejected, and never a text with a score of 0.4 or more.
+def sgd_step(embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, flat: np.ndarray, size: np.ndarray, y: np.ndarray, rate: float, embed_rate: float) -> None:
+    """One step of stochastic gradient descent on the mean log loss of a batch, in place.
+
+    flat[order, place] are the embedding rows of the examples' subwords, one example after the other, of size places each.
+    """
+    orders = len(flat)
+    first = np.cumsum(size) - size
+    mean = sum(np.add.reduceat(embed[f], first, axis=0) for f in flat) / (orders * size)[:, None]
+    z = mean @ weight + bias
+    p = np.exp(z - z.max(1, keepdims=True))
+    p /= p.sum(1, keepdims=True)
+    p[np.arange(len(y)), y] -= 1
+    p /= len(y)
+    back = (p @ weight.T) / (orders * size)[:, None]
+    weight -= rate * (mean.T @ p)
+    bias -= rate * p.sum(0)
+    touched, place = np.unique(flat.ravel(), return_inverse=True)
+    owner = np.tile(np.repeat(np.arange(len(y)), size), orders)
+    change = np.stack([np.bincount(place.ravel(), back[owner, d], len(touched)) for d in range(embed.shape[1])], 1)
+    embed[touched] -= (rate * embed_rate * change).astype(embed.dtype)
+
+
+def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int = 16, least_steps: int = 330, rate: float = 1.5, batch: int = 128, calibration: float = 0.2, rejected: float = 0.001, seed: int = 7) -> LanguageModel | None:
+    """Trains on all of the given texts, cut into spans, by stochastic gradient descent; a share of the texts only calibrates.
+
+    Every span is used once, and again in whole rounds while there are fewer than least_steps batches. The calibrating
+    texts, whole and cut to several sizes, set the temperature (least log loss) and, for each class of sizes, the
+    rejection score: the share `rejected` of them would be rejected, less a margin of one in the log odds.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -97,91 +147,102 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
     y_all = np.searchsorted(languages, labels)
     order = rng.permutation(len(texts))
     held, used = order[: int(calibration * len(texts))], order[int(calibration * len(texts)) :]
-    examples, y = [], []
-    for i in used:
-        data = texts[i].encode()
-        for k in range(spans):
-            size = int(rng.choice((24, 60, 150, 300))) if k else 400
-            at = int(rng.integers(0, max(1, len(data) - size + 1)))
-            examples.append(data[at : at + size])
-            y.append(y_all[i])
-    y = np.array(y)
-    offsets = np.append(0, np.cumsum([len(x) for x in examples]))
-    grams, counts, start = subwords(np.frombuffer(b"".join(examples), np.uint8), offsets, buckets)
+    raw, offsets = text_bytes(pa.array([texts[i] for i in used], pa.string()))
+    edges, text = spans_of(offsets)
+    y = y_all[used][text]
+    grams, counted, start = [[] for _ in ORDERS], [], []
+    for a in range(0, len(text), 4096):  # the work memory is that of 4096 spans
+        own = edges[a : a + 4097]
+        g, c, s = subwords(raw[own[0] : own[-1]], own - own[0], buckets)
+        start.append(s + sum(map(len, counted)))
+        counted.append(c)
+        for held_, part in zip(grams, g):
+            held_.append(part.astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
+    index = [np.concatenate(g) if g else np.zeros(0, np.uint16) for g in grams]
+    counts, start = np.concatenate([*counted, np.zeros(0, bool)]), np.concatenate([*start, np.zeros(0, np.int64)])
+    del grams, counted
     stop = np.append(start[1:], len(counts))
-    index = np.stack([g.view(np.int32) + o * buckets for o, g in enumerate(grams)])
-    del grams, examples
     embed = rng.normal(0, 1 / dim, (len(ORDERS) * buckets, dim)).astype(np.float32)
-    weight, bias = np.zeros((dim, len(languages)), np.float32), np.zeros(len(languages), np.float32)
-    weight += rng.normal(0, 0.1, weight.shape).astype(np.float32)
-    steps, done = epochs * -(-len(y) // batch), 0
+    weight, bias = rng.normal(0, 0.1, (dim, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
+    rounds = -(-len(y) // batch)
+    epochs = max(1, -(-least_steps // rounds)) if rounds else 0
+    done = 0
     for _ in range(epochs):
-        for rows in np.array_split(rng.permutation(len(y)), -(-len(y) // batch)):
-            which = [np.arange(start[r], stop[r])[counts[start[r] : stop[r]]] for r in rows]
-            size = np.array([len(w) for w in which])
-            if (size == 0).any():
-                rows, which, size = rows[size > 0], [w for w in which if len(w)], size[size > 0]
-            if not len(rows):
-                continue
-            flat = index[:, np.concatenate(which)].astype(np.int64)
+        for rows in np.array_split(rng.permutation(len(y)), rounds):
+            size = stop[rows] - start[rows]
+            place = np.arange(int(size.sum())) + np.repeat(start[rows] - (np.cumsum(size) - size), size)
             owner = np.repeat(np.arange(len(rows)), size)
-            first = np.cumsum(size) - size
-            mean = sum(np.add.reduceat(embed[f], first, axis=0) for f in flat) / (len(ORDERS) * size)[:, None]
-            z = mean @ weight + bias
-            p = np.exp(z - z.max(1, keepdims=True))
-            p /= p.sum(1, keepdims=True)
-            p[np.arange(len(rows)), y[rows]] -= 1
-            p /= len(rows)
-            step = rate * (1 - done / steps)
-            back = (p @ weight.T) / (len(ORDERS) * size)[:, None]
-            weight -= step * (mean.T @ p)
-            bias -= step * p.sum(0)
-            touched, place = np.unique(flat.ravel(), return_inverse=True)
-            change = np.empty((len(touched), dim), np.float32)
-            for d in range(dim):
-                change[:, d] = np.bincount(place.ravel(), np.tile(back[owner, d], len(ORDERS)), len(touched))
-            embed[touched] -= step * 200 * change
+            keep = counts[place]
+            size = np.bincount(owner[keep], minlength=len(rows))
+            flat = np.stack([g[place[keep]].astype(np.int64) + o * buckets for o, g in enumerate(index)])
+            if (size > 0).any():
+                sgd_step(embed, weight, bias, flat, size[size > 0], y[rows][size > 0], rate * (1 - done / (epochs * rounds)), 200)
             done += 1
-    model = LanguageModel(languages, (embed @ weight).reshape(len(ORDERS), buckets, -1), bias, 1.0, 0.0)
+    model = LanguageModel(languages, (embed @ weight).reshape(len(ORDERS), buckets, -1), bias, 1.0, np.zeros(_SIZE_CLASSES))
     if len(held):
         del index, counts
-        column = pa.array([texts[i] for i in held], pa.string())
-        batch = pa.RecordBatch.from_arrays([column], names=["text"])
-        logits = np.concatenate([model.logits(*text_bytes(part.column(0))) for part in slices(batch, "text", 1 << 20)])
-        best = None
-        for t in np.geomspace(0.05, 8, 24):
-            c, s = _softmax(logits / t)
-            right = c == y_all[held]
-            loss = -np.log(np.clip(np.where(right, s, (1 - s) / max(1, len(languages) - 1)), 1e-9, 1)).mean()
-            if best is None or loss < best[0]:
-                best = loss, t, s
-        model.temperature = float(best[1])
-        model.least = float(min(0.4, np.quantile(best[2], rejected)))
+        _calibrate(model, [texts[i].encode() for i in held], y_all[held], rejected, rng)
     return model
 
 
+def _calibrate(model: LanguageModel, texts: list[bytes], y: np.ndarray, rejected: float, rng: np.random.Generator) -> None:
+    logits, places, truth = [], [], []
+    for i, data in enumerate(texts):
+        cuts = [(0, len(data)), *[(int(rng.integers(0, len(data) - size + 1)), size) for size in _CUTS if size < len(data)]]
+        parts = [data[a : a + n] for a, n in cuts]
+        z, n = model.logits(np.frombuffer(b"".join(parts), np.uint8), np.append(0, np.cumsum([len(p) for p in parts])))
+        logits.append(z)
+        places.append(n)
+        truth.append(np.full(len(z), y[i]))
+    logits, places, truth = (np.concatenate(v) for v in (logits, places, truth))
+    best = None
+    for t in np.geomspace(0.05, 8, 24):
+        c, s = _softmax(logits / t)
+        loss = -np.log(np.clip(np.where(c == truth, s, (1 - s) / max(1, len(model.languages) - 1)), 1e-9, 1)).mean()
+        if best is None or loss < best[0]:
+            best = loss, t, s
+    model.temperature = float(best[1])
+    kind = size_class(places, len(model.least))
+    for k in range(len(model.least)):
+        own = best[2][kind == k]
+        if len(own) >= 20:
+            edge = np.clip(np.quantile(own, rejected), 1e-9, 1 - 1e-9)
+            model.least[k] = edge / (edge + (1 - edge) * np.e)
+        elif k and not (kind > k).any():  # larger than any seen
+            model.least[k] = model.least[k - 1]
+
+
 def has_letter(text: Column) -> Column:
     return F.coalesce(text.rlike(r"\p{L}"), F.lit(False))
 
 
-def train(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, **options) -> LanguageModel | None:
-    """Fits on about per_language labelled rows of each language (documented bound; twice as many at most come to the driver).
+def train(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", per_language: int = 1500, most_bytes: int = 24 << 20, **options) -> LanguageModel | None:
+    """Fits on the whole texts of at most per_language labelled rows of each language, and most_bytes of text in all (documented bounds).
 
-    Rows are chosen by a hash of their id among those that may_learn allows and whose text has a letter.
+    Rows are chosen by a hash of their id and text among those that may_learn allows and whose text has a letter; a row
+    whose text would pass its language's share of most_bytes is passed over.
     """
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
-    counts = rows.groupBy(F.col(lang_col).alias("lang")).agg(F.count("*").alias("n")).collect()
-    if not counts:
+    draw = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
+    keyed = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.octet_length(text_col).alias("size"))
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "size"))  # Spark cuts to per_language rows before the shuffle
+    offered = keyed.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "draw", "size").collect()
+    room = dict.fromkeys({r.lang for r in offered}, most_bytes // max(1, len({r.lang for r in offered})))
+    chosen = set()
+    for r in sorted(offered, key=lambda r: (r.lang, r.draw)):
+        if r["size"] <= room[r.lang] and (r.lang, r.draw) not in chosen:  # of rows that repeat one is enough
+            room[r.lang] -= r["size"]
+            chosen.add((r.lang, r.draw))
+    if not chosen:
         return None
-    share = F.create_map(*[x for r in counts for x in (F.lit(r.lang), F.lit(min(1.0, per_language / r.n)))])
-    draw = F.pmod(F.xxhash64(F.col(id_col).cast("string")), F.lit(1 << 30)) / float(1 << 30)
-    chosen = rows.where(draw < share[F.col(lang_col)]).select(F.col(id_col).cast("string").alias("id"), F.col(lang_col).alias("lang"), F.col(text_col).alias("text")).limit(2 * per_language * len(counts)).collect()
-    chosen.sort(key=lambda r: (r.id or "", r.lang, r.text))
-    return fit([r.text for r in chosen], [r.lang for r in chosen], **options)
+    wanted = docs.sparkSession.createDataFrame(sorted(chosen), "l string, d long")
+    found = rows.join(F.broadcast(wanted), (F.col(lang_col) == F.col("l")) & (draw == F.col("d"))).select("l", "d", F.col(text_col).alias("text")).groupBy("l", "d").agg(F.min("text").alias("text")).collect()
+    found.sort(key=lambda r: (r.l, r.d))
+    return fit([r.text for r in found], [r.l for r in found], **options)
 
 
 def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "text", lang_out: str = "lang_pred", score_out: str = "lang_score", rejected_out: str = "lang_rejected") -> DataFrame:
-    """Appends the language of each whole text, its probability and whether the model rejects it.
+    """Appends the language of each whole text, its probability and whether the model rejects it: as less sure than nearly all known texts of its size.
 
     Only the text is looked at. A null text, or one without a letter, is `und` with score 0 and rejected; without a
     model (no labelled rows) every text is. Columns that already have one of the new names are replaced; all others
@@ -202,10 +263,10 @@ def identify(docs: DataFrame, model: LanguageModel | None, *, text_col: str = "t
                 if own is None:
                     lang, score, gone = np.full(len(none), UNDETERMINED, object), np.zeros(len(none)), np.ones(len(none), bool)
                 else:
-                    best, score = own.predict(*text_bytes(part.column(at)))
+                    best, score, unsure = own.predict(*text_bytes(part.column(at)))
                     lang = np.where(none, UNDETERMINED, np.array(own.languages, object)[best])
                     score = np.where(none, 0.0, score)
-                    gone = none | (score < own.least)
+                    gone = none | unsure
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], pa.array(lang.tolist(), pa.string()), pa.array(score), pa.array(gone)], names=schema.names)
 
     return flagged.mapInArrow(run, schema)

@@ -126,6 +126,83 @@ def test_languages(spark):
     assert langid.identify(docs.limit(0), model).count() == 0
 
 
+def plain_subwords(text):
+    """Counted subwords by order and bucket, from the definition: byte n-grams of the folded text between two spaces."""
+    fold = lambda b: b + 32 if 65 <= b <= 90 else b if 97 <= b <= 122 or b >= 128 else 32
+    own = bytes([32, *map(fold, text.encode()), 32])
+    out = []
+    for k in range(len(own)):
+        if (own + b" ")[k : k + 2] != b"  ":
+            for o, n in enumerate((2, 3, 4)):
+                gram = (own + b" " * 8)[k : k + n]
+                out.append((o, (int.from_bytes(gram, "little") * 0x9E3779B1 % (1 << 32)) >> 18))
+    return out
+
+
+def test_predictions_equal_a_plain_version():
+    rows = language_rows()[:200]
+    model = langid.fit([t for _, t, _ in rows], [lang for *_, lang in rows])
+    texts = [t for _, t, _ in language_rows()[200:260]] + ["a", "É x", "the  ing"]
+    best, score, _ = model.predict(*text_bytes(pa.array(texts)))
+    for text, b, s in zip(texts, best, score):
+        grams = plain_subwords(text)
+        z = np.array([sum(float(model.scores[o, k, c]) for o, k in grams) / len(grams) + float(model.bias[c]) for c in range(len(model.languages))]) / model.temperature
+        p = np.exp(z - z.max())
+        assert b == p.argmax() and abs(s - p.max() / p.sum()) < 1e-4
+
+
+def test_a_step_of_descent_equals_a_plain_one():
+    rng = np.random.default_rng(1)
+    embed, weight, bias = rng.normal(size=(30, 4)), rng.normal(size=(4, 3)), rng.normal(size=3)
+    size, y = np.array([2, 1, 3]), np.array([0, 2, 2])
+    flat = rng.integers(0, 30, (2, 6))
+    new = [v.copy() for v in (embed, weight, bias)]
+    langid.sgd_step(*new, flat, size, y, 0.5, 2.0)
+
+    def loss(e, w, b):
+        total, at = 0.0, 0
+        for n, c in zip(size, y):
+            z = e[flat[:, at : at + n].ravel()].mean(0) @ w + b
+            total += np.log(np.exp(z).sum()) - z[c]
+            at += n
+        return total / len(y)
+
+    for k, (old, now, rate) in enumerate(zip((embed, weight, bias), new, (1.0, 0.5, 0.5))):
+        for at in np.ndindex(old.shape):
+            moved = [v.copy() for v in (embed, weight, bias)]
+            moved[k][at] += 1e-6
+            assert abs((old[at] - now[at]) / rate - (loss(*moved) - loss(embed, weight, bias)) / 1e-6) < 1e-4
+
+
+def test_foreign_text_and_junk_are_rejected(spark):
+    draw = random.Random(11)
+    parts = ["qx", "zw", "vv", "jk", "xu"]
+    foreign = [" ".join("".join(draw.choice(parts) for _ in range(draw.randint(1, 4))) for _ in range(60)) for _ in range(50)]
+    junk = ["".join(draw.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(400)) for _ in range(50)]
+    known = language_rows()
+    docs = spark.createDataFrame([(i, t, lang) for i, t, lang in known], "doc_id long, text string, lang string")
+    model = langid.train(docs, F.lit(True))
+    other = spark.createDataFrame([(t,) for t in foreign + junk], "text string")
+    assert langid.identify(other, model).where("lang_rejected").count() >= 95
+    assert langid.identify(docs, model).where("lang_rejected").count() <= 6
+
+
+def test_rows_without_ids_are_drawn_like_others(spark):
+    """A flood of rows without an id, of one language, neither crowds the others out nor passes the bound."""
+    rows = [(None, f"the and the ing {i} tion", "xx") for i in range(400)] + [(i, f"schung der ung {i}", "yy") for i in range(50)] + [(None, "only once", "zz"), (None, "only once", "zz")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    seen = []
+    real, langid.fit = langid.fit, lambda texts, labels, **_: seen.append(list(zip(labels, texts)))
+    try:
+        langid.train(docs, F.lit(True), per_language=60)
+        langid.train(docs, F.lit(True), most_bytes=300)
+    finally:
+        langid.fit = real
+    count = lambda x: {lang: sum(a == lang for a, _ in x) for lang in ("xx", "yy", "zz")}
+    assert count(seen[0]) == {"xx": 60, "yy": 50, "zz": 1} and all(0 < n <= 5 for n in count(seen[1]).values())
+    assert sum(len(t.encode()) for _, t in seen[1]) <= 300 and {t for _, t in seen[0]} <= {t for _, t, _ in rows}
+
+
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
 
