@@ -10,10 +10,8 @@ import time
 from pyspark.sql import SparkSession
 
 from . import admin, stats
-from .functions.times import format_rfc3339, parse_rfc3339
+from .functions.times import parse_rfc3339
 from .model import EngineError, Options
-from .operators.logs import check_limit, truncated
-from .plans.querylang import parse_query
 from .sources.json_logs import parse_batch
 from .sources.store import Store
 
@@ -78,11 +76,7 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None, out=s
             store.write_logs(parse_batch(sys.stdin.read() if args.file == "-" else store.files.read(args.file), time.time_ns()))
         elif args.command == "query":
             now = parse_rfc3339(args.now) if args.now else time.time_ns()
-            q = parse_query(args.query)
-            start, end = q.window(now)
-            entries = [{"timestamp": format_rfc3339(r.ts_nanos), "labels": r.labels, "message": r.message, "sequence": r.sequence} for r in store.query(q, now, args.limit).collect()]
-            more = len(entries) == check_limit(args.limit) and truncated(store.logs(start, end, q.labels), q, now, args.limit).first().truncated
-            say({"matcher": q.matcher, "start": format_rfc3339(start), "end": format_rfc3339(end), "entries": entries, "truncated": more})
+            say(store.query_result(args.query, now, args.limit))
         elif args.command == "health":
             ok = stats.healthy(store)
             say({"status": "ok" if ok else "unavailable"})

@@ -13,7 +13,7 @@ from ..model import InvalidQuery, MAX_NANOS
 
 #: Units of a duration in nanoseconds.
 UNITS = {"ns": 1, "us": 1_000, "µs": 1_000, "μs": 1_000, "ms": 1_000_000, "s": 1_000_000_000, "m": 60_000_000_000, "h": 3_600_000_000_000}
-DURATION = re.compile(r"(?:\d+(?:\.\d*)?|\.\d+)(?:ns|us|µs|μs|ms|s|m|h)")
+DURATION = re.compile(r"(?:[0-9]+(?:\.[0-9]*)?|\.[0-9]+)(?:ns|us|µs|μs|ms|s|m|h)")
 
 
 def parse_duration(text: str) -> int:
@@ -41,7 +41,7 @@ def format_duration(nanos: int) -> str:
     return out
 
 
-_RFC3339 = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:[.,](\d{1,9})\d*)?(Z|[+-]\d\d:\d\d)")
+_RFC3339 = re.compile(r"(\d{4})-(\d\d)-(\d\d)T(\d\d):(\d\d):(\d\d)(?:[.,](\d{1,9})\d*)?(Z|[+-]\d\d:\d\d)", re.ASCII)
 
 
 def parse_rfc3339(text: str) -> int:

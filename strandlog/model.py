@@ -73,14 +73,23 @@ class Conflict(EngineError):
     """Another writer published a generation meanwhile."""
 
 
+def status_of(error: Exception) -> int:
+    """The HTTP status that an embedding service answers an error with."""
+    if isinstance(error, Conflict):
+        return 409
+    if isinstance(error, CorruptStore):
+        return 503
+    return 400 if isinstance(error, (EngineError, ValueError)) else 500
+
+
 @dataclass(frozen=True)
 class Options:
-    """Engine options; sizes in bytes, retention in nanoseconds, 0 turns a limit off."""
+    """Engine options; sizes in bytes, retention in nanoseconds, 0 turns a limit off; 0 workers are as many as the cluster has cores."""
 
     checkpoint_bytes: int = 4 << 20
     auto_checkpoint: bool = True
     compaction_threshold: int = 4
-    compaction_workers: int = 4
+    compaction_workers: int = 0
     compaction_task_bytes: int = 8 << 20
     max_levels: int = 4
     level_base_bytes: int = 64 << 20
@@ -95,7 +104,7 @@ class Options:
         checks = (
             (self.checkpoint_bytes > 0, "checkpoint_bytes must be positive"),
             (self.compaction_threshold >= 0, "compaction_threshold can't be negative"),
-            (self.compaction_workers > 0, "compaction_workers must be positive"),
+            (self.compaction_workers >= 0, "compaction_workers can't be negative"),
             (self.compaction_task_bytes > 0, "compaction_task_bytes must be positive"),
             (self.max_levels >= 2, "max_levels must be 2 or more"),
             (self.level_base_bytes > 0, "level_base_bytes must be positive"),

@@ -30,6 +30,9 @@ class Run:
     max_ts: int | None = None
     labels: dict[str, int] | None = None
     label_values: dict[str, list[str]] | None = None
+    #: The first key of each file, and whether labels of many values have a Bloom filter beside the run.
+    first_keys: list | None = None
+    bloom: bool = False
     format: int = 1
 
     def low(self):
@@ -67,21 +70,35 @@ def select_runs(runs: list[Run], level: int) -> list[Run]:
     return own + overlapping([r for r in runs if r.level == level + 1], low, high)
 
 
-def task_count(total_bytes: int, options: Options) -> int:
-    return max(1, min(options.compaction_workers, math.ceil(total_bytes / options.compaction_task_bytes)))
+#: Bytes that one task of a merge takes at most, whatever the number of workers is.
+TASK_LIMIT = 1 << 30
 
 
-def split_points(first_keys: list[str], tasks: int) -> list[tuple[str, str]]:
-    """Half-open key ranges from sorted first keys of blocks, one a task at most; empty bounds are open."""
+def task_count(total_bytes: int, options: Options, cores: int = 4) -> int:
+    """Tasks of a merge: one for each compaction_task_bytes, as many as there are workers at most, and never so few that
+    one has more than TASK_LIMIT."""
+    workers = options.compaction_workers or cores
+    return max(1, min(workers, math.ceil(total_bytes / options.compaction_task_bytes)), math.ceil(total_bytes / TASK_LIMIT))
+
+
+def split_points(first_keys: list, tasks: int) -> list[tuple]:
+    """Half-open key ranges from sorted first keys of files, one a task at most; None is an open bound."""
     keys = sorted(set(first_keys))
     if tasks < 2 or len(keys) < 2:
-        return [("", "")]
+        return [(None, None)]
     tasks = min(tasks, len(keys))
     cuts = sorted({keys[t * len(keys) // tasks] for t in range(1, tasks)})
-    edges = ["", *cuts, ""]
+    edges = [None, *cuts, None]
     return list(zip(edges, edges[1:]))
 
 
+def in_ranges(rows: DataFrame, column: str, ranges: list[tuple]) -> DataFrame:
+    """Deals rows to one task for each range, in the order of the ranges: no sampling pass, and nothing is read twice."""
+    cuts = [low for low, _ in ranges[1:]]
+    number = F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: c <= F.col(column))) if cuts else F.lit(0)
+    return rows.repartitionById(len(ranges), number)
+
+
 def merge_kv(versions: DataFrame, *, bottom: bool) -> DataFrame:
     """The newest version of each key; tombstones go at the bottom, above it they still hide older runs."""
     merged = resolve_latest(versions)

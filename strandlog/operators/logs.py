@@ -46,6 +46,7 @@ def query_window(logs: DataFrame, start: int, end: int, labels: dict[str, str] |
 
 
 def check_limit(limit: int | None) -> int:
+    """The limit of the command line and of a service: the default where none is given, else one in range."""
     if limit is None:
         return DEFAULT_LIMIT
     if not 1 <= limit <= MAX_LIMIT:
@@ -60,8 +61,11 @@ def query_matches(logs: DataFrame, query: LogQuery | str, now_nanos: int) -> Dat
 
 
 def query_logs(logs: DataFrame, query: LogQuery | str, now_nanos: int, limit: int | None = None) -> DataFrame:
-    """The first entries that a query finds, in order; the limit counts after the pattern."""
-    return ordered(query_matches(logs, query, now_nanos)).limit(check_limit(limit))
+    """The entries that a query finds, in order: all of them, or the first ones; the limit counts after the pattern."""
+    found = ordered(query_matches(logs, query, now_nanos))
+    if limit is not None and limit < 1:
+        raise InvalidQuery("the limit must be positive")
+    return found if limit is None else found.limit(limit)
 
 
 def truncated(logs: DataFrame, query: LogQuery | str, now_nanos: int, limit: int | None = None) -> DataFrame:
@@ -77,20 +81,24 @@ def latest_logs(logs: DataFrame, version: str = "version") -> DataFrame:
     return logs.groupBy(*LOG_ORDER).agg(F.max_by(F.struct(*rest), version).alias("x")).select(*LOG_ORDER, "x.*")
 
 
-def assign_sequences(logs: DataFrame, last_sequence: int) -> DataFrame:
+def assign_sequences(logs: DataFrame, last_sequence: int, high: int | None = None) -> DataFrame:
     """Gives entries with sequence 0 the numbers after the largest one known, in the order of time, labels and message.
 
-    A place is the entries of earlier days, of earlier seconds of the day, and its rank in its second, so no window
-    holds more than a day's seconds or a second's entries.
+    A place is the entries of earlier days, of earlier seconds of the day, of earlier nanoseconds and label sets of the
+    second, and the rank among its like, so no window holds more than a day's seconds, a second's label sets, or
+    the entries of one nanosecond and label set. high: the largest sequence among logs, where it is known.
     """
-    high = logs.agg(F.max("sequence")).first()[0]
+    if high is None:
+        high = logs.agg(F.max("sequence")).first()[0]
     base = max(last_sequence, high or 0)
     second = F.expr("ts_nanos div 1000000000 - CASE WHEN ts_nanos % 1000000000 < 0 THEN 1 ELSE 0 END")
     fresh = logs.where("sequence = 0").withColumn("__second", second)
-    seconds = fresh.groupBy("__second").agg(F.count("*").alias("n")).withColumn("day", F.expr("__second div 86400 - CASE WHEN __second % 86400 < 0 THEN 1 ELSE 0 END"))
+    alike = fresh.groupBy("__second", "ts_nanos", "label_key").agg(F.count("*").alias("n"))
+    seconds = alike.groupBy("__second").agg(F.sum("n").alias("n")).withColumn("day", F.expr("__second div 86400 - CASE WHEN __second % 86400 < 0 THEN 1 ELSE 0 END"))
     before = lambda w: F.coalesce(F.sum("n").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
     days = seconds.groupBy("day").agg(F.sum("n").alias("n")).select("day", before(Window.orderBy("day")).alias("of_day"))
     offsets = seconds.withColumn("of_second", before(Window.partitionBy("day").orderBy("__second"))).join(days, "day").select("__second", (F.col("of_day") + F.col("of_second")).alias("__before"))
-    rank = F.row_number().over(Window.partitionBy("__second").orderBy("ts_nanos", "label_key", "message"))
-    numbered = fresh.join(offsets, "__second").withColumn("sequence", F.col("__before") + rank + F.lit(base))
+    inside = alike.withColumn("__inside", before(Window.partitionBy("__second").orderBy("ts_nanos", "label_key"))).join(offsets, "__second").select("ts_nanos", "label_key", (F.col("__before") + F.col("__inside")).alias("__before"))
+    rank = F.row_number().over(Window.partitionBy("ts_nanos", "label_key").orderBy("message"))
+    numbered = fresh.join(inside, ["ts_nanos", "label_key"]).withColumn("sequence", F.col("__before") + rank + F.lit(base))
     return logs.where("sequence <> 0").unionByName(numbered.select(*logs.columns))

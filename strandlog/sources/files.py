@@ -2,9 +2,28 @@
 
 from __future__ import annotations
 
+import tempfile
+from concurrent.futures import ThreadPoolExecutor
+
 from pyspark.sql import SparkSession
 
 
+def shared_root(spark: SparkSession) -> str:
+    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
+
+    Only a local-mode session without that setting (tests) gets a temporary folder of its own; a cluster without it is
+    refused, since executors there don't see each other's disks.
+    """
+    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if root:
+        return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    root = "file://" + tempfile.mkdtemp(prefix="strandlog-")
+    spark.conf.set("spark.checkpoint.dir", root)
+    return root
+
+
 class Files:
     def __init__(self, spark: SparkSession):
         self.spark, self.jvm = spark, spark.sparkContext._jvm
@@ -45,6 +64,33 @@ class Files:
         b, there = self._at(target)
         self.jvm.org.apache.hadoop.fs.FileUtil.copy(fs, a, there, b, False, self.conf)
 
+    def copy_all(self, pairs: list[tuple[str, str]], threads: int = 16) -> None:
+        """Copies many files or folders, several at a time."""
+        with ThreadPoolExecutor(threads) as pool:
+            list(pool.map(lambda p: self.copy(*p), pairs))
+
+    def age_seconds(self, path: str, now_millis: int) -> float:
+        p, fs = self._at(path)
+        return (now_millis - fs.getFileStatus(p).getModificationTime()) / 1000
+
+    def listing(self, path: str) -> list[tuple[str, int]]:
+        """(path, bytes) of every file below a folder."""
+        p, fs = self._at(path)
+        found, out = fs.listFiles(p, True), []
+        while found.hasNext():
+            f = found.next()
+            out.append((f.getPath().toString(), f.getLen()))
+        return sorted(out)
+
+    def sha256(self, path: str) -> str:
+        """Digest of a file of any size, streamed."""
+        p, fs = self._at(path)
+        stream = fs.open(p)
+        try:
+            return self.jvm.org.apache.commons.codec.digest.DigestUtils.sha256Hex(stream)
+        finally:
+            stream.close()
+
     def read(self, path: str) -> str:
         p, fs = self._at(path)
         stream = fs.open(p)

@@ -12,7 +12,7 @@ from ..functions.times import parse_rfc3339, rfc3339_nanos
 from ..model import InvalidEntry, InvalidLabel, MAX_BATCH
 
 FIELDS = {"timestamp", "labels", "message", "sequence"}
-_TYPES = "timestamp string, labels map<string,string>, message string, sequence decimal(20,0)"
+_TYPES = "timestamp variant, labels variant, message variant, sequence variant"
 
 
 def parse_batch(text: str, now_nanos: int, most: int = MAX_BATCH) -> list[tuple[int, dict[str, str], str, int]]:
@@ -33,7 +33,9 @@ def parse_batch(text: str, now_nanos: int, most: int = MAX_BATCH) -> list[tuple[
 def parse_entry(raw, now_nanos: int) -> tuple[int, dict[str, str], str, int]:
     if not isinstance(raw, dict) or set(raw) - FIELDS:
         raise InvalidEntry("an entry is an object with timestamp, labels, message and sequence at most")
-    message, labels, sequence = raw.get("message"), raw.get("labels") or {}, raw.get("sequence") or 0
+    message = raw.get("message")
+    labels = {} if raw.get("labels") is None else raw["labels"]
+    sequence = 0 if raw.get("sequence") is None else raw["sequence"]
     if not isinstance(message, str):
         raise InvalidEntry("an entry needs a message")
     if not isinstance(labels, dict) or not all(isinstance(v, str) for v in labels.values()):
@@ -48,19 +50,29 @@ def parse_entry(raw, now_nanos: int) -> tuple[int, dict[str, str], str, int]:
 
 
 def entries_from_lines(lines: DataFrame, now_nanos: int, column: str = "value") -> DataFrame:
-    """One JSON entry a line as log rows with an error column, in the cluster; null error means a valid entry."""
+    """One JSON entry a line as log rows with an error column, in the cluster; null error means a valid entry.
+
+    As strict as parse_entry: each field's own JSON type is looked at before it is read, so that neither a number nor an
+    object becomes a text, nor a fraction a sequence.
+    """
     parsed = lines.select(F.col(column).alias("line"), F.from_json(column, _TYPES, {"mode": "PERMISSIVE"}).alias("e"), F.json_object_keys(column).alias("keys"))
-    labels = F.coalesce(F.map_filter("e.labels", lambda _, v: v.isNotNull()), F.create_map().cast("map<string,string>"))
-    ts = F.when(F.col("e.timestamp").isNull(), F.lit(now_nanos)).otherwise(rfc3339_nanos(F.col("e.timestamp")))
+    kind = lambda field: F.coalesce(F.schema_of_variant(F.col(f"e.{field}")), F.lit("VOID"))  # noqa: E731  VOID: JSON's null, or not there
+    get = lambda field, path, type_: F.try_variant_get(F.col(f"e.{field}"), path, type_)
+    inside = get("labels", "$", "map<string,variant>")
+    texts = F.coalesce(F.forall(F.map_values(inside), lambda v: F.coalesce(F.schema_of_variant(v), F.lit("VOID")) == "STRING"), F.lit(True))
+    labels = F.coalesce(F.when(texts, get("labels", "$", "map<string,string>")), F.create_map().cast("map<string,string>"))
+    message, given = get("message", "$", "string"), get("timestamp", "$", "string")
+    ts = F.when(kind("timestamp") == "VOID", F.lit(now_nanos)).otherwise(rfc3339_nanos(given))
+    sequence = F.coalesce(get("sequence", "$", "long"), F.lit(0))
     error = (
         F.when(F.col("keys").isNull(), "not a JSON object")
         .when(F.size(F.array_except("keys", F.array(*map(F.lit, sorted(FIELDS))))) > 0, "unknown field")
-        .when(F.col("e.message").isNull(), "no message")
-        .when(ts.isNull(), "bad timestamp")
-        .when(~labels_valid(labels), "bad label")
-        .when((F.col("e.sequence") < 0) | (F.col("e.sequence") > (1 << 63) - 1), "bad sequence")
+        .when(kind("message") != "STRING", "no message")
+        .when(~kind("timestamp").isin("STRING", "VOID") | ts.isNull(), "bad timestamp")
+        .when(~(kind("labels").startswith("OBJECT") | (kind("labels") == "VOID")) | ~texts | ~labels_valid(labels), "bad label")
+        .when(~kind("sequence").isin("BIGINT", "VOID") | (sequence < 0), "bad sequence")
     )
-    return parsed.select(ts.alias("ts_nanos"), labels.alias("labels"), label_key(labels).alias("label_key"), F.coalesce(F.col("e.sequence").cast("long"), F.lit(0)).alias("sequence"), F.col("e.message").alias("message"), error.alias("error"))
+    return parsed.select(ts.alias("ts_nanos"), labels.alias("labels"), label_key(labels).alias("label_key"), sequence.alias("sequence"), message.alias("message"), error.alias("error"))
 
 
 def read_batch_file(spark: SparkSession, path: str, now_nanos: int) -> DataFrame:

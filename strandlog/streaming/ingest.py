@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import json
 import time
 
 from pyspark.sql import DataFrame, SparkSession
@@ -20,25 +19,25 @@ def read_lines(spark: SparkSession, folder: str, files_per_batch: int = 100) ->
 
 
 def ingest(lines: DataFrame, store: Store, checkpoint: str, *, on_error: str = "refuse", now=time.time_ns) -> StreamingQuery:
-    """Writes a stream of JSON entries into a store, all that has arrived.
+    """Writes a stream of JSON entries into a store, all that has arrived, each batch exactly once.
 
-    A batch that was published and comes again after a failure is known by its number, which the store keeps in a file
-    beside the manifest, and is passed over. on_error: refuse stops at a batch with a bad entry, skip leaves bad ones out.
+    A batch's rows and its mark, the query's id and the batch's number, are published in one generation; a batch that comes
+    again after a failure is known by it and passed over. The id belongs to the checkpoint, so another stream, or the
+    same folder read with a new checkpoint, counts for itself. on_error: refuse stops at a batch with a bad entry, skip
+    leaves bad ones out.
     """
-    done = f"{store.path}/STREAM"
 
     def publish(batch: DataFrame, number: int) -> None:
-        seen = json.loads(store.files.read(done))["batch"] if store.files.exists(done) else -1
-        if number <= seen:
+        stream = batch.sparkSession.sparkContext.getLocalProperty("sql.streaming.queryId")
+        if number <= store.load().streams.get(stream, -1):
             return
         rows = entries_from_lines(batch, now()).persist()
         try:
             if on_error == "refuse" and not rows.where("error is not null").isEmpty():
                 raise InvalidEntry(rows.where("error is not null").first().error)
-            store.append_logs(rows.where("error is null").drop("error"))
+            store.append_logs(rows.where("error is null").drop("error"), stream, number)
         finally:
             rows.unpersist()
-        store.files.replace(done, json.dumps({"batch": number}))
 
     return lines.writeStream.foreachBatch(publish).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
