@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 from .functions.labels import label_key, label_map
 from .functions.matcher import matches, to_regex
 from .functions.times import parse_rfc3339, rfc3339_nanos
-from .model import Options
 from .operators import compaction, kv, logs, retention, runs
 from .sources import changelog
 
@@ -100,16 +99,9 @@ def logs_window_closed(spark, d):
     return _select(logs.query_window(events(spark, d, at[101], at[201]), at[101], at[201]))
 
 
-@_query("logs_hour_ties", f"WITH {LOGS_SQL} SELECT ts_nanos // {HOUR} * {HOUR} AS ts_nanos, label_key, sequence, message FROM logs ORDER BY 1, 2, 3 LIMIT 500")
+@_query("logs_hour_ties", f"WITH {LOGS_SQL} SELECT ts_nanos // {HOUR} * {HOUR} AS ts_nanos, label_key, sequence, message FROM logs ORDER BY 1, 2, 3")
 def logs_hour_ties(spark, d):
-    """Times cut to the hour: order falls to labels and sequence."""
-    rows = events(spark, d).withColumn("ts_nanos", F.expr(f"ts_nanos div {HOUR} * {HOUR}"))
-    return _select(logs.ordered(rows).limit(500))
-
-
-@_query("logs_hour_ties_all", f"WITH {LOGS_SQL} SELECT ts_nanos // {HOUR} * {HOUR} AS ts_nanos, label_key, sequence, message FROM logs ORDER BY 1, 2, 3")
-def logs_hour_ties_all(spark, d):
-    """The same for every event, without a limit."""
+    """Times cut to the hour: order falls to labels and sequence, for every event."""
     return _select(logs.ordered(events(spark, d).withColumn("ts_nanos", F.expr(f"ts_nanos div {HOUR} * {HOUR}"))))
 
 
@@ -139,37 +131,20 @@ _docs("logs_match_lone_bracket", "%]%", {}, "contains(message, ']')")
 _docs("logs_match_middle", "T%e.", {}, _like("T%e."))
 
 
-@_query("log_label_key", r"SELECT doc_id, 'a=' || replace(replace(replace(text[1:40], '%', '%25'), '|', '%7C'), '=', '%3D') || '|lang=' || lang AS label_key FROM documents WHERE text IS NOT NULL")
+@_query("log_label_key", r"SELECT doc_id, 'a=' || replace(replace(replace(text, '%', '%25'), '|', '%7C'), '=', '%3D') || '|lang=' || lang AS label_key FROM documents WHERE text IS NOT NULL")
 def log_label_key(spark, d):
-    """Label sets with awkward values, in canonical text."""
-    return _label_keys(spark, d, F.substring("text", 1, 40))
+    """Label sets with awkward values, whole texts, in canonical text."""
+    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
+    return rows.select("doc_id", label_key(F.create_map(F.lit("lang"), F.col("lang"), F.lit("a"), F.col("text"))).alias("label_key"))
 
 
-@_query("log_label_roundtrip", "SELECT doc_id, text[1:40] AS a, lang FROM documents WHERE text IS NOT NULL")
+@_query("log_label_roundtrip", "SELECT doc_id, text AS a, lang FROM documents WHERE text IS NOT NULL")
 def log_label_roundtrip(spark, d):
     """Canonical text decoded back to labels."""
     back = label_map(F.col("label_key"))
     return log_label_key(spark, d).select("doc_id", back["a"].alias("a"), back["lang"].alias("lang"))
 
 
-@_query("log_label_key_whole", r"SELECT doc_id, 'a=' || replace(replace(replace(text, '%', '%25'), '|', '%7C'), '=', '%3D') || '|lang=' || lang AS label_key FROM documents WHERE text IS NOT NULL")
-def log_label_key_whole(spark, d):
-    """Whole texts as label values."""
-    return _label_keys(spark, d, F.col("text"))
-
-
-@_query("log_label_roundtrip_whole", "SELECT doc_id, text AS a, lang FROM documents WHERE text IS NOT NULL")
-def log_label_roundtrip_whole(spark, d):
-    """Whole texts decoded back from canonical text."""
-    back = label_map(F.col("label_key"))
-    return log_label_key_whole(spark, d).select("doc_id", back["a"].alias("a"), back["lang"].alias("lang"))
-
-
-def _label_keys(spark, d, a: Column) -> DataFrame:
-    rows = spark.read.parquet(f"{d}/documents.parquet").where("text is not null")
-    return rows.select("doc_id", label_key(F.create_map(F.lit("lang"), F.col("lang"), F.lit("a"), a)).alias("label_key"))
-
-
 @_query("log_time_parse", "SELECT event_id, epoch_ns(ts) AS ts_nanos FROM events")
 def log_time_parse(spark, d):
     """RFC 3339 texts to nanoseconds."""
@@ -196,10 +171,7 @@ _query("kv_get_deleted", f"WITH {KEYS_SQL}, d AS (SELECT * FROM kv UNION ALL SEL
     lambda spark, d: kv.get(keys(spark, d).unionByName(spark.createDataFrame([("user/000003", None, True, 1_000_000_000)], "key string, value string, deleted boolean, version long")), "user/000003")
 )
 _query("kv_multi_get", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN ('user/000001', 'user/000004', 'user/000009', 'nobody')")(lambda spark, d: kv.multi_get(keys(spark, d), ["user/000001", "user/000004", "user/000009", "nobody"]))
-_query("kv_multi_get_table", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer WHERE c_custkey % 2 = 0)")(
-    lambda spark, d: kv.multi_get(keys(spark, d), spark.read.parquet(f"{d}/customer.parquet").where("c_custkey % 2 = 0").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")))
-)
-_query("kv_multi_get_table_all", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer)")(
+_query("kv_multi_get_table", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key IN (SELECT 'user/' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') FROM customer)")(
     lambda spark, d: kv.multi_get(keys(spark, d), spark.read.parquet(f"{d}/customer.parquet").select(F.concat(F.lit("user/"), F.lpad(F.col("c_custkey").cast("string"), 6, "0")).alias("key")))
 )
 _query("kv_scan_half_open", f"WITH {KEYS_SQL} SELECT key, value FROM latest WHERE NOT deleted AND key >= 'user/000005' AND key < 'user/000012'")(lambda spark, d: kv.scan(keys(spark, d), "user/000005", "user/000012"))
@@ -229,9 +201,10 @@ def changelog_bad_records(spark, d):
     return changelog.bad_records(_changes(spark, d))
 
 
-@_query("changelog_prune", "SELECT count(*) AS records FROM events WHERE event_id // 50 > 10")
+@_query("changelog_prune", "WITH c AS (SELECT 'u' || user_id AS key, event_id // 50 AS s, event_id AS r, event_type, props FROM events WHERE event_type <> 'view' AND event_id // 50 > 10) SELECT key, CASE WHEN event_type <> 'error' THEN props END AS value, event_type = 'error' AS deleted FROM c QUALIFY row_number() OVER (PARTITION BY key ORDER BY s DESC, r DESC) = 1")
 def changelog_prune(spark, d):
-    return changelog.prune_through(_changes(spark, d), 10).agg(F.count("*").alias("records"))
+    """What a replay finds once the segments up to one are in runs and pruned."""
+    return changelog.replay(changelog.prune_through(_changes(spark, d), 10))
 
 
 def _changes(spark, d):
@@ -285,38 +258,21 @@ def pruned_query(spark, d):
     return _select(logs.select_logs(rows.join(wanted, "run_id", "left_semi"), NOW - 200 * HOUR, NOW, {"event_type": "error"}))
 
 
-@_query("stats_by_level", "SELECT l_linenumber AS level, count(*) AS files, CAST(sum(l_orderkey) AS BIGINT) AS records, CAST(sum(l_partkey) AS BIGINT) AS bytes FROM lineitem GROUP BY 1")
-def stats_by_level(spark, d):
-    """The level summary, over rows that stand for files."""
-    return runs.stats_by_level(spark.read.parquet(f"{d}/lineitem.parquet").select(F.col("l_linenumber").alias("level"), F.col("l_orderkey").alias("records"), F.col("l_partkey").alias("bytes")))
-
-
 @_query("verify_sorted", f"WITH {KEYS_SQL}, p AS (SELECT version % 4 AS run_id, key, lag(key) OVER (PARTITION BY version % 4 ORDER BY version) AS before FROM kv) SELECT run_id, count(*) AS records, CAST(count(*) FILTER (before >= key) AS BIGINT) AS out_of_order FROM p GROUP BY 1")
 def verify_sorted(spark, d):
     return runs.verify_order(keys(spark, d).withColumn("run_id", F.col("version") % 4), "run_id", ["key"], "version")
 
 
-@_query("backup_digest", "SELECT page_id, strlen(html) AS bytes, sha256(html) AS sha256 FROM pages WHERE html IS NOT NULL")
-def backup_digest(spark, d):
-    rows = spark.read.parquet(f"{d}/pages.parquet").where("html is not null")
-    return rows.select("page_id", F.octet_length("html").cast("long").alias("bytes"), F.sha2("html", 256).alias("sha256"))
-
-
-@_query("due_level", "SELECT CASE WHEN count(*) FILTER (level = 0) >= 4 THEN 0 END AS level FROM (SELECT event_id % 8 AS id, CASE WHEN event_id % 8 < 5 THEN 0 ELSE 1 END AS level FROM events GROUP BY 1, 2)")
-def due_level(spark, d):
-    """Which level compaction takes next."""
-    meta = runs.kv_metadata(keys(spark, d).withColumn("run_id", F.col("version") % 8)).collect()
-    held = [compaction.Run(r.run_id, "kv", 0 if r.run_id < 5 else 1, "x", r.records, 1, r.min_key, r.max_key) for r in meta]
-    return spark.createDataFrame([(compaction.next_level(held, Options()),)], "level int")
-
-
 def entry(spark: SparkSession, d: str) -> DataFrame:
     return _Q["logs_match_contains"](spark, d)
 
 
 def queries() -> dict:
+    from . import catalog_store  # noqa: F401  adds the queries over stores
+
     return dict(_Q)
 
 
 def oracle_sql() -> dict[str, str]:
+    queries()
     return dict(_S)

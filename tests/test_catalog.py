@@ -54,19 +54,19 @@ def test_label_values_are_whole_texts(spark, tmp_path):
     text = "long enough to pass forty characters, then: 50% | a=b | " + "x=%|" * 20
     spark.createDataFrame([(1, text, "en")], "doc_id long, text string, lang string").write.parquet(str(tmp_path / "documents.parquet"))
     key = text.replace("%", "%25").replace("|", "%7C").replace("=", "%3D")
-    assert [tuple(r) for r in catalog.queries()["log_label_key_whole"](spark, str(tmp_path)).collect()] == [(1, f"a={key}|lang=en")]
-    assert [tuple(r) for r in catalog.queries()["log_label_roundtrip_whole"](spark, str(tmp_path)).collect()] == [(1, text, "en")]
+    assert [tuple(r) for r in catalog.queries()["log_label_key"](spark, str(tmp_path)).collect()] == [(1, f"a={key}|lang=en")]
+    assert [tuple(r) for r in catalog.queries()["log_label_roundtrip"](spark, str(tmp_path)).collect()] == [(1, text, "en")]
 
 
 @needs_data
 def test_all_hours_and_their_ties_stand_in_order(spark):
-    got = [tuple(r)[:3] for r in catalog.queries()["logs_hour_ties_all"](spark, str(DATA)).collect()]
+    got = [tuple(r)[:3] for r in catalog.queries()["logs_hour_ties"](spark, str(DATA)).collect()]
     assert got == sorted(got) and len(got) == spark.read.parquet(f"{DATA}/events.parquet").count() > 500
 
 
 @needs_data
 def test_keys_of_a_table_are_all_looked_up(spark):
-    got = {r.key for r in catalog.queries()["kv_multi_get_table_all"](spark, str(DATA)).collect()}
+    got = {r.key for r in catalog.queries()["kv_multi_get_table"](spark, str(DATA)).collect()}
     users = {f"user/{r[0]:06d}" for r in spark.read.parquet(f"{DATA}/customer.parquet").select("c_custkey").collect()}
     live = {r.key for r in catalog.queries()["kv_scan_unbounded"](spark, str(DATA)).collect()}
     assert got == users & live and {int(k[-1]) % 2 for k in got} == {0, 1}
