@@ -108,7 +108,7 @@ def _meta(size: int, percent: int):
                 seen += np.bincount(_cell(hashes), minlength=_CELLS)
                 near = [pa.array(histograms(hashes, offsets, levels, shift), pa.binary()) for shift in (0, 1)]
                 yield rows(0, part.column(0), pa.array(np.diff(offsets)), *map(pa.array, set_sums(hashes, offsets)), *near)
-        often = np.flatnonzero(seen >= seen.mean() + 4)
+        often = np.flatnonzero(seen > seen.mean() + 1.6 * np.sqrt(seen.mean()))
         none = pa.nulls(len(often), pa.int64())
         yield rows(1, pa.array(often), pa.array(seen[often]), none, none, pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()))
 
@@ -426,7 +426,7 @@ def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame)
     return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 17, few: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 18, few: int = 24) -> DataFrame:
     """Groups documents whose sets of word shingles link: 100 * intersection >= percent * union. (id, n_shingles, component)
 
     Equal sets are one class, found by two 64-bit sums over the set. All shingles stand in one global order: by the weight
