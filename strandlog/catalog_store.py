@@ -460,8 +460,8 @@ def error_status(spark, d):
     return _rows(spark, [(k, status_of(e)) for k, e in kinds.items()], "error string, status int")
 
 
-@_query("options_from_variables", "SELECT * FROM (VALUES ('unset', '4'), ('MAX_LEVELS=6', '6'), ('MAX_LEVELS=many', '4'), ('MAX_LEVELS=1', 'refused'), ('COMPRESSION= ZSTD ', 'zstd'), ('COMPRESSION=rar', 'refused'), ('AUTO_CHECKPOINT=0', 'False'), ('COMPACTION_THRESHOLD=-1', 'refused')) t(variable, became)")
-def options_from_variables(spark, d):
+@_query("settings_from_variables", "SELECT * FROM (VALUES ('unset', '4'), ('MAX_LEVELS=6', '6'), ('MAX_LEVELS=many', '4'), ('MAX_LEVELS=1', 'refused'), ('COMPRESSION= ZSTD ', 'zstd'), ('COMPRESSION=rar', 'refused'), ('AUTO_CHECKPOINT=0', 'False'), ('COMPACTION_THRESHOLD=-1', 'refused')) t(variable, became)")
+def settings_from_variables(spark, d):
     """Values that can't be read fall back, values out of range are refused."""
     out = []
     for case in ("unset", "MAX_LEVELS=6", "MAX_LEVELS=many", "MAX_LEVELS=1", "COMPRESSION= ZSTD ", "COMPRESSION=rar", "AUTO_CHECKPOINT=0", "COMPACTION_THRESHOLD=-1"):
