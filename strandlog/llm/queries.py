@@ -166,17 +166,62 @@ s AS (SELECT q.vec_id AS query_id, q.r, x.vec_id, CAST(list_inner_product(q.e, x
 SELECT query_id, CAST(row_number() OVER (PARTITION BY r ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s QUALIFY rank <= 5
 """
 
-_OP6_SQL = """
-WITH u AS (SELECT page_id, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host,
+_AZ = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
+
+
+def _node_sql(url: str) -> str:
+    """A url as a node, as urls.node has it."""
+    scheme, place, path, query = (f"regexp_extract({url}, '^(.*?)://([^/?#]*)([^?#]*)([^#]*)', {k}, 's')" for k in (1, 2, 3, 4))
+    scheme = f"translate({scheme}, {_AZ})"
+    user, host = f"regexp_extract({place}, '^(.*@)?(.*)$', 1, 's')", f"translate(regexp_extract({place}, '^(.*@)?(.*)$', 2, 's'), {_AZ})"
+    host = f"CASE WHEN ({scheme} = 'http' AND ends_with({host}, ':80')) OR ({scheme} = 'https' AND ends_with({host}, ':443')) OR ends_with({host}, ':') THEN regexp_replace({host}, ':[0-9]*$', '') ELSE {host} END"
+    parts = f"string_split(substr({path}, 2), '/')"
+    kept = f"list_reduce(list_prepend([]::VARCHAR[], list_transform({parts}, lambda x: [x])), lambda a, x: CASE x[1] WHEN '..' THEN a[:len(a) - 1] WHEN '.' THEN a ELSE a || x END)"
+    ends = f"CASE WHEN {parts}[-1] IN ('.', '..') THEN [''] ELSE []::VARCHAR[] END"
+    resolved = f"CASE WHEN {path} = '' THEN '/' WHEN contains({path}, '/.') THEN '/' || array_to_string({kept} || {ends}, '/') ELSE {path} END"
+    return f"CASE WHEN contains({url}, '://') THEN {scheme} || '://' || {user} || {host} || {resolved} || {query} END"
+
+
+def _decoded_sql(text: str) -> str:
+    """Entities of an attribute as their characters, as urls.decoded has it."""
+    from .urls import ENTITIES
+
+    quoted = lambda c: "''" if c == "'" else c
+    named = " ".join(f"WHEN starts_with(p, '{n}') THEN '{quoted(c)}' || substr(p, {len(n) + 1})" for n, c in ENTITIES.items())
+    number = "WHEN regexp_matches(p, '^#[0-9]{1,6};') THEN chr(CAST(regexp_extract(p, '^#([0-9]{1,6});', 1) AS INTEGER)) || regexp_replace(p, '^#[0-9]{1,6};', '')"
+    code = "list_reduce(list_prepend(0, list_transform(string_split(upper(regexp_extract(p, '^#[xX]([0-9a-fA-F]{1,5});', 1)), ''), lambda d: strpos('0123456789ABCDEF', d) - 1)), lambda a, d: 16 * a + d)"
+    number += f" WHEN regexp_matches(p, '^#[xX][0-9a-fA-F]{{1,5}};') THEN chr(CAST({code} AS INTEGER)) || regexp_replace(p, '^#[xX][0-9a-fA-F]{{1,5}};', '')"
+    return f"array_to_string(list_transform(string_split({text}, '&'), lambda p, i: CASE WHEN i = 1 THEN p {number} {named} ELSE '&' || p END), '')"
+
+
+_OP6_SQL = f"""
+WITH RECURSIVE u AS (SELECT page_id, url, html, row_number() OVER () AS n, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), {_AZ}), '') AS host,
   coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
-r(verdict, host, path) AS (VALUES ('block', 'com', '/en/'), ('allow', 'example.com', '/en/7'), ('block', 'net', '/de/'), ('block', 'example.net', '/de/8'), ('block', 'org', '/es/')),
-f AS (SELECT u.page_id, u.host, u.path, r.host || r.path AS rule, r.verdict,
-  row_number() OVER (PARTITION BY u.page_id ORDER BY length(r.host || r.path) DESC NULLS LAST) AS k
+r(verdict, host, path) AS (VALUES {{rules}}),
+tags AS (SELECT url, unnest([
+  regexp_extract(list_filter(regexp_extract_all(html, '(?is)<link\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\brel\\s*=\\s*["'']?canonical["''\\s>/]'))[1], '(?is)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1),
+  regexp_extract(list_filter(regexp_extract_all(html, '(?is)<meta\\b[^>]*>'), lambda t: regexp_matches(t, '(?is)\\bhttp-equiv\\s*=\\s*["'']?refresh\\b'))[1], '(?is)\\bcontent\\s*=\\s*["'']?[^"''>]*?url\\s*=\\s*["'']?([^"''\\s>]+)', 1)]) AS raw
+  FROM u WHERE contains(url, '://') AND regexp_matches(html, '(?i)canonical|http-equiv')),
+t AS (SELECT url, {_decoded_sql("raw")} AS raw, regexp_extract(url, '^(.*?://[^/?#]*(?:/(?:[^?#]*/)?)?)', 1, 's') AS folder FROM tags WHERE raw <> ''),
+e AS (SELECT {_node_sql("url")} AS a, {_node_sql("target")} AS b FROM (SELECT url, CASE WHEN regexp_matches(raw, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN raw WHEN starts_with(raw, '//') THEN regexp_extract(url, '^(.*?:)//', 1, 's') || raw
+  WHEN starts_with(raw, '/') THEN regexp_extract(url, '^(.*?://[^/?#]*)', 1, 's') || raw WHEN starts_with(raw, '?') THEN regexp_extract(url, '^(.*?://[^?#]*)', 1, 's') || raw
+  WHEN ends_with(folder, '/') THEN folder || raw ELSE folder || '/' || raw END AS target FROM t)),
+g AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+c AS (SELECT a AS node, a AS reached FROM g UNION SELECT c.node, g.b FROM c JOIN g ON g.a = c.reached),
+m AS (SELECT DISTINCT reached, translate(regexp_extract(reached, '^.*?://([^/?#]*)', 1, 's'), {_AZ}) AS host, regexp_extract(reached, '^.*?://[^/?#]*([^?#]*)', 1, 's') AS path FROM c),
+v AS (SELECT m.reached, r.verdict, row_number() OVER (PARTITION BY m.reached ORDER BY length(r.host || r.path) DESC, r.verdict) AS k FROM m JOIN r ON (m.host = r.host OR ends_with(m.host, '.' || r.host)) AND starts_with(m.path, r.path)),
+l AS (SELECT c.node, CASE WHEN bool_or(v.verdict = 'allow') THEN 'allow' WHEN bool_or(v.verdict = 'block') THEN 'block' END AS verdict FROM c LEFT JOIN v ON v.reached = c.reached AND v.k = 1 GROUP BY c.node),
+f AS (SELECT u.n, u.page_id, u.url, u.host, u.path, r.host || r.path AS rule, r.verdict,
+  row_number() OVER (PARTITION BY u.n ORDER BY length(r.host || r.path) DESC NULLS LAST, r.verdict) AS k
   FROM u LEFT JOIN r ON (u.host = r.host OR ends_with(u.host, '.' || r.host)) AND starts_with(u.path, r.path))
-SELECT page_id, host, path, rule, coalesce(verdict, 'allow') AS verdict FROM f WHERE k = 1
+SELECT page_id, host, path, rule, coalesce(f.verdict, l.verdict, 'allow') AS verdict FROM f LEFT JOIN l ON l.node = ({_node_sql("f.url")}) WHERE k = 1
 """
 
 
+def op6_sql(rules: list[tuple[str, str, str]]) -> str:
+    return _OP6_SQL.replace("{rules}", ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules))
+
+
 def oracle_sql() -> dict[str, str]:
-    """SQL for the same rows. op6's holds where no page names a canonical or refresh address, as in these tables."""
-    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": _OP6_SQL, "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}
+    """SQL for the same rows."""
+    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": op6_sql(URL_RULES), "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}

@@ -5,12 +5,13 @@ import math
 import random
 from fractions import Fraction
 
+import duckdb
 import numpy as np
 import pytest
 import zstandard
 from pyspark.sql import functions as F
 
-from strandlog.llm import chat, lines, shared, topk, urls, warc
+from strandlog.llm import chat, lines, queries, shared, topk, urls, warc
 from strandlog.llm.components import connected_components
 
 
@@ -56,6 +57,17 @@ def test_a_broken_bundle_is_refused():
 RULES = [("block", "bad.com", "/"), ("allow", "bad.com", "/ok"), ("block", "net", "/de/")]
 
 
+def by_sql(pages, rules):
+    con = duckdb.connect()
+    con.register("given", pages.toArrow())
+    con.execute("CREATE TABLE pages AS SELECT page_id, url, html FROM given")
+    return sorted(con.execute(queries.op6_sql(rules)).fetchall(), key=str)
+
+
+def by_spark(pages, rules):
+    return sorted((tuple(r) for r in urls.judge_urls(pages, rules).select("page_id", "host", "path", "rule", "verdict").collect()), key=str)
+
+
 def test_urls_take_verdicts_from_aliases(spark):
     link = '<link href="{}" rel=canonical>'.format
     rows = [
@@ -65,6 +77,7 @@ def test_urls_take_verdicts_from_aliases(spark):
     pages = spark.createDataFrame([(*r, 1) for r in rows], "page_id long, url string, html string, verdict int")
     got = sorted((r.page_id, r.verdict, r.rule or "") for r in urls.judge_urls(pages, RULES).collect())
     assert got == sorted([(1, "block", ""), (2, "block", ""), (3, "allow", "bad.com/ok"), (4, "allow", ""), (5, "allow", ""), (5, "allow", ""), (6, "allow", ""), (7, "allow", ""), (8, "block", "net/de/"), (9, "block", ""), (10, "block", ""), (11, "block", "")])
+    assert by_spark(pages, RULES) == by_sql(pages, RULES)
     more = spark.createDataFrame([("http://d.org/5", "http://bad.com/q")], "src string, dst string")
     assert {r.verdict for r in urls.judge_urls(pages, RULES, redirects=more).where("page_id = 5").collect()} == {"block"}
     assert urls.judge_urls(pages.limit(0), RULES).count() == 0
@@ -80,6 +93,7 @@ def test_addresses_meet_however_they_are_written(spark):
         (6, "http://b.org", ""), (7, "http://a.org/x/y/7", link("../../../../z/.")), (8, "http://a.org/z/", link("?q=&#x31;&#49;")), (9, "http://bad.com/w", link("http://b.org/")), (None, "http://a.org/z/?q=11", link("http://bad.com/v")), (10, "http://c.org/&amp;lt;", None), (11, "http://c.org/1", link("/&amp;amp;lt;")),
     ]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert by_spark(pages, [("block", "bad.com", "/")]) == by_sql(pages, [("block", "bad.com", "/")])
     got = {r.page_id: (r.verdict, r.component) for r in urls.judge_urls(pages, [("block", "bad.com", "/")]).collect()}
     assert {i: v for i, (v, _) in got.items()} == {1: "allow", 2: "allow", 3: "block", 4: "block", 5: "block", 6: "block", 7: "block", 8: "block", 9: "block", None: "block", 10: "allow", 11: "allow"}
     assert got[1][1] == got[2][1] and got[3][1] == got[4][1] == got[5][1] and got[6][1] == got[9][1] and got[7][1] == got[8][1] == got[None][1] and got[10][1] == got[11][1]
