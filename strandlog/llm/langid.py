@@ -125,12 +125,18 @@ def sgd_step(embed: np.ndarray, weight: np.ndarray, bias: np.ndarray, flat: np.n
     p[np.arange(len(y)), y] -= 1
     p /= len(y)
     back = (p @ weight.T) / (orders * size)[:, None]
-    weight -= rate * (mean.T @ p)
-    bias -= rate * p.sum(0)
+    weight -= _clipped(rate * (mean.T @ p))
+    bias -= _clipped(rate * p.sum(0))
     touched, place = np.unique(flat.ravel(), return_inverse=True)
     owner = np.tile(np.repeat(np.arange(len(y)), size), orders)
     change = np.stack([np.bincount(place.ravel(), back[owner, d], len(touched)) for d in range(embed.shape[1])], 1)
-    embed[touched] -= (rate * embed_rate * change).astype(embed.dtype)
+    embed[touched] -= _clipped(rate * embed_rate * len(y) * change).astype(embed.dtype)
+
+
+def _clipped(step: np.ndarray, most: float = 1.0) -> np.ndarray:
+    """Steps no longer than `most` a row, so that texts of few different subwords can't make the training diverge."""
+    size = np.sqrt((step * step).sum(-1, keepdims=True))
+    return step * (most / np.maximum(size, most))
 
 
 def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int = 16, least_steps: int = 330, rate: float = 1.5, batch: int = 128, calibration: float = 0.2, rejected: float = 0.001, seed: int = 7) -> LanguageModel | None:
@@ -150,18 +156,6 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
     raw, offsets = text_bytes(pa.array([texts[i] for i in used], pa.string()))
     edges, text = spans_of(offsets)
     y = y_all[used][text]
-    grams, counted, start = [[] for _ in ORDERS], [], []
-    for a in range(0, len(text), 4096):  # the work memory is that of 4096 spans
-        own = edges[a : a + 4097]
-        g, c, s = subwords(raw[own[0] : own[-1]], own - own[0], buckets)
-        start.append(s + sum(map(len, counted)))
-        counted.append(c)
-        for held_, part in zip(grams, g):
-            held_.append(part.astype(np.uint16 if buckets <= 1 << 16 else np.uint32))
-    index = [np.concatenate(g) if g else np.zeros(0, np.uint16) for g in grams]
-    counts, start = np.concatenate([*counted, np.zeros(0, bool)]), np.concatenate([*start, np.zeros(0, np.int64)])
-    del grams, counted
-    stop = np.append(start[1:], len(counts))
     embed = rng.normal(0, 1 / dim, (len(ORDERS) * buckets, dim)).astype(np.float32)
     weight, bias = rng.normal(0, 0.1, (dim, len(languages))).astype(np.float32), np.zeros(len(languages), np.float32)
     rounds = -(-len(y) // batch)
@@ -169,18 +163,17 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
     done = 0
     for _ in range(epochs):
         for rows in np.array_split(rng.permutation(len(y)), rounds):
-            size = stop[rows] - start[rows]
-            place = np.arange(int(size.sum())) + np.repeat(start[rows] - (np.cumsum(size) - size), size)
-            owner = np.repeat(np.arange(len(rows)), size)
-            keep = counts[place]
-            size = np.bincount(owner[keep], minlength=len(rows))
-            flat = np.stack([g[place[keep]].astype(np.int64) + o * buckets for o, g in enumerate(index)])
+            size = edges[rows + 1] - edges[rows]  # subwords are cut a batch at a time
+            at = np.append(0, np.cumsum(size))
+            place = np.arange(at[-1]) + np.repeat(edges[rows] - at[:-1], size)
+            grams, counts, start = subwords(raw[place], at, buckets)
+            size = np.add.reduceat(counts.astype(np.int64), start)
             if (size > 0).any():
-                sgd_step(embed, weight, bias, flat, size[size > 0], y[rows][size > 0], rate * (1 - done / (epochs * rounds)), 200)
+                flat = np.stack([g[counts].astype(np.int64) + o * buckets for o, g in enumerate(grams)])
+                sgd_step(embed, weight, bias, flat, size[size > 0], y[rows][size > 0], rate * (1 - done / (epochs * rounds)), 1.5)
             done += 1
     model = LanguageModel(languages, (embed @ weight).reshape(len(ORDERS), buckets, -1), bias, 1.0, np.zeros(_SIZE_CLASSES))
     if len(held):
-        del index, counts
         _calibrate(model, [texts[i].encode() for i in held], y_all[held], rejected, rng)
     return model
 

@@ -218,10 +218,10 @@ SELECT page_id, host, path, rule, coalesce(f.verdict, l.verdict, 'allow') AS ver
 """
 
 
-def op6_sql(rules: list[tuple[str, str, str]]) -> str:
+def sql_of_op6(rules: list[tuple[str, str, str]]) -> str:
     return _OP6_SQL.replace("{rules}", ", ".join(f"('{v}', '{h}', '{p}')" for v, h, p in rules))
 
 
 def oracle_sql() -> dict[str, str]:
     """SQL for the same rows."""
-    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": op6_sql(URL_RULES), "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}
+    return {"op1_warc_bundles": _OP1_SQL, "op4_site_spread_lines": _OP4_SQL, "op5_reply_trees": _op5_sql(), "op6_url_aliases": sql_of_op6(URL_RULES), "op8_prefix_windows": _OP8_SQL, "op9_prefix_tree_join": _OP9_SQL, "op10_pivot_top_k": _OP10_SQL}

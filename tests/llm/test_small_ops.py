@@ -61,7 +61,7 @@ def by_sql(pages, rules):
     con = duckdb.connect()
     con.register("given", pages.toArrow())
     con.execute("CREATE TABLE pages AS SELECT page_id, url, html FROM given")
-    return sorted(con.execute(queries.op6_sql(rules)).fetchall(), key=str)
+    return sorted(con.execute(queries.sql_of_op6(rules)).fetchall(), key=str)
 
 
 def by_spark(pages, rules):

@@ -157,7 +157,7 @@ def test_a_step_of_descent_equals_a_plain_one():
     size, y = np.array([2, 1, 3]), np.array([0, 2, 2])
     flat = rng.integers(0, 30, (2, 6))
     new = [v.copy() for v in (embed, weight, bias)]
-    langid.sgd_step(*new, flat, size, y, 0.5, 2.0)
+    langid.sgd_step(*new, flat, size, y, 0.5, 2 / 3)
 
     def loss(e, w, b):
         total, at = 0.0, 0
