@@ -62,11 +62,6 @@ def format_rfc3339(nanos: int) -> str:
     return base.strftime("%Y-%m-%dT%H:%M:%S") + (f".{rest:09d}".rstrip("0") if rest else "") + "Z"
 
 
-def timestamp_nanos(ts: Column) -> Column:
-    """A timestamp column (microseconds) as nanoseconds."""
-    return F.unix_micros(ts.cast("timestamp")) * 1000
-
-
 def rfc3339_nanos(text: Column) -> Column:
     """RFC 3339 text as nanoseconds; null where it isn't one. Digits beyond microseconds are kept."""
     shape = r"^(\d{4}-\d\d-\d\dT\d\d:\d\d:\d\d)(?:[.,](\d{1,9})\d*)?(Z|[+-]\d\d:\d\d)$"

@@ -9,7 +9,7 @@ from collections.abc import Iterable, Iterator
 from contextlib import contextmanager
 from dataclasses import asdict, dataclass, field, replace
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -296,16 +296,19 @@ class Store:
                 extra |= {"min_key": low, "max_key": high}
             else:
                 pairs = back.select(F.explode(F.map_entries("labels")).alias("l")).select("l.key", "l.value").distinct()
-                counts = {r[0]: r[1] for r in pairs.groupBy("key").count().collect()}
-                few = [name for name, c in counts.items() if c <= LISTED_VALUES]
+                nth = F.row_number().over(Window.partitionBy("key").orderBy("value"))  # Spark cuts each name to that many before the shuffle
                 values: dict[str, list[str]] = {}
-                for r in pairs.where(F.col("key").isin(few)).collect() if few else []:  # LISTED_VALUES a name at most
-                    values.setdefault(r[0], []).append(r[1])
-                wide = pairs.where(~F.col("key").isin(few)) if len(few) < len(counts) else None
-                if wide is not None:
-                    tokens = wide.select(F.concat_ws("=", escaped(F.col("key")), escaped(F.col("value"))).alias("k"))
+                for r in pairs.withColumn("nth", nth).where(F.col("nth") <= LISTED_VALUES + 1).collect():
+                    values.setdefault(r.key, []).append(r.value)
+                wide = sorted(k for k, v in values.items() if len(v) > LISTED_VALUES)
+                counts = {k: len(v) for k, v in values.items()}
+                if wide:
+                    many = pairs.where(F.col("key").isin(wide))
+                    counts |= {r[0]: r[1] for r in many.groupBy("key").count().collect()}
+                    tokens = many.select(F.concat_ws("=", escaped(F.col("key")), escaped(F.col("value"))).alias("k"))
                     self.files.create(f"{self._data(path)}.bloom", build_bloom(tokens, "k").text())
-                extra |= {"min_ts": low, "max_ts": high, "labels": counts, "label_values": {k: sorted(v) for k, v in values.items()}, "bloom": wide is not None}
+                values = {k: sorted(v) for k, v in values.items() if k not in wide}
+                extra |= {"min_ts": low, "max_ts": high, "labels": counts, "label_values": values, "bloom": bool(wide)}
             return Run(number, kind, level, path, n, self.files.bytes(self._data(path)), **extra)
 
     def _drop_runs(self, runs: list[Run]) -> None:
