@@ -86,7 +86,9 @@ class ReplyTrees:
             steps = self.scratch.table(f"steps{k}", steps)
             up = self._as(table.where("up is not null"), "up")
             steps = steps.unionByName(steps.join(up, (F.col("tree") == F.col("t")) & (F.col("node") == F.col("n"))).select("tree", "leaf", "rank", F.col("_up").alias("node"), (F.col("distance") + (1 << k)).alias("distance")))
-        return self.scratch.table("steps", steps)
+        out = self.scratch.table("steps", steps)
+        self.scratch.drop(*[n for n in self.scratch.paths if n.startswith("steps") and n != "steps"])
+        return out
 
     def formatted(self, chosen: DataFrame, trained_role: str = "assistant") -> DataFrame:
         """Each chosen branch as one conversation: (tree, leaf, rank, formatted, loss_spans).

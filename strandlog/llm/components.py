@@ -2,19 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import Scratch
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", owner: Scratch | None = None) -> DataFrame:
     """Labels each node of an undirected graph with the smallest node it reaches: (node, component).
 
     Alternates large-star and small-star steps until the edges are a forest of stars. Every step takes
     minima by partial aggregation and joins them back on the node, so that a hub costs one row a task
     and AQE can split its side of the join. Each round is a table in the shared folder. Null ends and
-    loops are left out; a node of no edge has no row.
+    loops are left out; a node of no edge has no row. owner gets the last table, to drop it in time.
     """
     spark = edges.sparkSession
     scratch = Scratch(spark, "components")
@@ -35,6 +37,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
         now = _state(small)
         stars = small
         if now == seen:
+            if owner is not None:
+                owner.paths[f"components-{uuid.uuid4().hex[:8]}"] = scratch.paths[str(step)]
             roots = stars.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct()
             return stars.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(roots)
         seen = now

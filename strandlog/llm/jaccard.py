@@ -422,7 +422,7 @@ def _verified(size: int, percent: int, weights):
 
 def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the smallest node that the links join them with, as label."""
-    labels = connected_components(links).select(F.col("node").alias("l"), F.col("component").alias("c"))
+    labels = connected_components(links, owner=scratch).select(F.col("node").alias("l"), F.col("component").alias("c"))
     return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
 
 
@@ -449,8 +449,8 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     both = scratch.table("meta", rows.mapInArrow(_meta(shingle, percent), _META))
     meta = both.where("kind = 0").drop("kind")
     weight = np.zeros(_CELLS, np.uint8)
-    for r in both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).collect():  # as many rows as cells at most
-        weight[r.id] = int(r.n).bit_length()
+    cells = both.where("kind = 1").groupBy("id").agg(F.sum("n").alias("n")).toArrow()  # as many rows as cells at most
+    weight[cells.column("id").to_numpy()] = np.floor(np.log2(cells.column("n").to_numpy())).astype(np.uint8) + 1
     weights = spark.sparkContext.broadcast(weight)
     known = meta.where("n > 0 and id is not null")
     classes = scratch.table("classes", known.groupBy(F.col("h1").alias("c1"), F.col("h2").alias("c2"), F.col("n").alias("c3")).agg(F.min("id").alias("lead"), F.count("*").alias("copies")))
@@ -468,7 +468,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     chains = met.where("kind = 1").select(F.col("id").alias("src"), F.col("other").alias("dst"))
     salted = met.where("kind = 2").select("token", "id", "n", "other_n").repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_over_salts(percent), link)
     near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(chains).unionByName(salted).distinct())
-    blocks = scratch.table("blocks", connected_components(near))
+    blocks = scratch.table("blocks", connected_components(near, owner=scratch))
     leads = classes.groupBy(F.col("lead").alias("node")).agg(F.max("c3").alias("n"))  # an id that repeats may lead several classes
     members = scratch.table("members", blocks.join(leads, "node").select("node", F.col("component").alias("block"), "n"))
     sizes = members.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
@@ -498,6 +498,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not rest.isEmpty():
             found = found.unionByName(links("more", scratch.table("sent2", stay.unionByName(come).groupBy("node", "key", "label").agg(F.max("side").alias("side")))))
     bridges = known.join(repeated, F.col("id") == F.col("again"), "left_semi").join(classes, of_class).select(F.col("id").alias("src"), F.col("lead").alias("dst"))
-    labels = scratch.table("labels", connected_components(found.unionByName(bridges)).select(F.col("node").alias("l"), F.col("component").alias("c")))
+    labels = scratch.table("labels", connected_components(found.unionByName(bridges), owner=scratch).select(F.col("node").alias("l"), F.col("component").alias("c")))
+    scratch.keep("meta", "classes", "labels")
     joined = meta.join(classes.where("copies > 1"), of_class & F.col("id").isNotNull(), "left").withColumn("lead", F.coalesce("lead", "id")).join(labels, F.col("lead") == F.col("l"), "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "lead").alias("component"))

@@ -6,7 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -217,13 +217,20 @@ def train(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_co
     """
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     draw = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    keyed = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.octet_length(text_col).alias("size"))
-    nth = F.row_number().over(Window.partitionBy("lang").orderBy("draw", "size"))  # Spark cuts to per_language rows before the shuffle
-    offered = keyed.withColumn("nth", nth).where(F.col("nth") <= per_language).select("lang", "draw", "size").collect()
+    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
+    # half as many again as wanted by chance, of which the first by the draw are taken; rows that repeat count once
+    share = F.least(F.lit(1.0), 1.5 * per_language / F.col("n"))
+    likely = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.octet_length(text_col).alias("size")).join(counts, F.col("lang") == F.col("l"))
+    likely = likely.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "draw").agg(F.min("size").alias("size"))
+    offered, taken = [], {}
+    for r in sorted(likely.collect(), key=lambda r: (r.lang, r.draw % (1 << 30), r.draw)):
+        taken[r.lang] = taken.get(r.lang, 0) + 1
+        if taken[r.lang] <= per_language:
+            offered.append(r)
     room = dict.fromkeys({r.lang for r in offered}, most_bytes // max(1, len({r.lang for r in offered})))
     chosen = set()
-    for r in sorted(offered, key=lambda r: (r.lang, r.draw)):
-        if r["size"] <= room[r.lang] and (r.lang, r.draw) not in chosen:  # of rows that repeat one is enough
+    for r in offered:
+        if r["size"] <= room[r.lang]:
             room[r.lang] -= r["size"]
             chosen.add((r.lang, r.draw))
     if not chosen:

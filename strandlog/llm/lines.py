@@ -31,7 +31,7 @@ def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     scratch = Scratch(docs.sparkSession, "lines")
     asked = {"site": (F.col(site_col).cast("string"), least_sites)} | ({"copy": (text_key(F.col(text_col)), least_texts)} if least_texts > 1 else {})
     keys = F.array_distinct(F.transform(F.split(F.col(text_col), "\n", -1), line_key))
-    lines = docs.where(F.col(site_col).isNotNull() & F.col(text_col).isNotNull()).select(*[c.alias(n) for n, (c, _) in asked.items()], F.explode(keys).alias("k")).where("k is not null").select("k.a", "k.b", *asked)
+    lines = docs.where(F.col(site_col).isNotNull() & F.col(text_col).isNotNull()).select(*[c.alias(n) for n, (c, _) in asked.items()], keys.alias("ks")).select(*asked, F.explode("ks").alias("k")).where("k is not null").select("k.a", "k.b", *asked)
     sketched = lines.groupBy("a", "b").agg(*[F.hll_sketch_estimate(F.hll_sketch_agg(n, log2_registers)).alias(n) for n in asked])
     all_of = lambda share: F.lit(True) if not asked else reduce(lambda x, y: x & y, [F.col(n) >= (1 + share) * least for n, (_, least) in asked.items()])
     near = scratch.table("near", sketched.where(all_of(-band)).select("a", "b", all_of(band).alias("sure")))
@@ -39,7 +39,9 @@ def spread_lines(docs: DataFrame, *, text_col: str = "text", site_col: str = "so
     some = lines.join(unsure, (F.col("a") == F.col("ua")) & (F.col("b") == F.col("ub")), "left_semi")
     counted = [some.select("a", "b", n).distinct().groupBy("a", "b").agg(F.count("*").alias("n")).where(F.col("n") >= least).select("a", "b") for n, (_, least) in asked.items()]
     exact = reduce(lambda x, y: x.join(y, ["a", "b"], "left_semi"), counted)
-    return scratch.table("spread", near.where("sure").select("a", "b").unionByName(exact))
+    out = scratch.table("spread", near.where("sure").select("a", "b").unionByName(exact))
+    scratch.drop("near")
+    return out
 
 
 def remove_spread_lines(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", site_col: str = "source", least_sites: int = 10, least_texts: int = 1, out_col: str = "kept_text", removed_col: str = "removed_lines") -> DataFrame:

@@ -9,25 +9,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-
-def scratch_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir`` of the session.
-
-    Only a local-mode session without that setting (tests) gets a temporary folder of its own;
-    a cluster without it is refused, since executors there don't see each other's disks.
-    """
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if root:
-        return root.rstrip("/")
-    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
-        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    root = "file://" + tempfile.mkdtemp(prefix="strandlog-")
-    spark.conf.set("spark.checkpoint.dir", root)
-    return root
+from ..sources.files import shared_root
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    return f"{scratch_root(spark)}/strandlog-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    return f"{shared_root(spark)}/strandlog-{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def _delete(spark: SparkSession, path: str) -> None:
@@ -83,14 +69,19 @@ class Scratch:
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
+        """Deletes tables of these names, which nothing reads any more."""
         for name in names:
             if name in self.paths:
                 _delete(self.spark, self.paths.pop(name))
 
+    def keep(self, *names: str) -> None:
+        """Deletes all tables but these."""
+        self.drop(*[n for n in self.paths if n not in names])
+
 
 def clear_scratch(spark: SparkSession) -> None:
     """Deletes every scratch table of this application; results that still read them become unreadable."""
-    _delete(spark, f"{scratch_root(spark)}/strandlog-{spark.sparkContext.applicationId}")
+    _delete(spark, f"{shared_root(spark)}/strandlog-{spark.sparkContext.applicationId}")
 
 
 def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

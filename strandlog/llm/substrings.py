@@ -404,6 +404,6 @@ def remove_repeats(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "
     gone = gone.unionByName(more).unionByName(whole.where("again").select("doc", "sub", F.col("at").alias("start"), F.lit(1).alias("windows")))
     packed = (F.shiftleft("start", 31) + F.col("windows") + (size - 1)).alias("x")
     found = scratch.table("found", gone.select("doc", "sub", packed).groupBy(F.col("doc").alias("d"), F.col("sub").alias("s")).agg(F.collect_list("x").alias("x")))
-    scratch.drop("paired", "whole", "runs-repeats", "cores-repeats")
+    scratch.keep("found", "rows")
     cut = rows.join(found, of_row, "left").select("doc", "sub", "text", "x").mapInArrow(_cut_out, _KEPT)
     return cut.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("id"), "n_bytes", "spans", "kept")

@@ -285,4 +285,4 @@ def test_top_k_of_many_lengths_and_a_hot_one(spark):
 
 
 def test_the_shared_folder_is_the_session_s(spark):
-    assert shared.scratch_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
+    assert shared.shared_root(spark) == spark.conf.get("spark.checkpoint.dir").rstrip("/")
