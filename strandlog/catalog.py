@@ -145,11 +145,12 @@ def log_label_roundtrip(spark, d):
     return log_label_key(spark, d).select("doc_id", back["a"].alias("a"), back["lang"].alias("lang"))
 
 
-@_query("log_time_parse", "SELECT event_id, epoch_ns(ts) AS ts_nanos FROM events")
+@_query("log_time_parse", "SELECT event_id, epoch_ns(ts) + event_id % 1000 AS ts_nanos FROM events")
 def log_time_parse(spark, d):
-    """RFC 3339 texts to nanoseconds."""
+    """RFC 3339 texts with nine digits of a second to nanoseconds."""
     rows = spark.read.parquet(f"{d}/events.parquet")
-    return rows.select("event_id", rfc3339_nanos(F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), F.lit("Z"))).alias("ts_nanos"))
+    digits = F.lpad((F.col("event_id") % 1000).cast("string"), 3, "0")
+    return rows.select("event_id", rfc3339_nanos(F.concat(F.date_format(F.col("ts"), "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"), digits, F.lit("Z"))).alias("ts_nanos"))
 
 
 @_query("log_upsert_same_key", f"WITH {LOGS_SQL} SELECT ts_nanos // {24 * HOUR} * {24 * HOUR} AS ts_nanos, 'event_type=' || event_type AS label_key, 1 AS sequence, arg_max(message, sequence) AS message FROM logs GROUP BY 1, 2")

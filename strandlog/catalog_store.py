@@ -19,7 +19,7 @@ from .catalog import _OUT, HOUR, LOGS_SQL, NOW, _query, _select, events
 from .functions.bloom import build_bloom
 from .functions.labels import check_labels, labels_valid
 from .model import Conflict, CorruptStore, DuplicateLabel, EngineError, InvalidEntry, InvalidLabel, InvalidQuery, InvalidRange, Options, status_of
-from .operators import kv
+from .operators import compaction, kv
 from .operators.compaction import Run
 from .plans.querylang import format_query, parse_query
 from .sources.files import Files, shared_root
@@ -150,6 +150,17 @@ def store_compact_next(spark, d):
     return _rows(spark, out, "step int, kind string, level int, input_runs int")
 
 
+@_query("merge_plan", "SELECT * FROM (VALUES (0, 1, NULL), (8388608, 1, NULL), (8388609, 2, 'm'), (20000000, 3, 'h r'), (100000000, 3, 'h r'), (5368709120, 5, 'e h m r')) t(bytes, tasks, cuts)")
+def merge_plan(spark, d):
+    """Tasks of a merge by its bytes with three workers, and the keys that its ranges are cut at."""
+    keys, options = list("aehmrz"), Options(compaction_workers=3)
+    out = []
+    for size in (0, 8 << 20, (8 << 20) + 1, 20_000_000, 100_000_000, 5 << 30):
+        tasks = compaction.task_count(size, options)
+        out.append((size, tasks, " ".join(low for low, _ in compaction.split_points(keys, tasks)[1:]) or None))
+    return _rows(spark, out, "bytes long, tasks int, cuts string")
+
+
 @_query("store_merge_ranges", f"WITH {OPS_SQL} SELECT count(*) AS records, CAST(0 AS BIGINT) AS overlaps, CAST(0 AS BIGINT) AS out_of_order FROM latest WHERE NOT deleted")
 def store_merge_ranges(spark, d):
     """A merge by planned key ranges: files of one run don't overlap and are sorted."""
