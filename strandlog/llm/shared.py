@@ -27,14 +27,18 @@ _shipped: set[str] = set()
 
 def ship(spark: SparkSession) -> None:
     """Sends this package to the executors once an application, so that they needn't have it installed."""
+    import atexit
     import os
+    import shutil
     import zipfile
 
     app = spark.sparkContext.applicationId
     if app in _shipped:
         return
     package = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    path = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="strandlog-")), "strandlog_code.zip")
+    folder_of_zip = os.path.realpath(tempfile.mkdtemp(prefix="strandlog-"))
+    atexit.register(shutil.rmtree, folder_of_zip, True)
+    path = os.path.join(folder_of_zip, "strandlog_code.zip")
     with zipfile.ZipFile(path, "w") as out:
         for folder, _, names in os.walk(package):
             for name in sorted(names):
