@@ -4,7 +4,7 @@ import random
 import re
 
 import pytest
-from hypothesis import given, settings
+from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
@@ -106,7 +106,7 @@ def test_what_breaks_a_rule_is_refused(what):
         parse_query(BREACHES[what])
 
 
-@settings(max_examples=200, deadline=None)
+@settings(max_examples=200, deadline=None, suppress_health_check=list(HealthCheck))
 @given(st.text(min_size=1, alphabet=st.characters(exclude_categories=["Cs"])), st.dictionaries(st.from_regex(r"[A-Za-z_][A-Za-z0-9_.:/-]*", fullmatch=True), st.text(alphabet=st.characters(exclude_categories=["Cs"], exclude_characters="\0")), max_size=4), st.integers(1, 10**15), st.integers(0, 10**15))
 def test_format_is_the_inverse_of_parse(matcher, labels, span, offset):
     q = LogQuery(matcher, labels, span, offset)
