@@ -144,7 +144,7 @@ def fit(texts: list[str], labels: list[str], *, buckets: int = 1 << 14, dim: int
 
     Every span is used once, and again in whole rounds while there are fewer than least_steps batches. The calibrating
     texts, whole and cut to several sizes, set the temperature (least log loss) and, for each class of sizes, the
-    rejection score: the share `rejected` of them would be rejected, less a margin of one in the log odds.
+    rejection score: the share `rejected` of them would be rejected, less a margin of two in the log odds.
     """
     languages = sorted(set(labels))
     if not languages:
@@ -200,7 +200,7 @@ def _calibrate(model: LanguageModel, texts: list[bytes], y: np.ndarray, rejected
         own = best[2][kind == k]
         if len(own) >= 20:
             edge = np.clip(np.quantile(own, rejected), 1e-9, 1 - 1e-9)
-            model.least[k] = edge / (edge + (1 - edge) * np.e)
+            model.least[k] = edge / (edge + (1 - edge) * np.e**2)
         elif k and not (kind > k).any():  # larger than any seen
             model.least[k] = model.least[k - 1]
 
@@ -217,11 +217,12 @@ def train(docs: DataFrame, may_learn: Column, *, id_col: str = "doc_id", text_co
     """
     rows = docs.where(may_learn & F.col(lang_col).isNotNull() & has_letter(F.col(text_col)))
     draw = F.xxhash64(F.col(id_col).cast("string"), F.col(text_col))
-    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n"))
+    counts = rows.groupBy(F.col(lang_col).alias("l")).agg(F.count("*").alias("n")).collect()  # a row a language, as the model has
+    if not counts:
+        return None
     # half as many again as wanted by chance, of which the first by the draw are taken; rows that repeat count once
-    share = F.least(F.lit(1.0), 1.5 * per_language / F.col("n"))
-    likely = rows.select(F.col(lang_col).alias("lang"), draw.alias("draw"), F.octet_length(text_col).alias("size")).join(counts, F.col("lang") == F.col("l"))
-    likely = likely.where(F.pmod("draw", F.lit(1 << 30)) < share * (1 << 30)).groupBy("lang", "draw").agg(F.min("size").alias("size"))
+    share = F.create_map(*[x for r in counts for x in (F.lit(r.l), F.lit(int(min(1.0, 1.5 * per_language / r.n) * (1 << 30))))])
+    likely = rows.where(F.pmod(draw, F.lit(1 << 30)) < share[F.col(lang_col)]).groupBy(F.col(lang_col).alias("lang"), draw.alias("draw")).agg(F.min(F.octet_length(text_col)).alias("size"))
     offered, taken = [], {}
     for r in sorted(likely.collect(), key=lambda r: (r.lang, r.draw % (1 << 30), r.draw)):
         taken[r.lang] = taken.get(r.lang, 0) + 1
