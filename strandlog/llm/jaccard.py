@@ -18,6 +18,8 @@ _MET = "kind byte, token long, id long, n int, other long, other_n int"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 #: Cells that shingles are counted in; a cell's weight is the bit length of its count. Tokens of at least this weight are salted.
 _CELLS, _HOT = 1 << 20, 14
+#: Bytes of text that are cut into shingles at a time.
+_SLICE = 1 << 20
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,16 +103,16 @@ def _meta(size: int, percent: int):
         return pa.RecordBatch.from_arrays([kinds, *columns], names=[f.strip().split()[0] for f in _META.split(",")])
 
     def run(batches):
-        levels, seen = Levels(percent), np.zeros(_CELLS, np.int64)
+        levels, seen = Levels(percent), np.zeros(_CELLS, np.int32)
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
-                seen += np.bincount(_cell(hashes), minlength=_CELLS)
+                np.add(seen, np.bincount(_cell(hashes), minlength=_CELLS).astype(np.int32), out=seen)
                 near = [pa.array(histograms(hashes, offsets, levels, shift), pa.binary()) for shift in (0, 1)]
                 yield rows(0, part.column(0), pa.array(np.diff(offsets)), *map(pa.array, set_sums(hashes, offsets)), *near)
         often = np.flatnonzero(seen > seen.mean() + 1.6 * np.sqrt(seen.mean()))
         none = pa.nulls(len(often), pa.int64())
-        yield rows(1, pa.array(often), pa.array(seen[often]), none, none, pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()))
+        yield rows(1, pa.array(often), pa.array(seen[often].astype(np.int64)), none, none, pa.nulls(len(often), pa.binary()), pa.nulls(len(often), pa.binary()))
 
     return run
 
@@ -127,7 +129,7 @@ def _tokens(size: int, percent: int, weights):
     def run(batches):
         weight = weights.value
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
                 n, ids = np.diff(offsets), part.column(0).fill_null(0).to_numpy()
                 one, two = set_sums(hashes, offsets)
@@ -397,7 +399,7 @@ def _verified(size: int, percent: int, weights):
 
     def links(parts):
         rows = pa.Table.from_batches(parts)
-        sets = [shingle_sets(*text_bytes(cut.column(4)), size) for part in parts for cut in slices(part, "text")]
+        sets = [shingle_sets(*text_bytes(cut.column(4)), size) for part in parts for cut in slices(part, "text", _SLICE)]
         hashes = np.concatenate([h for h, _ in sets])
         offsets = np.append(0, np.cumsum(np.concatenate([np.diff(o) for _, o in sets])))
         out = linked(*(rows.column(c).to_numpy() for c in ("id", "label", "side")), hashes, offsets, percent, weights.value)
