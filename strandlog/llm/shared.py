@@ -99,7 +99,7 @@ def text_bytes(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw[offsets[0] : offsets[-1]], offsets - offsets[0]
 
 
-def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 2 << 20):
+def slices(batch: pa.RecordBatch, text: str, most_bytes: int = 1 << 20):
     """Cuts a batch into runs of rows whose texts hold about most_bytes, one row at least: bounded work memory."""
     if not batch.num_rows:
         return

@@ -16,6 +16,10 @@ _RANKED = "part int, rank long, doc long, sub long, at long, again boolean, edge
 _GRAM_PLACES = np.array([(0xD6E8FEB86659FD93 * (2 * k + 1) ** 3) % (1 << 64) | 1 for k in range(64)], np.uint64)
 
 
+#: Bytes of text that are sifted at a time: what repeats inside a slice leaves before the shuffle.
+_SLICE = 2 << 20
+
+
 def _names(schema: str) -> list[str]:
     return [f.strip().split()[0] for f in schema.split(",")]
 
@@ -87,7 +91,7 @@ def _runs(size: int, gram: int, stretch: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 doc, sub = part.column(0).to_numpy(), part.column(1).to_numpy()
                 raw, offsets = text_bytes(part.column(2))
                 whole = len(raw)
@@ -121,7 +125,7 @@ def _cores(size: int, gram: int, few: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 doc, sub = part.column(0).to_numpy(), part.column(1).to_numpy()
                 raw, offsets = text_bytes(part.column(2))
                 at8 = eights(raw)
@@ -160,7 +164,7 @@ def _first_pairs(size: int):
 
     def run(batches):
         for batch in batches:
-            for part in slices(batch, "text"):
+            for part in slices(batch, "text", _SLICE):
                 raw, offsets = text_bytes(part.column(2))
                 at8 = eights(raw)
                 text, start, many = _listed(part, 0, 1)
@@ -314,7 +318,7 @@ _KEPT = "doc long, sub long, n_bytes long, spans array<struct<start:long,stop:lo
 
 def _cut_out(batches):
     for batch in batches:
-        for part in slices(batch, "text"):
+        for part in slices(batch, "text", _SLICE):
             raw, offsets = text_bytes(part.column(2))
             spans, kept = [], []
             for i, packed in enumerate(part.column(3)):
