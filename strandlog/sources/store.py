@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+import re
 import time
 import uuid
 from collections.abc import Iterable, Iterator
@@ -28,6 +29,8 @@ FORMAT = 1
 LISTED_VALUES = 1000
 #: Bytes that a task of a checkpoint or an upgrade writes, about.
 RUN_TASK_BYTES = 64 << 20
+#: After so long a manifest that can't be read is taken as left by a writer that died.
+TORN_SECONDS = 600
 
 
 @dataclass
@@ -70,32 +73,49 @@ class Store:
 
     def __init__(self, spark: SparkSession, path: str, options: Options | None = None):
         self.spark, self.path, self.options, self.files = spark, path.rstrip("/"), options or Options(), Files(spark)
+        self.last_error: str | None = None
         if not self.files.exists(f"{self.path}/CURRENT"):
             self.files.make(f"{self.path}/data")
             self._publish(Manifest(0, [], []), first=True)
         self.manifest = self.load()
         self.reads = {"read_operations": 0, "runs_read": 0, "runs_skipped": 0}
-        self.last_error: str | None = None
         self._blooms: dict[str, BloomFilter] = {}
 
     # manifest
 
     def load(self) -> Manifest:
+        """The newest generation. Its manifest's creation is what publishes it; CURRENT follows, and is put right if its writer died before that."""
         name = self.files.read(f"{self.path}/CURRENT").strip()
         if not name.startswith("MANIFEST-") or not self.files.exists(f"{self.path}/{name}"):
             raise CorruptStore(f"CURRENT names {name!r}, which isn't there")
+        for later in reversed([n for n in self._manifests() if n > name]):
+            try:
+                found = Manifest.of(self.files.read(f"{self.path}/{later}"))
+            except CorruptStore:  # of a writer that died, or still is at it
+                if self.files.age_seconds(f"{self.path}/{later}", time.time_ns() // 1_000_000) > TORN_SECONDS:
+                    self.files.delete(f"{self.path}/{later}")
+                continue
+            self.files.replace(f"{self.path}/CURRENT", later)
+            return found
         return Manifest.of(self.files.read(f"{self.path}/{name}"))
 
+    def _manifests(self) -> list[str]:
+        return [n for n in self.files.names(self.path) if re.fullmatch(r"MANIFEST-\d{20}", n)]
+
     def _publish(self, manifest: Manifest, first: bool = False) -> None:
         new = manifest if first else replace(manifest, generation=manifest.generation + 1)
         name = f"MANIFEST-{new.generation:020d}"
-        if not self.files.create(f"{self.path}/{name}", new.text()):
+        if not self.files.create(f"{self.path}/{name}", new.text()) and not first:
             raise Conflict(f"generation {new.generation} is there already")
-        self.files.replace(f"{self.path}/CURRENT", name)
-        old = [n for n in self.files.names(self.path) if n.startswith("MANIFEST-") and len(n) == len(name) and n <= name]
-        for n in old[: -self.options.keep_generations]:
-            self.files.delete(f"{self.path}/{n}")
         self.manifest = new
+        try:
+            self.files.replace(f"{self.path}/CURRENT", name)
+            for n in [n for n in self._manifests() if n <= name][: -self.options.keep_generations]:
+                self.files.delete(f"{self.path}/{n}")
+        except Exception as e:  # noqa: BLE001  the generation is published; whoever opens the store next puts CURRENT right
+            if first:
+                raise
+            self.last_error = f"CURRENT is behind: {str(e).splitlines()[0] if str(e) else type(e).__name__}"[:500]
 
     def _data(self, path: str) -> str:
         return f"{self.path}/data/{path}"

@@ -212,6 +212,29 @@ def test_what_fails_leaves_nothing_behind(spark, store, monkeypatch):
     assert store.orphans() == ["run-of-a-dead-writer"] and store.remove_orphans() == [] and store.remove_orphans(0) == ["run-of-a-dead-writer"] and store.get("a") == "1"
 
 
+def test_a_writer_that_dies_while_publishing(spark, store, monkeypatch):
+    """Before its manifest is whole nothing has happened; after that the write holds, though CURRENT is behind."""
+    store.put("a", "1")
+    behind = store.files.read(f"{store.path}/CURRENT")
+    monkeypatch.setattr(type(store.files), "replace", lambda *_: (_ for _ in ()).throw(OSError("gone")))
+    store.put("b", "2")
+    assert "CURRENT is behind" in store.last_error
+    monkeypatch.undo()
+    assert store.files.read(f"{store.path}/CURRENT") == behind
+    again = Store(spark, store.path, store.options)
+    assert again.get("b") == "2" and again.files.read(f"{store.path}/CURRENT") > behind
+    torn = f"{store.path}/MANIFEST-{again.manifest.generation + 1:020d}"
+    store.files.create(torn, '{"generation": ')
+    third = Store(spark, store.path, store.options)
+    assert third.manifest.generation == again.manifest.generation
+    with pytest.raises(Conflict):  # it may be at it still
+        third.put("c", "3")
+    monkeypatch.setattr("strandlog.sources.store.TORN_SECONDS", -1)
+    fourth = Store(spark, store.path, store.options)
+    fourth.put("c", "3")
+    assert Store(spark, store.path, store.options).get("c") == "3"
+
+
 def test_the_lazy_iterator_keeps_tombstones(store):
     store.write_batch([("put", f"k{i}", str(i)) for i in range(9)])
     store.checkpoint()
