@@ -39,14 +39,14 @@ def _norms(m: np.ndarray) -> np.ndarray:
         return np.sqrt((m * m).sum(-1))
 
 
-def _products(x: np.ndarray, q: np.ndarray, bound: float, scale: float) -> np.ndarray:
-    """Integer products of the rows of x with q as longs; one beyond a long is the nearest long. bound: of their absolute values."""
+def _products(block: _Data, part: np.ndarray, q: np.ndarray, floor_q: np.ndarray, bound: float, scale: float) -> np.ndarray:
+    """Integer products of some rows of a block with q as longs; one beyond a long is the nearest long. bound: of their absolute values."""
     if bound < _DOUBLE:
-        return (floored(x, scale) @ floored(q, scale)).astype(np.int64)
+        return (block.floors[part] @ floor_q).astype(np.int64)
     if bound < _LONG:  # wraps modulo 2**64 on the way, but not in the end
-        return floored(x, scale).astype(np.int64) @ floored(q, scale).astype(np.int64)
+        return block.floors[part].astype(np.int64) @ floor_q.astype(np.int64)
     own = whole(q, scale).tolist()
-    return np.array([min(_MOST, max(_LEAST, sum(a * b for a, b in zip(row, own)))) for row in whole(x, scale).tolist()], np.int64)
+    return np.array([min(_MOST, max(_LEAST, sum(a * b for a, b in zip(row, own)))) for row in whole(block.x[part], scale).tolist()], np.int64)
 
 
 def _blocks(scale: float, size: int, pivots: dict[int, np.ndarray], side: int):
@@ -96,7 +96,8 @@ class _Data:
 
     def __init__(self, ids, vectors, distances, scale):
         self.ids, self.x, self.d = ids, vectors, distances
-        self.norm = _norms(floored(vectors, scale))
+        self.floors = floored(vectors, scale)
+        self.norm = _norms(self.floors)
         self.low, self.high = (distances.min(0), distances.max(0)) if distances.shape[1] else (np.zeros(0), np.zeros(0))
         self.most = float(self.norm.max(initial=0))
 
@@ -117,7 +118,8 @@ def _search(k: int, scale: float):
     """
 
     def results(data: list[_Data], ids, asks, q, qd):
-        norm = _norms(floored(q, scale))
+        floors = floored(q, scale)
+        norm = _norms(floors)
         scores, found = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int64)] * len(ids)
         bounds = []
         for block in data:
@@ -141,7 +143,7 @@ def _search(k: int, scale: float):
                         break
                     with np.errstate(over="ignore"):
                         limit = float(norm[i] * block.norm[part].max(initial=0))
-                    own = _products(block.x[part], q[i], limit, scale)
+                    own = _products(block, part, q[i], floors[i], limit, scale)
                     keep = block.ids[part] != ids[i]
                     if len(scores[i]) == k:
                         keep &= own >= scores[i][-1]
