@@ -13,7 +13,7 @@ from .shared import Scratch, mixed, slices, text_bytes
 from .words import UNSPACED, Words
 
 _META = "kind byte, id long, n long, h1 long, h2 long, near0 binary, near1 binary"
-_TOKEN = "token long, salt int, id long, n int, at int"
+_TOKEN = "token long, salt int, id long, n int, at int, before long"
 _MET = "kind byte, token long, id long, n int, other long, other_n int"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 #: Cells that shingles are counted in; a cell's weight is the bit length of its count. Tokens of at least this weight are salted.
@@ -122,7 +122,8 @@ def set_sums(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
 
 
 def _tokens(size: int, percent: int, weights):
-    """Prefix rows; of equal sets in a slice only the one of the smallest id has any. Tokens of heavy cells get a salt."""
+    """Prefix rows, each with the token before it in its set (0 at place 0); of equal sets in a slice only the one of the
+    smallest id has any. Tokens of heavy cells get a salt."""
 
     def run(batches):
         weight = weights.value
@@ -138,27 +139,31 @@ def _tokens(size: int, percent: int, weights):
                 text, token, place = prefixes(hashes, offsets, percent, weight)
                 keep = chosen[text]
                 text, token, place = text[keep], token[keep], place[keep]
+                before = np.where(place > 0, np.append(np.uint64(0), token[:-1]), np.uint64(0)) if len(token) else token
                 salts = 1 << np.maximum(weight[_cell(token)].astype(np.int64) - _HOT + 2, 0)
                 salt = np.where(salts > 4 - 1, 1 + (mixed(ids[text].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), 0)
-                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(place.astype(np.int32))], names=[f.strip().split()[0] for f in _TOKEN.split(",")])
+                yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(before.view(np.int64))], names=[f.strip().split()[0] for f in _TOKEN.split(",")])
 
     return run
 
 
-def _meeting(few: int, percent: int):
+def _meeting(few: int, percent: int, members: bool = False):
     """Of rows sorted by token, salt and size, what may link by a token that both have.
 
     Groups of up to few rows without a salt give their pairs (kind 0) whose sizes and places leave room for enough
-    overlap. Larger ones give chains (kind 1): each row with the next one, unless the next is too large for any link
-    with this one or a smaller one; so whatever links is in one chain, however large the group is. Salted groups
-    give their chains too, and of each chain its sizes (kind 2: id, n to other_n), to be chained over all salts.
+    overlap; not those with the same token before this one, which meet under that one too. Larger ones give chains
+    (kind 1): each row with the next one, unless the next is too large for any link with this one or a smaller one; so
+    whatever links is in one chain, however large the group is. With members, those without a salt give their rows
+    (kind 3) instead. Salted groups give their chains, and of each chain its sizes (kind 2: id, n to other_n), to be
+    chained over all salts.
     """
 
     def rows(kind, token, a, an, b, bn):
         return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), kind, np.int8)), *(pa.array(v.astype(t)) for v, t in ((token, np.int64), (a, np.int64), (an, np.int32), (b, np.int64), (bn, np.int32)))], names=[f.strip().split()[0] for f in _MET.split(",")])
 
     def small(cols, start, size):
-        token, _, ids, n, at = cols
+        token, _, ids, n, at = cols[:5]
+        before = cols[5] if len(cols) > 5 else np.arange(len(at))
         first, second = [], []
         for s in range(2, few + 1):
             own = start[size == s]
@@ -171,7 +176,7 @@ def _meeting(few: int, percent: int):
             return
         x, y = np.concatenate(first), np.concatenate(second)
         need = -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent))
-        fits = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need)
+        fits = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & ((before[x] != before[y]) | (np.minimum(at[x], at[y]) == 0))
         x, y = x[fits], y[fits]
         swap = ids[x] > ids[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -183,11 +188,11 @@ def _meeting(few: int, percent: int):
         held, large, last = None, None, None  # rows of a group that may go on; a group known to be large and its last row; its chain so far
         chain = None
         for batch in batches:
-            cols = [batch.column(k).to_numpy() for k in range(5)]
+            cols = [batch.column(k).to_numpy() for k in range(batch.num_columns)]
             if held is not None:
                 cols = [np.concatenate(x) for x in zip(held, cols)]
                 held = None
-            token, salt, ids, n, _ = cols
+            token, salt, ids, n = cols[:4]
             if not len(token):
                 continue
             new = np.append(True, (token[1:] != token[:-1]) | (salt[1:] != salt[:-1]))
@@ -204,6 +209,11 @@ def _meeting(few: int, percent: int):
                 yield from segments([chain])
                 chain, last = None, None
             large = (token[-1], salt[-1]) if chained[-1] else None
+            chains_on = large is not None and not (members and large[1] == 0)
+            if members:
+                plain, at = at[salt[at] == 0], at[salt[at] > 0]
+                if len(plain):
+                    yield rows(3, token[plain], ids[plain], n[plain], ids[plain], n[plain])
             if len(at):
                 t, s, i, m = (c[at] for c in (token, salt, ids, n))
                 if last is not None:
@@ -220,10 +230,10 @@ def _meeting(few: int, percent: int):
                     found[0] = (*chain[:4], found[0][4])
                 elif chain is not None:
                     found.insert(0, chain)
-                open_ = large is not None and s[-1] > 0
+                open_ = chains_on and s[-1] > 0
                 yield from segments(found[:-1] if open_ else found)
                 chain = found[-1] if open_ else None
-                last = tuple(v[-1:] for v in (t, s, i, m)) if large is not None else None
+                last = tuple(v[-1:] for v in (t, s, i, m)) if chains_on else None
         if held is not None:
             start = np.array([0])
             yield from small(held, start, np.array([len(held[0])]))
@@ -281,6 +291,59 @@ def _close_pairs(percent: int):
     return run
 
 
+def _close_members(percent: int, most: int):
+    """Of rows (token, id, n, its histograms) sorted by token and n, what may link within each token's group: pairs near
+    enough by histogram, one for each two parts that they bring together. Groups of more than most rows are chained by size."""
+    levels = Levels(percent)
+
+    def near(parts):
+        rows = pa.Table.from_batches(parts)
+        ids, n = rows.column(1).to_numpy(), rows.column(2).to_numpy().astype(np.int64)
+        own, up = (rows.column(c).to_pylist() for c in (3, 4))
+        level, group, out = levels.of(n), np.arange(len(n)), []
+        for now in np.unique(level).tolist():
+            a, b, c = np.searchsorted(level, [now, now + 1, now + 2]).tolist()  # rows of the level, then those of the next one
+            counts = np.frombuffer(b"".join(own[a:b] + up[b:c]), np.uint8).reshape(c - a, -1).astype(np.int16)
+            end = np.searchsorted(n[a:c], 100 * n[a:b] // percent, "right")
+            for k in range(b - a):
+                w = np.arange(k + 1, end[k])
+                w = w[group[a + w] != group[a + k]]
+                if len(w):
+                    apart = np.abs(counts[w] - counts[k]).sum(1, dtype=np.int64)
+                    w = a + w[apart <= (n[a + k] + n[a + w]) * (100 - percent) // (100 + percent)]
+                    joined, first = np.unique(group[w], return_index=True)
+                    out.append((np.full(len(first), ids[a + k]), ids[w[first]]))
+                    group[np.isin(group, joined)] = group[a + k]
+        return out
+
+    def run(batches):
+        now, parts, held, last = None, [], 0, None
+        for batch in batches:
+            keys, out = batch.column(0).to_numpy(), []
+            edges = [0, *(np.flatnonzero(keys[1:] != keys[:-1]) + 1).tolist(), len(keys)] if len(keys) else []
+            for at, end in zip(edges, edges[1:]):
+                if keys[at] != now:
+                    out += near(parts) if held > 1 else []
+                    now, parts, held, last = keys[at], [], 0, None
+                parts.append(batch.slice(at, end - at))
+                held += end - at
+                if held > most or last is not None:
+                    rows = pa.Table.from_batches(parts)
+                    i, n = (np.append(v, rows.column(c).to_numpy()) for v, c in zip(last or ([], []), (1, 2)))
+                    i, n = i.astype(np.int64), n.astype(np.int64)
+                    k = np.flatnonzero(100 * n[:-1] >= percent * n[1:])
+                    out.append((i[k], i[k + 1]))
+                    parts, held, last = [], 0, (i[-1:], n[-1:])
+            if out:
+                yield _batch(*(np.concatenate(v) for v in zip(*out)))
+        if held > 1:
+            out = near(parts)
+            if out:
+                yield _batch(*(np.concatenate(v) for v in zip(*out)))
+
+    return run
+
+
 def _batch(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["src", "dst"])
 
@@ -426,14 +489,15 @@ def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame)
     return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
 
 
-def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 18, few: int = 24) -> DataFrame:
+def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80, block_shingles: int = 1 << 18, few: int = 24, most: int = 1 << 14) -> DataFrame:
     """Groups documents whose sets of word shingles link: 100 * intersection >= percent * union. (id, n_shingles, component)
 
     Equal sets are one class, found by two 64-bit sums over the set. All shingles stand in one global order: by the weight
     of the cell that they are counted in, rare ones first, then by hash. Sets are routed by their prefix tokens in that
     order, one of which two similar sets must share. Tokens of up to `few` sets try their pairs by size, place and
-    histogram (bounds, not guesses); sets of a commoner token are chained by size, heavy ones in salted parts. The
-    components of these candidates are blocks. A block's sets form a prefix tree in the global order, whose traversal
+    histogram (bounds, not guesses); so do those of a commoner token, in one task, as long as they don't make one group;
+    only tokens of more than `most` sets, and heavy ones in salted parts, chain their sets by size. The components of
+    these candidates are blocks. A block's sets form a prefix tree in the global order, whose traversal
     shares overlaps along common paths and leaves a path by the bound on what remains; sets that are in one group
     already are not compared. A block of more than block_shingles is cut into chunks: each meets the first one, and
     what has not come together by then meets all others in parts, so no group has to fit in one task, and a
@@ -458,7 +522,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     repeated = known.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
     copies = known.join(classes.where("copies > 1"), of_class).where("id <> lead").select("id").join(repeated, F.col("id") == F.col("again"), "left_anti")
     routed = rows.mapInArrow(_tokens(shingle, percent, weights), _TOKEN).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
-    met = scratch.table("met", routed.mapInArrow(_meeting(few, percent), _MET))
+    met = scratch.table("met", routed.mapInArrow(_meeting(few, percent, True), _MET))
     seen = known.select("id", F.col("n").cast("int").alias("n"), "near0", "near1").join(copies, "id", "left_anti")
     pairs = met.where("kind = 0").select("id", "n", "other", "other_n").distinct()
     pairs = pairs.join(seen, ["id", "n"]).withColumnsRenamed({"near0": "a0", "near1": "a1"})
@@ -466,8 +530,10 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = pairs.join(other, ["other", "other_n"])
     link = "src long, dst long"
     chains = met.where("kind = 1").select(F.col("id").alias("src"), F.col("other").alias("dst"))
+    members = met.where("kind = 3").select("token", "id", "n").join(seen, ["id", "n"]).select("token", "id", "n", "near0", "near1")
+    members = members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_close_members(percent, most), link)
     salted = met.where("kind = 2").select("token", "id", "n", "other_n").repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_over_salts(percent), link)
-    near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(chains).unionByName(salted).distinct())
+    near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(members).unionByName(chains).unionByName(salted).distinct())
     blocks = scratch.table("blocks", connected_components(near, owner=scratch))
     leads = classes.groupBy(F.col("lead").alias("node")).agg(F.max("c3").alias("n"))  # an id that repeats may lead several classes
     members = scratch.table("members", blocks.join(leads, "node").select("node", F.col("component").alias("block"), "n"))

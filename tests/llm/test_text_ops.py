@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from strandlog.llm import decontaminate, jaccard, langid, packing, substrings
+from strandlog.llm.components import connected_components
 from strandlog.llm.shared import eights, same_spans, sequence_hashes, slices, span_hashes, text_bytes
 from strandlog.llm.tokens import WordIds
 
@@ -340,6 +341,64 @@ def test_bounds_miss_no_similar_pair():
             assert [r.num_rows for r in jaccard._close_pairs(percent)([rows])] == [1]
 
 
+def test_a_common_passage_makes_no_block(spark, monkeypatch):
+    """Documents that share a passage and are not similar are no candidates, however many they are; near copies among them are."""
+    passage = " ".join(words(40, 1))
+    rows = [(i, f"{passage} {' '.join(f'w{i}x{k}' for k in range(100 + i % 3))}") for i in range(120)]
+    rows += [(200 + i, f"{x} end") for i, x in rows[:3]]
+    edges = []
+    monkeypatch.setattr(jaccard, "connected_components", lambda e, **more: (edges.append(e.count()), connected_components(e, **more))[1])
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=4, percent=85, few=2).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows, 4, 85) and edges[0] == 3
+
+
+@pytest.mark.parametrize("most", [1, 7, 1000])
+def test_members_of_a_token_s_group_link(most):
+    """Groups in batches of any size: what is similar is in one part, by histograms or, in groups of more than most rows, by chains."""
+    draw = random.Random(most)
+    levels = jaccard.Levels(85)
+    for _ in range(40):
+        sets, rows = [], []
+        for t in range(draw.randint(1, 4)):
+            for _ in range(draw.choice([1, 2, 5, 9])):
+                base = {draw.getrandbits(64) for _ in range(draw.choice([3, 20, 21, 90]))}
+                for _ in range(draw.choice([1, 1, 3])):
+                    own = {*base, *([draw.getrandbits(64)] if draw.random() < 0.5 else [])}
+                    flat = np.array(sorted(own), np.uint64)
+                    rows.append((t, len(sets), len(own), *(jaccard.histograms(flat, np.array([0, len(own)]), levels, s)[0] for s in (0, 1))))
+                    sets.append(own)
+        rows.sort(key=lambda r: (r[0], r[2], r[1]))
+        cuts = sorted({0, len(rows), *[draw.randrange(len(rows) + 1) for _ in range(draw.randint(0, 6))]})
+        batches = [pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows[a:b]), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], names=list("abcde")) for a, b in zip(cuts, cuts[1:])]
+        links = [r for b in jaccard._close_members(85, most)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))]
+        root = list(range(len(sets)))
+
+        def top(i):
+            while root[i] != i:
+                i = root[i]
+            return i
+
+        for i, j in links:
+            root[top(i)] = top(j)
+        of = {r[1]: r[0] for r in rows}
+        assert all(of[i] == of[j] for i, j in links)
+        assert all(top(i) == top(j) for i in of for j in of if of[i] == of[j] and 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]))
+
+
+def test_copies_meet_once():
+    """Copies in batches of their own meet under the first token of each run of tokens that they have in common."""
+    weights = type("Weights", (), {"value": np.zeros(jaccard._CELLS, np.uint8)})
+    base = words(300, 5, 10**6)
+    texts = [" ".join(base)] * 12 + [" ".join([*base, "more"])]
+    schema = pa.schema([("id", pa.int64()), ("text", pa.string())])
+    made = [r for i, x in enumerate(texts) for b in jaccard._tokens(4, 85, weights)(iter([pa.RecordBatch.from_pylist([{"id": i, "text": x}], schema)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    made.sort(key=lambda r: (r[0], r[1], r[3], r[2]))
+    batch = pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*made), (pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.int64()))], names=list("abcdef"))
+    out = [r for k in range(0, len(made), 13) for b in jaccard._meeting(24, 85, True)(iter([batch.slice(k, 13)])) for r in zip(*(c.to_pylist() for c in b.columns))]
+    assert {(r[2], r[4]) for r in out} == {(i, j) for j in range(13) for i in range(j)}
+    assert len(out) <= 3 * 78 < len({r[0] for r in made}) * 78
+
+
 @pytest.mark.parametrize("few", [2, 24])
 def test_what_shares_a_token_meets(few):
     """Streams of token rows in batches of any size: all rows of a group that may link come together, pairs or chains."""
