@@ -18,6 +18,8 @@ _MET = "kind byte, token long, id long, n int, other long, other_n int"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 #: Cells that shingles are counted in; a cell's weight is the bit length of its count. Tokens of at least this weight are salted.
 _CELLS, _HOT = 1 << 20, 14
+#: Up to so many links are joined by the driver (4 MB), more by rounds of jobs.
+_AT_DRIVER = 1 << 18
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -485,7 +487,7 @@ def _verified(size: int, percent: int, weights):
 
 def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the smallest node that the links join them with, as label."""
-    labels = connected_components(links, owner=scratch).select(F.col("node").alias("l"), F.col("component").alias("c"))
+    labels = connected_components(links, owner=scratch, at_driver=_AT_DRIVER).select(F.col("node").alias("l"), F.col("component").alias("c"))
     return scratch.table(name, members.join(labels, F.col("node") == F.col("l"), "left").withColumn("label", F.coalesce("c", "node")).drop("l", "c"))
 
 
@@ -534,7 +536,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     members = members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_close_members(percent, most), link)
     salted = met.where("kind = 2").select("token", "id", "n", "other_n").repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_over_salts(percent), link)
     near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(members).unionByName(chains).unionByName(salted).distinct())
-    blocks = scratch.table("blocks", connected_components(near, owner=scratch))
+    blocks = scratch.table("blocks", connected_components(near, owner=scratch, at_driver=_AT_DRIVER))
     leads = classes.groupBy(F.col("lead").alias("node")).agg(F.max("c3").alias("n"))  # an id that repeats may lead several classes
     members = scratch.table("members", blocks.join(leads, "node").select("node", F.col("component").alias("block"), "n"))
     sizes = members.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
@@ -564,7 +566,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
         if not rest.isEmpty():
             found = found.unionByName(links("more", scratch.table("sent2", stay.unionByName(come).groupBy("node", "key", "label").agg(F.max("side").alias("side")))))
     bridges = known.join(repeated, F.col("id") == F.col("again"), "left_semi").join(classes, of_class).select(F.col("id").alias("src"), F.col("lead").alias("dst"))
-    labels = scratch.table("labels", connected_components(found.unionByName(bridges), owner=scratch).select(F.col("node").alias("l"), F.col("component").alias("c")))
+    labels = scratch.table("labels", connected_components(found.unionByName(bridges), owner=scratch, at_driver=_AT_DRIVER).select(F.col("node").alias("l"), F.col("component").alias("c")))
     scratch.keep("meta", "classes", "labels")
     joined = meta.join(classes.where("copies > 1"), of_class & F.col("id").isNotNull(), "left").withColumn("lead", F.coalesce("lead", "id")).join(labels, F.col("lead") == F.col("l"), "left")
     return joined.select("id", F.col("n").alias("n_shingles"), F.coalesce("c", "lead").alias("component"))

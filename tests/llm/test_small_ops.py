@@ -22,6 +22,21 @@ def test_components_of_chains_stars_and_loops(spark):
     assert connected_components(spark.createDataFrame([], "src string, dst string")).count() == 0
 
 
+@pytest.mark.parametrize("at_driver", [0, 10**6])
+def test_components_at_the_driver_and_in_rounds(spark, monkeypatch, at_driver):
+    draw = random.Random(3)
+    edges = [(draw.randrange(-300, 300), draw.randrange(-300, 300)) for _ in range(250)] + [(k, k - 1) for k in range(1000, 1400)] + [(2**62, 1399), (5, None)]
+    tables = []
+    monkeypatch.setattr(shared.Scratch, "table", lambda self, name, df, own=shared.Scratch.table: (tables.append(name), own(self, name, df))[1])
+    got = {r.node: r.component for r in connected_components(spark.createDataFrame(edges, "src long, dst long"), at_driver=at_driver).collect()}
+    want = {n: n for e in edges if None not in e and e[0] != e[1] for n in e}
+    for _ in edges:
+        for a, b in edges:
+            if a in want and b in want:
+                want[a] = want[b] = min(want[a], want[b])
+    assert got == want and (len(tables) == 2) == (at_driver > 0)
+
+
 def test_warc_round_trip(spark, tmp_path):
     big, huge = "é" * 600, "x" * 700_000
     rows = [(1, "http://a/", big, 0), (2, "http://b/\r\nX: 1", big, 0), (5, None, big, 0), (3, "u", "small", 0), (4, "u", "small", 0), (6, "u", None, 0), (7, "u", "", 0), (8, "u", huge, 0), (None, "u", big, 0), (5, "again", big, 0), (9, "u", "\0\r\n\r\nWARC/1.1\r\n", 0)]
