@@ -356,15 +356,15 @@ def store_label_filter(spark, d):
 
 @_query("bloom_filter", "WITH k AS (SELECT DISTINCT text FROM documents WHERE text <> ''), n AS (SELECT count(*) AS n FROM k) SELECT n AS keys, n AS found, CAST(ceil(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / 64) * 64 AS BIGINT) AS bits, CAST(greatest(1, round(ceil(ceil(-n * ln(0.01) / (ln(2) * ln(2))) / 64) * 64 / n * ln(2))) AS BIGINT) AS hashes FROM n")
 def bloom_filter(spark, d):
-    """A filter over all different texts, built in the cluster, has every one of them."""
+    """A filter over all different texts, built in the cluster, has every one of them. It is as large as the texts ask for: ten bits each."""
     texts = spark.read.parquet(f"{d}/documents.parquet").where("text <> ''").select("text").distinct()
-    own = build_bloom(texts, "text", 0.01)
+    own = build_bloom(texts, "text", 0.01, 1 << 40)
 
     def look(batches):
         import pyarrow as pa
 
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([pa.array([own.may_contain(t) for t in batch.column(0).to_pylist()])], names=["found"])
+            yield pa.RecordBatch.from_arrays([pa.array(own.may_contain_each(batch.column(0).to_pylist()))], names=["found"])
 
     found = texts.mapInArrow(look, "found boolean")
     return found.agg(F.count("*").alias("keys"), F.count_if("found").alias("found")).select("keys", "found", F.lit(own.bits).cast("long").alias("bits"), F.lit(own.hashes).cast("long").alias("hashes"))

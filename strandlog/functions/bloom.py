@@ -16,18 +16,58 @@ from ..model import InvalidOptions
 #: Offset basis and prime of the 64-bit FNV hash.
 FNV_BASIS, FNV_PRIME = 0xCBF29CE484222325, 0x100000001B3
 _WORD = 64
+_PART = 1 << 20
 
 
 def fnv(keys: list[bytes], xor_first: bool) -> np.ndarray:
-    """FNV-1a (xor first) or FNV-1 hashes of many keys at once."""
-    out = np.full(len(keys), FNV_BASIS, np.uint64)
+    """FNV-1a (xor first) or FNV-1 hashes of many keys at once, whatever their lengths: array operations over all bytes.
+
+    A step's xor changes the low byte alone, and low bytes depend on low bytes alone. Once these are known, a bit at a
+    time as running xors, the xor is the addition of a known number, and a hash a sum of such numbers times powers of the prime.
+    """
     size = np.array([len(k) for k in keys], np.int64)
-    flat = np.frombuffer(b"".join(keys), np.uint8).astype(np.uint64)
-    start = np.cumsum(size) - size
-    for k in range(int(size.max(initial=0))):
-        live = np.flatnonzero(size > k)
-        own = flat[start[live] + k]
-        out[live] = (out[live] ^ own) * np.uint64(FNV_PRIME) if xor_first else (out[live] * np.uint64(FNV_PRIME)) ^ own
+    flat, out = np.frombuffer(b"".join(keys), np.uint8), np.empty(len(keys), np.uint64)
+    ends = np.cumsum(size)
+    at = 0
+    while at < len(keys):  # about a megabyte at a time, one key at least
+        begin = int(ends[at] - size[at])
+        stop = max(at + 1, int(np.searchsorted(ends, begin + _PART, "right")))
+        out[at:stop] = _fnv(flat[begin : int(ends[stop - 1])], size[at:stop], xor_first)
+        at = stop
+    return out
+
+
+def _fnv(flat: np.ndarray, size: np.ndarray, xor_first: bool) -> np.ndarray:
+    out, some = np.empty(len(size), np.uint64), size > 0
+    out[~some] = FNV_BASIS
+    if not some.any():
+        return out
+    many = size[some]
+    start, low, step = np.cumsum(many) - many, FNV_BASIS & 255, FNV_PRIME & 255
+    now = np.zeros(len(flat), np.uint8)  # the low byte that the prime is multiplied with at each place, as far as its bits are known
+    for bit in range(8):
+        one = np.uint8(1 << bit)
+        # what the known lower bits of a place give this bit of the next product; this bit itself passes, as the prime is odd
+        carry = (now * np.uint8(step)) & one
+        change = flat & one
+        if xor_first:  # now = (the product before) ^ byte
+            change[1:] ^= carry[:-1]
+        else:  # now = the product before ^ the byte before
+            change[1:] = change[:-1] ^ carry[:-1]
+        change[start] = (flat[start] & one if xor_first else np.uint8(0)) ^ np.uint8(low & (1 << bit))
+        run = np.bitwise_xor.accumulate(change)
+        before = np.append(np.uint8(0), run[start[1:] - 1])
+        now |= run ^ np.repeat(before, many)
+    left = np.repeat(start + many, many) - np.arange(len(flat))  # steps from here to the key's end
+    if xor_first:  # h ^ byte = h + (low after - low before)
+        added = now.astype(np.int64) - (now ^ flat)
+    else:  # (h * prime) ^ byte
+        product = now * np.uint8(step)
+        added, left = (product ^ flat).astype(np.int64) - product, left - 1
+    powers = np.ones(int(many.max()) + 1, np.uint64)
+    powers[1:] = FNV_PRIME
+    powers = np.multiply.accumulate(powers)
+    out[some] = np.add.reduceat(added.view(np.uint64) * powers[left], start) + np.uint64(FNV_BASIS) * powers[many]
     return out
 
 
@@ -65,10 +105,13 @@ class BloomFilter:
         self.count += len(own)
 
     def may_contain(self, key: str) -> bool:
-        if not key:
-            return False
-        at = self.places([key.encode()])[0]
-        return bool(((self.words[(at // _WORD).astype(np.int64)] >> (at % np.uint64(_WORD))) & np.uint64(1)).all())
+        return bool(self.may_contain_each([key])[0])
+
+    def may_contain_each(self, keys: list[str]) -> np.ndarray:
+        """may_contain of many keys at once."""
+        own = [k.encode() for k in keys]
+        at = self.places(own)
+        return ((self.words[(at // _WORD).astype(np.int64)] >> (at % np.uint64(_WORD))) & np.uint64(1)).all(1) & np.array([len(k) > 0 for k in own], bool)
 
     def reset(self) -> None:
         self.words[:], self.count = 0, 0
@@ -108,6 +151,6 @@ def build_bloom(keys: DataFrame, column: str, rate: float = 0.01, most_bits: int
         at = np.flatnonzero(own.words)
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(own.words[at].view(np.int64))], names=["at", "word"])
 
-    for r in different.mapInArrow(run, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).collect():
-        out.words[r["at"]] = r.word % (1 << 64)
+    words = different.mapInArrow(run, "at long, word long").groupBy("at").agg(F.expr("bit_or(word)").alias("word")).toArrow()
+    out.words[words.column("at").to_numpy()] = words.column("word").to_numpy().view(np.uint64)
     return out

@@ -5,11 +5,12 @@ import hashlib
 import io
 import json
 import os
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
-from strandlog import admin, cli, stats
+from strandlog import admin, catalog, cli, stats
 from strandlog.functions.bloom import FNV_BASIS, FNV_PRIME, BloomFilter, best_size, fnv
 from strandlog.model import Conflict, CorruptStore, InvalidEntry, InvalidOptions, InvalidRange, InvalidTimeRange, Options
 from strandlog.operators import kv, logs, retention
@@ -243,6 +244,30 @@ def test_the_lazy_iterator_keeps_tombstones(store):
     assert next(walk) == ("k2", "2", False) and list(walk) == [("k3", None, True), ("k4", "new", False), ("k5", "5", False)]
 
 
+def test_bloom_hashes_of_keys_of_any_length_at_once():
+    draw = random.Random(1)
+    keys = [draw.randbytes(draw.choice([0, 0, 1, 2, 3, 8, 50, 300])) for _ in range(500)] + [draw.randbytes(1_500_000), b"", draw.randbytes(9), b""]
+    for xor_first in (True, False):
+        want = []
+        for key in keys:
+            h = FNV_BASIS
+            for c in key:
+                h = ((h ^ c) * FNV_PRIME if xor_first else h * FNV_PRIME ^ c) % (1 << 64)
+            want.append(h)
+        assert fnv(keys, xor_first).tolist() == want
+    own = BloomFilter.sized(1000, 0.01)
+    own.add(f"key-{i}" for i in range(0, 1000, 2))
+    asked = [*(f"key-{i}" for i in range(1000)), "", "é"]
+    assert own.may_contain_each(asked).tolist() == [own.may_contain(k) for k in asked] and own.may_contain_each([]).tolist() == []
+
+
+def test_the_bloom_query_over_more_texts_than_a_megabyte_holds(spark, tmp_path):
+    """Its size is that of its SQL, however many texts there are."""
+    n = 900_000
+    spark.range(n).selectExpr("cast(id as string) as text").write.parquet(f"{tmp_path}/documents.parquet")
+    assert [tuple(r) for r in catalog.queries()["bloom_filter"](spark, str(tmp_path)).collect()] == [(n, n, *best_size(n, 0.01))]
+
+
 def test_bloom_filters():
     own = BloomFilter.sized(1000, 0.01)
     assert best_size(1000, 0.01) == (own.bits, own.hashes) == (9600, 7) and own.false_positive_rate() == 0
