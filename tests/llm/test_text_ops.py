@@ -341,12 +341,24 @@ def test_bounds_miss_no_similar_pair():
             assert [r.num_rows for r in jaccard._close_pairs(percent)([rows])] == [1]
 
 
+def count_nothing(monkeypatch):
+    """No cell counts as frequent, as it is with a passage of some hundred documents in a large table."""
+    own = jaccard._meta
+
+    def blind(size, percent):
+        run = own(size, percent)
+        return lambda batches: (b for b in run(batches) if not b.num_rows or b.column(0)[0].as_py() == 0)
+
+    monkeypatch.setattr(jaccard, "_meta", blind)
+
+
 def test_a_common_passage_makes_no_block(spark, monkeypatch):
     """Documents that share a passage and are not similar are no candidates, however many they are; near copies among them are."""
     passage = " ".join(words(40, 1))
     rows = [(i, f"{passage} {' '.join(f'w{i}x{k}' for k in range(100 + i % 3))}") for i in range(120)]
     rows += [(200 + i, f"{x} end") for i, x in rows[:3]]
     edges = []
+    count_nothing(monkeypatch)
     monkeypatch.setattr(jaccard, "connected_components", lambda e, **more: (edges.append(e.count()), connected_components(e, **more))[1])
     got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=4, percent=85, few=2).collect()
     assert sorted(map(tuple, got), key=str) == plain_components(rows, 4, 85) and edges[0] == 3
@@ -519,3 +531,17 @@ def test_one_row_of_each_group_stays_whatever_the_ids(spark):
     got = pipeline.near_duplicates(spark, docs, "")
     assert got.columns == docs.columns
     assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, [(5, a), (9, b), (4, c), (None, d), (8, ""), (8, ""), (None, None)]))
+
+
+def test_near_duplicates_with_a_common_passage_send_no_more_than_copies(spark, monkeypatch):
+    """In the pipeline's stage too, more documents than `few` that share a passage are no candidates."""
+    import corpus_pipeline
+
+    passage = " ".join(words(40, 2))
+    rows = [(i, f"{passage} {' '.join(f'v{i}x{k}' for k in range(100 + i % 3))}") for i in range(80)]
+    rows += [(200 + i, f"{x} end") for i, x in rows[:3]]
+    edges = []
+    count_nothing(monkeypatch)
+    monkeypatch.setattr(jaccard, "connected_components", lambda e, **more: (edges.append(e.count()), connected_components(e, **more))[1])
+    got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
+    assert sorted(r.doc_id for r in got) == list(range(80)) and 3 <= edges[0] < 10  # histograms are a bound: a few more may pass
