@@ -18,6 +18,10 @@ _MET = "kind byte, token long, id long, n int, other long, other_n int"
 _SALT = np.uint64(0x9FB21C651E98DF25)
 #: Cells that shingles are counted in; a cell's weight is the bit length of its count. Tokens of at least this weight are salted.
 _CELLS, _HOT = 1 << 20, 14
+#: Bits of the number of cells that tell repeated tokens (16 MB), and of a token's mark that is sent.
+_MARKS, _MARK = 27, np.uint64((1 << 40) - 1)
+#: Classes of equal sets that tasks are told of.
+_TWINS = 1 << 19
 #: Up to so many links are joined by the driver (4 MB), more by rounds of jobs.
 _AT_DRIVER = 1 << 18
 
@@ -119,30 +123,153 @@ def _meta(size: int, percent: int):
 
 def set_sums(hashes: np.ndarray, offsets: np.ndarray) -> list[np.ndarray]:
     """Two 64-bit sums over each set that are equal for equal sets."""
-    padded, some = np.append(hashes, np.uint64(0)), np.diff(offsets) > 0
-    return [np.where(some, np.add.reduceat(mixed(padded ^ salt), offsets[:-1]), np.uint64(0)).astype(np.uint64).view(np.int64) if len(some) else np.zeros(0, np.int64) for salt in (np.uint64(0), _SALT)]
+    some, end = np.diff(offsets) > 0, np.uint64(0)  # the end belongs to no set, so it adds nothing to the last one
+    return [np.where(some, np.add.reduceat(np.append(mixed(hashes ^ salt), end), offsets[:-1]), np.uint64(0)).astype(np.uint64).view(np.int64) if len(some) else np.zeros(0, np.int64) for salt in (np.uint64(0), _SALT)]
+
+
+def _prefix_rows(size: int, percent: int, weights, twins=None):
+    """Of a run of rows (id, text): (ids, set sizes, text, token, place) of the prefix tokens, text by text; of equal sets
+    only the one of the smallest id has any, and rows without an id have none. twins: (two sums, smallest id) of sets that
+    stand in several rows, by the first sum, so that of these one row of all has tokens."""
+
+    def run(part):
+        hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
+        n, ids = np.diff(offsets), part.column(0).fill_null(0).to_numpy()
+        one, two = set_sums(hashes, offsets)
+        order = np.lexsort((ids, n, two, one))
+        chosen = np.asarray(part.column(0).is_valid()).copy()
+        same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] == n[order][:-1])
+        chosen[order[1:][same & chosen[order][:-1]]] = False
+        if twins is not None and len(twins.value[0]):
+            c1, c2, lead = twins.value
+            at = np.minimum(np.searchsorted(c1, one), len(c1) - 1)
+            chosen &= (c1[at] != one) | (c2[at] != two) | (lead[at] == ids)
+        text, token, place = prefixes(hashes, offsets, percent, weights.value)
+        keep = chosen[text]
+        return ids, n, text[keep], token[keep], place[keep]
+
+    return run
+
+
+class Marks:
+    """One bit for each of a power of two of cells, in parts that are filled apart: a token's part by its upper bits, its cell there by its mark."""
+
+    def __init__(self, tokens: int):
+        """tokens: about how many there are; a part holds about 2^20 of them, all cells take 16 MB at most."""
+        self.part_bits = max((tokens >> 20).bit_length(), 4)
+        self.cell_bits = min(max((tokens >> 1).bit_length(), 16), _MARKS) - self.part_bits
+
+    def parts(self, mixed_tokens: np.ndarray) -> np.ndarray:
+        return (mixed_tokens >> np.uint64(64 - self.part_bits)).astype(np.int64)
+
+    def cells(self, marks: np.ndarray) -> np.ndarray:
+        return (marks & np.uint64((1 << self.cell_bits) - 1)).astype(np.int64)
+
+    def bits(self, marks: np.ndarray) -> bytes:
+        """A part's cells: those of its marks that stand twice or more often."""
+        marks = np.sort(marks)
+        out = np.zeros(1 << self.cell_bits, bool)
+        out[self.cells(marks[1:][marks[1:] == marks[:-1]])] = True
+        return np.packbits(out, bitorder="little").tobytes()
+
+    def has(self, bits: np.ndarray, token: np.ndarray) -> np.ndarray:
+        key = mixed(token)
+        at = (self.parts(key) << self.cell_bits) + self.cells(key & _MARK)
+        return (bits[at >> 3] >> (at & 7).astype(np.uint8) & 1).astype(bool)
+
+
+def _sent_marks(size: int, percent: int, weights, twins, marks: Marks, most: int = 1 << 19):
+    """The marks (five bytes of the mixed token) of all prefix tokens, a row for each part; of equal ones two at most from `most` tokens."""
+
+    def rows(held):
+        key = np.sort(np.concatenate(held))
+        key = key[np.append(np.ones(min(2, len(key)), bool), key[2:] != key[:-2])]
+        part = marks.parts(key)
+        lead = np.flatnonzero(np.append(True, part[1:] != part[:-1]))
+        five = np.ascontiguousarray(key.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :5])
+        ends = np.append(lead[1:], len(key))
+        return pa.RecordBatch.from_arrays([pa.array(part[lead].astype(np.int32)), pa.array([five[a:b].tobytes() for a, b in zip(lead.tolist(), ends.tolist())], pa.binary())], names=["part", "marks"])
+
+    def run(batches):
+        prefix, held, count = _prefix_rows(size, percent, weights, twins), [], 0
+        for batch in batches:
+            for cut in slices(batch, "text"):
+                token = prefix(cut)[3]
+                if len(token):
+                    held.append(mixed(token))
+                    count += len(token)
+                if count >= most:
+                    yield rows(held)
+                    held, count = [], 0
+        if held:
+            yield rows(held)
+
+    return run
 
 
-def _tokens(size: int, percent: int, weights):
-    """Prefix rows, each with the token before it in its set (0 at place 0); of equal sets in a slice only the one of the
-    smallest id has any. Tokens of heavy cells get a salt."""
+def _repeated(marks: Marks):
+    """Of rows (part, marks) sorted by part: the bits of each part."""
+
+    def bits(part, held):
+        five = np.frombuffer(b"".join(held), np.uint8).reshape(-1, 5)
+        key = np.zeros((len(five), 8), np.uint8)
+        key[:, :5] = five
+        return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([marks.bits(key.view("<u8").ravel())], pa.binary())], names=["part", "bits"])
 
     def run(batches):
-        weight = weights.value
+        now, held = None, []
+        for batch in batches:
+            for part, own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if part != now and held:
+                    yield bits(now, held)
+                    held = []
+                now = part
+                held.append(own)
+        if held:
+            yield bits(now, held)
+
+    return run
+
+
+def repeated_tokens(scratch: Scratch, rows: DataFrame, size: int, percent: int, weights, twins, tokens: int) -> tuple[Marks, np.ndarray]:
+    """Marks of the prefix tokens of more than one row, and their bits: every such token has its bit, few others have."""
+    marks = Marks(tokens)
+    sent = rows.mapInArrow(_sent_marks(size, percent, weights, twins, marks), "part int, marks binary").repartition("part").sortWithinPartitions("part")
+    found = scratch.table("bits", sent.mapInArrow(_repeated(marks), "part int, bits binary")).toArrow()  # 16 MB at most
+    scratch.drop("bits")
+    each = 1 << marks.cell_bits >> 3
+    out = np.zeros(each << marks.part_bits, np.uint8)
+    for part, bits in zip(found.column("part").to_pylist(), found.column("bits").to_pylist()):
+        out[part * each : (part + 1) * each] = np.frombuffer(bits, np.uint8)
+    return marks, out
+
+
+def _twins(classes: DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(two sums, smallest id) of classes of several rows, by the first sum: all, or so many of them by hash (12 MB). A class left out costs work only."""
+    several = classes.where("copies > 1")
+    count = several.count()
+    found = (several if count <= _TWINS else several.where(F.pmod("c1", F.lit(count)) < _TWINS)).select("c1", "c2", "lead").toArrow()
+    c1, c2, lead = (found.column(c).to_numpy() for c in ("c1", "c2", "lead"))
+    order = np.argsort(c1)
+    return c1[order], c2[order], lead[order]
+
+
+def _tokens(size: int, percent: int, weights, twins=None, marks: Marks | None = None, bits=None):
+    """Prefix rows of the tokens that have a bit (of all without marks), each with the one of them before it in its set
+    (0 for the first). Tokens of heavy cells get a salt."""
+
+    def run(batches):
+        prefix = _prefix_rows(size, percent, weights, twins)
         for batch in batches:
             for part in slices(batch, "text"):
-                hashes, offsets = shingle_sets(*text_bytes(part.column(1)), size)
-                n, ids = np.diff(offsets), part.column(0).fill_null(0).to_numpy()
-                one, two = set_sums(hashes, offsets)
-                order = np.lexsort((ids, n, two, one))
-                chosen = np.asarray(part.column(0).is_valid()).copy()
-                same = (one[order][1:] == one[order][:-1]) & (two[order][1:] == two[order][:-1]) & (n[order][1:] == n[order][:-1])
-                chosen[order[1:][same & chosen[order][:-1]]] = False
-                text, token, place = prefixes(hashes, offsets, percent, weight)
-                keep = chosen[text]
-                text, token, place = text[keep], token[keep], place[keep]
-                before = np.where(place > 0, np.append(np.uint64(0), token[:-1]), np.uint64(0)) if len(token) else token
-                salts = 1 << np.maximum(weight[_cell(token)].astype(np.int64) - _HOT + 2, 0)
+                ids, n, text, token, place = prefix(part)
+                if marks is not None:
+                    keep = marks.has(bits.value, token)
+                    text, token, place = text[keep], token[keep], place[keep]
+                if not len(token):
+                    continue
+                before = np.where(np.append(False, text[1:] == text[:-1]), np.append(np.uint64(0), token[:-1]), np.uint64(0))
+                salts = 1 << np.maximum(weights.value[_cell(token)].astype(np.int64) - _HOT + 2, 0)
                 salt = np.where(salts > 4 - 1, 1 + (mixed(ids[text].view(np.uint64)) % salts.astype(np.uint64)).astype(np.int64), 0)
                 yield pa.RecordBatch.from_arrays([pa.array(token.view(np.int64)), pa.array(salt.astype(np.int32)), pa.array(ids[text]), pa.array(n[text].astype(np.int32)), pa.array(place.astype(np.int32)), pa.array(before.view(np.int64))], names=[f.strip().split()[0] for f in _TOKEN.split(",")])
 
@@ -178,7 +305,7 @@ def _meeting(few: int, percent: int, members: bool = False):
             return
         x, y = np.concatenate(first), np.concatenate(second)
         need = -(-percent * (n[x].astype(np.int64) + n[y]) // (100 + percent))
-        fits = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & ((before[x] != before[y]) | (np.minimum(at[x], at[y]) == 0))
+        fits = (ids[x] != ids[y]) & (np.minimum(n[x] - at[x], n[y] - at[y]) >= need) & ((before[x] != before[y]) | (before[x] == 0))
         x, y = x[fits], y[fits]
         swap = ids[x] > ids[y]
         x, y = np.where(swap, y, x), np.where(swap, x, y)
@@ -523,10 +650,14 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     of_class = (F.col("h1") == F.col("c1")) & (F.col("h2") == F.col("c2")) & (F.col("n") == F.col("c3"))
     repeated = known.groupBy(F.col("id").alias("again")).agg(F.count("*").alias("times")).where("times > 1")
     copies = known.join(classes.where("copies > 1"), of_class).where("id <> lead").select("id").join(repeated, F.col("id") == F.col("again"), "left_anti")
-    routed = rows.mapInArrow(_tokens(shingle, percent, weights), _TOKEN).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
+    tokens = meta.agg(F.sum(F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)).first()[0] or 0
+    twins = spark.sparkContext.broadcast(_twins(classes))
+    marks, bits = repeated_tokens(scratch, rows, shingle, percent, weights, twins, int(tokens))
+    bits = spark.sparkContext.broadcast(bits)
+    routed = rows.mapInArrow(_tokens(shingle, percent, weights, twins, marks, bits), _TOKEN).repartition("token", "salt").sortWithinPartitions("token", "salt", "n", "id")
     met = scratch.table("met", routed.mapInArrow(_meeting(few, percent, True), _MET))
     seen = known.select("id", F.col("n").cast("int").alias("n"), "near0", "near1").join(copies, "id", "left_anti")
-    pairs = met.where("kind = 0").select("id", "n", "other", "other_n").distinct()
+    pairs = scratch.table("pairs", met.where("kind = 0").select("id", "n", "other", "other_n").distinct())
     pairs = pairs.join(seen, ["id", "n"]).withColumnsRenamed({"near0": "a0", "near1": "a1"})
     other = seen.select(F.col("id").alias("other"), F.col("n").alias("other_n"), F.col("near0").alias("b0"), F.col("near1").alias("b1"))
     pairs = pairs.join(other, ["other", "other_n"])

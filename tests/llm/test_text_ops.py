@@ -411,6 +411,56 @@ def test_copies_meet_once():
     assert len(out) <= 3 * 78 < len({r[0] for r in made}) * 78
 
 
+def test_repeated_tokens_have_their_bits():
+    """Marks in rows and flushes of any size: every token of two rows has its bit, few others have."""
+    weights = type("Weights", (), {"value": np.zeros(jaccard._CELLS, np.uint8)})
+    base = [" ".join(words(60, 50 + k, 10**6)) for k in range(40)]
+    texts = [*base, *[f"{x} more" for x in base[:9]], *[f"{base[0]} m{k}" for k in range(7)]]
+    batches = [pa.RecordBatch.from_pydict({"id": pa.array(range(k, k + 4), pa.int64()), "text": pa.array(texts[k : k + 4])}) for k in range(0, len(texts), 4)]
+    tokens = [t for b in batches for t in jaccard._prefix_rows(4, 85, weights)(b)[3].tolist()]
+    want = {t for t in tokens if tokens.count(t) > 1}
+    for most in (1, 30, 1 << 19):
+        marks = jaccard.Marks(len(tokens))
+        sent = sorted((r for b in jaccard._sent_marks(4, 85, weights, None, marks, most)(iter(batches)) for r in zip(*(c.to_pylist() for c in b.columns))), key=lambda r: r[0])
+        rows = [pa.RecordBatch.from_arrays([pa.array([p], pa.int32()), pa.array([m], pa.binary())], names=["part", "marks"]) for p, m in sent]
+        bits = np.zeros(1 << marks.part_bits + marks.cell_bits - 3, np.uint8)
+        for b in jaccard._repeated(marks)(iter(rows)):
+            part, own = b.column(0)[0].as_py(), np.frombuffer(b.column(1)[0].as_py(), np.uint8)
+            bits[part * len(own) : (part + 1) * len(own)] = own
+        has = marks.has(bits, np.array(tokens, np.uint64))
+        assert want <= {t for t, h in zip(tokens, has) if h} and has.sum() < len([t for t in tokens if t in want]) + 20
+
+
+def test_equal_sets_have_equal_sums_wherever_they_stand():
+    x = np.array([5, 7, 9], np.uint64)
+    sums = jaccard.set_sums(np.concatenate([x, x, x[:2], x]), np.array([0, 3, 3, 6, 8, 11]))
+    assert all(s[0] == s[2] == s[4] != s[3] and s[1] == 0 for s in sums)
+
+
+@pytest.mark.parametrize("twins", [1 << 19, 0])
+def test_lone_documents_and_copies_send_no_tokens(spark, monkeypatch, tmp_path, twins):
+    """Of documents that share no shingle, and of copies of one set, no token is dealt out; without room for the classes copies are, to the same result."""
+    own, seen = jaccard._meeting, str(tmp_path / "rows")
+
+    def counted(*args):
+        def told(batches):
+            for b in batches:
+                with open(seen, "a") as out:
+                    out.write(f"{b.num_rows}\n")
+                yield b
+
+        return lambda batches: own(*args)(told(batches))
+
+    monkeypatch.setattr(jaccard, "_meeting", counted)
+    monkeypatch.setattr(jaccard, "_TWINS", twins)
+    lone = [(i, " ".join(f"u{i}x{k}" for k in range(100))) for i in range(60)]
+    rows = lone + [(100 + i, lone[0][1]) for i in range(30)] + [(200, f"{lone[1][1]} end")]
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(6), shingle=4, percent=85).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows, 4, 85)
+    sent = sum(map(int, open(seen).read().split()))
+    assert (2 <= sent <= 60) == bool(twins), sent
+
+
 @pytest.mark.parametrize("few", [2, 24])
 def test_what_shares_a_token_meets(few):
     """Streams of token rows in batches of any size: all rows of a group that may link come together, pairs or chains."""
