@@ -11,7 +11,7 @@ from strandlog.llm.jaccard import jaccard_components
 from strandlog.llm.langid import identify, train
 from strandlog.llm.lines import remove_spread_lines
 from strandlog.llm.packing import pack_documents
-from strandlog.llm.shared import Scratch
+from strandlog.llm.shared import Scratch, told
 
 #: SQL can't express the language model; tests/llm holds the run against a plain version.
 ORACLE_SQL = None
@@ -45,7 +45,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     ids = rows.select("__row", "doc_id")
     kept = groups.join(ids, F.col("id") == F.col("__row")).groupBy("component").agg(F.min_by("id", F.struct(F.col("doc_id").isNull(), "doc_id", "id")).alias("kept"))
     extra = scratch.table("extra", groups.join(kept, F.col("id") == F.col("kept"), "left_anti").select(F.col("id").alias("__extra")))
-    return rows.join(extra, F.col("__row") == F.col("__extra"), "left_anti").drop("__row")
+    return rows.join(told(extra), F.col("__row") == F.col("__extra"), "left_anti").drop("__row")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .components import connected_components
-from .shared import Scratch, mixed, slices, text_bytes
+from .shared import Scratch, mixed, slices, text_bytes, told
 from .words import UNSPACED, Words
 
 _META = "kind byte, id long, n long, h1 long, h2 long, near0 binary, near1 binary"
@@ -24,6 +24,8 @@ _MARKS, _MARK = 27, np.uint64((1 << 40) - 1)
 _TWINS = 1 << 19
 #: Up to so many links are joined by the driver (4 MB), more by rounds of jobs.
 _AT_DRIVER = 1 << 18
+#: Sets of a part of a large block, as histograms; blocks of more parts than this are not cut by them.
+_PART, _PARTS = 1 << 12, 32
 
 
 def shingle_sets(raw: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -78,16 +80,16 @@ def prefixes(hashes: np.ndarray, offsets: np.ndarray, percent: int, weights: np.
 
 
 def histograms(hashes: np.ndarray, offsets: np.ndarray, levels: Levels, shift: int) -> list[bytes]:
-    """Each set's elements counted in cells by hash, about four a cell at its level: two sets differ in at least as many
-    elements as the counts of their cells do together. Counts stop at 255, which only lowers that bound."""
+    """Each set's elements counted in cells by hash, of each count whether it is odd: a bit a cell, two cells or more an
+    element at its level (up to 2^15 of them). Two sets differ in at least as many elements as there are cells whose bits differ."""
     n = np.diff(offsets)
     level = np.maximum(levels.of(n) - shift, 0)
-    cells = np.clip(levels.starts[level] // 4, 16, 1024)
-    base = np.append(0, np.cumsum(cells))
+    words = np.minimum(levels.starts[level] // 32 + 1, 512)
+    base = np.append(0, np.cumsum(8 * words))
     doc = np.repeat(np.arange(len(n)), n)
-    slot = base[doc] + (mixed(hashes + _SALT) % cells[doc].astype(np.uint64)).astype(np.int64)
-    counts = np.minimum(np.bincount(slot, minlength=int(base[-1])), 255).astype(np.uint8).tobytes()
-    return [counts[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
+    slot = 8 * base[doc] + (mixed(hashes + _SALT) % (64 * words[doc]).astype(np.uint64)).astype(np.int64)
+    odd = np.packbits(np.bincount(slot, minlength=int(8 * base[-1])).astype(np.uint8) & 1).tobytes()
+    return [odd[a:b] for a, b in zip(base[:-1].tolist(), base[1:].tolist())]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -283,7 +285,7 @@ def _meeting(few: int, percent: int, members: bool = False):
     overlap; not those with the same token before this one, which meet under that one too. Larger ones give chains
     (kind 1): each row with the next one, unless the next is too large for any link with this one or a smaller one; so
     whatever links is in one chain, however large the group is. With members, those without a salt give their rows
-    (kind 3) instead. Salted groups give their chains, and of each chain its sizes (kind 2: id, n to other_n), to be
+    (kind 3, other: the token before in the set) instead. Salted groups give their chains, and of each chain its sizes (kind 2: id, n to other_n), to be
     chained over all salts.
     """
 
@@ -342,7 +344,8 @@ def _meeting(few: int, percent: int, members: bool = False):
             if members:
                 plain, at = at[salt[at] == 0], at[salt[at] > 0]
                 if len(plain):
-                    yield rows(3, token[plain], ids[plain], n[plain], ids[plain], n[plain])
+                    before = cols[5] if len(cols) > 5 else np.zeros(len(token))
+                    yield rows(3, token[plain], ids[plain], n[plain], before[plain], n[plain])
             if len(at):
                 t, s, i, m = (c[at] for c in (token, salt, ids, n))
                 if last is not None:
@@ -411,9 +414,9 @@ def _close_pairs(percent: int):
             if not len(keep):
                 continue
             x, y = ([batch.column(c + int(d))[int(k)].as_buffer() for k, d in zip(keep.tolist(), s[keep].tolist())] for c, s in ((2, down), (6, other_down)))
-            size = np.array([b.size for b in x])
-            x, y = (np.frombuffer(b"".join(v), np.uint8).astype(np.int16) for v in (x, y))
-            apart = np.add.reduceat(np.abs(x - y).astype(np.int64), np.cumsum(size) - size)
+            size = np.array([b.size >> 3 for b in x])
+            x, y = (np.frombuffer(b"".join(v), np.uint64) for v in (x, y))
+            apart = np.add.reduceat(np.bitwise_count(x ^ y).astype(np.int64), np.cumsum(size) - size)
             near = keep[apart <= (n[keep] + other[keep]) * (100 - percent) // (100 + percent)]
             yield _batch(batch.column(0).to_numpy()[near], batch.column(4).to_numpy()[near])
 
@@ -432,13 +435,13 @@ def _close_members(percent: int, most: int):
         level, group, out = levels.of(n), np.arange(len(n)), []
         for now in np.unique(level).tolist():
             a, b, c = np.searchsorted(level, [now, now + 1, now + 2]).tolist()  # rows of the level, then those of the next one
-            counts = np.frombuffer(b"".join(own[a:b] + up[b:c]), np.uint8).reshape(c - a, -1).astype(np.int16)
+            odd = np.frombuffer(b"".join(own[a:b] + up[b:c]), np.uint64).reshape(c - a, -1)
             end = np.searchsorted(n[a:c], 100 * n[a:b] // percent, "right")
             for k in range(b - a):
                 w = np.arange(k + 1, end[k])
                 w = w[group[a + w] != group[a + k]]
                 if len(w):
-                    apart = np.abs(counts[w] - counts[k]).sum(1, dtype=np.int64)
+                    apart = np.bitwise_count(odd[w] ^ odd[k]).sum(1, dtype=np.int64)
                     w = a + w[apart <= (n[a + k] + n[a + w]) * (100 - percent) // (100 + percent)]
                     joined, first = np.unique(group[w], return_index=True)
                     out.append((np.full(len(first), ids[a + k]), ids[w[first]]))
@@ -612,6 +615,26 @@ def _verified(size: int, percent: int, weights):
     return run
 
 
+def _cut(scratch: Scratch, members: DataFrame, seen: DataFrame, block_shingles: int, percent: int) -> DataFrame:
+    """Members (node, block, n) with blocks of more than block_shingles cut into what may link by histogram.
+
+    Chains bring sets together by one token and their sizes alone. Their texts would be sent to each other part by part;
+    histograms take a twentieth of that. Any two parts of a block meet, so similar sets stay in one block.
+    """
+    large = members.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("sets"), F.sum("n").alias("n")).where((F.col("n") > block_shingles) & (F.col("sets") <= _PART * _PARTS)).select("b", F.ceil(F.col("sets") / _PART).cast("int").alias("parts"))
+    large = scratch.table("large", large)
+    if large.isEmpty():
+        return members
+    own = members.drop("n").join(large, F.col("block") == F.col("b")).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts"))).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+    own = own.select("node", F.xxhash64("block", F.least("part", "other"), F.greatest("part", "other")).alias("token"))
+    sent = seen.join(own, F.col("id") == F.col("node")).select("token", "id", "n", "near0", "near1").repartition("token").sortWithinPartitions("token", "n", "id")
+    near = scratch.table("near2", sent.mapInArrow(_close_members(percent, 1 << 40), "src long, dst long").distinct())
+    labels = connected_components(near, owner=scratch, at_driver=_AT_DRIVER).select(F.col("node").alias("l"), "component")
+    whole = members.join(large, F.col("block") == F.col("b"), "left_anti")
+    cut = members.join(large, F.col("block") == F.col("b"), "left_semi").join(labels, F.col("node") == F.col("l"))
+    return scratch.table("cut", whole.unionByName(cut.select("node", F.col("component").alias("block"), "n")))
+
+
 def _labelled(scratch: Scratch, name: str, members: DataFrame, links: DataFrame) -> DataFrame:
     """Members with the smallest node that the links join them with, as label."""
     labels = connected_components(links, owner=scratch, at_driver=_AT_DRIVER).select(F.col("node").alias("l"), F.col("component").alias("c"))
@@ -628,7 +651,7 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     only tokens of more than `most` sets, and heavy ones in salted parts, chain their sets by size. The components of
     these candidates are blocks. A block's sets form a prefix tree in the global order, whose traversal
     shares overlaps along common paths and leaves a path by the bound on what remains; sets that are in one group
-    already are not compared. A block of more than block_shingles is cut into chunks: each meets the first one, and
+    already are not compared. A block of more than block_shingles is cut by histograms first, and then into chunks: each meets the first one, and
     what has not come together by then meets all others in parts, so no group has to fit in one task, and a
     group of copies is sent twice at most. component is the smallest id reachable by links.
 
@@ -663,20 +686,25 @@ def jaccard_components(docs: DataFrame, *, id_col: str = "doc_id", text_col: str
     pairs = pairs.join(other, ["other", "other_n"])
     link = "src long, dst long"
     chains = met.where("kind = 1").select(F.col("id").alias("src"), F.col("other").alias("dst"))
-    members = met.where("kind = 3").select("token", "id", "n").join(seen, ["id", "n"]).select("token", "id", "n", "near0", "near1")
+    members = met.where("kind = 3")
+    # sets that all have the same token before this one meet under that one too
+    first = members.groupBy("token").agg(F.min("other").alias("least"), F.max("other").alias("most")).where("least <> most or least = 0").select("token")
+    members = scratch.table("first", members.join(first, "token", "left_semi").select("token", "id", "n"))
+    members = members.join(seen, ["id", "n"]).select("token", "id", "n", "near0", "near1")
     members = members.repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_close_members(percent, most), link)
     salted = met.where("kind = 2").select("token", "id", "n", "other_n").repartition("token").sortWithinPartitions("token", "n", "id").mapInArrow(_over_salts(percent), link)
     near = scratch.table("near", pairs.select("id", "n", "a0", "a1", "other", "other_n", "b0", "b1").mapInArrow(_close_pairs(percent), link).unionByName(members).unionByName(chains).unionByName(salted).distinct())
     blocks = scratch.table("blocks", connected_components(near, owner=scratch, at_driver=_AT_DRIVER))
     leads = classes.groupBy(F.col("lead").alias("node")).agg(F.max("c3").alias("n"))  # an id that repeats may lead several classes
     members = scratch.table("members", blocks.join(leads, "node").select("node", F.col("component").alias("block"), "n"))
+    members = _cut(scratch, members, seen, block_shingles, percent)
     sizes = members.groupBy(F.col("block").alias("b")).agg(F.count("*").alias("sets"), F.ceil(F.sum("n") / block_shingles).cast("int").alias("chunks")).where("sets > 1")
     placed = scratch.table("placed", members.join(sizes, F.col("block") == F.col("b")).select("node", "block", "n", "chunks", F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int").alias("chunk")))
     key = lambda *parts: F.concat_ws("/", *parts)
 
     def links(name: str, sent: DataFrame) -> DataFrame:
         """Links of what is sent (node, key, side, label): every text goes to its keys, each of which is one task's work."""
-        texts = rows.join(sent.select("node").distinct(), F.col("id") == F.col("node"), "left_semi")
+        texts = rows.join(told(sent.select("node").distinct()), F.col("id") == F.col("node"), "left_semi")
         grouped = texts.join(sent, F.col("id") == F.col("node")).select("key", "side", "label", "id", "text").repartition("key").sortWithinPartitions("key", "id")
         return scratch.table(name, grouped.mapInArrow(_verified(shingle, percent, weights), link))
 

@@ -595,3 +595,55 @@ def test_near_duplicates_with_a_common_passage_send_no_more_than_copies(spark, m
     monkeypatch.setattr(jaccard, "connected_components", lambda e, **more: (edges.append(e.count()), connected_components(e, **more))[1])
     got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "").collect()
     assert sorted(r.doc_id for r in got) == list(range(80)) and 3 <= edges[0] < 10  # histograms are a bound: a few more may pass
+
+
+def test_histograms_tell_sets_of_two_thirds_in_common():
+    """Pairs well below the bound don't pass: they would make blocks of documents that share a passage."""
+    draw = random.Random(9)
+    levels, passed = jaccard.Levels(80), 0
+    for _ in range(100):
+        both = [draw.getrandbits(64) for _ in range(240)]
+        flat = np.array([*both, *(draw.getrandbits(64) for _ in range(60))] + [*both, *(draw.getrandbits(64) for _ in range(60))], np.uint64)
+        near = [jaccard.histograms(flat, np.array([0, 300, 600]), levels, s) for s in (0, 1)]
+        rows = pa.RecordBatch.from_arrays([pa.array([v]) for v in (1, 300, near[0][0], near[1][0], 2, 300, near[0][1], near[1][1])], names=list("abcdefgh"))
+        passed += sum(b.num_rows for b in jaccard._close_pairs(80)([rows]))
+    assert passed <= 2
+
+
+@pytest.mark.parametrize("part", [16, 1 << 12])
+def test_chains_of_a_token_send_no_texts_part_by_part(spark, monkeypatch, part):
+    """A block that only a chain holds together is cut by histograms before any text is sent; similar sets stay together."""
+    passage = " ".join(words(40, 3))
+    rows = [(i, f"{passage} {' '.join(f'u{i}x{k}' for k in range(100 + i % 3))}") for i in range(120)]
+    rows += [(200 + i, f"{x} end") for i, x in rows[:9]]
+    sent = []
+    own = jaccard.Scratch.table
+
+    def table(self, name, df):
+        out = own(self, name, df)
+        if name.startswith("sent"):
+            sent.append(out.count())
+        return out
+
+    count_nothing(monkeypatch)
+    monkeypatch.setattr(jaccard.Scratch, "table", table)
+    monkeypatch.setattr(jaccard, "_PART", part, raising=False)
+    got = jaccard.jaccard_components(spark.createDataFrame(rows, "doc_id long, text string").repartition(3), shingle=4, percent=85, few=2, most=5, block_shingles=1000).collect()
+    assert sorted(map(tuple, got), key=str) == plain_components(rows, 4, 85)
+    assert sum(sent) <= len(rows)
+
+
+def test_near_duplicates_move_no_text_to_leave_copies_out(spark):
+    """However many ids go, up to a bound far above this table's, the rows that stay are not shuffled."""
+    import corpus_pipeline
+
+    rows = [(i, f"{' '.join(words(30, 8000 + i // 2))}") for i in range(60)]
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = corpus_pipeline.near_duplicates(spark, spark.createDataFrame(rows, "doc_id long, text string").repartition(3), "")
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert sorted(r.doc_id for r in got.collect()) == list(range(0, 60, 2))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    assert "SortMergeJoin" not in plan and "hashpartitioning" not in plan
